@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import corpus, quality, retrieval
 
-QUERIES = {**retrieval.QUERIES}
-SQL = {**retrieval.SQL}
+QUERIES = {**retrieval.QUERIES, **corpus.QUERIES, **quality.QUERIES}
+SQL = {**retrieval.SQL, **corpus.SQL, **quality.SQL}
