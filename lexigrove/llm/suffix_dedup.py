@@ -42,9 +42,9 @@ from pyspark.sql import types as T
 from .common import arrow_schema, table, total_bytes
 
 LENGTH = 100
-GRAM = 64
+GRAM = 40
 BLOCK_BYTES = 8 << 20
-SLAB = 1 << 20
+SLAB = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -108,7 +108,10 @@ def window_runs(texts: list[bytes], length: int, gram: int):
     low = at[first]
     high = at[np.concatenate((first[1:], [True]))[: len(at)]]
     anchor = anchor[first]
-    return (np.searchsorted(starts, low, "right") - 1, low, high, anchor, hashes[anchor]), joined, starts
+    # anchors are least hashes: dealt out as they are, they would crowd into the first buckets
+    spread = hashes[anchor] * np.uint64(0xC2B2AE3D27D4EB4F)
+    spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0x165667B19E3779F9)
+    return (np.searchsorted(starts, low, "right") - 1, low, high, anchor, spread), joined, starts
 
 
 def _slabs(texts: list[bytes]):
@@ -172,7 +175,7 @@ class _Plan:
     """Names and sizes that all passes share."""
 
     def __init__(self, blocks: int, length: int, gram: int):
-        self.blocks, self.buckets = blocks, max(1, blocks // 2)
+        self.blocks, self.buckets = blocks, blocks
         self.length, self.gram = length, gram
 
     def bucket(self, hashes: np.ndarray) -> np.ndarray:
