@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    found = piece_codec.decode_documents(piece_codec.encode_documents(docs, path), path)
+    found = piece_codec.encode_documents(docs, path, decoded="decoded")
     return found.select("doc_id", "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("decoded").alias("text"))
 
 

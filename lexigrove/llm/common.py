@@ -55,14 +55,25 @@ def total_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0])
 
 
+#: Rows that a Python function holds at a time; Arrow batches may be larger.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, function, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` with a function from one Arrow batch to one dict of columns."""
-    arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = function(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -75,3 +86,24 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
+
+
+def range_slots(df: DataFrame, key: str, slots: int):
+    """(slot column, number of slots): ranges of ascending long ``key`` with about as many rows each, null first.
+
+    Only the key column is read; the driver gets one cut for each range.
+    """
+    found = df.select(F.percentile_approx(key, [i / slots for i in range(1, slots)], 10 * slots).alias("c")).first()["c"] if slots > 1 else None
+    cuts = sorted(set(found or []))
+    if len(cuts) > 512:  # a count over the literal list instead of nested comparisons
+        place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(key)))
+    else:
+
+        def tree(low: int, high: int):
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(F.col(key) < cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
+
+        place = tree(0, len(cuts))
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(place).cast("int"), len(cuts) + 1

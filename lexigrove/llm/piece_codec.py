@@ -25,23 +25,23 @@ clashing names are kept apart by a row key of position and text hash.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 import struct
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, table
+from .common import arrow_schema, slices, table
 
 BLANK = "▁"
-CHUNK = 1 << 14
-MEMORY = 200_000
+CHUNK = 1 << 16
+MEMORY = 160_000
 NONE = float("-inf")
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_START = re.compile(f"[^{BLANK}]{BLANK}")
 
 
 def _fields(data: bytes):
@@ -91,7 +91,13 @@ class PieceModel:
                 trainer = dict(_fields(value))
             elif number == 3:
                 rules = dict(_fields(value))
-        self.unigram = trainer.get(3, 1) == 1 if unigram is None else unigram
+        own_kind = trainer.get(3, 1) == 1
+        self.unigram = own_kind if unigram is None else unigram
+        self.library = None
+        if self.unigram == own_kind:  # single words may be left to the library
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         if rules.get(2):
             raise ValueError("models that rewrite characters are not supported: normalise the text first")
         self.dummy = bool(rules.get(3, 1))
@@ -110,6 +116,7 @@ class PieceModel:
                 raise ValueError("pieces that reach over the start of a word are not supported")
         self.least = min(self.scores) - 10.0
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
 
     # -- text to pieces -------------------------------------------------------------
@@ -147,7 +154,7 @@ class PieceModel:
         key = (left, right)
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 4 * MEMORY:
+            if len(self._pairs) > MEMORY:
                 self._pairs.clear()
             found = self._pairs[key] = self.merge(left + right) == [left, right]
         return found
@@ -215,19 +222,34 @@ class PieceModel:
             out[state] = (weight, way[::-1])
         return out
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word (blanks only in front), remembered."""
-        found = self.memory.get(word)
-        if found is None:
-            if len(self.memory) > MEMORY:
-                self.memory.clear()
-            if self.unigram or len(word) > 48:
-                ways = self.paths(word, 0, "", len(word))
-                pieces = max((w for (reach, _), w in ways.items() if reach == 0), key=lambda w: w[0])[1]
-            else:  # the one path of finite weight, made by its definition
-                pieces = self.merge(word)
-            found = self.memory[word] = tuple(i for p in pieces for i in self.spell(p))
-        return found
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of one word (blanks only in front) by the best path."""
+        ways = self.paths(word, 0, "", len(word))
+        pieces = max((w for (reach, _), w in ways.items() if reach == 0), key=lambda w: w[0])[1]
+        return tuple(i for p in pieces for i in self.spell(p))
+
+    def words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each word, remembered; new words go to the library in one call where it can take them."""
+        memory = self.memory
+        got = list(map(memory.get, words))
+        if None not in got:
+            return got
+        new = {w for w, g in zip(words, got) if g is None}
+        older = self.older
+        known = {w: older[w] for w in new if w in older}
+        new = [w for w in new if w not in known]
+        if self.library is not None and self.dummy and not self.squeeze:
+            plain = [w for w in new if w[0] == BLANK and 1 < len(w) <= 64]
+            if plain:
+                known |= zip(plain, map(tuple, self.library.encode([w[1:] for w in plain], num_threads=1)))
+        for w in new:
+            if w not in known:
+                known[w] = self._word(w)
+        if len(memory) + len(known) > MEMORY:  # two generations: what was not asked for lately goes
+            self.older, self.memory = memory, known if len(known) <= MEMORY else {}
+        else:
+            memory |= known
+        return [known[w] if g is None else g for w, g in zip(words, got)]
 
     def spell(self, piece: str) -> list[int]:
         """Ids of one piece; a character without a piece is spelt in bytes."""
@@ -240,10 +262,7 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text in one piece."""
-        out: list[int] = []
-        for word in _WORD.findall(self.prepare(text)):
-            out.extend(self.word(word))
-        return self._fuse(out)
+        return self._fuse(list(chain.from_iterable(self.words(_WORD.findall(self.prepare(text))))))
 
     def _fuse(self, ids: list[int]) -> list[int]:
         """Neighbouring unknowns count as one, as in the library."""
@@ -281,21 +300,26 @@ class PieceModel:
                     out.add(self._state(text, start + len(piece), cut, piece))
         return sorted(out)
 
-    def _pinch(self, text: str, low: int, high: int) -> list[int]:
-        """Word starts in [low, high]: every path passes through them."""
-        return [i for i in range(max(low, 1), high + 1) if i < len(text) and text[i] == BLANK and text[i - 1] != BLANK]
+    def _pinch(self, text: str, low: int, high: int) -> tuple[int, int] | None:
+        """First and last word start in [low, high], if any: every path passes through them."""
+        first = _START.search(text, max(low - 1, 0))
+        if first is None or first.end() - 1 > high:
+            return None
+        at = text.rfind(BLANK, 0, high + 1)
+        while at > 0 and text[at - 1] == BLANK:
+            at = text.rfind(BLANK, 0, at)
+        return first.end() - 1, at
 
     def transfer(self, text: str, cut: int, end: int) -> dict[tuple[int, str], dict[tuple[int, str], float]]:
         """The chunk [cut, end) as a max-plus matrix; ``text`` also holds what lies within one piece of the chunk."""
         out = {}
-        pinched = self._pinch(text, cut, end)
         for reach, last in self.incoming(text, cut):
-            first = next((p for p in pinched if p >= cut + reach), None)
-            if first is None:
+            pinched = self._pinch(text, cut + reach, end)
+            if pinched is None:
                 ways = {s: w for s, (w, _) in self.paths(text, cut + reach, last, end).items()}
             else:
-                head = max((w for (r, _), (w, _) in self.paths(text, cut + reach, last, first).items() if r == 0), default=NONE)
-                middle, tail = self._rest(text, first, pinched[-1], end)
+                head = max((w for (r, _), (w, _) in self.paths(text, cut + reach, last, pinched[0]).items() if r == 0), default=NONE)
+                middle, tail = self._rest(text, *pinched, end)
                 ways = {s: head + middle + w for s, (w, _) in tail.items()} if head != NONE else {}
             if ways:
                 out[(reach, last)] = ways
@@ -318,9 +342,8 @@ class PieceModel:
             return [i for p in ways[leave][1] for i in self.spell(p)]
         head = max((w for (r, _), w in self.paths(text, cut + reach, last, pinched[0]).items() if r == 0), key=lambda w: w[0])
         out = [i for p in head[1] for i in self.spell(p)]
-        for word in _WORD.findall(text[pinched[0] : pinched[-1]]):
-            out.extend(self.word(word))
-        tail = self.paths(text, pinched[-1], "", end)
+        out.extend(chain.from_iterable(self.words(_WORD.findall(text[pinched[0] : pinched[1]]))))
+        tail = self.paths(text, pinched[1], "", end)
         return out + [i for p in tail[leave][1] for i in self.spell(p)]
 
 
@@ -372,25 +395,26 @@ def _split(prepared: str, chunk: int, longest: int):
         yield n, at - low, stop - low, prepared[low : min(len(prepared), stop + longest)]
 
 
-def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK, unigram: bool | None = None) -> DataFrame:
-    """``docs`` with ``token_ids`` (array of int).
+def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK, unigram: bool | None = None, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``token_ids`` (array of int), and with the text that these spell if ``decoded`` names a column.
 
     Texts up to ``chunk`` characters are encoded where they stand, without a shuffle.  Only
     longer ones are dealt out in chunks: one task set makes the matrices, a scan over each
     document's small matrices gives the boundary states, and the chunks are traced back.
     """
-    plain = [c for c in docs.columns if c.lower() not in ("token_ids", "_row_key")]
+    plain = [c for c in docs.columns if c.lower() not in ("token_ids", "_row_key", (decoded or "").lower())]
     base = docs.select(*[F.col(f"`{c}`") for c in plain])
-    schema = T.StructType([*base.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*base.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     arrow = arrow_schema(schema)
     value = F.col(f"`{text}`")
     is_long = F.coalesce(F.length(value) > chunk, F.lit(False))
 
     def whole(batches):
         codec = model(model_path, unigram)
-        for batch in batches:
+        for batch in slices(batches, 128):
             ids = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), pa.array(ids, arrow.field("token_ids").type)], schema=arrow)
+            texts = [pa.array([codec.decode(x) for x in ids], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), pa.array(ids, arrow.field("token_ids").type), *texts], schema=arrow)
 
     short = base.where(~is_long).mapInArrow(whole, schema)
     # equal long texts have equal ids: they are encoded once and joined back by text hash and length
@@ -401,7 +425,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
     def chunks(batches):
         codec = model(model_path, unigram)
         out = arrow_schema(CHUNKS)
-        for batch in batches:
+        for batch in slices(batches, 16):
             for row_key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = [(row_key, *c) for c in _split(codec.prepare(t), chunk, codec.longest)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
@@ -412,7 +436,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
     def matrices(batches):
         codec = model(model_path, unigram)
         out = arrow_schema(states)
-        for batch in batches:
+        for batch in slices(batches, 64):
             made = [repr(codec.transfer(t, c, e)) for t, c, e in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist(), batch.column("end").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("chunk"), pa.array(made, pa.string())], schema=out)
 
@@ -433,7 +457,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
 
         codec = model(model_path, unigram)
         out = arrow_schema(traced)
-        for batch in batches:
+        for batch in slices(batches, 64):
             ids = []
             for t, c, e, s in zip(*(batch.column(n).to_pylist() for n in ("text", "cut", "end", "state"))):
                 ids.append(codec.trace(t, c, e, *ast.literal_eval(s)))
@@ -442,7 +466,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
     parts = pieces.join(found, ["row_key", "chunk"]).mapInArrow(trace, traced)
     whole_ids = parts.groupBy("row_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("token_ids"))
     giant = long_rows.join(whole_ids, F.col("_row_key") == F.col("row_key")).select(*[F.col(f"`{c}`") for c in plain], "token_ids")
-    return short.unionByName(giant)
+    return short.unionByName(decode_documents(giant, model_path, to=decoded) if decoded else giant)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -454,7 +478,7 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "token_ids"
 
     def run(batches):
         codec = model(model_path)
-        for batch in batches:
+        for batch in slices(batches, 32):
             texts = [codec.decode(x or ()) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), pa.array(texts, pa.string())], schema=arrow)
 
@@ -465,8 +489,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return decode_documents(encoded, path).select(
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded").select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
         F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
