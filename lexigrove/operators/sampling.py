@@ -106,7 +106,7 @@ def stratified_split(samples: DataFrame, seed: int, shares: dict[str, float] = S
             out += [(s.sample_id, to) for s in own]
         return pd.DataFrame(out, columns=["sample_id", "split"])
 
-    return samples.groupBy(F.lit(0)).applyInPandas(assign, "sample_id string, split string")
+    return samples.select("sample_id", "digest", "labels", F.lit(0).alias("all")).groupBy("all").applyInPandas(assign, "sample_id string, split string")
 
 
 def rare_labels(rows: DataFrame, label: str = "label") -> DataFrame:
