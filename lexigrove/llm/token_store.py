@@ -18,6 +18,9 @@ empty result.
 
 from __future__ import annotations
 
+import functools
+import gc
+import os
 import re
 import struct
 import zlib
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, materialise, table, total_bytes
+from .common import arrow_schema, materialise, range_slots, slices, table, total_bytes
 
 MAGIC = b"LXG1"
 SAMPLE = 256
@@ -37,7 +40,7 @@ SEGMENT_IDS = 1 << 21
 RANGE_BYTES = 24 << 20
 END_ID = 1
 #: Chunks of text between blanks whose ids a worker remembers.
-MEMORY = 300_000
+MEMORY = 500_000
 
 
 class EliasFano:
@@ -116,52 +119,102 @@ def read_segment(data: bytes) -> tuple[np.ndarray, EliasFano]:
 class ChunkEncoder:
     """``tokenizer.encode`` for whole texts, chunk by chunk.
 
-    The tokenizer's rules never join characters across a blank, so the ids of a text are
-    those of its chunks between blanks; frequent chunks are remembered.  Texts of letters
-    and closing ASCII punctuation are taken apart once more, which those rules do too.
+    The tokenizer's rules never join characters across a blank and read letters without
+    case, so the ids of a text are those of its chunks between blanks; chunks are
+    remembered in two generations.  A chunk of letters and closing ASCII punctuation is
+    taken apart once more, which those rules do too.  New words of plain letters go to
+    the tokenizer as one text; each ends with the piece that closes a word.
     """
 
     BLANK = re.compile(r"[ \n\r\t]+")
-    PARTS = re.compile(r"([^\W\d_]+)([.,;:!?%*#$&]+)")
+    PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?%*#$&]+)")
+    #: Latin letters and ASCII: here lower case is a matter of single characters, and str.split knows the same blanks.
+    OTHER = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory: dict[str, bytes] = {}
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.older: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.wide = size > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.memory) + len(chunks) > MEMORY:
-            self.memory.clear()
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.memory[chunk] = np.array(found.ids, self.kind).tobytes()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        plain = [w for w in words if self.PLAIN.fullmatch(w)]
+        if plain and self.closes.any():
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                raw, width, start = ids.tobytes(), ids.itemsize, 0
+                for w, end in zip(plain, ends):
+                    out[w] = raw[width * start : width * end]
+                    start = end
+        rest = [w for w in words if w not in out]
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
+            out[w] = np.array(found.ids, self.kind).tobytes()
+        return out
+
+    def _find(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the younger generation lacks; they join it."""
+        memory, older = self.memory, self.older
+        known = {c: older[c] for c in missing if c in older}
+        apart, need, parts = {}, set(), {}
+        for chunk in missing:
+            if chunk in known:
+                continue
+            two = self.PARTS.fullmatch(chunk)
+            for part in (chunk,) if two is None else two.groups():
+                found = memory.get(part) or older.get(part)
+                if found is None:
+                    need.add(part)
+                else:
+                    parts[part] = found
+            if two is not None:
+                apart[chunk] = two.groups()
+        parts |= self._fresh(list(need))
+        for chunk in missing:
+            if chunk not in known:
+                known[chunk] = parts[apart[chunk][0]] + parts[apart[chunk][1]] if chunk in apart else parts[chunk]
+        new = known | {core: parts[core] for core, _ in apart.values()}
+        if len(memory) + len(new) > MEMORY:
+            self.older, self.memory = memory, new if len(new) <= MEMORY else {}
+        else:
+            memory |= new
+        return known
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        chunks = [self.BLANK.split(t) if self.OTHER.search(t) else t.lower().split() for t in texts]
+        get = self.memory.get
+        got = [list(map(get, c)) for c in chunks]
+        gaps: list[tuple[list, int, str]] = []
+        for own, found in zip(chunks, got):
+            at = -1
+            try:
+                while True:  # list.index walks over what is known without a step of Python
+                    at = found.index(None, at + 1)
+                    gaps.append((found, at, own[at]))
+            except ValueError:
+                pass
+        if gaps:
+            known = self._find({chunk for _, _, chunk in gaps})
+            for found, at, chunk in gaps:
+                found[at] = known[chunk]
+        return [np.frombuffer(b"".join(found), self.kind) for found in got]
 
     def encode(self, text: str) -> np.ndarray:
-        chunks = self.BLANK.split(text)
-        memory = self.memory
-        got = list(map(memory.get, chunks))
-        if None in got:
-            new, apart, own = set(), {}, {}
-            for chunk in {c for c, g in zip(chunks, got) if g is None}:
-                parts = self.PARTS.fullmatch(chunk)
-                if parts:
-                    apart[chunk] = parts.groups()
-                    new.update(p for p in parts.groups() if p not in memory)
-                else:
-                    new.add(chunk)
-            known = {p: memory[p] for pair in apart.values() for p in pair if p in memory}
-            fresh = list(new)
-            self._learn(fresh)
-            known |= {p: memory[p] for p in fresh}
-            for chunk, (core, tail) in apart.items():
-                own[chunk] = known[core] + known[tail]
-            known |= own
-            if len(memory) + len(own) < MEMORY:
-                memory |= own
-            got = [known[c] if g is None else g for c, g in zip(chunks, got)]
-        return np.frombuffer(b"".join(got), self.kind)
+        return self.encode_many([text])[0]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker: what it remembers serves the next task."""
+    return ChunkEncoder(path)
 
 
 SEGMENTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
@@ -174,9 +227,8 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
     schema = arrow_schema(SEGMENTS)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        encoder, part, seq = ChunkEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        gc.disable()  # nothing here makes cycles, and the memory of chunks is long to walk over
+        encoder, part, seq = encoder_of(tokenizer_path), None, 0
         tail = np.array([end_id], encoder.kind)
         doc_ids, held, size = [], [], 0
 
@@ -187,9 +239,13 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
             doc_ids, held, size, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row, schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([encoder.encode(text), tail])
+        for batch in slices(batches, 64):
+            for doc_id, slot, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder.encode_many(batch.column(1).to_pylist())):
+                if slot != part:
+                    if held:
+                        yield flush()
+                    part, seq = slot, 0
+                ids = np.concatenate([ids, tail])
                 doc_ids.append(doc_id)
                 held.append(ids)
                 size += len(ids)
@@ -198,7 +254,9 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
         if held:
             yield flush()
 
-    return docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS)
+    slot, count = range_slots(docs.select("doc_id"), "doc_id", parts)
+    dealt = docs.withColumn("slot", slot).repartitionById(count, F.col("slot")).sortWithinPartitions("slot", "doc_id", "text")
+    return dealt.mapInArrow(run, SEGMENTS)
 
 
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
