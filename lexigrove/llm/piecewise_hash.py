@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, table, total_bytes
+from .common import arrow_schema, range_slots, slices, table, total_bytes
 
 ROLLING = 7
 LETTERS = 64
@@ -136,9 +136,7 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     parts = max(1, -(-total_bytes(docs, "text") // range_bytes))
     ids = docs.select("doc_id")
-    cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    slot = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_bucket(cuts)).cast("int")
+    slot, count = range_slots(ids, "doc_id", parts)
     firsts = sorted(ids.select(slot.alias("slot"), "doc_id").groupBy("slot").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("first")).collect())
     slots = [r["slot"] for r in firsts]
     before = {r["first"]: slots[i - 1] for i, r in enumerate(firsts)}  # the last range is closed by the very first row
@@ -149,21 +147,7 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     placed = docs.join(F.broadcast(lead), F.col("doc_id").eqNullSafe(F.col("first")), "left").select(
         F.inline(F.array_compact(F.array(F.struct(slot.alias("slot"), F.lit(0).alias("copy")), copy))), "doc_id", "text"
     )
-    return placed.repartition(len(slots), "slot").sortWithinPartitions("slot", "copy", "doc_id", "text")
-
-
-def _bucket(cuts: list[int]):
-    """Number of cuts at or below doc_id: nested comparisons while they are few, else a count over the literal list."""
-    if len(cuts) > 512:
-        return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id")))
-
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") < cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return tree(0, len(cuts))
+    return placed.repartitionById(count, F.col("slot")).sortWithinPartitions("slot", "copy", "doc_id", "text")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -172,7 +156,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held, at = None, None  # the row that waits for the one after it
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for slot, copy, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("slot", "copy", "doc_id", "text"))):
                 raw = text.encode("utf-8", "surrogatepass")
