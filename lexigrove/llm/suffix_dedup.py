@@ -414,7 +414,8 @@ def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int
 
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT rid, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 200)) AS s FROM (SELECT rid, h, unnest(range(0, strlen(h) // 2 - 99)) AS p FROM d WHERE strlen(h) >= 200)),
+pieces AS (SELECT rid, base, strlen(h) // 2 AS n, substr(h, CAST(2 * base + 1 AS BIGINT), 1198) AS piece FROM (SELECT rid, h, unnest(range(0, strlen(h) // 2 - 99, 500)) AS base FROM d WHERE strlen(h) >= 200)),
+w AS (SELECT rid, base + i AS p, md5(substr(piece, CAST(2 * i + 1 AS BIGINT), 200)) AS s FROM (SELECT rid, base, piece, unnest(range(0, least(500, n - 99 - base))) AS i FROM pieces)),
 f AS (SELECT s, min(rid * 100000000 + p) AS first_at FROM w GROUP BY s HAVING count(*) > 1),
 later AS (SELECT w.rid, w.p FROM w JOIN f USING (s) WHERE w.rid * 100000000 + w.p > f.first_at),
 runs AS (
