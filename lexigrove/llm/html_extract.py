@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from .common import map_rows
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+#: Quantifiers are possessive: a tag that never closes fails at once instead of being tried in every length.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^<>])*+)>""", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""")
 _SPACE = re.compile(r"\s+")
 
 # HTML element classes.
@@ -36,36 +37,69 @@ KEEP_ROOT = frozenset({"html", "body", "article", "main"})
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar advertisement".split())
 BAD_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adslot|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|sidebar|aside|side|footer|foot|header|masthead|topbar|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|sidebar|aside|side|footer|foot|"
     r"comments?|commentlist|disqus|discussion|replies|reply|respond|related|recommended|share|sharing|social|follow|newsletter|subscribe|signup|login|widget|skip)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Words that mark a page's head, but inside an article its own heading.
+HEAD_WORD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|head|brand|logo)(?:$|[\s_-]|\d)", re.I)
+#: A container named like boilerplate stays if it holds the article, or nearly all of the text.
+NEARLY_ALL = 0.8
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "score", "hidden", "chars", "link_chars", "commas", "words")
+    __slots__ = ("tag", "parent", "children", "score", "hidden", "suspect", "chars", "link_chars", "commas", "holds_main")
 
     def __init__(self, tag: str, parent: "_Node | None", hidden: bool):
         self.tag, self.parent, self.hidden = tag, parent, hidden
         self.children: list = []
         self.score = 0.0
         self.chars = self.link_chars = self.commas = 0
-        self.words = ""
+        self.suspect = self.holds_main = False
 
 
-def _is_boilerplate(tag: str, attrs: str, inside_main: bool) -> bool:
+def _found(attrs: str) -> dict[str, str]:
+    return {k.lower(): _html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)} if attrs else {}
+
+
+def _is_boilerplate(tag: str, attrs: str, found: dict[str, str], inside_main: bool) -> bool:
+    """Elements that never hold main text, by tag, role or visibility."""
     if tag in SKIP:
         return True
     if tag == "header":  # an article may head its own text; a page header may not
         return not inside_main
     if not attrs or tag in KEEP_ROOT:
         return False
-    found = {k.lower(): _html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
     if found.get("role", "").strip().lower() in BAD_ROLE or found.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", attrs) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    return bool(BAD_WORD.search(f"{found.get('class', '')} {found.get('id', '')}"))
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", attrs) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+
+
+def _is_suspect(tag: str, found: dict[str, str], inside_main: bool) -> bool:
+    """Elements named like boilerplate."""
+    if not found or tag in KEEP_ROOT:
+        return False
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    return bool(BAD_WORD.search(names)) or (not inside_main and bool(HEAD_WORD.search(names)))
+
+
+def _drop_suspects(root: _Node) -> bool:
+    """Takes suspects out of the tree unless they hold the article or nearly all text; tells whether any went."""
+    went, stack, whole = False, [root], root.chars
+    while stack:
+        node = stack.pop()
+        kept = []
+        for child in node.children:
+            if isinstance(child, _Node):
+                if child.suspect and not child.holds_main and child.chars < NEARLY_ALL * whole:
+                    went = True
+                    if child.tag in BLOCK:
+                        kept.append(_Node("hr", node, False))
+                    continue
+                stack.append(child)
+            kept.append(child)
+        node.children = kept
+    return went
 
 
 def _parse(source: str) -> _Node:
@@ -75,8 +109,11 @@ def _parse(source: str) -> _Node:
     while at < end:
         match = _TAG.search(source, at)
         if match is None:
+            rest = source[at:]
+            closed = rest.rfind(">") + 1
+            cut = re.search(r"<[a-zA-Z/!]", rest[closed:])  # a tag that the end of the page cuts short is no text
             if not node.hidden:
-                node.children.append(_html.unescape(source[at:]))
+                node.children.append(_html.unescape(rest[: closed + cut.start()] if cut else rest))
             break
         if match.start() > at and not node.hidden:
             node.children.append(_html.unescape(source[at : match.start()]))
@@ -120,13 +157,15 @@ def _parse(source: str) -> _Node:
             if not node.hidden:
                 node.children.append(" ")
             continue
-        hidden = node.hidden or _is_boilerplate(tag, match[4], main_depth > 0)
+        found = _found(match[4]) if not node.hidden else {}
+        hidden = node.hidden or _is_boilerplate(tag, match[4], found, main_depth > 0)
         if tag in RAW and not match[4].endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = close.end() if close else end
             continue
         child = _Node(tag, node, hidden)
         if not hidden:
+            child.suspect = _is_suspect(tag, found, main_depth > 0)
             node.children.append(child)
         if tag in VOID or match[4].endswith("/"):
             continue
@@ -143,8 +182,11 @@ def _measure(root: _Node) -> None:
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, _Node))
     for node in reversed(order):
+        node.chars = node.link_chars = node.commas = 0
+        node.holds_main = node.tag in ("article", "main")
         for child in node.children:
             if isinstance(child, _Node):
+                node.holds_main |= child.holds_main
                 node.chars += child.chars
                 node.link_chars += child.link_chars
                 node.commas += child.commas
@@ -228,6 +270,8 @@ def extract_text(source: str | None) -> str:
         return ""
     root = _parse(source)
     _measure(root)
+    if _drop_suspects(root):
+        _measure(root)
     scored = _score(root)
     if not scored:
         parts: list[str] = []
