@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENS_SQL = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"
 
 
@@ -12,9 +14,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text is worked on row by row."""
+    return spread(read(spark, sf_dir, name))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a chunk table: one retrieval row each."""
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("lang").alias("location"), F.lit(0).alias("part"), F.lit(1).alias("primary_page"),
         F.col("text"), F.col("text").alias("text_search"), F.lit("retrieval").alias("retrieval_role"), F.col("n_chars"),

@@ -9,11 +9,11 @@ from ..functions import text as X
 from ..functions.identity import content_hash, document_id
 from ..operators import chunking, corpus
 from ..operators.folders import ancestors
-from .common import read
+from .common import read, texts
 
 
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     return d.select("doc_id", X.token_count(F.col("text")).alias("n_tokens"), X.char_count(F.col("text")).alias("n_visible"), X.encoding_anomaly(F.col("text")).alias("anomaly"))
 
 
@@ -27,7 +27,7 @@ FROM documents
 
 
 def clean_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(X.clean(F.col("text")), 256).alias("clean_hash"), F.length(X.clean_lines(F.col("text"))).cast("long").alias("n_line_chars"), content_hash(F.col("text")).alias("content_hash"), document_id(F.col("source"), F.sha2("text", 256)).alias("document_id"))
 
 
@@ -56,7 +56,7 @@ CANONICAL_DOC = r"SELECT doc_id, source, first_value(doc_id) OVER (PARTITION BY
 
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short lines on at least 2 % of a source's documents (documents stand in for pages)."""
-    lines = read(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    lines = texts(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("text"))
     found = chunking.boilerplate(lines, "source", "doc_id", "text", share=0.02)
     return found.select("source", F.col("text").alias("line"), "on_pages", "n_pages")
 
@@ -70,7 +70,7 @@ SELECT source, line, on_pages, n_pages FROM s JOIN n USING (source) WHERE on_pag
 
 
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunking.fixed_chunks(read(spark, sf_dir, "documents"))
+    found = chunking.fixed_chunks(texts(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("part").cast("long").alias("part"), F.col("start").cast("long").alias("start"), F.length("text").cast("long").alias("n_chars"), F.sha1("text").alias("digest"))
 
 
@@ -100,7 +100,7 @@ INCREMENTAL = "SELECT doc_id, sha256(concat(source, ':', sha256(text))) AS finge
 
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and personal data masked in documents and conversations; a digest of each result."""
-    rows = read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text").unionByName(read(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text"))
+    rows = texts(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text").unionByName(read(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text"))
     return rows.select("kind", "id", "turn", X.has_secret(F.col("text")).alias("found"), F.sha1(X.redact(F.col("text"))).alias("digest"))
 
 
@@ -119,7 +119,7 @@ FROM (SELECT 'document' AS kind, doc_id AS id, CAST(0 AS BIGINT) AS turn, text F
 
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dotted numbers in documents, at most eight each, in order."""
-    d = read(spark, sf_dir, "documents").select("doc_id", X.clauses(F.col("text")).alias("c"))
+    d = texts(spark, sf_dir, "documents").select("doc_id", X.clauses(F.col("text")).alias("c"))
     return d.select("doc_id", F.posexplode("c").alias("place", "clause")).select("doc_id", F.col("place").cast("long").alias("place"), "clause")
 
 
@@ -144,7 +144,7 @@ SELECT folder, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT DIST
 
 def sentence_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Child chunks packed from sentences: counts and sizes for each document (rows only, no SQL)."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_children("text")).alias("part", "body"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_children("text")).alias("part", "body"))
     return rows.select("doc_id", "part", X.token_count(F.col("body")).alias("n_tokens"), F.sha1("body").alias("digest"))
 
 

@@ -187,11 +187,11 @@ SEVERITY_SCREEN = "SELECT CASE WHEN l_quantity <= 0 THEN 'undetermined' WHEN l_d
 
 
 def bbox_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping boxes within an order; boxes are made from line item numbers and meet on a grid."""
+    """Overlapping boxes within an order (at most seven lines each); boxes are made from line item numbers."""
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
     x, y = F.col("l_partkey") % 40 + F.lit(0.0), F.col("l_suppkey") % 40 + F.lit(0.0)
     boxes = l.select("l_orderkey", "l_linenumber", F.array(x, y, x + F.col("l_quantity"), y + F.col("l_quantity")).alias("box"))
-    found = instances.box_pairs(boxes, 0.3, ["l_orderkey"], "l_linenumber", cell=30.0)
+    found = instances.box_pairs(boxes, 0.3, ["l_orderkey"], "l_linenumber")
     return found.select("l_orderkey", "a", "b", F.round("iou", 9).alias("iou"))
 
 
