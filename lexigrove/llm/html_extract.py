@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import map_rows, table
 
 #: Quantifiers are possessive: a tag that never closes fails at once instead of being tried in every length.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^<>])*+)>""", re.S)
@@ -308,4 +308,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_pages(table(spark, sf_dir, "pages"))
