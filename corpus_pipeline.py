@@ -6,6 +6,8 @@ read again before the next one starts.  All but the last return the columns of d
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays."""
-    return golay_simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles alike to 0.8 or more) the row with the smallest doc_id stays."""
+    return golay_simhash.keep_one(docs, similarity=Fraction(4, 5), shingle=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ share their component; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shingle_overlap
 from .common import arrow_schema, map_rows, materialise, table
 
 SHINGLE = 3
@@ -255,11 +257,25 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return marked.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest doc_id (of several, the one whose text sorts first)."""
+def overlapping(docs: DataFrame, similarity: Fraction, shingle: int, text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; links are texts whose word shingles have this Jaccard similarity or more."""
+    sets = materialise(shingle_overlap.shingle_sets(docs, shingle, text), "shingles")
+    roots = components(shingle_overlap.links(sets, similarity, components))
+    nodes = sets.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return sets.select("doc_id", "fp").join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", similarity: Fraction | None = None, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest doc_id (of several, the one whose text sorts first).
+
+    Without ``similarity`` texts link by bits, as in ``near_duplicates``; with it, by the overlap of their shingles.
+    """
     from pyspark.sql import Window
 
-    kept = near_duplicates(docs, text).where("doc_id <=> component_id").select("doc_id").distinct()
+    found = near_duplicates(docs, text) if similarity is None else overlapping(docs, similarity, shingle, text)
+    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
     alike = Window.partitionBy("doc_id").orderBy(F.col(f"`{text}`").asc_nulls_first())
     joined = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return joined.withColumn("_place", F.row_number().over(alike)).where("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
