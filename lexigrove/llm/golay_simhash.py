@@ -236,48 +236,55 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long.  No shuffle."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+    """(doc_id, digest of the text, fp) with the fingerprint as a signed long.  No shuffle."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batch):
-        prints = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return {"doc_id": batch.column(0), "fp": prints}
+        prints = np.array([simhash(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+        return {"doc_id": batch.column(0), "digest": batch.column(1), "fp": prints}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").cast("string")), run, schema)
+    value = F.col(f"`{text}`").cast("string")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), F.xxhash64(value).alias("digest"), value.alias("text")), run, schema)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id of its component."""
-    marked = materialise(fingerprints(docs, text), "simhash")
+def _rooted(marked: DataFrame, link) -> DataFrame:
+    """``marked`` with root (the smallest fp of the component) and component_id (its smallest doc_id) for every row."""
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = components(link_fingerprints(nodes))
+    joined = components(link(nodes))
     rooted = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = rooted.join(ids, "root").select("fp", "component_id", "root")
+    return marked.join(of_print, "fp").select(*marked.columns, "component_id", "root")
+
+
+def _marked_components(docs: DataFrame, text: str) -> DataFrame:
+    return _rooted(materialise(fingerprints(docs, text), "simhash"), link_fingerprints)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id of its component."""
+    return _marked_components(docs, text).select("doc_id", "fp", "component_id")
 
 
 def overlapping(docs: DataFrame, similarity: Fraction, shingle: int, text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; links are texts whose word shingles have this Jaccard similarity or more."""
+    """(doc_id, digest, fp, component_id, root) for every row; links are texts whose word shingles have this Jaccard similarity or more."""
     sets = materialise(shingle_overlap.shingle_sets(docs, shingle, text), "shingles")
-    roots = components(shingle_overlap.links(sets, similarity, components))
-    nodes = sets.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return sets.select("doc_id", "fp").join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _rooted(sets.select("doc_id", "digest", "fp"), lambda nodes: shingle_overlap.links(sets, similarity, components))
 
 
 def keep_one(docs: DataFrame, text: str = "text", similarity: Fraction | None = None, shingle: int = SHINGLE) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest doc_id (of several, the one whose text sorts first).
 
     Without ``similarity`` texts link by bits, as in ``near_duplicates``; with it, by the overlap of their shingles.
+    A row is known by doc_id and text together, so rows that share an id, or have none, stand for their own texts.
     """
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, text) if similarity is None else overlapping(docs, similarity, shingle, text)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    alike = Window.partitionBy("doc_id").orderBy(F.col(f"`{text}`").asc_nulls_first())
-    joined = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    found = materialise(_marked_components(docs, text) if similarity is None else overlapping(docs, similarity, shingle, text), "components")
+    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("root").alias("_root")).distinct()
+    mark = F.xxhash64(F.col(f"`{text}`").cast("string"))
+    joined = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_digest")))
+    alike = Window.partitionBy("_root").orderBy(F.col(f"`{text}`").asc_nulls_first())
     return joined.withColumn("_place", F.row_number().over(alike)).where("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -72,7 +72,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
 
 
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("packed", T.BinaryType())])
-PREFIX = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType())])
+#: ``n`` holds the set's size above 32 bits of the shingle's place in the set's order.
+PREFIX = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType())])
+_MEMBER = T.StructType([T.StructField("n", T.LongType()), T.StructField("fp", T.LongType())])
+BUCKETS = T.StructType([T.StructField("h", T.LongType()), T.StructField("members", T.ArrayType(_MEMBER))])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -116,26 +119,28 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(sets: DataFrame, least: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, n, fp): each set's first n - ceil(t n) + 1 shingles, rare ones first."""
+    """(h, n, fp): each set's first n - ceil(t n) + 1 shingles, rare ones first; a task gives a set once."""
     arrow = arrow_schema(PREFIX)
     table = sets.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         known, counts = table.value
+        seen = set()
         for batch in batches:
             for part in slices([batch], 128):
                 hs, ns, fps = [], [], []
                 for fp, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if fp in seen or not packed:
+                        continue
+                    seen.add(fp)
                     own = _unpack(packed)
                     n = len(own)
-                    if not n:
-                        continue
                     take = n - -(-least.numerator * n // least.denominator) + 1
                     if len(known):
                         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                         own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
                     hs.append(own[:take].view(np.int64))
-                    ns.append(np.full(take, n, np.int32))
+                    ns.append((np.int64(n) << 32) + np.arange(take))
                     fps.append(np.full(take, fp, np.int64))
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ns, fps)], schema=arrow)
@@ -143,8 +148,55 @@ def _prefixes(sets: DataFrame, least: Fraction, common: tuple[np.ndarray, np.nda
     return sets.select("fp", "packed").mapInArrow(run, PREFIX)
 
 
+def _buckets(prefixes: DataFrame) -> DataFrame:
+    """(h, members) of every shingle that several sets have in their prefix; members ascend by size."""
+    arrow = arrow_schema(BUCKETS)
+    kind = arrow.field("members").type
+
+    def run(batches):
+        key, held = None, []
+
+        def rows(found):
+            hs, ends, ns, fps = [], [0], [], []
+            for h, parts in found:
+                n, fp = (np.concatenate([p[i] for p in parts]) for i in range(2))
+                fresh = np.append(True, (fp[1:] != fp[:-1]) | (n[1:] != n[:-1]))  # copies of one set from several tasks
+                if fresh.sum() > 1:
+                    hs.append(h)
+                    ns.append(n[fresh])
+                    fps.append(fp[fresh])
+                    ends.append(ends[-1] + len(fps[-1]))
+            if hs:
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (ns, fps)], fields=list(kind.value_type))
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=kind)], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, n, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.append(np.flatnonzero(np.diff(h)) + 1, len(h))
+            starts = np.append(0, cuts[:-1])
+            several = np.flatnonzero((cuts - starts > 1) | (cuts == len(h)) | (starts == 0)).tolist()
+            done = []
+            for at in several:
+                x, y = int(starts[at]), int(cuts[at])
+                if h[x] != key:
+                    if held:
+                        done.append((key, held))
+                    key, held = int(h[x]), []
+                held.append((n[x:y].copy(), fp[x:y].copy()))
+            yield from rows(done)
+        if held:
+            yield from rows([(key, held)])
+
+    return prefixes.repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(run, BUCKETS)
+
+
 def _meetings(buckets: DataFrame, least: Fraction, near: int, rest: bool) -> DataFrame:
-    """Distinct pairs of a bucket's members (n, fp, root) whose sizes allow ``least``: the ``near`` nearest by size, or all others of different root."""
+    """Distinct pairs of a bucket's members that can still reach ``least``: the ``near`` nearest by size, or all others of different root.
+
+    If the shingle is the first that two sets share, what follows it bounds their overlap.
+    """
     arrow = arrow_schema(PAIRS)
     num, den = least.numerator, least.denominator
 
@@ -154,16 +206,19 @@ def _meetings(buckets: DataFrame, least: Fraction, near: int, rest: bool) -> Dat
                 out_a, out_b, held = [], [], 0
                 members = part.column(0)
                 flat = members.flatten()
-                ns, fps, roots = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                ns, fps = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                roots = flat.field(2).to_numpy(zero_copy_only=False) if rest else fps
                 ends = np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False)).tolist()
                 for s, e in zip([0, *ends], ends):
-                    n, fp, root = ns[s:e].astype(np.int64), fps[s:e], roots[s:e]
-                    order = np.lexsort((fp, n))
-                    n, fp, root = n[order], fp[order], root[order]
+                    order = np.lexsort((fps[s:e], ns[s:e]))
+                    n, fp, root = ns[s:e][order], fps[s:e][order], roots[s:e][order]
+                    left = (n >> 32) - (n & 0xFFFFFFFF)  # shingles from this one on
+                    n = n >> 32
                     for off in range(near + 1, len(n)) if rest else range(1, min(near + 1, len(n))):
                         keep = den * n[:-off] >= num * n[off:]
                         if not keep.any():  # sizes rise, so larger offsets have none either
                             break
+                        keep &= (num + den) * np.minimum(left[:-off], left[off:]) >= num * (n[:-off] + n[off:])
                         if rest:
                             keep &= root[:-off] != root[off:]
                         a, b = fp[:-off][keep], fp[off:][keep]
@@ -202,8 +257,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, name: str) ->
 def links(sets: DataFrame, least: Fraction, components) -> DataFrame:
     """Links (a, b) whose closure joins every two sets with a similarity of at least ``least``."""
     prefixes = _prefixes(sets, least, common_shingles(sets))
-    member = F.struct("n", "fp", F.lit(0).cast("long").alias("root"))
-    buckets = materialise(prefixes.groupBy("h").agg(F.collect_set(member).alias("members")).where("size(members) > 1"), "buckets")
+    buckets = materialise(_buckets(prefixes), "buckets")
     found = _verified(_meetings(buckets, least, NEAR, False), sets, least, "near")
     large = buckets.where(F.size("members") > NEAR + 1)
     if large.isEmpty():

@@ -63,3 +63,14 @@ def test_stage_keeps_one_of_each_group(spark, texts):
 def test_packed_shingles():
     found = shingle_overlap.shingles("one two three four five six", 5)
     assert len(found) == 2 and (shingle_overlap._unpack(shingle_overlap._pack(found)) == found).all()
+
+
+@pytest.mark.parametrize("similarity", [None, Fraction(4, 5)])
+def test_rows_without_own_id(spark, similarity):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (3, e), (3, e)]  # 7 holds two texts, one of them in the component of 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in golay_simhash.keep_one(docs, similarity=similarity, shingle=5).collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (None, b), (None, c), (7, d), (3, e)], key=repr)
