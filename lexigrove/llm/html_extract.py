@@ -3,9 +3,9 @@
 The page is read into a light element tree.  Boilerplate elements (by tag, role, or
 class and id words) leave the tree first.  Each text block then gives points for its
 length and commas to its parent and, halved and so on, to further ancestors; a
-container's points are discounted by its link density.  The best container is kept,
-with those siblings that score enough or read like prose, and its blocks are emitted
-in page order.
+container's points are discounted by its link density.  The best container is kept, or
+the whole article or main element around it, with those siblings that score enough or
+read like prose, and its blocks are emitted in page order.
 
 Defined results for odd input: null or empty html gives empty text; markup that never
 closes is closed at the end; a page with no scoring container falls back to the whole
@@ -264,6 +264,16 @@ def _blocks(node: _Node, out: list[str]) -> None:
     flush()
 
 
+def _whole(best: _Node) -> _Node:
+    """The outermost article around ``best``, else the outermost main, else ``best``: a part never stands for its article."""
+    found = {}
+    up: _Node | None = best
+    while up is not None:
+        found[up.tag] = up
+        up = up.parent
+    return found.get("article") or found.get("main") or best
+
+
 def extract_text(source: str | None) -> str:
     """Main text of one page; blocks joined by an empty line."""
     if not source:
@@ -277,10 +287,10 @@ def extract_text(source: str | None) -> str:
         parts: list[str] = []
         _blocks(root, parts)
         return "\n\n".join(parts)
-    best = max(scored.values(), key=lambda n: n.score)
+    best = _whole(max(scored.values(), key=lambda n: n.score))
     keep = [best]
     if best.parent is not None and best.tag not in ("body", "html"):
-        floor = max(10.0, best.score * 0.2)
+        floor = best.score * 0.2
         keep = []
         for sibling in best.parent.children:
             if not isinstance(sibling, _Node):
