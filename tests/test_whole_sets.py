@@ -12,3 +12,10 @@ def test_gold_set_has_no_rank_cut(spark, tmp_path):
     assert found["n_relevant"] == 50 and found["precision_30"] == 1 and found["recall_30"] == 0.6
     assert registry.QUERIES["ir_summary"](spark, str(tmp_path)).where("level = 'all'").first()["recall_10"] == 0.2
     assert registry.QUERIES["like_channel"](spark, str(tmp_path)).count() == 32
+
+
+def test_parity_covers_every_document(spark):
+    folder = "/root/testdata/sf0.001"
+    ids = lambda name: {r["doc_id"] for r in spark.read.parquet(f"{folder}/{name}.parquet").collect()}
+    found = registry.QUERIES["coverage_gate"](spark, folder).where("rule = 'parity'")
+    assert {int(r["key"]) for r in found.collect()} == ids("documents") - ids("labels")
