@@ -76,7 +76,7 @@ class Model:
                 break
             best = value - penalty * len(chosen)
             chosen, shares = [*chosen, k], share
-            if len(starts) == 1 or len(chosen) >= 4:
+            if len(starts) == 1:
                 break
         at = int(np.argmax(shares))
         return self.languages[chosen[at]], float(min(1.0, max(0.0, shares[at]))), {self.languages[k]: float(s) for k, s in zip(chosen, shares)}
