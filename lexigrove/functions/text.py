@@ -110,8 +110,10 @@ def normal_title(value: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(stem, r"(?:\(\d+\)|（\d+）)$", "")), f"[^0-9a-z{HAN}]+", "")
 
 
-def clauses(value: Column, most: int = 8) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(_text(value), F.lit(CLAUSE), F.lit(1))), 1, most)
+def clauses(value: Column, most: int | None = 8) -> Column:
+    """Distinct dotted numbers in order; a question gives ``most`` of them, None all (documents)."""
+    found = F.array_distinct(F.regexp_extract_all(_text(value), F.lit(CLAUSE), F.lit(1)))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def standards(value: Column, most: int = 8) -> Column:

@@ -118,8 +118,8 @@ FROM (SELECT 'document' AS kind, doc_id AS id, CAST(0 AS BIGINT) AS turn, text F
 
 
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dotted numbers in documents, at most eight each, in order."""
-    d = texts(spark, sf_dir, "documents").select("doc_id", X.clauses(F.col("text")).alias("c"))
+    """Distinct dotted numbers in documents, in order."""
+    d = texts(spark, sf_dir, "documents").select("doc_id", X.clauses(F.col("text"), None).alias("c"))
     return d.select("doc_id", F.posexplode("c").alias("place", "clause")).select("doc_id", F.col("place").cast("long").alias("place"), "clause")
 
 
