@@ -13,12 +13,13 @@ of indices, are verified exactly, and give a spanning forest of each bucket inst
 all its pairs.  Links join into components by alternating star contraction.
 
 Exact copies collapse to one fingerprint before anything is joined, so a bucket holds
-distinct fingerprints only (8 bytes each).  A large bucket is compared chunk by chunk in
-matrices of fixed size.
+distinct fingerprints only (8 bytes each).  A task compares chunks of fixed size; the
+chunks of a large bucket are dealt out in pairs.
 
 Defined results for odd input: null or blank text has fingerprint zero and links like
 any other; null ids never become a component's id unless all are null; repeated rows
-share their component; an empty table gives an empty result.
+share their component; an empty table gives an empty result; other columns may have any
+names; texts are read whole, however long they are.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shingle_overlap
-from .common import arrow_schema, map_rows, materialise, table
+from . import bloom, shingle_overlap
+from .common import arrow_schema, field_name, map_rows, materialise, slices, table
 
 SHINGLE = 3
 SEED = 42
@@ -147,11 +148,25 @@ def forest(left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int,
 
 
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Links, and the chunks of buckets that hold more than one.
+_FOUND = T.StructType([*LINKS, T.StructField("key", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("fps", T.BinaryType())])
+
+
+def _pairs_of(left: np.ndarray, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``forest`` as two arrays of fingerprints (signed)."""
+    both = left if right is None else np.concatenate([left, right])
+    found = np.array(forest(left.view(np.uint64), None if right is None else right.view(np.uint64)), np.int64).reshape(-1, 2)
+    return both[found[:, 0]], both[found[:, 1]]
 
 
 def link_fingerprints(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) whose closure joins every two fingerprints (column ``fp``, distinct, signed) at three bits or fewer."""
+    """Links (a, b) whose closure joins every two fingerprints (column ``fp``, distinct, signed) at three bits or fewer.
+
+    A task holds one chunk of a bucket at a time.  The chunks of larger buckets are written
+    and meet in pairs, which are dealt out over all tasks.
+    """
     keyed = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
+    spark = prints.sparkSession
 
     def keys(batches):
         for batch in batches:
@@ -161,51 +176,72 @@ def link_fingerprints(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 rows, found = fuzzy_keys(own.view(np.uint64))
                 yield pa.RecordBatch.from_pydict({"key": found, "fp": own[rows]}, arrow_schema(keyed))
 
-    meets = prints.select("fp").mapInArrow(keys, keyed)
-    schema = arrow_schema(LINKS)
-    # Rows of one key arrive together and sorted; a bucket's chunks of `chunk` rows are compared inside
-    # the task as they stream past, and each chunk with every earlier one of its bucket.
+    # a fingerprint gives some 80 keys: few input tasks would make all of them
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    meets = prints.select("fp").repartition(tasks).mapInArrow(keys, keyed)
+    schema = arrow_schema(_FOUND)
+
+    def linked(a: list, b: list) -> pa.RecordBatch:
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(len(a), f.type) for f in list(schema)[2:])], schema=schema)
+
     def verify(batches):
-        key, held, ready, ready_key = None, [], [], []
-
-        def close(k, parts):
-            fps = np.concatenate(parts)
-            if len(fps) < 2:
-                return
-            for at in range(0, len(fps), chunk):
-                own = fps[at : at + chunk].view(np.uint64)
-                for i, j in forest(own):
-                    yield fps[at + i], fps[at + j]
-                for before in range(0, at, chunk):
-                    first = fps[before : before + chunk].view(np.uint64)
-                    both = np.concatenate([fps[before : before + chunk], fps[at : at + chunk]])
-                    for i, j in forest(first, own):
-                        yield both[i], both[j]
+        key, no, held, size = None, 0, [], 0
+
+        def close(last: bool):
+            """Links inside the chunk held; the chunk itself if its bucket has others."""
+            nonlocal held, size, no
+            own = np.concatenate(held) if held else np.zeros(0, np.int64)
+            held, size = [], 0
+            if len(own) > 1:
+                a, b = _pairs_of(own)
+                if len(a):
+                    out_a.append(a)
+                    out_b.append(b)
+            chunk_row = None
+            if len(own) and (no or not last):
+                chunk_row = pa.RecordBatch.from_pydict({"a": [None], "b": [None], "key": [int(key)], "no": [no], "fps": [own.tobytes()]}, schema)
+            no += 1
+            return chunk_row
 
         for batch in batches:
             ks = batch.column(0).to_numpy(zero_copy_only=False)
             fps = batch.column(1).to_numpy(zero_copy_only=False)
             if not len(ks):
                 continue
-            cuts = np.flatnonzero(np.diff(ks)) + 1
-            bounds = [0, *cuts.tolist(), len(ks)]
-            out = []
+            bounds = [0, *(np.flatnonzero(np.diff(ks)) + 1).tolist(), len(ks)]
+            out_a, out_b = [], []
             for s, e in zip(bounds, bounds[1:]):
                 if ks[s] != key:
-                    if held and (len(held) > 1 or len(held[0]) > 1):
-                        out.extend(close(key, held))
-                    key, held = ks[s], []
-                held.append(fps[s:e])
-            if out:
-                a, b = zip(*out)
-                yield pa.RecordBatch.from_pydict({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}, schema)
-        if held:
-            out = list(close(key, held))
-            if out:
-                a, b = zip(*out)
-                yield pa.RecordBatch.from_pydict({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}, schema)
-
-    return meets.repartition("key").sortWithinPartitions("key").mapInArrow(verify, LINKS).distinct()
+                    if size + no > 1 and (row := close(True)) is not None:
+                        yield row
+                    key, no, held, size = ks[s], 0, [], 0
+                while s < e:
+                    take = min(e - s, chunk - size)
+                    held.append(fps[s : s + take])
+                    s, size = s + take, size + take
+                    if size == chunk and (row := close(False)) is not None:
+                        yield row
+            if out_a:
+                yield linked(out_a, out_b)
+        out_a, out_b = [], []
+        if size and (row := close(True)) is not None:
+            yield row
+        if out_a:
+            yield linked(out_a, out_b)
+
+    found = materialise(meets.repartition("key").sortWithinPartitions("key").mapInArrow(verify, _FOUND), "buckets")
+    left = found.where("fps is not null").select("key", "no", "fps")
+    right = left.select("key", F.col("no").alias("no2"), F.col("fps").alias("fps2"))
+
+    def across(batches):
+        arrow = arrow_schema(LINKS)
+        for batch in slices(batches, 1):
+            a, b = _pairs_of(*(np.frombuffer(batch.column(c)[0].as_py(), np.int64) for c in ("fps", "fps2")))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
+
+    crossed = left.join(right, "key").where("no < no2").repartition(tasks).select("fps", "fps2").mapInArrow(across, LINKS)
+    return found.where("fps is null").select("a", "b").unionAll(crossed).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,45 +283,66 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), F.xxhash64(value).alias("digest"), value.alias("text")), run, schema)
 
 
-def _rooted(marked: DataFrame, link) -> DataFrame:
+def _rooted(marked: DataFrame, links: DataFrame) -> DataFrame:
     """``marked`` with root (the smallest fp of the component) and component_id (its smallest doc_id) for every row."""
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = components(link(nodes))
+    joined = components(links)
     rooted = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = rooted.join(ids, "root").select("fp", "component_id", "root")
     return marked.join(of_print, "fp").select(*marked.columns, "component_id", "root")
 
 
-def _marked_components(docs: DataFrame, text: str) -> DataFrame:
-    return _rooted(materialise(fingerprints(docs, text), "simhash"), link_fingerprints)
+def _by_bits(docs: DataFrame, text: str) -> DataFrame:
+    marked = materialise(fingerprints(docs, text), "simhash")
+    return _rooted(marked, link_fingerprints(marked.select("fp").distinct()))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id of its component."""
-    return _marked_components(docs, text).select("doc_id", "fp", "component_id")
+    return _by_bits(docs, text).select("doc_id", "fp", "component_id")
 
 
 def overlapping(docs: DataFrame, similarity: Fraction, shingle: int, text: str = "text") -> DataFrame:
-    """(doc_id, digest, fp, component_id, root) for every row; links are texts whose word shingles have this Jaccard similarity or more."""
-    sets = materialise(shingle_overlap.shingle_sets(docs, shingle, text), "shingles")
-    return _rooted(sets.select("doc_id", "digest", "fp"), lambda nodes: shingle_overlap.links(sets, similarity, components))
+    """(doc_id, digest, fp, n, sim, component_id, root) for every row; links are texts whose word shingles have this Jaccard similarity or more.
+
+    The Golay code links the SimHashes of the shingle sets; those links are verified on the
+    sets, and what lies farther apart than three bits is completed exactly (``shingle_overlap``).
+    """
+    nodes, sketches = shingle_overlap.shingle_nodes(docs, shingle, text)
+    named = nodes.groupBy(F.col("sim")).agg(F.min("fp").alias("fp"))
+    near = link_fingerprints(named.select(F.col("sim").alias("fp"))).join(named.select(F.col("sim").alias("a"), F.col("fp").alias("x")), "a").join(named.select(F.col("sim").alias("b"), F.col("fp").alias("y")), "b")
+    equal = nodes.select("sim", "fp").distinct().join(named.withColumnRenamed("fp", "x"), "sim").where("x <> fp").select("x", F.col("fp").alias("y"))
+    proposed = near.select("x", "y").unionAll(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = shingle_overlap.links(docs, nodes, shingle_overlap.sketch(sketches), proposed, shingle, similarity, components, text)
+    return _rooted(nodes, links)
 
 
 def keep_one(docs: DataFrame, text: str = "text", similarity: Fraction | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest doc_id (of several, the one whose text sorts first).
+    """One row of each group of near duplicates: that of the smallest doc_id (of several texts with it, the one with the least digest).
 
     Without ``similarity`` texts link by bits, as in ``near_duplicates``; with it, by the overlap of their shingles.
-    A row is known by doc_id and text together, so rows that share an id, or have none, stand for their own texts.
+    A row is known by doc_id and text together, so rows that share an id, or have none, stand for their own texts;
+    of rows that repeat both, one stays.  Columns may have any names; rows keep all of them.  Very long texts are read
+    whole; an empty table stays empty.
+
+    A Bloom filter of the rows that may go lets all others through in the scan; only what it stops is shuffled.
     """
-    from pyspark.sql import Window
-
-    found = materialise(_marked_components(docs, text) if similarity is None else overlapping(docs, similarity, shingle, text), "components")
-    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("root").alias("_root")).distinct()
-    mark = F.xxhash64(F.col(f"`{text}`").cast("string"))
-    joined = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_digest")))
-    alike = Window.partitionBy("_root").orderBy(F.col(f"`{text}`").asc_nulls_first())
-    return joined.withColumn("_place", F.row_number().over(alike)).where("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = materialise(_by_bits(docs, text) if similarity is None else overlapping(docs, similarity, shingle, text), "components").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")).select("root", "best.doc_id", "best.digest")
+    best = materialise(best, "first-rows")
+    stays = F.col("g.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("g.digest") == F.col("b.digest"))
+    doubtful = found.alias("g").join(best.alias("b"), "root").where(~stays | (F.col("g.copies") > 1)).select(F.xxhash64("g.doc_id", "g.digest").alias("key"))
+    own_id, own_digest, own_key, flag, place = (field_name(docs, stem) for stem in ("row_id", "row_digest", "row_key", "row_flag", "row_place"))
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_digest, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    rows = bloom.marked(rows.withColumn(own_key, F.xxhash64(own_id, own_digest)), own_key, materialise(doubtful, "doubtful"), "key", flag)
+    order = [F.xxhash64(F.col(f"`{f.name}`")) for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = rows.where(F.col(flag)).withColumn(place, F.row_number().over(Window.partitionBy(own_id, own_digest).orderBy(*order))).where(F.col(place) == 1)
+    best_id, best_digest = field_name(first, "best_id"), field_name(first, "best_digest")
+    best = best.select(F.col("doc_id").alias(best_id), F.col("digest").alias(best_digest))
+    kept = first.join(best, F.col(own_id).eqNullSafe(F.col(best_id)) & (F.col(own_digest) == F.col(best_digest)), "left_semi")
+    return rows.where(~F.col(flag)).select(*plain).unionAll(kept.select(*plain))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,25 @@
-"""Near copies by Jaccard similarity of word shingles, found exactly by prefix filtering.
+"""Links between texts whose word-shingle sets have a Jaccard similarity of at least t.
 
-A text is the set of its shingles (48-bit hashes).  Under one global order of shingles,
-two sets with a similarity of at least t share a shingle among the first
-n - ceil(t n) + 1 of each, so sets that meet on no such prefix shingle need no look, and
-every pair that is similar enough does meet.  Shingles that a bounded sample of texts
-shows to be common come last in the order: common lines then fall outside the prefixes.
-The order only moves cost; every order gives the same pairs.
+SimHash alone cannot give this: at t = 0.8 two fingerprints of 64 bits differ in about ten
+bits, far beyond what a few Golay segments tell apart from chance.  ``golay_simhash``
+therefore links what its code finds and this module completes the links exactly:
 
-Members of a bucket stand by set size.  A first round compares each with the NEAR before
-it, and links join into components; a second round compares all other pairs of a bucket
-whose components still differ.  Pairs are verified on the whole sets.
+Prefixes.  Under one global order of shingles, two sets with a similarity of at least t
+share a shingle among the first n - ceil(t n) + 1 of each.  The order puts shingles that
+many texts hold last; how many hold them comes from a sketch of fixed size that counts
+every text, so common lines fall outside the prefixes.  Any order gives the same pairs.
 
-Texts with the same set are one node.  A text with fewer words than a shingle is one
-shingle; blank and null texts have the empty set and are alike.
+Pivots.  Sets meet on prefix shingles.  Each bucket's smallest set (by its name, a hash)
+is compared with all others of the bucket, and so are the pairs that the Golay code
+proposes.  What is alike joins into components, which settles nearly everything: a group
+of near copies shares its pivots.
+
+Rest.  In buckets that still hold several components, the members outside the bucket's
+largest component are compared with the members of all other components.  So every pair
+that is similar enough is either compared or already connected.
+
+Pairs are decided on the whole sets.  Texts with the same set are one node.  A text with
+fewer words than a shingle is one shingle; blank and null texts have the empty set.
 """
 
 from __future__ import annotations
@@ -21,27 +28,27 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
 from .common import arrow_schema, materialise, slices
 
-#: Members of a bucket, by set size, that the first round compares each member with.
-NEAR = 16
-#: Texts whose shingles are counted for the order, and shingles that may be called common.
-SAMPLE = 10_000
-COMMON = 500_000
+#: Counters of the sketch, and counters in one of its rows.
+COUNTERS = 1 << 19
+PART = 1 << 15
+#: Members that share a bucket in one task; shingles counted more often are dealt out by salt.
+BUCKET = 1 << 15
 
 _BYTES = 6  # of a shingle's hash
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of the runs of ``size`` words (ASCII case ignored)."""
+def hashed_shingles(text: str | None, size: int) -> np.ndarray:
+    """64-bit hash of every run of ``size`` words, in text order (ASCII case ignored)."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
@@ -52,7 +59,21 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     for k in range(size):
         found = (found ^ (found >> np.uint64(29))) * _PRIME + own[k : k + len(found)]
     found = (found ^ (found >> np.uint64(32))) * _MIX
-    return np.unique(found >> np.uint64(16))
+    return found ^ (found >> np.uint64(29))
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 48-bit hashes of the text's shingles."""
+    return np.unique(hashed_shingles(text, size) >> np.uint64(16))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash: the bits that are set in over half of the hashes."""
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        own = hashes[at : at + (1 << 14)]
+        bits += np.unpackbits(own.view(np.uint8), bitorder="little").reshape(len(own), 64).sum(axis=0, dtype=np.int32)
+    return sum(1 << i for i in np.flatnonzero(2 * bits > len(hashes)).tolist())
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -71,176 +92,219 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return least.denominator * both >= least.numerator * (len(a) + len(b) - both)
 
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("packed", T.BinaryType())])
-#: ``n`` holds the set's size above 32 bits of the shingle's place in the set's order.
-PREFIX = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType())])
-_MEMBER = T.StructType([T.StructField("n", T.LongType()), T.StructField("fp", T.LongType())])
-BUCKETS = T.StructType([T.StructField("h", T.LongType()), T.StructField("members", T.ArrayType(_MEMBER))])
+NODES = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())]
+)
+#: ``np`` holds the set's size above 32 bits of the shingle's place in the set's order.
+PREFIX = T.StructType([T.StructField("h", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("np", T.LongType())])
+MET = T.StructType([T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("np", T.LongType()), T.StructField("pivot", T.LongType()), T.StructField("pivot_np", T.LongType())])
+SETS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("packed", T.BinaryType())])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def shingle_sets(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """(doc_id, digest of the text, fp, n, packed) for every row; fp names the set.  No shuffle."""
-    arrow = arrow_schema(SETS)
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, digest of the text, text)."""
+    value = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(value).alias("digest"), value.alias("text"))
+
+
+def shingle_nodes(docs: DataFrame, size: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """A written row (doc_id, digest, fp, n, sim) for every document, and the rows of each task's sketch.
+
+    fp names the set, sim is its SimHash.  A task counts a set once.
+    """
+    arrow = arrow_schema(NODES)
 
     def run(batches):
+        counts, seen = np.zeros(COUNTERS, np.uint32), set()
         for batch in batches:
             for part in slices([batch], 128):
-                fps, ns, packs = [], [], []
+                fps, ns, sims, fresh = [], [], [], []
                 for value in part.column(2).to_pylist():
-                    found = shingles(value, size)
-                    packed = _pack(found)
-                    packs.append(packed)
-                    ns.append(len(found))
-                    fps.append(xxhash.xxh64_intdigest(packed))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(packs, pa.binary())], schema=arrow)
-
-    value = F.col(f"`{text}`").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(value).alias("digest"), value.alias("text")).mapInArrow(run, SETS)
-
-
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that several texts of a bounded sample hold, and in how many; at most COMMON reach the driver."""
-    schema = T.StructType([T.StructField("h", T.LongType())])
-    arrow = arrow_schema(schema)
+                    found = np.unique(hashed_shingles(value, size))
+                    short = np.unique(found >> np.uint64(16))
+                    fp = xxhash.xxh64_intdigest(_pack(short))
+                    fps.append(fp)
+                    ns.append(len(short))
+                    sims.append(majority(found))
+                    if fp not in seen:
+                        seen.add(fp)
+                        fresh.append(short)
+                if fresh:
+                    counts += np.bincount((np.concatenate(fresh) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                blank = [pa.nulls(len(fps), f.type) for f in list(arrow)[5:]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(np.array(sims, np.uint64).view(np.int64)), *blank], schema=arrow)
+        if seen:
+            for at in range(0, COUNTERS, PART):
+                yield pa.RecordBatch.from_pydict({f.name: [None] for f in list(arrow)[:5]} | {"part": [at // PART], "counts": [counts[at : at + PART].tobytes()]}, arrow)
+
+    found = materialise(keyed(docs, text).mapInArrow(run, NODES), "nodes")
+    return found.where("counts is null").drop("part", "counts"), found.where("counts is not null").select("part", "counts")
+
+
+def sketch(rows: DataFrame) -> np.ndarray:
+    """The tasks' counters summed up: COUNTERS numbers reach the driver, whatever the input."""
+    kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    arrow = arrow_schema(kind)
 
     def run(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_unpack(packed).view(np.int64))], schema=arrow)
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(counts, np.uint32 if len(counts) == 4 * PART else np.uint64)
+                sums[part] = sums[part] + own if part in sums else own.astype(np.uint64)
+        for part, own in sums.items():
+            yield pa.RecordBatch.from_pydict({"part": [part], "counts": [own.tobytes()]}, arrow)
+
+    out = np.zeros(COUNTERS, np.uint64)
+    for row in rows.repartition("part").mapInArrow(run, kind).collect():
+        out[row["part"] * PART : (row["part"] + 1) * PART] += np.frombuffer(row["counts"], np.uint64)
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
-    rows = max(1, sets.count())
-    some = sets.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1_000_000)) < min(1_000_000, SAMPLE * 1_000_000 // rows)).dropDuplicates(["fp"])
-    counts = some.select("packed").mapInArrow(run, schema).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    found = counts.orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
-    h, c = (found.column(i).to_numpy().astype(np.uint64) for i in range(2))
-    order = np.argsort(h)
-    return h[order], c[order]
 
+def _prefixes(texts: DataFrame, size: int, least: Fraction, counts: np.ndarray) -> DataFrame:
+    """(h, salt, fp, np): each set's first n - ceil(t n) + 1 shingles, rare ones first; a task gives a set once.
 
-def _prefixes(sets: DataFrame, least: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, n, fp): each set's first n - ceil(t n) + 1 shingles, rare ones first; a task gives a set once."""
+    salt is 0, or from 1 on for a shingle that is counted too often for one task.
+    """
     arrow = arrow_schema(PREFIX)
-    table = sets.sparkSession.sparkContext.broadcast(common)
+    table = texts.sparkSession.sparkContext.broadcast(counts)
+    usual = int(counts.mean())  # what chance gives any counter
 
     def run(batches):
-        known, counts = table.value
+        known = table.value
         seen = set()
         for batch in batches:
             for part in slices([batch], 128):
-                hs, ns, fps = [], [], []
-                for fp, packed in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if fp in seen or not packed:
+                hs, salts, fps, nps = [], [], [], []
+                for value in part.column(0).to_pylist():
+                    own = shingles(value, size)
+                    n = len(own)
+                    fp = xxhash.xxh64_intdigest(_pack(own))
+                    if not n or fp in seen:
                         continue
                     seen.add(fp)
-                    own = _unpack(packed)
-                    n = len(own)
+                    held = known[(own % np.uint64(COUNTERS)).astype(np.int64)]
                     take = n - -(-least.numerator * n // least.denominator) + 1
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
-                    hs.append(own[:take].view(np.int64))
-                    ns.append((np.int64(n) << 32) + np.arange(take))
-                    fps.append(np.full(take, fp, np.int64))
+                    order = np.argsort(held, kind="stable")[:take]
+                    hs.append(own[order])
+                    ways = 1 + np.maximum(held[order].astype(np.int64) - usual, 0).astype(np.uint64) // np.uint64(BUCKET)
+                    salts.append(np.where(ways > 1, 1 + np.uint64(fp) % ways, 0))
+                    fps.append(np.full(take, fp, np.uint64))
+                    nps.append((np.int64(n) << 32) + np.arange(take))
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ns, fps)], schema=arrow)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(nps))], schema=arrow
+                    )
 
-    return sets.select("fp", "packed").mapInArrow(run, PREFIX)
+    return texts.select("text").mapInArrow(run, PREFIX)
 
 
-def _buckets(prefixes: DataFrame) -> DataFrame:
-    """(h, members) of every shingle that several sets have in their prefix; members ascend by size."""
-    arrow = arrow_schema(BUCKETS)
-    kind = arrow.field("members").type
+def _meet(prefixes: DataFrame) -> DataFrame:
+    """(h, fp, np, pivot, pivot_np) for the members of every bucket with several sets.
 
-    def run(batches):
-        key, held = None, []
-
-        def rows(found):
-            hs, ends, ns, fps = [], [0], [], []
-            for h, parts in found:
-                n, fp = (np.concatenate([p[i] for p in parts]) for i in range(2))
-                fresh = np.append(True, (fp[1:] != fp[:-1]) | (n[1:] != n[:-1]))  # copies of one set from several tasks
-                if fresh.sum() > 1:
-                    hs.append(h)
-                    ns.append(n[fresh])
-                    fps.append(fp[fresh])
-                    ends.append(ends[-1] + len(fps[-1]))
-            if hs:
-                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (ns, fps)], fields=list(kind.value_type))
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=kind)], schema=arrow)
+    Rows of a bucket stream past in order; only its first one, the pivot, is remembered.
+    """
+    arrow = arrow_schema(MET)
 
+    def run(batches):
+        key, pivot, before, waiting = None, None, None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, n, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cuts = np.append(np.flatnonzero(np.diff(h)) + 1, len(h))
-            starts = np.append(0, cuts[:-1])
-            several = np.flatnonzero((cuts - starts > 1) | (cuts == len(h)) | (starts == 0)).tolist()
-            done = []
-            for at in several:
-                x, y = int(starts[at]), int(cuts[at])
-                if h[x] != key:
-                    if held:
-                        done.append((key, held))
-                    key, held = int(h[x]), []
-                held.append((n[x:y].copy(), fp[x:y].copy()))
-            yield from rows(done)
-        if held:
-            yield from rows([(key, held)])
-
-    return prefixes.repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(run, BUCKETS)
-
-
-def _meetings(buckets: DataFrame, least: Fraction, near: int, rest: bool) -> DataFrame:
-    """Distinct pairs of a bucket's members that can still reach ``least``: the ``near`` nearest by size, or all others of different root.
-
-    If the shingle is the first that two sets share, what follows it bounds their overlap.
+            h, salt, fp, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            change = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))
+            if key == (h[0], salt[0]):
+                change[0] = False
+            fresh = change | np.append(before != fp[0], fp[1:] != fp[:-1])  # several tasks may bring one set
+            where = np.flatnonzero(fresh)
+            h, salt, fp, size, change = h[where], salt[where], fp[where], size[where], change[where]
+            before = int(batch.column(2)[batch.num_rows - 1].as_py())
+            if not len(h):
+                continue
+            starts = np.flatnonzero(change)
+            owner = np.searchsorted(starts, np.arange(len(h)), "right") - 1  # -1: of the bucket that is open
+            pivots = fp[starts[np.maximum(owner, 0)]] if len(starts) else np.zeros(len(h), np.int64)
+            sizes = size[starts[np.maximum(owner, 0)]] if len(starts) else np.zeros(len(h), np.int64)
+            if pivot is not None:
+                pivots[owner < 0], sizes[owner < 0] = pivot
+            ends = np.append(starts[1:], len(h))
+            alone = (ends - starts == 1) & (salt[starts] == 0)
+            keep = np.ones(len(h), bool)
+            keep[starts[alone]] = False
+            head = waiting and owner[0] < 0  # the open bucket's first row has company now
+            columns = [h, fp, size, pivots, sizes]
+            rows = [np.append(x, c[keep]) for x, c in zip([key[0], *pivot, *pivot], columns)] if head else [c[keep] for c in columns]
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)) for r in rows], schema=arrow)
+            if len(starts):
+                last = starts[-1]
+                key, pivot, waiting = (h[last], salt[last]), (fp[last], size[last]), bool(alone[-1])
+            elif head:
+                waiting = False
+
+    return prefixes.repartition("h", "salt").sortWithinPartitions("h", "salt", "fp", "np").mapInArrow(run, MET)
+
+
+def _may_reach(least: Fraction, x: str, y: str):
+    """Whether sets of these sizes can be alike if they share nothing before the places given.
+
+    It holds for the first shingle that two sets share; pairs that fail it here pass it there.
     """
-    arrow = arrow_schema(PAIRS)
     num, den = least.numerator, least.denominator
+    size = lambda c: F.shiftright(F.col(c), 32)
+    left = lambda c: size(c) - F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    return (den * F.least(size(x), size(y)) >= num * F.greatest(size(x), size(y))) & ((num + den) * F.least(left(x), left(y)) >= num * (size(x) + size(y)))
+
+
+def _ordered(x: str, y: str):
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _rest(met: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs of one bucket whose components differ, except those inside the bucket's largest component (none) or equal ones."""
+    rows = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("h", "fp", "np", F.coalesce("root", "fp").alias("root"))
+    sizes = rows.groupBy("h", "root").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "most")
+    unsettled = materialise(rows.join(mixed, "h"), "unsettled")
+    other = unsettled.where("root <> most").select("h", F.col("fp").alias("fp2"), F.col("np").alias("np2"), F.col("root").alias("root2"))
+    met_again = unsettled.join(other, "h").where((F.col("root") != F.col("root2")) & _may_reach(least, "np", "np2"))
+    return met_again.select(*_ordered("fp", "fp2")).distinct()
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, text: str) -> DataFrame:
+    """(fp, packed) for the sets of ``pairs``, read from one document each.
+
+    The Bloom filter of those documents is asked in the scan, so no text is shuffled; what
+    it lets through by mistake is not asked for later.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    first = nodes.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("d")).join(wanted, "fp", "left_semi")
+    keys = materialise(first.select(F.xxhash64("d.doc_id", "d.digest").alias("key")), "wanted")
+    arrow = arrow_schema(SETS)
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            for part in slices([batch], 1024):
-                out_a, out_b, held = [], [], 0
-                members = part.column(0)
-                flat = members.flatten()
-                ns, fps = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                roots = flat.field(2).to_numpy(zero_copy_only=False) if rest else fps
-                ends = np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False)).tolist()
-                for s, e in zip([0, *ends], ends):
-                    order = np.lexsort((fps[s:e], ns[s:e]))
-                    n, fp, root = ns[s:e][order], fps[s:e][order], roots[s:e][order]
-                    left = (n >> 32) - (n & 0xFFFFFFFF)  # shingles from this one on
-                    n = n >> 32
-                    for off in range(near + 1, len(n)) if rest else range(1, min(near + 1, len(n))):
-                        keep = den * n[:-off] >= num * n[off:]
-                        if not keep.any():  # sizes rise, so larger offsets have none either
-                            break
-                        keep &= (num + den) * np.minimum(left[:-off], left[off:]) >= num * (n[:-off] + n[off:])
-                        if rest:
-                            keep &= root[:-off] != root[off:]
-                        a, b = fp[:-off][keep], fp[off:][keep]
-                        out_a.append(np.minimum(a, b))
-                        out_b.append(np.maximum(a, b))
-                        held += len(a)
-                        if held > 1 << 16:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], schema=arrow)
-                            out_a, out_b, held = [], [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], schema=arrow)
-
-    return buckets.select("members").mapInArrow(run, PAIRS).distinct()
+            for part in slices([batch], 128):
+                fps, packs = [], []
+                for value in part.column(0).to_pylist():
+                    packed = _pack(shingles(value, size))
+                    fp = xxhash.xxh64_intdigest(packed)
+                    if fp not in seen:
+                        seen.add(fp)
+                        fps.append(fp)
+                        packs.append(packed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(packs, pa.binary())], schema=arrow)
+
+    texts = keyed(docs, text).withColumn("key", F.xxhash64("doc_id", "digest"))
+    return materialise(bloom.possible(texts, "key", keys, "key").select("text").mapInArrow(run, SETS), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, name: str) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    pairs = materialise(pairs, name)
-    met = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
-    needed = materialise(sets.select("fp", "packed").join(met, "fp", "left_semi").groupBy("fp").agg(F.first("packed").alias("packed")), f"{name}-sets")
-    left = needed.select(F.col("fp").alias("a"), F.col("packed").alias("pa"))
-    right = needed.select(F.col("fp").alias("b"), F.col("packed").alias("pb"))
+    left = sets.select(F.col("fp").alias("a"), F.col("packed").alias("pa"))
+    right = sets.select(F.col("fp").alias("b"), F.col("packed").alias("pb"))
     arrow = arrow_schema(PAIRS)
 
     def run(batches):
@@ -251,18 +315,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, name: str) ->
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], schema=arrow)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
-    return materialise(joined.mapInArrow(run, PAIRS), f"{name}-links")
+    return materialise(joined.mapInArrow(run, PAIRS).distinct(), name)
 
 
-def links(sets: DataFrame, least: Fraction, components) -> DataFrame:
-    """Links (a, b) whose closure joins every two sets with a similarity of at least ``least``."""
-    prefixes = _prefixes(sets, least, common_shingles(sets))
-    buckets = materialise(_buckets(prefixes), "buckets")
-    found = _verified(_meetings(buckets, least, NEAR, False), sets, least, "near")
-    large = buckets.where(F.size("members") > NEAR + 1)
-    if large.isEmpty():
+def links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, proposed: DataFrame, size: int, least: Fraction, components, text: str = "text") -> DataFrame:
+    """Links (a, b) whose closure joins every two sets with a similarity of at least ``least``.
+
+    ``proposed`` are pairs (a, b) that another method found; they are verified first, with the pivots'.
+    """
+    met = materialise(_meet(_prefixes(keyed(docs, text), size, least, counts)), "met")
+    by_pivot = met.where((F.col("fp") != F.col("pivot")) & _may_reach(least, "np", "pivot_np")).select(*_ordered("fp", "pivot"))
+    first = materialise(by_pivot.unionAll(proposed.select("a", "b")).distinct(), "pairs")
+    found = _verified(first, _sets_of(docs, nodes, first, size, text), least, "links")
+    roots = materialise(components(found), "roots")
+    rest = materialise(_rest(met, roots, least).join(first, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
         return found
-    roots = materialise(components(found), "roots").withColumnRenamed("node", "fp")
-    rows = large.select("h", F.explode("members").alias("m")).select("h", "m.n", "m.fp").join(roots, "fp", "left")
-    again = rows.groupBy("h").agg(F.collect_list(F.struct("n", "fp", F.coalesce("root", "fp").alias("root"))).alias("members"), F.min(F.coalesce("root", "fp")).alias("low"), F.max(F.coalesce("root", "fp")).alias("high"))
-    return found.unionAll(_verified(_meetings(again.where("low <> high"), least, NEAR, True), sets, least, "far"))
+    return found.unionAll(_verified(rest, _sets_of(docs, nodes, rest, size, text), least, "more-links"))

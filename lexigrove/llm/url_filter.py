@@ -20,16 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
 from .common import ascii_lower
 
 RULE_SCHEMA = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())])
 
-#: Bits that a key sets in its 64-bit block, and blocks for each key (16 bits a key).
-BITS_SET = 4
-KEYS_A_BLOCK = 4
-#: The filter is broadcast; it never holds more blocks than this (16 bytes each).
-MAX_BLOCKS = 1 << 19
-
 
 def host_of(url: Column) -> Column:
     """Text after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty if there is none."""
@@ -51,26 +46,12 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, RULE_SCHEMA)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def _mask(key: Column) -> Column:
-    """The key's bits inside its block: six-bit slices of a second hash."""
-    second = F.xxhash64(key, F.lit("block"))
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(second, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS_SET)]
-    out = bits[0]
-    for bit in bits[1:]:
-        out = out.bitwiseOR(bit)
-    return out
-
-
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict columns.
 
     Two aggregates of the rules reach the driver: their number, and the distinct label
     counts and path lengths (short lists bounded by the longest rule).  Only the filter is
-    broadcast, and its size is fixed by MAX_BLOCKS; the exact join is left to the planner,
+    broadcast, and its size is bounded (``bloom.MAX_BLOCKS``); the exact join is left to the planner,
     which broadcasts the rules if they are small and shuffles otherwise.
     """
     keys = (
@@ -87,15 +68,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     base = pages.select(*[F.col(f"`{c}`") for c in taken]).withColumn("host", host_of(F.col(f"`{url}`"))).withColumn("path", path_of(F.col(f"`{url}`")))
     if not shape["n"]:
         return base.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    blocks = min(MAX_BLOCKS, max(1, shape["n"] // KEYS_A_BLOCK + 1))
-    bloom = keys.select(_block(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    words, blocks = bloom.build(keys, "key", shape["n"])
 
     dots = F.length("host") - F.length(F.translate("host", ".", ""))
     suffixes = F.array_compact(F.array(*[F.when(dots >= k - 1, F.substring_index("host", ".", -k)) for k in shape["labels"]]))
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in shape["lengths"]]))
     tries = base.select("host", "path").distinct().withColumn("h", F.explode(suffixes)).withColumn("key", F.explode(F.transform(prefixes, lambda p: F.concat("h", p))))
-    tries = tries.withColumn("block", _block(F.col("key"), blocks))
-    possible = tries.join(F.broadcast(bloom), "block").where(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
+    tries = tries.withColumn("block", bloom.block_of(F.col("key"), blocks))
+    possible = tries.join(F.broadcast(words), "block").where(F.col("word").bitwiseAND(bloom.mask_of(F.col("key"))) == bloom.mask_of(F.col("key")))
     exact = possible.select("host", "path", "key", "h").join(keys.select("key", "h", "rule_verdict"), ["key", "h"])
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("rule_verdict").alias("v"))).alias("best"))
     return base.join(best, ["host", "path"], "left").select(
