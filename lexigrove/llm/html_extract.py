@@ -33,29 +33,42 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 SKIP = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math head nav footer aside form button select option datalist object audio video canvas dialog menu map embed input".split())
 BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr header footer nav aside form fieldset details summary center hgroup search".split())
 CLOSES_P = BLOCK - {"html", "body"}
+CELLS = frozenset({"td", "th", "table"})
+#: End tags that reach out of a table's parts.
+LEAVES_CELL = frozenset("table tr tbody thead tfoot body html article main div section".split())
 KEEP_ROOT = frozenset({"html", "body", "article", "main"})
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar advertisement".split())
 BAD_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adslot|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|sidebar|aside|side|footer|foot|"
-    r"comments?|commentlist|disqus|discussion|replies|reply|respond|related|recommended|share|sharing|social|follow|newsletter|subscribe|signup|login|widget|skip)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adslot|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|alert|popup|modal|overlay|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toolbar|sidebar|footer|"
+    r"comments?|commentlist|disqus|discussion|replies|reply|respond|related|recommended|newsletter|subscribe|signup|login)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Words that also name parts of a layout: what they mark stays if it holds most of the page's text.
+WEAK_WORD = re.compile(r"(?:^|[\s_-])(?:notice|aside|side|foot|share|sharing|social|follow|widget|skip)(?:$|[\s_-]|\d)", re.I)
+#: Classes of an article element that make it a reader's comment.
+COMMENT = frozenset({"comment", "comments", "reply", "replies"})
 #: Words that mark a page's head, but inside an article its own heading.
 HEAD_WORD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|head|brand|logo)(?:$|[\s_-]|\d)", re.I)
-#: A container named like boilerplate stays if it holds the article, or nearly all of the text.
+#: A container named like boilerplate stays if it holds the article, or nearly all of the text; one with a weak name if it holds most.
 NEARLY_ALL = 0.8
+MOST = 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "score", "hidden", "suspect", "chars", "link_chars", "commas", "holds_main")
+    __slots__ = ("tag", "parent", "children", "score", "hidden", "suspect", "chars", "link_chars", "commas", "holds_main", "depth", "block", "cell")
 
     def __init__(self, tag: str, parent: "_Node | None", hidden: bool):
         self.tag, self.parent, self.hidden = tag, parent, hidden
         self.children: list = []
         self.score = 0.0
         self.chars = self.link_chars = self.commas = 0
-        self.suspect = self.holds_main = False
+        self.suspect = 0.0
+        self.holds_main = False
+        self.depth = parent.depth + 1 if parent is not None else 0
+        #: Nearest block element and nearest part of a table, the element itself included.
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.cell = self if tag in CELLS else parent.cell if parent is not None else None
 
 
 def _found(attrs: str) -> dict[str, str]:
@@ -75,23 +88,27 @@ def _is_boilerplate(tag: str, attrs: str, found: dict[str, str], inside_main: bo
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", attrs) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
 
 
-def _is_suspect(tag: str, found: dict[str, str], inside_main: bool) -> bool:
-    """Elements named like boilerplate."""
-    if not found or tag in KEEP_ROOT:
-        return False
+def _suspicion(tag: str, found: dict[str, str], inside_main: bool) -> float:
+    """Share of the page's text from which an element stays although it is named like boilerplate; 0 if it is not."""
+    if not found or tag in KEEP_ROOT and tag != "article":
+        return 0.0
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(BAD_WORD.search(names)) or (not inside_main and bool(HEAD_WORD.search(names)))
+    if tag == "article":
+        return NEARLY_ALL if not COMMENT.isdisjoint(names.lower().split()) else 0.0
+    if BAD_WORD.search(names):
+        return NEARLY_ALL
+    return MOST if WEAK_WORD.search(names) or (not inside_main and HEAD_WORD.search(names)) else 0.0
 
 
 def _drop_suspects(root: _Node) -> bool:
-    """Takes suspects out of the tree unless they hold the article or nearly all text; tells whether any went."""
+    """Takes suspects out of the tree unless they hold the article or enough of the text; tells whether any went."""
     went, stack, whole = False, [root], root.chars
     while stack:
         node = stack.pop()
         kept = []
         for child in node.children:
             if isinstance(child, _Node):
-                if child.suspect and not child.holds_main and child.chars < NEARLY_ALL * whole:
+                if child.suspect and (not child.holds_main or child.tag == "article") and child.chars < child.suspect * whole:
                     went = True
                     if child.tag in BLOCK:
                         kept.append(_Node("hr", node, False))
@@ -102,10 +119,29 @@ def _drop_suspects(root: _Node) -> bool:
     return went
 
 
+#: What ends with the start of each element, if it is the nearest open block.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+
+
+def _closes_itself(tag: str, attrs: str) -> bool:
+    """A slash at the end counts unless it belongs to a value without quotes."""
+    return tag in VOID or (attrs.endswith("/") and not re.search(r"=\s*+[^\s\"'>][^\s>]*$", attrs[-300:]))
+
+
 def _parse(source: str) -> _Node:
     """Element tree; children are nodes or decoded strings."""
     root = node = _Node("#root", None, False)
     at, end, main_depth = 0, len(source), 0
+    opened: dict[str, list[_Node]] = {}
+
+    def leave(to: _Node) -> None:
+        """Closes everything that is open below ``to``."""
+        nonlocal node, main_depth
+        while node is not to:
+            opened[node.tag].pop()
+            main_depth -= node.tag in ("article", "main")
+            node = node.parent
+
     while at < end:
         match = _TAG.search(source, at)
         if match is None:
@@ -124,52 +160,38 @@ def _parse(source: str) -> _Node:
             continue
         tag = match[3].lower()
         if match[2]:  # an end tag closes the nearest open element of its name, if there is one
-            up = node
-            while up is not None and up.tag != tag:
-                if up.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot") and tag not in ("body", "html", "article", "main", "div", "section"):
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                while node is not up:
-                    main_depth -= node.tag in ("article", "main")
-                    node = node.parent
-                main_depth -= node.tag in ("article", "main")
-                node = up.parent
+            same = opened.get(tag)
+            if same and (tag in LEAVES_CELL or tag in CELLS or node.cell is None or node.cell.depth <= same[-1].depth):
+                leave(same[-1].parent)
             elif tag == "p" and not node.hidden:
                 node.children.append(_Node("p", node, False))
             continue
         if tag in CLOSES_P:  # an open paragraph, with its unclosed inline elements, ends where a block begins
-            up = node
-            while up.parent is not None and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
-            elif tag == up.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                node = up.parent
-            elif tag in ("dt", "dd") and up.tag in ("dt", "dd"):
-                node = up.parent
-            elif tag in ("td", "th") and up.tag in ("td", "th"):
-                node = up.parent
+            up = node.block
+            if up.tag == "p" or up.tag in _ENDS.get(tag, ()):
+                leave(up.parent)
             elif tag == "tr" and up.tag in ("td", "th"):
-                node = up.parent.parent or up.parent if up.parent is not None and up.parent.tag == "tr" else up.parent
+                leave(up.parent.parent if up.parent.tag == "tr" else up.parent)
         if tag == "br":
             if not node.hidden:
                 node.children.append(" ")
             continue
         found = _found(match[4]) if not node.hidden else {}
         hidden = node.hidden or _is_boilerplate(tag, match[4], found, main_depth > 0)
-        if tag in RAW and not match[4].endswith("/"):
+        if tag in RAW:
+            if _closes_itself(tag, match[4]) and tag not in ("script", "style"):
+                continue
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = close.end() if close else end
             continue
         child = _Node(tag, node, hidden)
         if not hidden:
-            child.suspect = _is_suspect(tag, found, main_depth > 0)
+            child.suspect = _suspicion(tag, found, main_depth > 0)
             node.children.append(child)
-        if tag in VOID or match[4].endswith("/"):
+        if _closes_itself(tag, match[4]):
             continue
         main_depth += tag in ("article", "main")
+        opened.setdefault(tag, []).append(child)
         node = child
     return root
 
@@ -274,6 +296,41 @@ def _whole(best: _Node) -> _Node:
     return found.get("article") or found.get("main") or best
 
 
+def _peaks(root: _Node) -> dict[int, float]:
+    """The best score in each element's subtree."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, _Node))
+    found: dict[int, float] = {}
+    for node in reversed(order):
+        found[id(node)] = max([node.score, *(found[id(c)] for c in node.children if isinstance(c, _Node))])
+    return found
+
+
+def _neighbours(best: _Node, root: _Node) -> list[_Node]:
+    """``best`` and what belongs to it beside it and beside its ancestors, in page order."""
+    peaks, floor = _peaks(root), best.score * 0.2
+    keep, node = [best], best
+    while node.parent is not None and node.tag not in ("body", "html"):
+        before, after, seen = [], [], False
+        for sibling in node.parent.children:
+            if sibling is node:
+                seen = True
+                continue
+            if not isinstance(sibling, _Node) or not sibling.chars:
+                continue
+            density = _density(sibling)
+            prose = sibling.tag == "p" and sibling.chars > 80 and density < 0.25
+            heading = sibling.tag in ("h1", "h2") and density < 0.3
+            if (peaks[id(sibling)] >= floor and density < 0.5) or prose or heading:
+                (after if seen else before).append(sibling)
+        keep = [*before, *keep, *after]
+        node = node.parent
+    return keep
+
+
 def extract_text(source: str | None) -> str:
     """Main text of one page; blocks joined by an empty line."""
     if not source:
@@ -283,23 +340,11 @@ def extract_text(source: str | None) -> str:
     if _drop_suspects(root):
         _measure(root)
     scored = _score(root)
+    parts: list[str] = []
     if not scored:
-        parts: list[str] = []
         _blocks(root, parts)
         return "\n\n".join(parts)
-    best = _whole(max(scored.values(), key=lambda n: n.score))
-    keep = [best]
-    if best.parent is not None and best.tag not in ("body", "html"):
-        floor = best.score * 0.2
-        keep = []
-        for sibling in best.parent.children:
-            if not isinstance(sibling, _Node):
-                continue
-            prose = sibling.tag == "p" and sibling.chars > 80 and _density(sibling) < 0.25
-            if sibling is best or (sibling.score >= floor and _density(sibling) < 0.5) or prose or (sibling.tag in ("h1", "h2") and sibling.chars and _density(sibling) < 0.3):
-                keep.append(sibling)
-    parts = []
-    for node in keep:
+    for node in _neighbours(_whole(max(scored.values(), key=lambda n: n.score)), root):
         _blocks(node, parts)
     return "\n\n".join(parts)
 
