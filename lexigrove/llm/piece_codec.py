@@ -18,8 +18,10 @@ so all states meet there and words between are encoded once and remembered; a ch
 without such a place is worked through for every incoming state.
 
 Defined results for odd input: null text is empty and has no ids; characters without a
-piece become byte pieces, or the unknown id if the model has none; repeated rows and
-clashing names are kept apart by a row key of position and text hash.
+piece become byte pieces, or the unknown id if the model has none; repeated rows each get
+their ids; a long text is known by its SHA-256, so equal ones are encoded once; a column
+named like a result column (``token_ids``, the decoded text's) is replaced by the result,
+all others stay under their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, slices, table
+from .common import arrow_schema, field_name, slices, table
 
 BLANK = "▁"
 CHUNK = 1 << 16
@@ -384,7 +386,7 @@ def model(path: str, unigram: bool | None = None) -> PieceModel:
 
 
 CHUNKS = T.StructType(
-    [T.StructField("row_key", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("cut", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]
+    [T.StructField("row_key", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("cut", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]
 )
 
 
@@ -402,7 +404,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
     longer ones are dealt out in chunks: one task set makes the matrices, a scan over each
     document's small matrices gives the boundary states, and the chunks are traced back.
     """
-    plain = [c for c in docs.columns if c.lower() not in ("token_ids", "_row_key", (decoded or "").lower())]
+    plain = [c for c in docs.columns if c == text or c.lower() not in ("token_ids", (decoded or "").lower())]
     base = docs.select(*[F.col(f"`{c}`") for c in plain])
     schema = T.StructType([*base.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     arrow = arrow_schema(schema)
@@ -417,10 +419,10 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), pa.array(ids, arrow.field("token_ids").type), *texts], schema=arrow)
 
     short = base.where(~is_long).mapInArrow(whole, schema)
-    # equal long texts have equal ids: they are encoded once and joined back by text hash and length
-    key = F.xxhash64(value, F.length(value))
-    long_rows = base.where(is_long).withColumn("_row_key", key)
-    unique = long_rows.select("_row_key", value.alias("_text")).dropDuplicates(["_row_key"])
+    # equal long texts have equal ids: they are encoded once and joined back by their digest
+    own_key = field_name(base, "row_key")
+    long_rows = base.where(is_long).withColumn(own_key, F.sha2(value, 256))
+    unique = long_rows.select(F.col(own_key).alias("row_key"), value.alias("text")).dropDuplicates(["row_key"])
 
     def chunks(batches):
         codec = model(model_path, unigram)
@@ -431,7 +433,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     pieces = unique.mapInArrow(chunks, CHUNKS).repartition("row_key", "chunk")
-    states = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("matrix", T.StringType())])
+    states = T.StructType([T.StructField("row_key", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("matrix", T.StringType())])
 
     def matrices(batches):
         codec = model(model_path, unigram)
@@ -440,7 +442,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
             made = [repr(codec.transfer(t, c, e)) for t, c, e in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist(), batch.column("end").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("chunk"), pa.array(made, pa.string())], schema=out)
 
-    path = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("state", T.StringType())])
+    path = T.StructType([T.StructField("row_key", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("state", T.StringType())])
 
     def scan(group: pa.Table) -> pa.Table:
         import ast
@@ -450,7 +452,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
         return pa.table({"row_key": group.column("row_key"), "chunk": group.column("chunk"), "state": [repr(s) for s in found]}, arrow_schema(path))
 
     found = pieces.mapInArrow(matrices, states).groupBy("row_key").applyInArrow(scan, path)
-    traced = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    traced = T.StructType([T.StructField("row_key", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def trace(batches):
         import ast
@@ -465,7 +467,8 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
 
     parts = pieces.join(found, ["row_key", "chunk"]).mapInArrow(trace, traced)
     whole_ids = parts.groupBy("row_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("token_ids"))
-    giant = long_rows.join(whole_ids, F.col("_row_key") == F.col("row_key")).select(*[F.col(f"`{c}`") for c in plain], "token_ids")
+    other_key = field_name(long_rows, "whole_key")
+    giant = long_rows.join(whole_ids.withColumnRenamed("row_key", other_key), F.col(own_key) == F.col(other_key)).select(*[F.col(f"`{c}`") for c in plain], "token_ids")
     return short.unionByName(decode_documents(giant, model_path, to=decoded) if decoded else giant)
 
 
