@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,9 +19,11 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else a fresh one (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; unset, a fresh one, which only a local session (tests) may have."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lexigrove-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -29,11 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later jobs start from files that outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return write_table(df, table_path(df.sparkSession, name))
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def empty_table(like: DataFrame, path: str) -> None:
+    """Frees what a table holds once nothing reads it any more: its rows are overwritten by none."""
+    like.sparkSession.createDataFrame([], like.schema).write.mode("overwrite").parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; files that give fewer splits than there are cores are dealt out once."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
@@ -91,22 +107,13 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
 
 
-def range_slots(df: DataFrame, key: str, slots: int):
-    """(slot column, number of slots): ranges of ascending long ``key`` with about as many rows each, null first.
+def sorted_by_id(texts: DataFrame, range_bytes: int) -> DataFrame:
+    """(doc_id, text) sorted within and across tasks by doc_id (null first) and a hash of the text.
 
-    Only the key column is read; the driver gets one cut for each range.
+    A range exchange of about ``range_bytes`` of text a task; its bounds come from Spark's own sample of keys.  The
+    input position ends the key, so that rows that repeat an id and a text any number of times are dealt out too.
     """
-    found = df.select(F.percentile_approx(key, [i / slots for i in range(1, slots)], 10 * slots).alias("c")).first()["c"] if slots > 1 else None
-    cuts = sorted(set(found or []))
-    if len(cuts) > 512:  # a count over the literal list instead of nested comparisons
-        place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(key)))
-    else:
-
-        def tree(low: int, high: int):
-            if low == high:
-                return F.lit(low)
-            mid = (low + high) // 2
-            return F.when(F.col(key) < cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
-
-        place = tree(0, len(cuts))
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(place).cast("int"), len(cuts) + 1
+    tasks = max(1, -(-total_bytes(texts, "text") // range_bytes))
+    keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("at"))
+    key = [F.col("doc_id").asc_nulls_first(), "tie", "at"]
+    return keyed.repartitionByRange(tasks, *key).sortWithinPartitions(*key).select("doc_id", "text")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom, shingle_overlap
-from .common import arrow_schema, field_name, map_rows, materialise, slices, table
+from .common import arrow_schema, empty_table, field_name, map_rows, materialise, slices, table, table_path, write_table
 
 SHINGLE = 3
 SEED = 42
@@ -248,10 +248,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; root is the smallest node reachable.
 
     Alternating star contraction: each round hangs neighbours on the smallest one seen
-    from either side; every round is a written table.  Rounds grow with the logarithm
-    of the longest chain.  Only one number a round reaches the driver.
+    from either side; every round is a written table, emptied once the next one stands.
+    Rounds grow with the logarithm of the longest chain.  Only one number a round reaches the driver.
     """
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    spark, path = links.sparkSession, table_path(links.sparkSession, "star")
+    edges = write_table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
     before = None
     while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -263,12 +264,13 @@ def components(links: DataFrame) -> DataFrame:
         # small star: neighbours that are not larger, and the node, hang on the smallest
         least = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = materialise(small, "star")
+        new_path = table_path(spark, "star")
+        new = write_table(small, new_path)
+        empty_table(edges, path)
         now = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-        edges = new
+        before, edges, path = now, new, new_path
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,9 +6,14 @@ a signature; a second signature uses twice the block size.  Two fingerprints are
 compared at the block size they share, by the edit distance of their signatures
 (insertion and deletion cost 1, replacement 2), computed bit-parallel.
 
+The block size is the least with at most 64 letters, so a fingerprint is short however
+long the text, and comparing two takes constant time.
+
 Defined results for odd input: null text counts as empty, whose fingerprint is
-``3::``; equal fingerprints have likeness 1; documents with equal or null ids are
-ordered by id (null first), then text; a single document is its own next one.
+``3::``; equal fingerprints have likeness 1; documents are ordered by id (null first),
+equal ids by a hash of the text, repeated rows in any order; a single document is its own
+next one; very long texts are read whole; only doc_id and text are read, so other columns
+may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +23,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, range_slots, slices, table, total_bytes
+from .common import arrow_schema, materialise, slices, sorted_by_id, table
 
 ROLLING = 7
 LETTERS = 64
@@ -50,30 +55,34 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return total + weighted + mixed
 
 
-def _signature(raw: bytes, rolled: np.ndarray, block: int) -> str:
-    cuts = (np.flatnonzero(rolled % np.uint32(block) == block - 1) + 1).tolist()
-    if not cuts or cuts[-1] < len(raw):
-        cuts.append(len(raw))
+def _signature(raw: bytes, cuts: np.ndarray) -> str:
+    """One letter for each piece of the text; ``cuts`` are the pieces' ends, the text's end left out."""
     out, start = [], 0
-    for end in cuts:
-        out.append(_ALPHABET[zlib.crc32(raw[start:end]) & 63])
-        start = end
+    for end in [*cuts.tolist(), len(raw)]:
+        if end > start:
+            out.append(_ALPHABET[zlib.crc32(raw[start:end]) & 63])
+            start = end
     return "".join(out)
 
 
 def fingerprint(raw: bytes) -> str:
-    """``block:signature:signature at twice the block``."""
+    """``block:signature:signature at twice the block``; the block is the least, of SMALLEST times powers of two, with at most LETTERS letters.
+
+    Cuts of a block size are among those of half of it: one pass finds how far each place stays a cut.  In a run of
+    one character the hash stands still, and only its first place may be a cut.
+    """
     if not raw:
         return f"{SMALLEST}::"
-    rolled = _rolling(np.frombuffer(raw, np.uint8))
-    block = SMALLEST
-    while block * LETTERS < len(raw):
-        block *= 2
-    while True:
-        first = _signature(raw, rolled, block)
-        if block == SMALLEST or len(first) >= LETTERS // 2:
-            return f"{block}:{first}:{_signature(raw, rolled, 2 * block)}"
-        block //= 2
+    rolled = _rolling(np.frombuffer(raw, np.uint8)).astype(np.uint64) + np.uint64(1)
+    at = np.flatnonzero((rolled % np.uint64(SMALLEST) == 0) & np.append(True, rolled[1:] != rolled[:-1]))
+    at = at[at + 1 < len(raw)]
+    rest = rolled[at] // np.uint64(SMALLEST)
+    level = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))  # factors of two
+    power = 0
+    while np.count_nonzero(level >= power) >= LETTERS:
+        power += 1
+    first, second = (_signature(raw, at[level >= p] + 1) for p in (power, power + 1))
+    return f"{SMALLEST << power}:{first}:{second}"
 
 
 def common_letters(a: str, b: str) -> int:
@@ -126,49 +135,61 @@ SCHEMA = T.StructType(
 )
 
 
-def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Rows dealt into ranges of ascending doc_id, each range sorted and closed by the first row(s) of the range after it.
+#: Results, and the first and last text of each task (``edge`` is 0 or 1), whose neighbours are elsewhere.
+_STREAMED = T.StructType([*SCHEMA, T.StructField("part", T.IntegerType()), T.StructField("edge", T.IntegerType()), T.StructField("text", T.StringType())])
+
 
-    Columns: slot (range number), copy (row belongs to the next range), doc_id, text.
-    Texts move once.  The driver sees one id for each range.
+def fingerprint_edits(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Fingerprint of every text, of its edited text, and their likeness to each other and to the next document.
+
+    Rows are sorted by id across tasks (a range exchange; texts move once) and each streams past the next one.  A
+    task's last row meets the first one of the task after it in a small join of two rows a task; the order of tasks is
+    a running value over one row a task.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = max(1, -(-total_bytes(docs, "text") // range_bytes))
-    ids = docs.select("doc_id")
-    slot, count = range_slots(ids, "doc_id", parts)
-    firsts = sorted(ids.select(slot.alias("slot"), "doc_id").groupBy("slot").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("first")).collect())
-    slots = [r["slot"] for r in firsts]
-    before = {r["first"]: slots[i - 1] for i, r in enumerate(firsts)}  # the last range is closed by the very first row
-    if not firsts:
-        return docs.select(F.lit(0).alias("slot"), F.lit(0).alias("copy"), "doc_id", "text")
-    lead = spark.createDataFrame([(k, s) for k, s in before.items()], "first long, lead int")
-    copy = F.when(F.col("lead").isNotNull(), F.struct(F.col("lead").alias("slot"), F.lit(1).alias("copy")))
-    placed = docs.join(F.broadcast(lead), F.col("doc_id").eqNullSafe(F.col("first")), "left").select(
-        F.inline(F.array_compact(F.array(F.struct(slot.alias("slot"), F.lit(0).alias("copy")), copy))), "doc_id", "text"
-    )
-    return placed.repartitionById(count, F.col("slot")).sortWithinPartitions("slot", "copy", "doc_id", "text")
-
-
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprint of every text, of its edited text, and their likeness to each other and to the next document."""
-    schema = arrow_schema(SCHEMA)
+    schema = arrow_schema(_STREAMED)
+    done = len(SCHEMA)
+
+    def edge(kind: int, part: int, doc_id, text: str) -> pa.RecordBatch:
+        row = {f.name: [None] for f in schema} | {"doc_id": [doc_id], "part": [part], "edge": [kind], "text": [text]}
+        return pa.RecordBatch.from_pydict(row, schema)
 
     def run(batches):
-        held, at = None, None  # the row that waits for the one after it
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), None
         for batch in slices(batches):
             rows = []
-            for slot, copy, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("slot", "copy", "doc_id", "text"))):
-                raw = text.encode("utf-8", "surrogatepass")
-                mine = fingerprint(raw)
-                if held is not None and at == slot:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = fingerprint(text.encode("utf-8", "surrogatepass"))
+                if held is None:
+                    yield edge(0, part, doc_id, text)
+                else:
                     rows.append(_row(held, (text, mine)))
-                    held = None
-                held, at = (None, None) if copy else ((doc_id, text, mine), slot)
+                held = doc_id, text, mine
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*rows), schema)), *(pa.nulls(len(rows), f.type) for f in list(schema)[done:])], schema=schema)
+        if held is not None:
+            yield edge(1, part, held[0], held[1])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = materialise(sorted_by_id(texts, range_bytes).mapInArrow(run, _STREAMED), "fingerprints")
+    columns = [f.name for f in SCHEMA]
+    first = found.where("edge = 0").select("part", F.col("text").alias("following"))
+    tasks = Window.orderBy("part")
+    whole = tasks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = first.select("part", F.coalesce(F.lead("part").over(tasks), F.min("part").over(whole)).alias("after"))  # the last is followed by the very first
+    last = found.where("edge = 1").select("part", "doc_id", "text").join(order, "part").join(first.withColumnRenamed("part", "after"), "after")
+    arrow = arrow_schema(SCHEMA)
+
+    def close(batches):
+        for batch in slices(batches, 16):
+            rows = []
+            for doc_id, text, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following"))):
+                mine, other = (fingerprint(t.encode("utf-8", "surrogatepass")) for t in (text, following))
+                rows.append(_row((doc_id, text, mine), (following, other)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return with_next(docs).mapInArrow(run, SCHEMA)
+    return found.where("edge is null").select(*columns).unionAll(last.select("doc_id", "text", "following").mapInArrow(close, SCHEMA))
 
 
 def _row(own: tuple, following: tuple) -> tuple:

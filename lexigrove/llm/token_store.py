@@ -9,11 +9,12 @@ lookup.  That takes about 2 + log2(ids/documents) bits a document instead of 64.
 
 A segment is one byte string (see ``write_segment``); Spark stores segments as rows of a
 Parquet table, so any file system that Spark writes to will do.  Segment bases (ids of all
-segments before) are a running sum over one row per segment.
+segments before) are a running sum over the segments of a task, and over one row a task.
 
 Defined results for odd input: null text has only the end id; documents with equal
-ids are kept in the order of their texts; null ids come first; an empty table gives an
-empty result.
+ids are kept in the order of a hash of their texts, repeated rows in any order; null ids
+come first; a very long text is one document of one segment; only doc_id and text are
+read, so other columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, materialise, range_slots, slices, table, total_bytes
+from .common import arrow_schema, materialise, slices, sorted_by_id, table
 
 MAGIC = b"LXG1"
 SAMPLE = 256
@@ -119,8 +120,9 @@ def read_segment(data: bytes) -> tuple[np.ndarray, EliasFano]:
 class ChunkEncoder:
     """``tokenizer.encode`` for whole texts, chunk by chunk.
 
-    The tokenizer's rules never join characters across a blank and read letters without
-    case, so the ids of a text are those of its chunks between blanks; chunks are
+    This holds for tokenizers whose rules never join characters across a blank and read
+    letters without case, and whose words end with a closing piece: ``encoder_of`` checks the
+    file for these and takes the tokenizer as it is for any other.  Then the ids of a text are those of its chunks between blanks; chunks are
     remembered in two generations.  A chunk of letters and closing ASCII punctuation is
     taken apart once more, which those rules do too.  New words of plain letters go to
     the tokenizer as one text; each ends with the piece that closes a word.
@@ -211,10 +213,31 @@ class ChunkEncoder:
         return self.encode_many([text])[0]
 
 
+class PlainEncoder:
+    """The tokenizer as it is, for files that ``ChunkEncoder`` does not suit."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind = np.uint32 if self.wide else np.uint16
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: Texts that tell whether chunks between blanks, and words of them, may be encoded apart.
+_PROBES = ("Ab cd.  EF\tgh!\n\nÉtée, déjà-vu 12,5 % of\u00a0it; naïve words' end", "x  y", " lead and trail ", "a.b,c d!?", "don't we'll")
+
+
 @functools.lru_cache(maxsize=1)
-def encoder_of(path: str) -> ChunkEncoder:
+def encoder_of(path: str):
     """One encoder for all tasks of a Python worker: what it remembers serves the next task."""
-    return ChunkEncoder(path)
+    chunks, plain = ChunkEncoder(path), PlainEncoder(path)
+    suits = chunks.closes.any() and all((a == b).all() if len(a) == len(b) else False for a, b in zip(chunks.encode_many(list(_PROBES)), plain.encode_many(list(_PROBES))))
+    return ChunkEncoder(path) if suits else plain
 
 
 SEGMENTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
@@ -222,13 +245,14 @@ SEGMENTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("
 
 def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Segment rows in ascending (part, seq); each holds whole documents in ascending doc_id.  Texts move once."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = max(1, -(-total_bytes(docs, "text") // range_bytes))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = arrow_schema(SEGMENTS)
 
     def run(batches):
         gc.disable()  # nothing here makes cycles, and the memory of chunks is long to walk over
-        encoder, part, seq = encoder_of(tokenizer_path), None, 0
+        from pyspark import TaskContext
+
+        encoder, part, seq = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], encoder.kind)
         doc_ids, held, size = [], [], 0
 
@@ -240,11 +264,7 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
             return pa.RecordBatch.from_pydict(row, schema)
 
         for batch in slices(batches, 64):
-            for doc_id, slot, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder.encode_many(batch.column(1).to_pylist())):
-                if slot != part:
-                    if held:
-                        yield flush()
-                    part, seq = slot, 0
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist())):
                 ids = np.concatenate([ids, tail])
                 doc_ids.append(doc_id)
                 held.append(ids)
@@ -254,30 +274,43 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID,
         if held:
             yield flush()
 
-    slot, count = range_slots(docs.select("doc_id"), "doc_id", parts)
-    dealt = docs.withColumn("slot", slot).repartitionById(count, F.col("slot")).sortWithinPartitions("slot", "doc_id", "text")
-    return dealt.mapInArrow(run, SEGMENTS)
+    return sorted_by_id(texts, range_bytes).mapInArrow(run, SEGMENTS)
 
 
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
+def with_bases(segments: DataFrame) -> DataFrame:
+    """Segments with ``base``, the number of ids in all segments before: a running sum inside each part, and one over the parts.
+
+    The sum over parts is one row for each task that wrote segments, about as much as Spark keeps of each task.
+    """
+    sizes = segments.select("part", "seq", "n_ids")
+    zero = F.lit(0).cast("long")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), zero).alias("part_base"))
+    inside = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("seq"))), zero).alias("inner"))
+    return segments.join(inside.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("inner")).alias("base")), ["part", "seq"])
+
+
 def read_back(segments: DataFrame) -> DataFrame:
-    """One row per document from written segments: id, start, number of ids, and the checksum of all its ids."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = segments.select("part", "seq", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long"))).drop("n_ids")
+    """One row per document from written segments: id, start, number of ids, and the checksum of all its ids.
+
+    Where a document lies is asked of the select structure, document by document.
+    """
     schema = arrow_schema(ROWS)
 
     def run(batches):
-        for batch in batches:
-            for base, doc_ids, data in zip(*(batch.column(c).to_pylist() for c in ("base", "doc_ids", "data"))):
-                ids, ef = read_segment(data)
-                ends = ef.all()
-                starts = np.concatenate(([0], ends[:-1]))
-                sums = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "start": starts + base, "n_tokens": ends - starts, "ids_crc32": sums}, schema)
-
-    return segments.join(F.broadcast(base), ["part", "seq"]).select("base", "doc_ids", "data").mapInArrow(run, ROWS)
+        for batch in slices(batches, 1):
+            base, doc_ids, data = (batch.column(c)[0].as_py() for c in ("base", "doc_ids", "data"))
+            ids, boundaries = read_segment(data)
+            ends = np.fromiter(map(boundaries.select, range(boundaries.count)), np.int64, boundaries.count)
+            starts = np.concatenate(([0], ends[:-1]))
+            wide = ids.astype("<u4")
+            sums = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "start": starts + base, "n_tokens": ends - starts, "ids_crc32": sums}, schema)
+
+    return with_bases(segments).select("base", "doc_ids", "data").mapInArrow(run, ROWS)
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

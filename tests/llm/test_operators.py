@@ -155,28 +155,35 @@ def test_fingerprints(spark, odd, none):
 def test_next_document_across_ranges(spark):
     rng = random.Random(2)
     rows = [(i * 3, words(rng, rng.randint(0, 60))) for i in range(80)]
-    got = {r["doc_id"]: r["near_next"] for r in piecewise_hash.with_next(spark.createDataFrame(rows, "doc_id long, text string"), 1000).mapInArrow(piecewise_hash_run(), piecewise_hash.SCHEMA).collect()}
+    got = {r["doc_id"]: r["near_next"] for r in piecewise_hash.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), 1000).collect()}
     prints = [piecewise_hash.fingerprint(t.encode()) for _, t in rows]
     assert got == {rows[i][0]: piecewise_hash.likeness(prints[i], prints[(i + 1) % 80]) for i in range(80)}
 
 
-def piecewise_hash_run():
-    import pyarrow as pa
-
-    from lexigrove.llm.common import arrow_schema
-
-    schema = arrow_schema(piecewise_hash.SCHEMA)
-
-    def run(batches):
-        held = at = None
-        for batch in batches:
-            for slot, copy, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("slot", "copy", "doc_id", "text"))):
-                mine = piecewise_hash.fingerprint(text.encode())
-                if held is not None and at == slot:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(piecewise_hash._row(held, (text, mine)), schema)], schema=schema)
-                held, at = (None, None) if copy else ((doc_id, text, mine), slot)
-
-    return run
+def plain_signature(raw, block):
+    """The signature by its definition: the rolling hash of the last seven bytes at each place, computed anew."""
+    out, start, before = [], 0, None
+    for i in range(len(raw)):
+        window = bytes(7) + raw[: i + 1]
+        window = window[-7:]
+        total, weighted, mixed = sum(window), 0, 0
+        for back, byte in enumerate(reversed(window)):
+            weighted += byte * (7 - back)
+            mixed ^= byte << 5 * back & 0xFFFFFFFF
+        value = (total + weighted + (mixed & 0xFFFFFFFF)) & 0xFFFFFFFF
+        if (value + 1) % block == 0 and value != before and i + 1 < len(raw):
+            out.append(piecewise_hash._ALPHABET[zlib.crc32(raw[start : i + 1]) & 63])
+            start = i + 1
+        before = value
+    return "".join(out) + piecewise_hash._ALPHABET[zlib.crc32(raw[start:]) & 63]
+
+
+@pytest.mark.parametrize("raw", [b"a", b"(" * 4000, b"()" * 3000, words(random.Random(7), 900).encode(), "Ünïcode … text 🎉 ".encode() * 40, bytes(range(256)) * 9])
+def test_signature_by_definition_and_bounded(raw):
+    block, first, second = piecewise_hash.fingerprint(raw).split(":")
+    block = int(block)
+    assert (first, second) == (plain_signature(raw, block), plain_signature(raw, 2 * block))
+    assert len(first) <= 64 and (block == 3 or len(plain_signature(raw, block // 2)) > 64)
 
 
 def test_likeness_of_an_edit_and_of_strangers():
