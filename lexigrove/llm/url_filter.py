@@ -11,7 +11,8 @@ Defined results for odd input
 - null URL, or one without ``://``: empty host and path, no rule, default verdict;
 - repeated rows: each gets its own output row;
 - equal rules listed twice with both verdicts: block wins;
-- other columns of the input are kept under their own names unless the result's names clash.
+- other columns of the input are kept under their own names; those named like a result column are replaced by it;
+- URLs of any length are judged whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import ascii_lower
+from .common import ascii_lower, field_name
 
 RULE_SCHEMA = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())])
 
@@ -51,8 +52,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     Two aggregates of the rules reach the driver: their number, and the distinct label
     counts and path lengths (short lists bounded by the longest rule).  Only the filter is
-    broadcast, and its size is bounded (``bloom.MAX_BLOCKS``); the exact join is left to the planner,
-    which broadcasts the rules if they are small and shuffles otherwise.
+    broadcast, and its size is bounded (``bloom.MAX_BLOCKS``, full at two million rules;
+    beyond that it passes more and the result stays the same).  Each distinct host and path
+    is looked up once; the exact joins are left to the planner, which broadcasts small sides
+    and splits skewed ones.
     """
     keys = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
@@ -64,12 +67,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         F.sort_array(F.collect_set(F.size(F.split("h", r"\.")))).alias("labels"),
         F.sort_array(F.collect_set(F.length("p"))).alias("lengths"),
     ).first()
-    taken = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    base = pages.select(*[F.col(f"`{c}`") for c in taken]).withColumn("host", host_of(F.col(f"`{url}`"))).withColumn("path", path_of(F.col(f"`{url}`")))
+    taken = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    address = F.col(f"`{url}`").cast("string")
+    base = pages.select(*taken, host_of(address).alias("host"), path_of(address).alias("path"))
     if not shape["n"]:
         return base.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     words, blocks = bloom.build(keys, "key", shape["n"])
-
     dots = F.length("host") - F.length(F.translate("host", ".", ""))
     suffixes = F.array_compact(F.array(*[F.when(dots >= k - 1, F.substring_index("host", ".", -k)) for k in shape["labels"]]))
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in shape["lengths"]]))
@@ -77,9 +80,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     tries = tries.withColumn("block", bloom.block_of(F.col("key"), blocks))
     possible = tries.join(F.broadcast(words), "block").where(F.col("word").bitwiseAND(bloom.mask_of(F.col("key"))) == bloom.mask_of(F.col("key")))
     exact = possible.select("host", "path", "key", "h").join(keys.select("key", "h", "rule_verdict"), ["key", "h"])
-    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("rule_verdict").alias("v"))).alias("best"))
-    return base.join(best, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in taken], "host", "path", F.col("best.key").alias("rule"), F.coalesce(F.col("best.v"), F.lit(default)).alias("verdict")
+    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("rule_verdict").alias("v"))).alias("rule_found"))
+    found = field_name(base, "rule_found")
+    return base.join(best.withColumnRenamed("rule_found", found), ["host", "path"], "left").select(
+        *taken, "host", "path", F.col(f"{found}.key").alias("rule"), F.coalesce(F.col(f"{found}.v"), F.lit(default)).alias("verdict")
     )
 
 
