@@ -2,30 +2,35 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts earlier in the
 corpus (smaller doc_id, or earlier in the same document).  The longest previous factor
-of a position is the longest match that starts earlier; in suffix order it is found at
-the nearest neighbours with a smaller position, before and after.  A position's string
-is a later copy if that factor reaches ``length``.
+(LPF) of a position is the longest match that starts earlier.  In suffix order it is found
+at the nearest neighbours with a smaller position, before and after; a position's string
+is a later copy if its LPF reaches ``length``.
 
 The corpus is too large for one suffix array, so positions are dealt out first by a rule
 that sends equal strings to the same place: every ``length``-byte window has an anchor,
 the ``GRAM``-byte string in it with the least hash.  Neighbouring windows share their
 anchor, so a window run is shipped once, with the text it spans.
 
-1. Blocks of documents list their anchors' hashes; the ones that occur twice anywhere
-   come back to the blocks.  Hashes travel packed, 8 bytes each.
-2. Blocks ship the runs at recurring anchors to the anchor's bucket.  Of equal runs in a
-   block only the first is shipped, the others are later copies at once, so an anchor
-   that many documents share arrives once a block and spelling.
-3. Buckets sort the suffixes of each anchor's runs as far as ``length`` bytes, build the
-   longest-previous-factor test, and send removed ranges home.
-4. Blocks cut the ranges out.
+1. Blocks of documents list their anchors' hashes and how often they occur; those that
+   occur twice anywhere come back to the blocks.  Hashes travel packed.
+2. Anchors with over HOT occurrences (a common line among ever other neighbours) would
+   fill their bucket.  Their windows are listed one by one by their own hash instead, and
+   only windows that recur count; each goes to a bucket of its own hash.
+3. Blocks ship the runs at recurring anchors, and recurring windows, to their buckets.
+   Of equal ones in a block only the first is shipped, the others are later copies at
+   once, so what many documents share arrives once a block and spelling.
+4. Buckets put the suffixes of each anchor's runs in order, compute the LPF array from
+   previous and next smaller positions, and send removed ranges home.
+5. Blocks cut the ranges out.
 
 Bytes decide everywhere; a hash collision only brings together runs that then differ.
-The text is shuffled once and read from that shuffle three times.
+The text is shuffled once and read from that shuffle by every step.
 
-Defined results for odd input: null text is empty; texts shorter than ``length`` stay
-as they are; rows with equal doc_id are ordered by a hash of the text, null ids first;
-a repeated row is a later copy of the first; an empty table gives an empty result.
+Defined results for odd input: null text is empty and stays null; texts shorter than
+``length`` stay as they are; rows with equal doc_id are ordered by a hash of the text, null
+ids first; a repeated row is a later copy of the first; very long texts are cut as a whole;
+columns may have any names: reports replace columns of the same name, and without reports
+(``report=False``) rows keep exactly their columns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,12 +44,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, table, total_bytes
+from .common import arrow_schema, field_name, table, total_bytes
 
 LENGTH = 100
 GRAM = 40
 BLOCK_BYTES = 8 << 20
 SLAB = 1 << 18
+#: Occurrences from which an anchor's windows are dealt out one by one.
+HOT = 1024
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -85,7 +92,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(texts: list[bytes], length: int, gram: int):
-    """Window runs of some documents: (document, first window, last window, anchor, anchor hash), joined text, starts.
+    """Window runs of some documents: (document, first window, last window, anchor, anchor hash), joined text, starts, hashes of all grams.
 
     Positions are in the joined text.
     """
@@ -93,7 +100,7 @@ def window_runs(texts: list[bytes], length: int, gram: int):
     starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     none = np.zeros(0, np.int64)
     if len(joined) < length:
-        return (none, none, none, none, none.astype(np.uint64)), joined, starts
+        return (none, none, none, none, none.astype(np.uint64)), joined, starts, none.astype(np.uint64)
     hashes = gram_hashes(np.frombuffer(joined, np.uint8), gram)
     bits = np.uint64(max(20, len(hashes).bit_length()))
     ranked = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
@@ -109,9 +116,20 @@ def window_runs(texts: list[bytes], length: int, gram: int):
     high = at[np.concatenate((first[1:], [True]))[: len(at)]]
     anchor = anchor[first]
     # anchors are least hashes: dealt out as they are, they would crowd into the first buckets
-    spread = hashes[anchor] * np.uint64(0xC2B2AE3D27D4EB4F)
-    spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0x165667B19E3779F9)
-    return (np.searchsorted(starts, low, "right") - 1, low, high, anchor, spread), joined, starts
+    return (np.searchsorted(starts, low, "right") - 1, low, high, anchor, _spread(hashes[anchor])), joined, starts, hashes
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    out = hashes * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0x165667B19E3779F9)
+
+
+def window_hashes(hashes: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Hash of the windows at the given places, from the grams at their quarters."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(4):
+        out = _spread(out ^ hashes[at + k * (length - gram) // 3])
+    return out
 
 
 def _slabs(texts: list[bytes]):
@@ -126,28 +144,33 @@ def _slabs(texts: list[bytes]):
         yield begin, texts[begin:]
 
 
-def previous_factor_reaches(suffixes: list[bytes]) -> list[bool]:
-    """For each position (its string cut at the length asked for): does its longest previous factor reach that length?
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
 
-    Sorting the strings gives the suffix order.  The factor is the larger of the common
-    prefixes with the previous and the next smaller position in that order.  Positions
-    whose cut strings are equal stand together, and common prefixes fall off outwards, so
-    the nearest smaller position reaches the full length exactly if it stands in the same
-    stretch of equal strings.
+def longest_previous_factors(suffixes: list[bytes]) -> list[int]:
+    """LPF array of the given suffixes: for each, the longest prefix that one with a smaller position also has.
+
+    The stack holds positions that ascend, so what lies below one is its previous smaller position in suffix order,
+    with the prefix that both have; the position that takes it off is its next smaller one.
     """
     order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    n = len(order)
-    alike = [i > 0 and suffixes[order[i]] == suffixes[order[i - 1]] for i in range(n)]
-    out = [False] * n
-    stack: list[int] = []  # previous smaller positions of the present stretch
-    for i in range(n):
-        if not alike[i]:
-            stack.clear()
-        while stack and stack[-1] > order[i]:
-            out[stack.pop()] = True  # order[i] is its next smaller position
-        if stack:
-            out[order[i]] = True
-        stack.append(order[i])
+    out = [0] * len(order)
+    stack: list[tuple[int, int]] = []
+    before = b""
+    for position in order:
+        own = suffixes[position]
+        shared = common_prefix(before, own)
+        while stack and stack[-1][0] > position:
+            larger, with_smaller = stack.pop()
+            out[larger] = max(with_smaller, shared)
+            shared = min(shared, with_smaller)
+        stack.append((position, shared if stack else 0))
+        before = own
+    for position, with_smaller in stack:
+        out[position] = with_smaller
     return out
 
 
@@ -161,70 +184,124 @@ def later_copies(contexts: list[bytes], length: int) -> list[list[tuple[int, int
     out: list[list[tuple[int, int]]] = [[] if same[i] == i else [(0, len(c))] for i, c in enumerate(contexts)]
     if len(place) > 1:
         owners = [(i, s) for i in place.values() for s in range(len(contexts[i]) - length + 1)]
-        reaches = previous_factor_reaches([contexts[i][s : s + length] for i, s in owners])
-        for (i, s), hit in zip(owners, reaches):
-            if hit:
+        for (i, s), factor in zip(owners, longest_previous_factors([contexts[i][s:] for i, s in owners])):
+            if factor >= length:
                 if out[i] and out[i][-1][1] >= s:
-                    out[i][-1] = (out[i][-1][0], s + length)
+                    out[i][-1] = (out[i][-1][0], max(out[i][-1][1], s + factor))
                 else:
-                    out[i].append((s, s + length))
+                    out[i].append((s, s + factor))
     return out
 
 
 class _Plan:
     """Names and sizes that all passes share."""
 
-    def __init__(self, blocks: int, length: int, gram: int):
+    def __init__(self, docs: DataFrame, blocks: int, length: int, gram: int, hot: int):
         self.blocks, self.buckets = blocks, blocks
-        self.length, self.gram = length, gram
+        self.length, self.gram, self.hot = length, gram, hot
+        self.id, self.tie, self.had, self.raw, self.block = (field_name(docs, stem) for stem in ("own_id", "own_tie", "own_had", "own_raw", "own_block"))
 
     def bucket(self, hashes: np.ndarray) -> np.ndarray:
         return ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _ordered(block: pa.Table) -> pa.Table:
-    """The block's rows in corpus order."""
-    ids = block.column("_id")
-    filled = ids.fill_null(0).to_numpy()
-    return block.take(pa.array(np.lexsort((block.column("_tie").to_numpy(), filled, ids.is_valid().to_numpy()))))
+    def packs(self, values: np.ndarray, counts: np.ndarray, home: int) -> pa.Table:
+        """Rows (bucket, home, hashes, counts) of sorted distinct hashes."""
+        order = np.argsort(self.bucket(values), kind="stable")
+        values, counts = values[order], np.minimum(counts[order], 0xFFFF).astype(np.uint16)
+        cuts = np.searchsorted(self.bucket(values), np.arange(self.buckets + 1)).tolist()
+        rows = [(b, values[s:e].tobytes(), counts[s:e].tobytes()) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+        columns = zip(*rows) if rows else ((), (), ())
+        bucket, hashes, packed = columns
+        return pa.table({"bucket": bucket, "home": [home] * len(rows), "hashes": hashes, "counts": packed}, arrow_schema(ANCHORS))
+
+    def ordered(self, block: pa.Table) -> pa.Table:
+        """The block's rows in corpus order."""
+        ids = block.column(self.id)
+        filled = ids.fill_null(0).to_numpy()
+        return block.take(pa.array(np.lexsort((block.column(self.tie).to_numpy(), filled, ids.is_valid().to_numpy()))))
 
 
-ANCHORS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("home", T.IntegerType()), T.StructField("hashes", T.BinaryType())])
-RECUR = T.StructType([T.StructField("_blk", T.IntegerType()), T.StructField("hashes", T.BinaryType())])
+ANCHORS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("home", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+#: Hashes that recur: of anchors, of anchors with too many occurrences, or (``windows``) of these ones' windows.
+RECUR = T.StructType([T.StructField("_blk", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("hot", T.BinaryType()), T.StructField("windows", T.BinaryType())])
 RUNS = T.StructType(
     [T.StructField("bucket", T.IntegerType()), T.StructField("home", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("hashes", "valid", "ids", "ties", "rows", "lows", "offsets", "sizes", "text", "done"))]
 )
 RANGES = T.StructType([T.StructField("_blk", T.IntegerType()), T.StructField("ranges", T.BinaryType())])
 
 
+def _joined(parts: list[bytes | None]) -> np.ndarray:
+    """Sorted hashes of several packs."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(p, np.uint64) for p in parts if p)]))
+
+
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
+def _places(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run number, place) of every window of the runs low..high."""
+    sizes = high - low + 1
+    run = np.repeat(np.arange(len(low)), sizes)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[run]
+
+
 def _list_anchors(plan: _Plan):
     def run(block: pa.Table) -> pa.Table:
-        texts = _ordered(block).column("_raw").to_pylist()
-        found = [window_runs(part, plan.length, plan.gram)[0][4] for _, part in _slabs(texts)]
-        values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        values = np.repeat(values, np.minimum(counts, 2))  # twice says: recurs in this block
-        cuts = np.searchsorted(plan.bucket(values), np.arange(plan.buckets + 1))
-        rows = [(b, values[s:e].tobytes()) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-        home = block.column("_blk")[0].as_py()
-        return pa.table({"bucket": [b for b, _ in rows], "home": [home] * len(rows), "hashes": [h for _, h in rows]}, arrow_schema(ANCHORS))
+        found = [window_runs(part, plan.length, plan.gram)[0][4] for _, part in _slabs(block.column(plan.raw).to_pylist())]
+        values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        return plan.packs(values, counts, block.column(plan.block)[0].as_py())
 
     return run
 
 
-def _find_recurring(group: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
-    homes = np.repeat(group.column("home").to_numpy(), [len(p) for p in parts])
-    values = np.concatenate(parts)
-    order = np.argsort(values, kind="stable")
-    values, homes = values[order], homes[order]
-    same = values[1:] == values[:-1]
-    recurs = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    values, homes = values[recurs], homes[recurs]
-    order = np.argsort(homes, kind="stable")
-    values, homes = values[order], homes[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(homes)) + 1, [len(homes)])) if len(homes) else np.zeros(1, np.int64)
-    rows = [(int(homes[s]), np.unique(values[s:e]).tobytes()) for s, e in zip(cuts, cuts[1:])]
-    return pa.table({"_blk": [h for h, _ in rows], "hashes": [v for _, v in rows]}, arrow_schema(RECUR))
+def _list_windows(plan: _Plan):
+    """Hashes of the windows at hot anchors."""
+
+    def run(block: pa.Table, lists: pa.Table) -> pa.Table:
+        hot = _joined(lists.column("hot").to_pylist()) if block.num_rows else ()
+        if not len(hot):
+            return arrow_schema(ANCHORS).empty_table()
+        found = []
+        for _, part in _slabs(block.column(plan.raw).to_pylist()):
+            (_, low, high, _, anchors), _, _, hashes = window_runs(part, plan.length, plan.gram)
+            hit = _among(anchors, hot)
+            if hit.any():
+                found.append(window_hashes(hashes, _places(low[hit], high[hit])[1], plan.length, plan.gram))
+        values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        return plan.packs(values, counts, block.column(plan.block)[0].as_py())
+
+    return run
+
+
+def _find_recurring(plan: _Plan, windows: bool):
+    """Which of a bucket's hashes occur twice or more, for each block that has them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
+        homes = np.repeat(group.column("home").to_numpy(), [len(p) for p in parts])
+        counts = np.concatenate([np.frombuffer(c, np.uint16) for c in group.column("counts").to_pylist()]).astype(np.int64)
+        values, place = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(place, weights=counts)[place]
+        hot = (total > plan.hot) & (not windows)
+        values, keep = values[place], total >= 2
+        values, homes, hot = values[keep], homes[keep], hot[keep]
+        order = np.argsort(homes, kind="stable")
+        values, homes, hot = values[order], homes[order], hot[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(homes)) + 1, [len(homes)])) if len(homes) else np.zeros(1, np.int64)
+        out: dict[str, list] = {f.name: [] for f in RECUR}
+        for s, e in zip(cuts.tolist(), cuts[1:].tolist()):
+            own, often = values[s:e], hot[s:e]
+            out["_blk"].append(int(homes[s]))
+            out["hashes"].append(None if windows else own[~often].tobytes())
+            out["hot"].append(None if windows else own[often].tobytes())
+            out["windows"].append(own.tobytes() if windows else None)
+        return pa.table(out, arrow_schema(RECUR))
+
+    return run
 
 
 def _ship_runs(plan: _Plan):
@@ -233,26 +310,38 @@ def _ship_runs(plan: _Plan):
     def run(block: pa.Table, lists: pa.Table) -> pa.Table:
         if not block.num_rows or not lists.num_rows:
             return arrow_schema(RUNS).empty_table()
-        wanted = np.sort(np.concatenate([np.frombuffer(h, np.uint64) for h in lists.column("hashes").to_pylist()]))
-        block = _ordered(block)
-        texts = block.column("_raw").to_pylist()
+        wanted, hot, windows = (_joined(lists.column(c).to_pylist()) for c in ("hashes", "hot", "windows"))
+        block = plan.ordered(block)
+        texts = block.column(plan.raw).to_pylist()
         seen: set = set()
         kept: list[tuple] = []
         done: list[int] = []
+
+        def take(value: int, doc: int, inside: int, offset: int, text: bytes) -> None:
+            key = (value, offset, text)
+            if key not in seen:
+                seen.add(key)
+                kept.append((value, doc, inside, offset, text))
+            elif done and done[-3] == doc and done[-2] <= inside <= done[-1]:
+                done[-1] = max(done[-1], inside + len(text))
+            else:
+                done.extend((doc, inside, inside + len(text)))
+
         for begin, part in _slabs(texts):
-            (docs, low, high, anchor, hashes), joined, starts = window_runs(part, length, plan.gram)
-            spot = np.searchsorted(wanted, hashes)
-            hit = np.flatnonzero(wanted[np.minimum(spot, len(wanted) - 1)] == hashes)
+            (docs, low, high, anchor, hashes), joined, starts, grams = window_runs(part, length, plan.gram)
+            hit = np.flatnonzero(_among(hashes, wanted))
             columns = (docs[hit], low[hit], high[hit] + length, anchor[hit] - low[hit], hashes[hit], low[hit] - starts[docs[hit]])
             for doc, s, e, offset, value, inside in zip(*(c.tolist() for c in columns)):
-                text = joined[s:e]
-                key = (value, offset, text)
-                if key in seen:
-                    done += (begin + doc, inside, inside + e - s)
-                else:
-                    seen.add(key)
-                    kept.append((value, begin + doc, inside, offset, text))
-        home = block.column("_blk")[0].as_py()
+                take(value, begin + doc, inside, offset, joined[s:e])
+            often = np.flatnonzero(_among(hashes, hot))
+            if len(often) and len(windows):
+                of, at = _places(low[often], high[often])
+                own = window_hashes(grams, at, length, plan.gram)
+                met = np.flatnonzero(_among(own, windows))
+                doc_of = docs[often][of[met]]
+                for value, doc, s, inside in zip(own[met].tolist(), doc_of.tolist(), at[met].tolist(), (at[met] - starts[doc_of]).tolist()):
+                    take(value, begin + doc, inside, 0, joined[s : s + length])
+        home = block.column(plan.block)[0].as_py()
         out: dict[str, list] = {f.name: [] for f in RUNS}
 
         def emit(bucket: int, **columns) -> None:
@@ -268,8 +357,8 @@ def _ship_runs(plan: _Plan):
             lows = np.array([k[2] for k in kept], np.int64)
             offsets = np.array([k[3] for k in kept], np.int16)
             sizes = np.array([len(k[4]) for k in kept], np.int32)
-            ids = block.column("_id")
-            valid, ids, ties = ids.is_valid().to_numpy()[rows].astype(np.uint8), ids.fill_null(0).to_numpy()[rows], block.column("_tie").to_numpy()[rows]
+            ids = block.column(plan.id)
+            valid, ids, ties = ids.is_valid().to_numpy()[rows].astype(np.uint8), ids.fill_null(0).to_numpy()[rows], block.column(plan.tie).to_numpy()[rows]
             order = np.argsort(values, kind="stable")
             cuts = np.searchsorted(plan.bucket(values[order]), np.arange(plan.buckets + 1))
             for b, (s, e) in enumerate(zip(cuts, cuts[1:])):
@@ -325,14 +414,14 @@ def _judge_runs(plan: _Plan):
     return run
 
 
-def _cut(schema: T.StructType, text: str | None):
+def _cut(plan: _Plan, schema: T.StructType, text: str | None, report: bool):
     arrow = arrow_schema(schema)
 
     def run(block: pa.Table, lists: pa.Table) -> pa.Table:
         if not block.num_rows:
             return arrow.empty_table()
-        block = _ordered(block)
-        texts = block.column("_raw").to_pylist()
+        block = plan.ordered(block)
+        texts = block.column(plan.raw).to_pylist()
         found = np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 3) for r in lists.column("ranges").to_pylist()] or [np.zeros((0, 3), np.int64)])
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         cuts = np.searchsorted(found[:, 0], np.arange(len(texts) + 1)).tolist()
@@ -355,40 +444,43 @@ def _cut(schema: T.StructType, text: str | None):
         made = {"n_bytes": [len(t) for t in texts], "n_removed": removed, "n_spans": spans}
         if text is None:
             made["kept_sha256"] = [hashlib.sha256(k).hexdigest() for k in kept]
-        else:
-            made[text] = [k.decode("utf-8", "ignore") if valid else None for k, valid in zip(kept, block.column("_had").to_pylist())]
-        return pa.table({f.name: made[f.name] if f.name in made else block.column(f.name) for f in arrow}, arrow)
+        if not report:
+            made = {}
+        if text is not None:
+            made[text] = [k.decode("utf-8", "ignore") if valid else None for k, valid in zip(kept, block.column(plan.had).to_pylist())]
+        return pa.table([pa.array(made[f.name], f.type) if f.name in made else block.column(f.name).cast(f.type) for f in arrow], schema=arrow)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", digest: bool = False, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with later copies cut out of ``text``, and n_bytes, n_removed, n_spans.
+def remove_repeats(docs: DataFrame, text: str = "text", digest: bool = False, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT, report: bool = True) -> DataFrame:
+    """``docs`` with later copies cut out of ``text``, and n_bytes, n_removed, n_spans unless ``report`` is false.
 
     With ``digest`` the text is left out and kept_sha256 (of the remaining bytes) comes
     instead.  Remaining bytes that no longer form a character are left out of the text.
     """
     if not 8 <= gram < length:
         raise ValueError("an anchor must be shorter than the strings looked for")
-    plan = _Plan(max(1, -(-total_bytes(docs, f"`{text}`") // block_bytes)), length, gram)
-    dropped = {"n_bytes", "n_removed", "n_spans", "kept_sha256"}
-    plain = [c for c in docs.columns if c != text and c.lower() not in dropped]
-    raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
+    spark = docs.sparkSession
+    # at least as many blocks as fill all tasks evenly
+    plan = _Plan(docs, max(-(-total_bytes(docs, f"`{text}`") // block_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), length, gram, hot)
+    names = ["n_bytes", "n_removed", "n_spans"] if report else []
+    replaced = {*names, *(["kept_sha256"] if digest else [])}
+    plain = [c for c in docs.columns if c != text and c.lower() not in replaced]
+    value = F.col(f"`{text}`").cast("string")
     base = docs.select(
-        *[F.col(f"`{c}`") for c in plain], F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_tie"), F.col(f"`{text}`").isNotNull().alias("_had"),
-        raw.alias("_raw"), F.pmod(F.xxhash64("doc_id", f"`{text}`"), F.lit(plan.blocks)).cast("int").alias("_blk"),
+        *[F.col(f"`{c}`") for c in plain], F.col("doc_id").cast("long").alias(plan.id), F.xxhash64(value).alias(plan.tie), value.isNotNull().alias(plan.had), F.coalesce(value.cast("binary"), F.lit(b"")).alias(plan.raw),
+        F.pmod(F.xxhash64(F.col("doc_id"), value, F.monotonically_increasing_id()), F.lit(plan.blocks)).cast("int").alias(plan.block),
     )
-    blocks = base.groupBy("_blk")
-    anchors = blocks.applyInArrow(_list_anchors(plan), ANCHORS)
-    recurring = anchors.groupBy("bucket").applyInArrow(_find_recurring, RECUR)
-    runs = blocks.cogroup(recurring.groupBy("_blk")).applyInArrow(_ship_runs(plan), RUNS)
+    blocks = base.groupBy(plan.block)
+    recurring = blocks.applyInArrow(_list_anchors(plan), ANCHORS).groupBy("bucket").applyInArrow(_find_recurring(plan, False), RECUR)
+    windows = blocks.cogroup(recurring.groupBy("_blk")).applyInArrow(_list_windows(plan), ANCHORS).groupBy("bucket").applyInArrow(_find_recurring(plan, True), RECUR)
+    runs = blocks.cogroup(recurring.unionAll(windows).groupBy("_blk")).applyInArrow(_ship_runs(plan), RUNS)
     ranges = runs.groupBy("bucket").applyInArrow(_judge_runs(plan), RANGES)
-    counts = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
-    last = T.StructField("kept_sha256", T.StringType()) if digest else T.StructField(text, T.StringType())
-    schema = T.StructType([*[docs.schema[c] for c in plain], last, *counts])
-    return base.groupBy("_blk").cogroup(ranges.groupBy("_blk")).applyInArrow(_cut(schema, None if digest else text), schema)
-
-
+    fields = [docs.schema[c] for c in docs.columns if c in plain or (c == text and not digest)]
+    fields = [T.StructField(text, T.StringType()) if f.name == text else f for f in fields]
+    schema = T.StructType([*fields, *([T.StructField("kept_sha256", T.StringType())] if digest else []), *(T.StructField(n, T.LongType()) for n in names)])
+    return blocks.cogroup(ranges.groupBy("_blk")).applyInArrow(_cut(plan, schema, None if digest else text, report), schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
