@@ -11,28 +11,33 @@ characters from U+0080 on.  A window is ``window`` consecutive words of an item;
 with fewer words, but not none, is one window.
 
 The items' total word count is checked; beyond ``max_words`` they are split into several
-automata, each broadcast and run in turn over the same stream, so no limit drops items.
+automata of bounded size.  Up to AT_ONCE of them are broadcast and run over one stream;
+further ones run in rounds over the written result, so no limit drops items and neither
+the driver nor a worker ever holds more.  An automaton is packed: states with one edge,
+nearly all of them, take a place in arrays.
 
 Defined results for odd input: null or empty text has no words and is clean; null item
 ids or texts take part as ids ``null`` left out and texts without words; repeated items
-count once for each distinct id; an empty benchmark leaves everything clean.
+count once for each distinct id; repeated rows are judged alike; very long texts are
+streamed whole; an empty benchmark leaves everything clean; columns may have any names:
+``find_contamination`` replaces those named like its results, ``decontaminate`` keeps all.
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections import defaultdict
-from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_rows, table
+from .common import field_name, map_rows, materialise, table
 
 WINDOW = 13
-MAX_WORDS = 2_000_000
+#: Words of an automaton (about 60 MB in a worker), and automata that one stage holds.
+MAX_WORDS = 250_000
+AT_ONCE = 4
 
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -69,10 +74,25 @@ class Automaton:
             if len(symbols) < window:
                 self.short[state].append((len(symbols), key))
         self.shortest = min([window, *(len(s) for _, s in coded)])
-        self.marks = [()] * len(self.next)  # short items that end wherever the state does
-        for state in sorted(range(len(self.next)), key=self.length.__getitem__):
-            up = self.marks[self.link[state]] if state else ()
-            self.marks[state] = (*up, *self.short[state]) if state in self.short else up
+        self.marks: dict[int, tuple] = {}  # short items that end wherever the state does
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            own = (*self.marks.get(self.link[state], ()), *self.short.get(state, ()))
+            if own:
+                self.marks[state] = own
+        self._pack()
+
+    def _pack(self) -> None:
+        """Edges in arrays where a state has one only, in a table of the others; links and lengths in arrays."""
+        self.symbol, self.target = array("i", [-1]) * len(self.next), array("i", [-1]) * len(self.next)
+        self.branches: dict[int, dict[int, int]] = {}
+        for state, edges in enumerate(self.next):
+            if len(edges) == 1:
+                ((self.symbol[state], self.target[state]),) = edges.items()
+            elif edges:
+                self.branches[state] = edges
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.windows = {state: frozenset(keys) for state, keys in self.windows.items()}
+        del self.next, self.short
 
     def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.length.append(length)
@@ -117,18 +137,21 @@ class Automaton:
             return found, items
         known = np.fromiter((s is not None for s in symbols), bool, len(symbols))
         edges = np.flatnonzero(np.diff(np.concatenate(([False], known, [False])).astype(np.int8)))
-        step, link, length, window = self.next, self.link, self.length, self.window
+        symbol, target, branches, none = self.symbol, self.target, self.branches, {}
+        link, length, window, marks = self.link, self.length, self.window, self.marks
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if end - start < self.shortest:
                 continue
             state = matched = 0
             for i in range(start, end):
                 s = symbols[i]
-                while s not in step[state] and state:
+                after = target[state] if symbol[state] == s else branches.get(state, none).get(s, -1)
+                while after < 0 and state:
                     state = link[state]
                     matched = length[state]
-                if s in step[state]:
-                    state = step[state][s]
+                    after = target[state] if symbol[state] == s else branches.get(state, none).get(s, -1)
+                if after >= 0:
+                    state = after
                     matched += 1
                     if matched >= window:
                         matched = window
@@ -136,7 +159,7 @@ class Automaton:
                             state = link[state]
                         found.append((i + 1 - window, i + 1))
                         items |= self.windows[state]
-                    for size, key in self.marks[state]:
+                    for size, key in marks.get(state, none):
                         if size <= matched:
                             found.append((i + 1 - size, i + 1))
                             items.add(key)
@@ -174,23 +197,32 @@ def _automata(benchmark: DataFrame, item_id: str, text: str, window: int, max_wo
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with ``hit_spans`` (array of word ranges), ``n_words`` and ``hit_items``.  No shuffle of the documents."""
-    spark = docs.sparkSession
-    plain = [c for c in docs.columns if c.lower() not in ("hit_spans", "hit_items", "n_words")]
-    out = docs.select(*[F.col(f"`{c}`") for c in plain]).withColumns({"hit_spans": F.lit(None).cast("array<struct<s:long,e:long>>"), "hit_items": F.lit(None).cast("array<string>"), "n_words": F.lit(0).cast("long")})
+    names = ("hit_spans", "hit_items", "n_words")
+    plain = [F.col(f"`{c}`") for c in docs.columns if c == text or c.lower() not in names]
+    return _matched(docs.select(*plain), benchmark, names, text, item_id, item_text, window, max_words)
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], text: str, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """``docs`` with spans, items and number of words in columns of the given names."""
+    context = docs.sparkSession.sparkContext
+    kinds = ("array<struct<s:long,e:long>>", "array<string>", "long")
+    out = docs.withColumns({n: F.lit(None).cast(k) for n, k in zip(names, kinds)})
     made = 0
     for automaton in _automata(benchmark, item_id, item_text, window, max_words):
-        out = _pass(out, spark.sparkContext.broadcast(automaton), text)
+        if made and made % AT_ONCE == 0:
+            out = materialise(out, "matched")
+        out = _pass(out, context.broadcast(automaton), names, text)
         made += 1
-    if not made:
-        out = _pass(out, spark.sparkContext.broadcast(Automaton([], window)), text)
-    return out
+    return out if made else _pass(out, context.broadcast(Automaton([], window)), names, text)
 
 
-def _pass(docs: DataFrame, automaton, text: str) -> DataFrame:
+def _pass(docs: DataFrame, automaton, names: tuple[str, str, str], text: str) -> DataFrame:
+    spans_name, items_name, count_name = names
+
     def run(batch):
         columns = {name: batch.column(name) for name in batch.schema.names}
         spans, items, counts = [], [], []
-        before = zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist())
+        before = zip(batch.column(spans_name).to_pylist(), batch.column(items_name).to_pylist())
         for value, (old_spans, old_items) in zip(batch.column(text).to_pylist(), before):
             words = words_of(value)
             found, keys = automaton.value.match(words)
@@ -198,33 +230,34 @@ def _pass(docs: DataFrame, automaton, text: str) -> DataFrame:
             spans.append([{"s": s, "e": e} for s, e in found])
             items.append(sorted({*map(str, keys), *(old_items or ())}))
             counts.append(len(words))
-        return columns | {"hit_spans": spans, "hit_items": items, "n_words": counts}
+        return columns | {spans_name: spans, items_name: items, count_name: counts}
 
     return map_rows(docs, run, docs.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", percent: int = 5, remove: str = "documents", **options) -> DataFrame:
-    """Training rows without test content.
+    """Training rows without test content; columns stay as they are, whatever their names.
 
     A document is contaminated if its hit words are at least ``percent`` per cent of its
     words (and not none).  ``remove="documents"`` drops those and leaves all others as
     they are; ``remove="spans"`` cuts the hit words out of contaminated documents instead.
     """
-    found = find_contamination(docs, benchmark, text, **options)
-    hits = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    bad = (hits > 0) & (hits * 100 >= F.col("n_words") * percent)
-    if remove == "documents":
-        return found.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(f"unknown way to remove: {remove}")
+    spans_name, items_name, count_name, flag = (field_name(docs, stem) for stem in ("own_spans", "own_items", "own_count", "own_flag"))
+    found = _matched(docs, benchmark, (spans_name, items_name, count_name), text, **options)
+    hits = F.aggregate(spans_name, F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    flagged = found.withColumn(flag, (hits > 0) & (hits * 100 >= F.col(count_name) * percent))
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    if remove == "documents":
+        return flagged.where(~F.col(flag)).select(*plain)
 
     def run(batch):
         columns = {name: batch.column(name) for name in batch.schema.names}
-        texts = [cut_words(t, [(x["s"], x["e"]) for x in s]) if b else t for t, s, b in zip(batch.column(text).to_pylist(), batch.column("hit_spans").to_pylist(), batch.column("_bad").to_pylist())]
-        return columns | {text: texts}
+        rows = zip(batch.column(text).to_pylist(), batch.column(spans_name).to_pylist(), batch.column(flag).to_pylist())
+        return columns | {text: [cut_words(t, [(x["s"], x["e"]) for x in s]) if b else t for t, s, b in rows]}
 
-    flagged = found.withColumn("_bad", bad)
-    return map_rows(flagged, run, flagged.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return map_rows(flagged, run, flagged.schema).select(*plain)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -240,11 +273,6 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-DIGEST = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
-)
-
-
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hits = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
