@@ -4,16 +4,24 @@ Two generative models over hashed word n-grams are counted: one of target text (
 as good), one of all raw text.  A document's score is the mean log ratio of the two over
 its n-grams (unigrams and bigrams; a word that repeats the one before it is one feature
 of its own).  Rows are drawn without replacement by Gumbel top-k: each key is the score
-plus scaled Gumbel noise that depends on the id alone, and the k largest keys stay.  k
-is the number of rows whose score reaches the cut that best tells good from bad labels.
+plus scaled Gumbel noise that depends on the id alone, and the k largest keys stay.
+
+Scale.  Resampling by importance adds unit noise to the log ratio summed over a text's
+n-grams; with the mean over n of them, so that length does not decide, that is noise of
+scale 1/n.  ``temperature`` is one value for all texts, 1/200: the noise of a text of 200
+n-grams.  A larger one draws more at random.  k is a parameter (a share of the scored
+rows, ``share``); left out, it is the number of rows whose score reaches the cut that best
+tells good from bad labels.
 
 The raw model and k count every document.  The target model and the cut are fitted on a
 bounded sample of labelled rows (TRAIN_ROWS good and as many bad ones, those with the
 smallest hash of the id); only its ids are broadcast.
 
 Defined results for odd input: a text without words has no score and is rejected; rows
-that tie with the k-th key all stay; null ids or labels do not train; with no good
-labels every row with words stays, with no bad ones too.
+that tie with the k-th key all stay; repeated rows are drawn alike; null ids or labels do
+not train; with no good labels every row with words stays, with no bad ones too; texts
+count whole, however long; columns may have any names and stay as they are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +35,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, materialise, table
+from .common import field_name, map_rows, materialise, table
 
 BUCKET_BITS = 14
 TRAIN_ROWS = 20_000
-#: Scale of the Gumbel noise, in units of the mean log ratio.
+#: Scale of the Gumbel noise, in units of the mean log ratio (see above).
 TEMPERATURE = 0.005
 SEED = 17
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
@@ -68,12 +76,16 @@ def sample_labels(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 class Resampler:
-    """Fitted ratio table, cut and k-th key."""
+    """Fitted ratio table, cut, noise and k-th key."""
 
-    def __init__(self, ratio: np.ndarray, cut: float):
-        self.ratio, self.cut = ratio, cut
+    def __init__(self, ratio: np.ndarray, cut: float, temperature: float = TEMPERATURE):
+        self.ratio, self.cut, self.temperature = ratio, cut, temperature
         self.least_key = float("-inf")
 
+    def key(self, key: str, value: str) -> Column:
+        """The score with the row's noise."""
+        return F.col(value) + self.temperature * gumbel(F.col(key))
+
 
 def gumbel(key: Column, seed: int = SEED) -> Column:
     """Standard Gumbel noise that depends on the key only."""
@@ -81,11 +93,12 @@ def gumbel(key: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> tuple[Resampler, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAIN_ROWS, share: float | None = None, temperature: float = TEMPERATURE) -> tuple[Resampler, DataFrame]:
     """The fitted resampler and its keys: a written (doc_id, score, key) table of every document."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     sample = sample_labels(labels, rows)
     size = 1 << BUCKET_BITS
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "doc_id", "left").select("text", "good")
+    marked = own.join(F.broadcast(sample), "doc_id", "left").select("text", "good")
 
     def count(batches):
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -105,11 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
     raw[found["bucket"].to_numpy(int)] = found["raw"].to_numpy(float)
     target[found["bucket"].to_numpy(int)] = found["target"].to_numpy(float)
     ratio = np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size)) if target.sum() else np.zeros(size)
-    model = Resampler(ratio, float("-inf"))
-    keys = materialise(scored(docs.select("doc_id", text), model, text).select("doc_id", F.col("_score").alias("score"), _key("doc_id", "_score").alias("key")), "resample-keys")
+    model = Resampler(ratio, float("-inf"), temperature)
+    keys = materialise(scored(own, model, "text", "score").select("doc_id", "score", model.key("doc_id", "score").alias("key")), "resample-keys")
     known = keys.join(F.broadcast(sample), "doc_id").where("score is not null").select("score", "good").toPandas()
     model.cut = best_cut(known["score"].to_numpy(float), known["good"].to_numpy(bool)) if target.sum() else float("-inf")
-    wanted = keys.where(F.col("score") >= model.cut).count()
+    wanted = keys.where(F.col("score") >= model.cut).count() if share is None else round(share * keys.where("score is not null").count())
     model.least_key = kth_largest(keys.where("key is not null").select("key"), wanted)
     return model, keys
 
@@ -152,27 +165,23 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 1024, collect: int = 4096)
     return float(rest[k - 1])
 
 
-def _key(key: str, value: str) -> Column:
-    return F.col(value) + TEMPERATURE * gumbel(F.col(key))
-
-
-def scored(docs: DataFrame, model: Resampler, text: str = "text") -> DataFrame:
-    """``docs`` with the score in ``_score``.  No shuffle."""
+def scored(docs: DataFrame, model: Resampler, text: str, into: str) -> DataFrame:
+    """``docs`` with the score in a new column ``into``.  No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
 
     def run(batch):
-        return {n: batch.column(n) for n in batch.schema.names} | {"_score": [score(t, shared.value) for t in batch.column(text).to_pylist()]}
+        return {n: batch.column(n) for n in batch.schema.names} | {into: [score(t, shared.value) for t in batch.column(text).to_pylist()]}
 
     return map_rows(docs, run, schema)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the draw keeps.  Texts are scored twice rather than shuffled."""
-    model, _ = fit(docs, labels, text)
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_score"])
-    found = scored(own, model, text)
-    return found.where(_key("doc_id", "_score") >= model.least_key).select(*[F.col(f"`{c}`") for c in own.columns])
+    model, _ = fit(docs, labels, text, **options)
+    into, number = field_name(docs, "own_score"), field_name(docs, "own_number")
+    found = scored(docs.withColumn(number, F.col("doc_id").cast("long")), model, text, into)
+    return found.where(model.key(number, into) >= model.least_key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,10 @@ language with the largest share of the chosen set is predicted.
 
 Defined results for odd input: null text, or one without any letter, is ``und`` with
 score 0; with no labelled rows every document is ``und``; null ids never train and are
-not held out; repeated rows are judged alike.
+not held out; repeated rows are judged alike; texts are read whole, however long; columns
+may have any names, and those named like a result column (``lang_pred``, ``score``,
+``lang_shares``) are replaced by it; an empty table gives an empty result; more than
+LANGUAGES labels are an error, as a model of so many would not fit a worker.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ SEGMENT = 48
 ROUNDS = 12
 #: Labelled rows that train each language at most, chosen by hash of their id.
 TRAIN_ROWS = 4000
+#: Languages that a model may have (a quarter of a megabyte each).
+LANGUAGES = 1000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -102,22 +107,19 @@ def expect_maximise(parts: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Model from (key, lang, text) rows; at most ``rows`` of each language, those with the smallest key hash.
+    """Model from (key, lang, text) rows; at most about ``rows`` of each language, drawn by hash of the key.
 
     Counts are summed by Spark; the driver gets the finished table of at most
     languages x 2**BUCKET_BITS numbers.
     """
-    spark = labelled.sparkSession
-    ranked = F.xxhash64("key")
-    # a bounded sample of each language: the cut-off hash is found on ids alone
-    marks = labelled.select("lang", ranked.alias("h")).groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).collect()
-    cut = None
-    for m in marks:
-        share = min(1.0, rows / m["n"])
-        own = (F.col("lang") == m["lang"]) & (F.lit(m["n"] <= rows) | (F.pmod(ranked, F.lit(1_000_000)) < int(1_000_000 * share)))
-        cut = own if cut is None else cut | own
-    if cut is None:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("own_size"))
+    names = [r["lang"] for r in sizes.select("lang").limit(LANGUAGES + 1).collect()]
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not names:
         return Model({})
+    draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) * F.col("own_size") < F.lit(rows * 1_000_000)
+    sample = labelled.select("key", "lang", "text").join(F.broadcast(sizes), "lang").where(draw)  # as many rows as languages
 
     def count(batches):
         import pyarrow as pa
@@ -132,9 +134,9 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int64()), "n": pa.array(own[at], pa.int64())})
 
-    partial = labelled.where(cut).select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
+    partial = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
     found = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = {m["lang"]: np.zeros(1 << BUCKET_BITS) for m in marks}
+    counts = {name: np.zeros(1 << BUCKET_BITS) for name in names}
     for lang, own in found.groupby("lang"):
         counts[lang][own["bucket"].to_numpy()] = own["n"].to_numpy()
     return Model(counts)
@@ -142,7 +144,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and lang_shares.  No shuffle."""
-    plain = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "lang_shares")]
+    plain = [c for c in docs.columns if c == text or c.lower() not in ("lang_pred", "score", "lang_shares")]
     base = docs.select(*[F.col(f"`{c}`") for c in plain])
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", T.MapType(T.StringType(), T.DoubleType()))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
