@@ -1,7 +1,7 @@
 """Column expressions over text: cleaning, counting, identifiers, query analysis.
 
 Everything here is a built-in expression (no Python per row) except ``compatibility``,
-``casefold`` and ``sequence_ratio``, for which Spark has no counterpart.
+``casefold``, ``fold_any`` and ``sequence_ratio``, for which Spark has no counterpart.
 """
 
 from __future__ import annotations
@@ -30,8 +30,35 @@ NUMERIC_TERMS = ["限值", "阈值", "范围", "最小", "最大", "允许值",
 UNIT = r"(?iU)(?:\d+(?:\.\d+)?\s*)?(?:mm|cm|m|mpa|kpa|pa|kn|n|%|℃|°c|kg|t)\b"
 RISK_TERMS = ["风险", "危险", "不得", "禁止", "严禁", "避免", "失效", "事故", "条件", "情形", "当", "如果", "否则", "前提"]
 PARAPHRASE_TERMS = ["为什么", "如何处理", "如何判断", "有哪些", "怎么做"]
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+WEB_RULES = [
+    (r"联网|网上|网页|互联网|web\s*search|搜索一下|查一下最新", True),
+    (r"检测结果|第\s*\d+\s*次检测|图片.*检测", False),
+    (r"最新|现行|目前|最近|今年|20\d{2}年|发布|更新", True),
+]
+FAILURE_SIGNS = {
+    "incomplete_structured_output": ["eof while parsing", "unterminated string", "unexpected end of json", "unexpected end of data"],
+    "invalid_structured_output": ["validation error", "invalid json", "jsondecodeerror", "identity mismatch", "unknown source markers"],
+    "provider_unavailable": ["responses api", "timeout", "timed out", "connection", "http ", "api key", "未配置 responses", "service unavailable"],
+}
+OTHER_FAILURE = "generation_processing_error"
+
+
+def _accents() -> tuple[str, str]:
+    """Characters of the basic plane that decompose into one base character and marks, then all marks; and the bases, so that marks go."""
+    old, new, marks = [], [], []
+    for code in range(0xC0, 0x10000):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        base = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+        if len(base) == 1 and base[0] != c and not 0xD800 <= code < 0xE000 and not 0xF900 <= code < 0xFB00:
+            old.append(c)
+            new.append(base[0])
+    return "".join(old + marks), "".join(new)
+
+
+ACCENTED, UNACCENTED = _accents()
 
 
 def _text(value: Column) -> Column:
@@ -91,7 +118,7 @@ def encoding_anomaly(value: Column) -> Column:
 
 
 def fold(value: Column) -> Column:
-    """Lower case without accents, for text of Latin letters (``fold_any`` takes every script)."""
+    """Lower case without accents in any script: composed letters by table, combining marks dropped."""
     return F.lower(F.translate(_text(value), ACCENTED, UNACCENTED))
 
 
@@ -233,23 +260,15 @@ def unwrap_url(value: Column, parameter: str = "uddg") -> Column:
 
 
 def needs_web(value: Column) -> Column:
-    """Ordered rules: asking for the web wins, then asking about own results, then asking for something recent."""
+    """The first rule of WEB_RULES that the question meets decides; none means no."""
     t = F.lower(_text(value))
-    web = r"联网|网上|网页|互联网|web\s*search|搜索一下|查一下最新"
-    own = r"检测结果|第\s*\d+\s*次检测|图片.*检测"
-    recent = r"最新|现行|目前|最近|今年|20\d{2}年|发布|更新"
-    return F.when(t.rlike(web), True).when(t.rlike(own), False).otherwise(t.rlike(recent))
+    return F.coalesce(*[F.when(t.rlike(pattern), answer) for pattern, answer in WEB_RULES], F.lit(False))
 
 
 def failure_kind(value: Column) -> Column:
-    """Category of a generation error from its text."""
+    """Category of a generation error: the first of FAILURE_SIGNS with a sign in its text."""
     t = F.lower(F.trim(F.regexp_replace(_text(value), r"(?U)\s+", " ")))
-    return (
-        F.when(has_any(t, ["eof while parsing", "unterminated string", "unexpected end of json", "unexpected end of data"]), "incomplete_structured_output")
-        .when(has_any(t, ["validation error", "invalid json", "jsondecodeerror", "identity mismatch", "unknown source markers"]), "invalid_structured_output")
-        .when(has_any(t, ["responses api", "timeout", "timed out", "connection", "http ", "api key", "未配置 responses", "service unavailable"]), "provider_unavailable")
-        .otherwise("generation_processing_error")
-    )
+    return F.coalesce(*[F.when(has_any(t, signs), kind) for kind, signs in FAILURE_SIGNS.items()], F.lit(OTHER_FAILURE))
 
 
 #: Accepted spellings of damage levels, and their order.

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean
+from ..functions.text import casefold, clean
 
 
 def role(anchor: Column, channels: Column, retrieval_role: Column, context_for: Column, expanded: Column) -> Column:
@@ -20,7 +19,45 @@ def kind(chunk_type: Column, table_id: Column, image_id: Column, region_id: Colu
     return F.when(has(table_id) | chunk_type.isin("table", "table_row"), "table").when(F.coalesce(generated, F.lit(False)), "visual_generated").when((chunk_type == "image_ocr") | has(image_id) | has(region_id), "image_ocr").otherwise("text")
 
 
-GROUPED = "query_id string, group_no int, item_no int, chunk_id string, role string, heading_path array<string>, reason string, included boolean, duplicate_of string"
+#: How much longer than an anchor's text a row may be that repeats it (characters, factor).
+CONTAINED = (80, 1.25)
+
+
+def _claims(rows: DataFrame, relations: DataFrame | None) -> DataFrame:
+    """(query_id, chunk_id, claim, place, reason, heading): who may take a row into a group; the least claim counts.
+
+    Relations come first, in their order; then anchors in theirs, each with the rows made for it; then rows alone.
+    """
+    item = F.struct(F.col("position").cast("long").alias("a"), F.col("chunk_id").alias("b"))
+    claim = lambda kind, number, name: F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("number"), name.alias("name"))
+    alone = rows.select("query_id", "chunk_id", claim(2, F.col("position"), F.col("chunk_id")).alias("claim"), item.alias("place"), F.lit("standalone").alias("reason"), F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading"))
+    claimed = None
+    if relations is not None:
+        ordered = F.array_distinct(F.concat(F.col("anchor_chunk_ids"), F.col("chunk_ids")))
+        links = relations.select("query_id", "relation_no", "reason", "heading_path", F.posexplode(ordered).alias("at", "chunk_id"))
+        held = links.join(rows.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"])
+        place = F.struct(F.col("at").cast("long").alias("a"), F.col("chunk_id").alias("b"))
+        claimed = held.select("query_id", "chunk_id", claim(0, F.col("relation_no"), F.lit("")).alias("claim"), place.alias("place"), "reason", F.col("heading_path").alias("heading"))
+    free = rows if claimed is None else rows.join(claimed.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
+    anchors = free.where("role = 'anchor'").select("query_id", F.col("chunk_id").alias("head"), F.col("position").alias("head_at"), F.col("parent_id").alias("head_parent"), F.col("heading_path").alias("head_path"))
+    others = free.select("query_id", "chunk_id", "position", "role", "context_for")
+    made_for = others.join(anchors, (others["query_id"] == anchors["query_id"]) & (others["context_for"] == anchors["head"])).drop(anchors["query_id"])
+    parents = others.where("role = 'parent_context'").join(anchors, (others["query_id"] == anchors["query_id"]) & (others["chunk_id"] == anchors["head_parent"])).drop(anchors["query_id"])
+    met = made_for.unionByName(parents).where("chunk_id <> head").distinct()
+    # an anchor that an earlier one took starts no group; one fold over the question's anchors settles chains of them
+    mine = met.groupBy("query_id", "head").agg(F.collect_set("chunk_id").alias("takes"))
+    listed = anchors.join(mine, ["query_id", "head"], "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("head_at", "head", F.coalesce("takes", F.array().cast("array<string>")).alias("takes")))).alias("heads"))
+    taken = F.aggregate("heads", F.array().cast("array<string>"), lambda acc, x: F.when(F.array_contains(acc, x["head"]), acc).otherwise(F.array_union(acc, F.filter(x["takes"], lambda t: ~F.exists("heads", lambda y: (y["head"] == t) & ((y["head_at"] < x["head_at"]) | ((y["head_at"] == x["head_at"]) & (y["head"] < x["head"]))))))))
+    starters = listed.select("query_id", F.explode("heads").alias("h"), taken.alias("taken")).where(~F.array_contains("taken", F.col("h.head"))).select("query_id", F.col("h.head").alias("head"))
+    started = anchors.join(starters, ["query_id", "head"])
+    path = F.coalesce("head_path", F.array().cast("array<string>"))
+    by_head = claim(1, F.col("head_at"), F.col("head")).alias("claim")
+    reason = F.lit("parent_or_expanded_context").alias("reason")
+    own = started.select("query_id", F.col("head").alias("chunk_id"), by_head, F.struct(F.lit(-1).cast("long").alias("a"), F.col("head").alias("b")).alias("place"), reason, path.alias("heading"))
+    context = met.join(starters, ["query_id", "head"]).select("query_id", "chunk_id", by_head, item.alias("place"), reason, path.alias("heading"))
+    context = context.join(starters.withColumnRenamed("head", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    every = alone.unionByName(own).unionByName(context)
+    return every if claimed is None else every.unionByName(claimed)
 
 
 def group_evidence(items: DataFrame, relations: DataFrame | None = None) -> DataFrame:
@@ -28,58 +65,29 @@ def group_evidence(items: DataFrame, relations: DataFrame | None = None) -> Data
 
     ``items``: query_id, position, chunk_id, parent_id, role, text, heading_path, context_for.
     ``relations`` (optional): query_id, relation_no, chunk_ids, anchor_chunk_ids, heading_path,
-    reason.  What counts as seen depends on the order, so one question is one group of a
-    grouped map; a question's evidence is bounded by its budget.
+    reason.  Every row goes to the least of its claims.  A row repeats the first row with its
+    text (case ignored), or an anchor of its own group whose text it holds and hardly exceeds;
+    rows of the second kind do not stand for their text.
     """
     base = items.select("query_id", "position", "chunk_id", "parent_id", "role", "heading_path", "context_for", clean(F.col("text")).alias("text"))
-
-    def of_question(key: tuple, own: pd.DataFrame, links: pd.DataFrame | None) -> pd.DataFrame:
-        own = own.sort_values(["position", "chunk_id"])
-        by_id = {r.chunk_id: r for r in own.itertuples()}
-        taken: set[str] = set()
-        groups: list[tuple[list[str], str, list[str]]] = []
-        for link in () if links is None else links.sort_values("relation_no").itertuples():
-            heads = [c for c in link.anchor_chunk_ids if c in by_id]
-            ordered = heads + [c for c in link.chunk_ids if c in by_id and c not in heads]
-            ids = [c for c in ordered if c not in taken]
-            if ids:
-                taken.update(ids)
-                groups.append((ids, link.reason, list(link.heading_path)))
-        for r in own.itertuples():
-            if r.role != "anchor" or r.chunk_id in taken:
-                continue
-            ids = [r.chunk_id]
-            taken.add(r.chunk_id)
-            for other in own.itertuples():
-                if other.chunk_id not in taken and (other.context_for == r.chunk_id or (other.role == "parent_context" and other.chunk_id == r.parent_id)):
-                    ids.append(other.chunk_id)
-                    taken.add(other.chunk_id)
-            groups.append((ids, "parent_or_expanded_context", list(r.heading_path if r.heading_path is not None else [])))
-        groups += [([r.chunk_id], "standalone", list(r.heading_path if r.heading_path is not None else [])) for r in own.itertuples() if r.chunk_id not in taken]
-        seen: dict[str, str] = {}
-        out = []
-        for number, (ids, reason, heading) in enumerate(groups, 1):
-            heads = [by_id[c] for c in ids if by_id[c].role == "anchor"]
-            for place, chunk in enumerate(ids, 1):
-                item = by_id[chunk]
-                name = item.text.casefold()
-                same = seen.get(name, "") if name else ""
-                if not same and item.role != "anchor" and item.text:
-                    same = next((h.chunk_id for h in heads if h.text and h.text in item.text and len(item.text) <= max(len(h.text) + 80, int(len(h.text) * 1.25))), "")
-                if not same and name:
-                    seen[name] = chunk
-                out.append((key[0], number, place, chunk, item.role, heading, reason, not same, same))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in GROUPED.split(", ")])
-
-    if relations is None:
-        return base.groupBy("query_id").applyInPandas(lambda key, own: of_question(key, own, None), GROUPED)
-    return base.groupBy("query_id").cogroup(relations.groupBy("query_id")).applyInPandas(of_question, GROUPED)
+    least = _claims(base, relations).groupBy("query_id", "chunk_id").agg(F.min(F.struct("claim", "place", "reason", "heading")).alias("c")).select("query_id", "chunk_id", "c.*")
+    by_question = Window.partitionBy("query_id")
+    rows = base.join(least, ["query_id", "chunk_id"]).withColumn("group_no", F.dense_rank().over(by_question.orderBy("claim")))
+    by_group = Window.partitionBy("query_id", "group_no")
+    heads = F.collect_list(F.when((F.col("role") == "anchor") & (F.col("text") != ""), F.struct("place", F.col("chunk_id").alias("id"), F.col("text").alias("t"))))
+    rows = rows.withColumn("item_no", F.row_number().over(by_group.orderBy("place"))).withColumn("heads", F.array_sort(heads.over(by_group)))
+    more, factor = CONTAINED
+    repeats = F.filter("heads", lambda h: F.contains(F.col("text"), h["t"]) & (F.length("text") <= F.greatest(F.length(h["t"]) + more, F.floor(F.length(h["t"]) * factor))))
+    rows = rows.withColumn("repeats", F.when((F.col("role") != "anchor") & (F.col("text") != ""), F.get(repeats, 0)["id"])).withColumn("name", casefold("text"))
+    so_far = Window.partitionBy("query_id", "name").orderBy("group_no", "item_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stands = F.first(F.when(F.col("repeats").isNull(), F.col("chunk_id")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("stands", F.when(F.col("name") != "", stands))
+    same = F.when(F.col("stands").isNotNull() & (F.col("stands") != F.col("chunk_id")), F.col("stands")).otherwise(F.coalesce("repeats", F.lit("")))
+    return rows.select("query_id", "group_no", "item_no", "chunk_id", "role", F.col("heading").alias("heading_path"), "reason", (same == "").alias("included"), same.alias("duplicate_of"))
 
 
 def first_of_text(rows: DataFrame, text: str, order: list[str], by: list[str]) -> DataFrame:
     """``duplicate_of``: the first row with the same normalised text, or NULL for that row itself."""
-    from pyspark.sql import Window
-
     name = F.lower(clean(F.col(text)))
     first = F.first("chunk_id").over(Window.partitionBy(*by, name).orderBy(*order))
     return rows.withColumn("duplicate_of", F.when((name != "") & (first != F.col("chunk_id")), first))

@@ -32,22 +32,31 @@ def parse_time(value: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00"))
 
 
+#: How questions name days and runs.
+FULL_DATE = r"(20\d{2})[年\-/](\d{1,2})[月\-/](\d{1,2})"
+SHORT_DATE = r"(?<!\d)(\d{1,2})月(\d{1,2})日"
+RUN_DIGITS = r"第\s*(\d+)\s*次"
+RUN_WORD = r"(?:第)?(一|二|三|四|五|六|七|八|九|十)次"
+NUMERALS = "一二三四五六七八九十"
+YESTERDAY, TODAY, PREVIOUS = "昨天", "今天", "上一次"
+
+
 def day_of_question(question: Column, today: Column) -> Column:
     """Day that a question names (yesterday, today, a full date, or a month and day of this year), or NULL."""
-    full = lambda i: F.regexp_extract(question, r"(20\d{2})[年\-/](\d{1,2})[月\-/](\d{1,2})", i)
-    short = lambda i: F.regexp_extract(question, r"(?<!\d)(\d{1,2})月(\d{1,2})日", i)
+    full = lambda i: F.regexp_extract(question, FULL_DATE, i)
+    short = lambda i: F.regexp_extract(question, SHORT_DATE, i)
     day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     return (
-        F.when(F.contains(question, F.lit("昨天")), F.date_sub(today, 1)).when(F.contains(question, F.lit("今天")), today)
+        F.when(F.contains(question, F.lit(YESTERDAY)), F.date_sub(today, 1)).when(F.contains(question, F.lit(TODAY)), today)
         .when(full(1) != "", day(full(1), full(2), full(3))).when(short(1) != "", day(F.year(today).cast("string"), short(1), short(2)))
     )
 
 
 def ordinal_of_question(question: Column) -> Column:
     """Number of the run that a question asks for, or NULL."""
-    digits = F.regexp_extract(question, r"第\s*(\d+)\s*次", 1)
-    word = F.regexp_extract(question, r"(?:第)?(一|二|三|四|五|六|七|八|九|十)次", 1)
-    names = F.array(*[F.lit(c) for c in "一二三四五六七八九十"])
+    digits = F.regexp_extract(question, RUN_DIGITS, 1)
+    word = F.regexp_extract(question, RUN_WORD, 1)
+    names = F.array(*[F.lit(c) for c in NUMERALS])
     return F.when(digits != "", F.try_to_number(digits, F.lit("999999999")).cast("int")).when(word != "", F.array_position(names, word).cast("int"))
 
 
@@ -56,7 +65,7 @@ def select_runs(runs: DataFrame, questions: DataFrame, today: Column) -> DataFra
 
     ``runs``: run_id, source, created_at; ``questions``: question_id, question.
     """
-    asked = questions.select("question_id", day_of_question(F.col("question"), today).alias("day"), ordinal_of_question(F.col("question")).alias("ordinal"), F.contains("question", F.lit("上一次")).alias("previous"))
+    asked = questions.select("question_id", day_of_question(F.col("question"), today).alias("day"), ordinal_of_question(F.col("question")).alias("ordinal"), F.contains("question", F.lit(PREVIOUS)).alias("previous"))
     by = Window.partitionBy("source")
     placed = runs.withColumns({"from_start": F.row_number().over(by.orderBy("created_at", "run_id")), "from_end": F.row_number().over(by.orderBy(F.col("created_at").desc(), "run_id"))})
     wanted = (

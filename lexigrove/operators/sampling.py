@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import random
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,18 +36,34 @@ def coverage_sample(rows: DataFrame, by: str, n: int, seed: int, salt: str, key:
 def pools(rows: DataFrame, filters: list[tuple[str, Column, int]], seed: int, key: str = "chunk_id") -> DataFrame:
     """Quota pools drawn one after the other; what one pool took, later pools take only if they run short.
 
-    Each pool is a top-n of at most twice its quota rows; the used set grows by the quotas only.
+    Before pool i at most the quotas of the pools before it are taken, so the first q1 + ... + qi rows of its own order
+    hold all it can draw.  One scan gives each pool those rows (a top-n for each); the draw itself works on this
+    candidate list, whose size the quotas fix.  A key that several rows have counts once.
     """
-    spark = rows.sparkSession
-    used = spark.createDataFrame([], rows.select(key).schema)
-    out = None
-    for name, condition, quota in filters:
-        own = rows.where(condition).withColumn("stable_key", stable_key(seed, name, F.col(key)))
-        marked = own.join(F.broadcast(used.withColumn("_used", F.lit(1))), key, "left").withColumn("reused", F.col("_used").isNotNull()).drop("_used")
-        taken = marked.orderBy("reused", "stable_key", key).limit(quota).withColumn("pool", F.lit(name))
-        out = taken if out is None else out.unionByName(taken)
-        used = used.unionByName(taken.select(key)).distinct()
-    return out
+    reach, total = {}, 0
+    for name, _, quota in filters:
+        total += quota
+        reach[name] = total
+    offers = F.array_compact(F.array(*[F.when(condition, F.struct(F.lit(n).alias("no"), F.lit(name).alias("pool"), F.lit(reach[name]).alias("reach"), F.lit(quota).alias("quota"), stable_key(seed, name, F.col(key)).alias("stable_key"))) for n, (name, condition, quota) in enumerate(filters)]))
+    offered = rows.select("*", F.explode(offers).alias("_offer")).select(*rows.columns, "_offer.*")
+    place = F.row_number().over(Window.partitionBy("no").orderBy("stable_key", key))
+    candidates = offered.withColumn("place", place).where(F.col("place") <= F.col("reach"))
+
+    def draw(own: pd.DataFrame) -> pd.DataFrame:
+        taken: set = set()
+        drawn = []
+        for (_, quota), pool in own.sort_values(["no", "place"]).groupby(["no", "quota"], sort=True):
+            pool = pool.drop_duplicates(key)
+            reused = pool[key].isin(taken)
+            chosen = pd.concat([pool[~reused].assign(reused=False), pool[reused].assign(reused=True)]).head(quota)
+            taken.update(chosen[key])
+            drawn.append(chosen[[key, "no", "reused"]])
+        return pd.concat(drawn) if drawn else pd.DataFrame({key: [], "no": [], "reused": []})
+
+    kind = rows.schema[key].dataType.simpleString()
+    choice = candidates.select(key, "no", "quota", "place", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda own: draw(own), f"`{key}` {kind}, no int, reused boolean")
+    once = candidates.withColumn("copy", F.row_number().over(Window.partitionBy("no", key).orderBy("place"))).where("copy = 1")
+    return once.join(choice, [key, "no"]).select(*rows.columns, "stable_key", "reused", "pool")
 
 
 def hash_split(key: Column, seed: int = 0, shares: dict[str, float] = SPLITS) -> Column:
@@ -69,44 +81,39 @@ def leakage(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("splits"), F.count("*").alias("n_rows")).where(F.size("splits") > 1)
 
 
+#: Parts of a stratum whose running totals are computed apart.
+PARTS = 64
+
+
 def stratified_split(samples: DataFrame, seed: int, shares: dict[str, float] = SPLITS) -> DataFrame:
-    """(sample_id, split): multilabel stratification over groups of equal digest.
+    """(sample_id, split): multilabel stratification over groups of equal digest, without one task that sees all.
 
-    ``samples``: sample_id, digest, labels.  The rarest open label is served first, by the
-    split that lacks it most.  The choice is sequential, so one task holds the table of
-    groups (digest, label set, size); use ``hash_split`` beyond what a task can hold.
+    ``samples``: sample_id, digest, labels.  A group belongs to the stratum of its rarest label, so rare labels are
+    shared out on their own terms before common ones.  Inside a stratum groups stand in stable random order, larger
+    ones first; each goes to the split on whose share of the stratum's rows its middle falls.  Every split thus gets
+    its share of every stratum to within one group, and of every label about as well.  Running totals have two levels
+    (totals of parts, then inside a part), so a label of most rows is no single task.
     """
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rng = random.Random(seed)
-        groups = [list(g.itertuples()) for _, g in rows.sort_values(["digest", "sample_id"]).groupby("digest", sort=True)]
-        rng.shuffle(groups)
-        labels = [Counter(label for s in g for label in s.labels) for g in groups]
-        kinds = [len({label for s in g for label in s.labels}) for g in groups]
-        total = Counter(label for s in rows["labels"] for label in s)
-        size = {k: len(rows) * v for k, v in shares.items()}
-        want = {k: {label: n * v for label, n in total.items()} for k, v in shares.items()}
-        room, placed = dict(size), dict.fromkeys(shares, 0)
-        left, open_ = set(range(len(groups))), Counter(total)
-        out = []
-        while left:
-            live = [label for label, n in open_.items() if n > 0]
-            rare = min(live, key=lambda x: (open_[x], x)) if live else None
-            fit = [i for i in sorted(left) if rare is None or rare in labels[i]]
-            best = max(fit, key=lambda i: (kinds[i], -len(groups[i]), rng.random()))
-            left.discard(best)
-            open_.subtract(labels[best])
-            own = groups[best]
-            can = [k for k in shares if placed[k] + len(own) <= math.ceil(size[k])] or list(shares)
-            to = max(can, key=lambda k: (want[k].get(rare, 0.0) if rare else 0.0, room[k], sum(max(want[k].get(x, 0.0), 0.0) for x in labels[best]) + rng.random() * 1e-8))
-            placed[to] += len(own)
-            room[to] -= len(own)
-            for label, n in labels[best].items():
-                want[to][label] -= n
-            out += [(s.sample_id, to) for s in own]
-        return pd.DataFrame(out, columns=["sample_id", "split"])
-
-    return samples.select("sample_id", "digest", "labels", F.lit(0).alias("all")).groupBy("all").applyInPandas(assign, "sample_id string, split string")
+    groups = samples.groupBy("digest").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("labels", F.array().cast("array<string>"))))).alias("kinds"))
+    counts = samples.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("held"))
+    rarest = groups.select("digest", F.explode("kinds").alias("label")).join(counts, "label").groupBy("digest").agg(F.min(F.struct("held", "label"))["label"].alias("stratum"))
+    order = stable_key(seed, "split", F.col("digest"))
+    placed = groups.join(rarest, "digest", "left").select("digest", "n", F.coalesce("stratum", F.lit("")).alias("stratum"), order.alias("place"))
+    # larger groups first: parts ascend with the falling logarithm of the size, then with the order
+    size = F.lit(63) - F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    placed = placed.withColumn("part", size * PARTS + F.pmod(F.conv(F.substring("place", 1, 4), 16, 10).cast("int"), F.lit(1 << 16)) * PARTS / (1 << 16)).withColumn("part", F.floor("part"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("stratum", "part").agg(F.sum("n").alias("rows"))
+    of_stratum = Window.partitionBy("stratum")
+    totals = totals.select("stratum", "part", F.sum("rows").over(of_stratum).alias("all"), F.coalesce(F.sum("rows").over(before(of_stratum.orderBy("part"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("stratum", "part").orderBy("place", "digest"))), F.lit(0))
+    middle = (F.col("base") + inside + F.col("n") / 2) / F.col("all")
+    split, edge = None, 0.0
+    for name, share in shares.items():
+        edge += share
+        split = F.when(middle < edge, name) if split is None else split.when(middle < edge, name)
+    found = placed.join(totals, ["stratum", "part"]).withColumn("split", split.otherwise(list(shares)[-1]))
+    return samples.join(found.select("digest", "split"), "digest").select("sample_id", "split")
 
 
 def rare_labels(rows: DataFrame, label: str = "label") -> DataFrame:

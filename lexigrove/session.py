@@ -9,6 +9,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -26,4 +27,4 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 def spread(rows: DataFrame) -> DataFrame:
     """Rows dealt out to all cores if their files give fewer splits than there are cores (small inputs only)."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

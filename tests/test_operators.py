@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions import geometry
+from lexigrove.functions.text import fold, token_count
 from lexigrove.operators import chunking, corpus, evaluation, evidence, folders, gates, history, instances, postings, reconcile, rerank, retrieval, sampling, tables, vectors
 from lexigrove.sources import annotations, files, runs
 from lexigrove.streaming import incremental
@@ -35,11 +36,29 @@ def test_structure_units(spark):
     assert first["source_marker"] == "[KB:d:page:1-2]" and "标准编号：GB50010-2010" in first["text"] and first["parent_id"] == "d:1:parent" and chunks.count() == 4
 
 
-def test_split_text():
+def test_split_text(spark):
+    def run(text, limit, overlap=0):
+        value = F.col("t")
+        r = spark.createDataFrame([(text,)], "t string").select(chunking.split_text(value, limit, overlap).alias("parts")).select("parts", F.transform("parts", token_count).alias("sizes")).first()
+        return r["parts"], r["sizes"]
+
     text = "一二三四五。六七八九十。" * 20
-    parts = chunking.split_text(text, 30, 5)
-    assert all(chunking.count_tokens(p) <= 45 for p in parts) and parts[1].startswith(parts[0][-10:]) and chunking.split_text(" ", 5) == []
-    assert all(len(p) <= 20 for p in chunking.split_text("x" * 95 + " y" * 200, 10))
+    parts, sizes = run(text, 30, 5)
+    assert all(n <= 45 for n in sizes) and parts[1].startswith(parts[0][-10:]) and run(" ", 5) == ([], []) and run(None, 5) == ([], [])
+    assert all(len(p) <= 20 for p in run("x" * 95 + " y" * 200, 10)[0])
+    assert run("One. Two three! Four five six; seven\neight", 4)[0] == ["One. Two three!", "! Four five six;", "; seven eight"]
+
+
+def test_pack_units(spark):
+    rows = spark.createDataFrame([("d", n, f"c{n}", "x" * size) for n, size in enumerate((4, 4, 9, 1, 1, 20, 3))] + [("e", 0, "z", "")], "document_id string, pos int, chunk_id string, text string")
+    got = sorted((r["document_id"], r["unit_no"], r["chunk_ids"], r["n_chars"]) for r in chunking.pack_units(rows, 10).collect())
+    assert got == [("d", 1, ["c0", "c1"], 8), ("d", 2, ["c2", "c3"], 10), ("d", 3, ["c4"], 1), ("d", 4, ["c5"], 20), ("d", 5, ["c6"], 3), ("e", 1, ["z"], 0)]
+
+
+def test_fold_any_script(spark):
+    words = ["Škoda", "ő", "Ünïcödé", "e\u0301a", "Ǻ", "straße", "ά", "日本"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(fold(F.col("w"))).collect()]
+    assert got == ["skoda", "o", "unicode", "ea", "a", "straße", "α", "日本"]
 
 
 def test_fixed_chunks_cover(spark):
@@ -134,6 +153,21 @@ def test_evidence_groups(spark):
     assert got == {"a": (1, True, ""), "p": (1, False, "a"), "b": (2, False, "a"), "z": (3, True, "")}
 
 
+def test_evidence_claims(spark):
+    item = lambda n, c, role, text, parent="", made_for="": ("q", n, c, parent, role, text, ["h"], made_for)
+    rows = [
+        item(1, "a", "anchor", "alpha one"), item(2, "b", "anchor", "beta two", made_for="a"), item(3, "c", "expanded_context", "gamma", made_for="b"), item(4, "d", "anchor", "delta", parent="p"),
+        item(5, "p", "parent_context", "delta and more"), item(6, "e", "expanded_context", "alpha one"), item(7, "r", "anchor", "from a relation"), item(8, "s", "context", "alone"),
+    ]
+    items = spark.createDataFrame(rows, "query_id string, position int, chunk_id string, parent_id string, role string, text string, heading_path array<string>, context_for string")
+    links = spark.createDataFrame([("q", 1, ["e", "r", "none"], ["r"], ["x"], "same_section"), ("q", 2, ["r"], ["r"], [], "again")], "query_id string, relation_no int, chunk_ids array<string>, anchor_chunk_ids array<string>, heading_path array<string>, reason string")
+    found = evidence.group_evidence(items, links).orderBy("group_no", "item_no").collect()
+    # b is taken by a, so it starts no group and c, made for b, stands alone
+    assert [(r["group_no"], r["chunk_id"], r["reason"][:5], r["duplicate_of"]) for r in found] == [
+        (1, "r", "same_", ""), (1, "e", "same_", ""), (2, "a", "paren", "e"), (2, "b", "paren", ""), (3, "d", "paren", ""), (3, "p", "paren", "d"), (4, "c", "stand", ""), (5, "s", "stand", ""),
+    ]
+
+
 def test_rerank_falls_back(spark):
     rows = spark.createDataFrame([(1, "crack width", "a", "no words", 0, 0.0, 0.0, [], False, False), (1, "crack width", "b", "crack width here", 1, 0.0, 0.0, [], False, False)], "query_id int, query string, chunk_id string, text string, position int, semantic_score double, fusion double, heading_path array<string>, anchor boolean, expanded boolean")
     assert [r["chunk_id"] for r in rerank.rerank_baseline(rows, 5).orderBy("rank").collect()] == ["b", "a"]
@@ -176,6 +210,10 @@ def test_splits_do_not_leak(spark):
     assert sampling.leakage(rows.withColumn("split", sampling.hash_split(F.col("digest"))), "digest").count() == 0
     got = sampling.pools(rows.withColumn("chunk_id", F.col("sample_id").cast("string")), [("one", F.col("sample_id") < 5, 4), ("two", F.col("sample_id") < 6, 4)], 1)
     assert got.count() == 8 and got.where("pool = 'two' and reused").count() == 2
+    eight = [(f"p{i}", F.col("sample_id") % 8 >= i // 2, 5) for i in range(8)]
+    many = sampling.pools(rows.withColumn("chunk_id", F.col("sample_id").cast("string")), eight, 3)
+    assert many.count() == 40 and many.where("not reused").select("chunk_id").distinct().count() == many.where("not reused").count()
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + many._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 4
 
 
 def test_reconcile(spark):
