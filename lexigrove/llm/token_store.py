@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import json
 import os
 import re
 import struct
@@ -40,7 +41,7 @@ SAMPLE = 256
 SEGMENT_IDS = 1 << 21
 RANGE_BYTES = 24 << 20
 END_ID = 1
-#: Chunks of text between blanks whose ids a worker remembers.
+#: Words whose ids a worker remembers, in each of two generations.
 MEMORY = 500_000
 
 
@@ -117,22 +118,25 @@ def read_segment(data: bytes) -> tuple[np.ndarray, EliasFano]:
     return np.frombuffer(data, f"<u{width}", n_ids, at[3]), ef
 
 
-class ChunkEncoder:
-    """``tokenizer.encode`` for whole texts, chunk by chunk.
+#: Fixed value: how the tokenizers that ``WordEncoder`` takes split text, and the marks of their special tokens.
+SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPECIAL = "<|"
 
-    This holds for tokenizers whose rules never join characters across a blank and read
-    letters without case, and whose words end with a closing piece: ``encoder_of`` checks the
-    file for these and takes the tokenizer as it is for any other.  Then the ids of a text are those of its chunks between blanks; chunks are
-    remembered in two generations.  A chunk of letters and closing ASCII punctuation is
-    taken apart once more, which those rules do too.  New words of plain letters go to
-    the tokenizer as one text; each ends with the piece that closes a word.
+
+class WordEncoder:
+    """``tokenizer.encode`` for whole texts, word by word.
+
+    For tokenizers that lower-case, split by SPLIT_RULE and encode each part by itself, closing it with a piece of its
+    own: the ids of a text are those of its parts, and parts are remembered in two generations.  Here the rule is
+    spelt out for ASCII and Latin letters; texts with anything else, or with what may be a special token, go to the
+    tokenizer whole.  New parts go to it as one text.
     """
 
-    BLANK = re.compile(r"[ \n\r\t]+")
-    PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?%*#$&]+)")
-    #: Latin letters and ASCII: here lower case is a matter of single characters, and str.split knows the same blanks.
+    LETTER = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+    NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+    #: Here lower case is a matter of single characters, and str knows the same blanks.
     OTHER = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
-    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
@@ -146,56 +150,36 @@ class ChunkEncoder:
         self.kind = np.uint32 if self.wide else np.uint16
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
-        plain = [w for w in words if self.PLAIN.fullmatch(w)]
-        if plain and self.closes.any():
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.kind)
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) == len(plain) and ends[-1] == len(ids):
-                raw, width, start = ids.tobytes(), ids.itemsize, 0
-                for w, end in zip(plain, ends):
-                    out[w] = raw[width * start : width * end]
-                    start = end
-        rest = [w for w in words if w not in out]
-        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
-            out[w] = np.array(found.ids, self.kind).tobytes()
+    def _fresh(self, parts: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.kind)
+        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            return {w: np.array(x.ids, self.kind).tobytes() for w, x in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))}
+        raw, width, start, out = ids.tobytes(), ids.itemsize, 0, {}
+        for w, end in zip(parts, ends):
+            out[w] = raw[width * start : width * end]
+            start = end
         return out
 
     def _find(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the younger generation lacks; they join it."""
-        memory, older = self.memory, self.older
-        known = {c: older[c] for c in missing if c in older}
-        apart, need, parts = {}, set(), {}
-        for chunk in missing:
-            if chunk in known:
-                continue
-            two = self.PARTS.fullmatch(chunk)
-            for part in (chunk,) if two is None else two.groups():
-                found = memory.get(part) or older.get(part)
-                if found is None:
-                    need.add(part)
-                else:
-                    parts[part] = found
-            if two is not None:
-                apart[chunk] = two.groups()
-        parts |= self._fresh(list(need))
-        for chunk in missing:
-            if chunk not in known:
-                known[chunk] = parts[apart[chunk][0]] + parts[apart[chunk][1]] if chunk in apart else parts[chunk]
-        new = known | {core: parts[core] for core, _ in apart.values()}
-        if len(memory) + len(new) > MEMORY:
-            self.older, self.memory = memory, new if len(new) <= MEMORY else {}
+        """Ids of parts that the younger generation lacks; they join it."""
+        older = self.older
+        known = {p: older[p] for p in missing if p in older}
+        need = [p for p in missing if p not in known]
+        if need:
+            known |= self._fresh(need)
+        if len(self.memory) + len(known) > MEMORY:
+            self.older, self.memory = self.memory, known if len(known) <= MEMORY else {}
         else:
-            memory |= new
+            self.memory |= known
         return known
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [self.BLANK.split(t) if self.OTHER.search(t) else t.lower().split() for t in texts]
+        parts = [None if self.OTHER.search(t) or SPECIAL in t else self.PARTS.findall(t.lower()) for t in texts]
         get = self.memory.get
-        got = [list(map(get, c)) for c in chunks]
+        got = [list(map(get, p or ())) for p in parts]
         gaps: list[tuple[list, int, str]] = []
-        for own, found in zip(chunks, got):
+        for own, found in zip(parts, got):
             at = -1
             try:
                 while True:  # list.index walks over what is known without a step of Python
@@ -204,17 +188,18 @@ class ChunkEncoder:
             except ValueError:
                 pass
         if gaps:
-            known = self._find({chunk for _, _, chunk in gaps})
-            for found, at, chunk in gaps:
-                found[at] = known[chunk]
-        return [np.frombuffer(b"".join(found), self.kind) for found in got]
+            known = self._find({part for _, _, part in gaps})
+            for found, at, part in gaps:
+                found[at] = known[part]
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, parts) if p is None], add_special_tokens=False))
+        return [np.array(next(whole).ids, self.kind) if p is None else np.frombuffer(b"".join(found), self.kind) for p, found in zip(parts, got)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
 
 class PlainEncoder:
-    """The tokenizer as it is, for files that ``ChunkEncoder`` does not suit."""
+    """The tokenizer as it is, for files that ``WordEncoder`` does not suit."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -228,16 +213,22 @@ class PlainEncoder:
         return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-#: Texts that tell whether chunks between blanks, and words of them, may be encoded apart.
-_PROBES = ("Ab cd.  EF\tgh!\n\nÉtée, déjà-vu 12,5 % of\u00a0it; naïve words' end", "x  y", " lead and trail ", "a.b,c d!?", "don't we'll")
+def splits_words(path: str) -> bool:
+    """Whether the file's rules are those that ``WordEncoder`` spells out."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    steps = [x.get("type") for x in (rules["normalizer"] or {}).get("normalizers", [])]
+    first = ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    split = first.get("pattern", {}).get("Regex") == SPLIT_RULE and first.get("invert") and first.get("behavior") == "Removed"
+    model = rules["model"]
+    special = all(x["content"].startswith(SPECIAL) for x in rules["added_tokens"])
+    return bool(steps == ["NFC", "Replace", "Lowercase"] and split and special and model.get("type", "BPE") == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"])
 
 
 @functools.lru_cache(maxsize=1)
 def encoder_of(path: str):
     """One encoder for all tasks of a Python worker: what it remembers serves the next task."""
-    chunks, plain = ChunkEncoder(path), PlainEncoder(path)
-    suits = chunks.closes.any() and all((a == b).all() if len(a) == len(b) else False for a, b in zip(chunks.encode_many(list(_PROBES)), plain.encode_many(list(_PROBES))))
-    return ChunkEncoder(path) if suits else plain
+    return (WordEncoder if splits_words(path) else PlainEncoder)(path)
 
 
 SEGMENTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])

@@ -242,11 +242,22 @@ def test_suffix_dedup_odd(spark, odd, none):
     assert sorted(r["n_removed"] > 0 for r in suffix_dedup.remove_repeats(twice).collect()) == [False, True]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab", min_size=3, max_size=3), max_size=20))
-def test_previous_factor(strings):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=8), max_size=20))
+def test_previous_factor_lengths(strings):
     raw = [s.encode() for s in strings]
-    assert suffix_dedup.previous_factor_reaches(raw) == [s in raw[:i] for i, s in enumerate(raw)]
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert suffix_dedup.longest_previous_factors(raw) == [max([common(s, t) for t in raw[:i]], default=0) for i, s in enumerate(raw)]
+
+
+@pytest.mark.parametrize("hot", [1, 4, 10**6])
+def test_hot_anchors_give_the_same(spark, hot):
+    rng = random.Random(12)
+    line = "the very same line of text that stands in every document of this source "
+    passage = words(rng, 40)
+    rows = [(i, words(rng, rng.randint(3, 30)) + " " + line * rng.randint(1, 2) + (passage if rng.random() < 0.3 else "") + words(rng, rng.randint(0, 30))) for i in range(90)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True, block_bytes=2000, hot=hot).collect()}
+    assert got == {i: (b, c, hashlib.sha256(k).hexdigest()) for (i, _), (_, b, c, k) in zip(rows, suffix_dedup.brute_force([t.encode() for _, t in rows]))}
 
 
 # -- op6 -----------------------------------------------------------------------------
@@ -405,16 +416,17 @@ def test_elias_fano_is_small():
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abT.,'s %é \n\t\x1c\xa0İΣ1<|>", max_size=40))
-def test_chunk_encoder(text):
-    encoder = token_store.ChunkEncoder(WORDS)
+def test_word_encoder(text):
+    encoder = token_store.WordEncoder(WORDS)
     assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files(spark, odd, none):
     segments = token_store.encode_segments(odd, WORDS, range_bytes=4000)
     got = sorted((r for r in token_store.read_back(token_store.materialise(segments, "t")).collect()), key=lambda r: r["start"])
-    encoder = token_store.ChunkEncoder(WORDS)
-    rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    encoder = token_store.WordEncoder(WORDS)
+    order = {r["i"]: r["h"] for r in spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(ODD)], "i int, t string").select("i", F.xxhash64("t").alias("h")).collect()}
+    rows = [r for _, r in sorted(enumerate(ODD), key=lambda x: (x[1][0] is not None, x[1][0] or 0, order[x[0]]))]
     start = 0
     for r, (doc_id, text) in zip(got, rows, strict=True):
         ids = [*encoder.encode(text or "").tolist(), 1]
