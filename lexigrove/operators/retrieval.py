@@ -9,8 +9,14 @@ ordering ends with chunk_id, so results are reproducible.
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import reciprocal_rank
 from ..functions.text import clauses, normal_standard, normal_title, query_terms, route, standards
@@ -36,21 +42,120 @@ _COLUMNS = ("query_id", "chunk_id", "document_id", "channel", "rank", "score", "
 
 
 def bm25_channel(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Field-weighted BM25; statistics over all retrieval rows, scope applied before the cut."""
+    """Field-weighted BM25; statistics over all retrieval rows, scope applied before the cut.  The score is negative, as in full-text engines: less is better; nine decimals, so that ties are ties."""
     index = chunks.where("retrieval_role = 'retrieval' AND text_search <> ''")
     fields = {f: w for f, w in FIELD_WEIGHTS.items() if f in chunks.columns}
     asked = queries.select("query_id", "scope", query_terms(F.col("text")).alias("terms"))
-    scored = bm25(index, asked, 1 << 30, fields).drop("rank").withColumn("score", -F.col("score"))
-    placed = scored.join(index.select("chunk_id", "document_id"), "chunk_id").join(asked, "query_id").where(in_scope(F.col("scope"), F.col("document_id")))
-    return _ranked(placed, "bm25", k, F.col("score"), F.col("chunk_id")).select(*_COLUMNS)
+    scored = bm25(index, asked, k, fields, round_to=9, scoped="document_id").withColumns({"score": -F.col("score"), "channel": F.lit("bm25")})
+    return scored.join(asked.select("query_id", "terms"), "query_id").select(*_COLUMNS)
+
+
+#: Questions whose terms or vectors one task holds at a time.
+BLOCK = 4096
+
+
+def _blocks(rows: DataFrame, size: int = BLOCK):
+    """Lists of at most ``size`` rows: what a broadcast holds is bounded, further blocks are passes of their own."""
+    held = []
+    for row in rows.toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _passes(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def like_channel(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Literal substring match of up to 24 terms, ASCII case ignored, in storage order."""
+    """Literal substring match of up to 24 terms, ASCII case ignored, in storage order.
+
+    One automaton of a block's terms reads each text once, whatever the number of terms; a task keeps the first k rows
+    of each question, so the result before ranking has k rows a question and task.
+    """
     asked = queries.select("query_id", "scope", F.slice(F.filter(query_terms(F.col("text")), lambda t: F.length(t) >= 2), 1, 24).alias("terms")).where(F.size("terms") > 0)
-    rows = chunks.where("retrieval_role = 'retrieval'").withColumn("_low", F.lower("text_search"))
-    met = rows.join(asked, in_scope(F.col("scope"), F.col("document_id")) & F.exists("terms", lambda t: F.contains(F.col("_low"), t)))
-    return _ranked(met.withColumn("score", F.lit(0.0)), "like", k, *[F.col(c) for c in STORAGE]).select(*_COLUMNS)
+    rows = chunks.where("retrieval_role = 'retrieval'").select(*[F.col(c).cast("string").alias(f"s{i}") for i, c in enumerate(STORAGE)], F.lower("text_search").alias("low"), *STORAGE)
+    kinds = chunks.select(*STORAGE).schema
+    schema = T.StructType([T.StructField("q", T.IntegerType()), *kinds])
+    session = chunks.sparkSession
+    numbered = T.StructType([T.StructField("q", T.IntegerType()), *queries.select("query_id").schema])
+    parts = []
+    for block in _blocks(asked):
+        terms: dict[str, list[int]] = {}
+        for n, row in enumerate(block):
+            for term in dict.fromkeys(row["terms"]):
+                terms.setdefault(term, []).append(n)
+        scopes = [None if row["scope"] is None else frozenset(map(str, row["scope"])) for row in block]
+        shared = session.sparkContext.broadcast((terms, scopes))
+        found = rows.mapInArrow(_first_holding(shared, k, schema.names), schema)
+        names = session.createDataFrame([(n, row["query_id"]) for n, row in enumerate(block)], numbered)
+        parts.append(found.join(F.broadcast(names), "q").drop("q"))
+    met = _passes(parts, chunks.select(*STORAGE).limit(0).join(queries.select("query_id").limit(0), F.lit(True)))
+    ranked = _ranked(met.withColumn("score", F.lit(0.0)), "like", k, *[F.col(c) for c in STORAGE])
+    return ranked.join(asked.select("query_id", "terms"), "query_id").select(*_COLUMNS)
+
+
+def _matcher(terms: dict[str, list[int]]):
+    """Function from a text to the numbers of the questions that have a term in it."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda low: {n for term, own in terms.items() if term in low for n in own}
+    automaton = ahocorasick.Automaton()
+    for term, own in terms.items():
+        automaton.add_word(term, term)
+    automaton.make_automaton()
+
+    def held(low: str) -> set[int]:
+        return {n for term in {term for _, term in automaton.iter(low)} for n in terms[term]}
+
+    return held
+
+
+def _first_holding(shared, k: int, names: list[str]):
+    def run(batches):
+        terms, scopes = shared.value
+        held = _matcher(terms)
+        best: list[list] = [[] for _ in scopes]  # the k first rows of each question, as a heap with the last one on top
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(4, 7)]
+            for a, b, c, low, *own in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if not low:
+                    continue
+                place = _Last(own)
+                for n in held(low):
+                    if scopes[n] is not None and a not in scopes[n]:
+                        continue
+                    heap = best[n]
+                    if len(heap) < k:
+                        heapq.heappush(heap, place)
+                    elif place.before(heap[0]):
+                        heapq.heapreplace(heap, place)
+        rows = [(n, *place.key) for n, heap in enumerate(best) for place in heap]
+        if rows:
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], names=names)
+
+    return run
+
+
+class _Last:
+    """A storage key that sorts backwards, so that a heap's top is the last row; nulls come first in storage order."""
+
+    __slots__ = ("key", "rank")
+
+    def __init__(self, key: list):
+        self.key, self.rank = tuple(key), tuple((x is not None, x) if x is not None else (False, "") for x in key)
+
+    def __lt__(self, other: "_Last") -> bool:
+        return other.rank < self.rank
+
+    def before(self, other: "_Last") -> bool:
+        return self.rank < other.rank
 
 
 def exact_channel(chunks: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
@@ -62,16 +167,39 @@ def exact_channel(chunks: DataFrame, queries: DataFrame, k: int, kind: str) -> D
     return ranked.withColumn("terms", F.array("value")).select(*_COLUMNS)
 
 
+#: Characters of the pieces by which titles and questions meet.
+GRAM = 4
+
+
+def _grams(value: Column) -> Column:
+    """Distinct pieces of GRAM characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(value) - (GRAM - 1)), lambda i: F.substring(value, i, F.lit(GRAM))))
+
+
+def _one_gram(value: Column) -> Column:
+    """The piece with the least hash: a rare one as likely as any, and the same wherever the text stands."""
+    return F.array_min(F.transform(_grams(value), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+
+
+def contained_titles(titles: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs of ``titles`` (title) and ``asked`` (q, at least GRAM characters) where one contains the other; titles shorter than GRAM contain nothing.
+
+    What contains a text contains each of its pieces: one piece of the shorter meets all pieces of the longer, by equality.
+    """
+    long_titles = titles.where(F.length("title") >= GRAM)
+    wider = long_titles.withColumn("g", F.explode(_grams(F.col("title")))).join(asked.withColumn("g", _one_gram(F.col("q"))), "g").where(F.contains("title", F.col("q")))
+    inside = long_titles.withColumn("g", _one_gram(F.col("title"))).join(asked.withColumn("g", F.explode(_grams(F.col("q")))), "g").where(F.contains("q", F.col("title")))
+    return wider.drop("g").unionByName(inside.drop("g").where(F.col("title") != F.col("q")))
+
+
 def title_channel(chunks: DataFrame, documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """One seed chunk per document whose title equals, or else contains or is contained in, the question.
 
     Titles are matched on the documents, not on their chunks.  Only questions without a scope.
     """
-    asked = queries.where(F.col("scope").isNull()).select("query_id", F.array("text").alias("terms"), normal_title(F.col("text")).alias("q")).where(F.length("q") >= 4)
+    asked = queries.where(F.col("scope").isNull()).select("query_id", F.array("text").alias("terms"), normal_title(F.col("text")).alias("q")).where(F.length("q") >= GRAM)
     titles = documents.select("document_id", normal_title(F.col("source_name")).alias("title")).where("title <> ''")
-    exact = F.col("q") == F.col("title")
-    near = F.contains(F.col("q"), F.col("title")) & (F.length("title") >= 4) | F.contains(F.col("title"), F.col("q"))
-    met = titles.join(asked, exact | near).withColumn("exact", exact)
+    met = contained_titles(titles, asked).withColumn("exact", F.col("q") == F.col("title"))
     met = met.withColumn("any_exact", F.max("exact").over(Window.partitionBy("query_id"))).where("exact = any_exact")
     order = ("primary_page", "location", "part", "chunk_id")
     first = Window.partitionBy("document_id").orderBy(*order)
@@ -86,21 +214,69 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def semantic_channel(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` by cosine; the scope is applied before the cut.
+    """Top ``k`` by cosine; the scope is applied before the cut.  Exact: every question is compared with every vector in its scope.
 
-    ``vectors``: chunk_id, document_id, embedding; ``query_vectors``: query_id, scope,
-    embedding.  Every question is compared with every vector in its scope, in blocks of a
-    broadcast question set when it is small enough for the planner, else by a nested loop
-    over partitions; only k rows a question leave each task (``WindowGroupLimit``).
+    ``vectors``: chunk_id, document_id, embedding; ``query_vectors``: query_id, scope, embedding.  A block of questions
+    is a matrix that each task multiplies its batches with; a task keeps the k best rows of each question (ties by
+    chunk_id), so the result before ranking has k rows a question and task.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v)))
-    left = vectors.select("chunk_id", "document_id", unit(F.col("embedding")).alias("v"))
-    right = query_vectors.select("query_id", "scope", unit(F.col("embedding")).alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    met = left.join(right, in_scope(F.col("scope"), F.col("document_id"))).withColumn("score", dot)
+    rows = vectors.select("chunk_id", F.col("document_id"), F.col("document_id").cast("string").alias("_scope"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    kinds = vectors.select("chunk_id", "document_id").schema
+    schema = T.StructType([T.StructField("q", T.IntegerType()), *kinds, T.StructField("score", T.DoubleType())])
+    session = vectors.sparkSession
+    numbered = T.StructType([T.StructField("q", T.IntegerType()), *query_vectors.select("query_id").schema])
+    parts = []
+    for block in _blocks(query_vectors.select("query_id", "scope", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")):
+        matrix = np.array([row["v"] for row in block], np.float64)
+        scopes = [None if row["scope"] is None else frozenset(map(str, row["scope"])) for row in block]
+        shared = session.sparkContext.broadcast((matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300), scopes))
+        found = rows.mapInArrow(_nearest(shared, k, schema.names), schema)
+        names = session.createDataFrame([(n, row["query_id"]) for n, row in enumerate(block)], numbered)
+        parts.append(found.join(F.broadcast(names), "q").drop("q"))
+    met = _passes(parts, vectors.select("chunk_id", "document_id", F.lit(0.0).alias("score")).limit(0).join(query_vectors.select("query_id").limit(0), F.lit(True)))
     return _ranked(met.withColumn("terms", F.array().cast("array<string>")), "semantic", k, F.col("score").desc(), F.col("chunk_id")).select(*_COLUMNS)
 
 
+def _nearest(shared, k: int, names: list[str]):
+    def run(batches):
+        questions, scopes = shared.value
+        best = [([], [], []) for _ in scopes]  # scores, chunk ids, document ids
+        floor = np.full(len(scopes), -np.inf)
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in (0, 1)]
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids, docs, labels = (part.column(i).to_pylist() for i in range(3))
+                flat = part.column(3).flatten().to_numpy(zero_copy_only=False)
+                if len(flat) != part.num_rows * questions.shape[1]:
+                    raise ValueError("vectors and questions differ in dimension")
+                matrix = flat.reshape(part.num_rows, -1)
+                size = np.linalg.norm(matrix, axis=1, keepdims=True)
+                scores = questions @ (matrix / np.where(size > 0, size, np.nan)).T
+                for n, scope in enumerate(scopes):
+                    row = scores[n]
+                    hit = np.flatnonzero(row >= floor[n])  # not a number meets nothing
+                    if scope is not None:
+                        hit = [i for i in hit.tolist() if labels[i] in scope]
+                    if not len(hit):
+                        continue
+                    values, keys, places = best[n]
+                    values.extend(row[hit].tolist())
+                    keys.extend(ids[i] for i in hit)
+                    places.extend(docs[i] for i in hit)
+                    if len(values) > k:
+                        order = sorted(range(len(values)), key=lambda i: (-values[i], keys[i]))[:k]
+                        best[n] = tuple([x[i] for i in order] for x in best[n])
+                        floor[n] = best[n][0][-1]
+        rows = [(n, key, place, value) for n, (values, keys, places) in enumerate(best) for value, key, place in zip(values, keys, places)]
+        if rows:
+            q, keys, places, values = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(keys, kinds[0]), pa.array(places, kinds[1]), pa.array(values, pa.float64())], names=names)
+
+    return run
+
+
 def fuse(channels: DataFrame, weights: Column, fusion_k: int = 60) -> DataFrame:
     """Weighted reciprocal ranks summed for each chunk of each question.
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import reciprocal_rank
-from ..functions.text import basename, index_tokens, normal_title, route
-from ..operators import evidence, retrieval
+from ..functions.text import basename, index_tokens, route
+from ..operators import evidence, retrieval, search
 from ..operators.evaluation import query_metrics, scope_leaks, summary
 from ..operators.postings import bm25, phrase_hits, postings, tokenised
-from ..operators.rerank import question_words
+from ..operators.rerank import rerank_baseline
 from .common import benchmark_queries, documents, read
 
 QUERY_TERMS_SQL = r"""
@@ -21,6 +21,35 @@ q AS (
         FROM (SELECT item_id, text, list_filter(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2) AS toks FROM benchmark))
 )"""
 
+#: The operators' own terms of a question: ASCII words and dotted numbers of two characters or more, 24 at most.
+OPERATOR_TERMS_SQL = r"""
+q3 AS (
+  SELECT query_id, text, list_filter(a, lambda t, i: list_position(a, t) = i)[1:24] AS terms
+  FROM (SELECT item_id AS query_id, text, list_concat(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*|\d+(?:\.\d+)+|[一-鿿]+'), lambda x: lower(x)), lambda x: length(x) >= 2),
+          regexp_extract_all(text, '(?:第\s*)?([0-9]+(?:\.[0-9]+){1,5})(?:\s*条)?', 1)) AS a FROM benchmark)
+)"""
+#: Ranks of the BM25 channel (field weight 2) and of the substring channel, 32 at most each.
+CHANNEL_CTES = (
+    OPERATOR_TERMS_SQL
+    + r""",
+tok3 AS (SELECT doc_id, source, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS toks FROM documents WHERE text <> ''),
+stats3 AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_tokens FROM tok3),
+qt3 AS (SELECT query_id, unnest(terms) AS term FROM q3),
+tf3 AS (SELECT doc_id, term, 2.0 * count(*) AS f FROM (SELECT doc_id, unnest(toks) AS term FROM tok3) WHERE term IN (SELECT term FROM qt3) GROUP BY 1, 2),
+df3 AS (SELECT term, count(*) AS doc_freq FROM tf3 GROUP BY 1),
+sc3 AS (
+  SELECT query_id, tf3.doc_id,
+         round(sum(CASE WHEN ln((n_docs - doc_freq + 0.5) / (doc_freq + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - doc_freq + 0.5) / (doc_freq + 0.5)) END
+             * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(toks) / avg_tokens))), 9) AS score
+  FROM tf3 JOIN df3 USING (term) JOIN qt3 USING (term) JOIN tok3 USING (doc_id), stats3 GROUP BY 1, 2
+),
+lex3 AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc3) WHERE rank <= 32),
+sub3 AS (
+  SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY source, lang, doc_id) AS rank
+                 FROM (SELECT DISTINCT query_id, doc_id, source, lang FROM documents JOIN qt3 ON contains(lower(text), term))) WHERE rank <= 32
+)"""
+)
+
 BM25_CTES = (
     r"""
 tok AS (SELECT doc_id, source, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS toks FROM documents),
@@ -96,71 +125,65 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places where the first three tokens of a benchmark text stand together."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(index_tokens(F.col("text")), 1, 3), " ").alias("phrase"))
+    """Places where all tokens of a benchmark text stand together."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
     found = phrase_hits(documents(spark, sf_dir), b, {"text_search": 1.0})
     return found.groupBy("query_id", F.col("chunk_id").alias("doc_id")).agg(F.count("*").alias("n_hits"))
 
 
-PHRASE_MATCH = r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents),
-pos AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
-q AS (SELECT item_id AS query_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM benchmark)
-SELECT query_id, doc_id, count(*) AS n_hits FROM q JOIN pos ON a = q.w[1] AND b = q.w[2] AND c = q.w[3] GROUP BY 1, 2
+PHRASE_CTES = r"""
+t AS (SELECT doc_id, source, lang, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents),
+ph AS (SELECT item_id AS query_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS p FROM benchmark),
+pos AS (SELECT doc_id, w, i, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+met AS (SELECT query_id, doc_id, i FROM ph JOIN pos ON a = p[1] AND (len(p) = 1 OR b = p[2]) WHERE len(p) > 0 AND w[i:i + len(p) - 1] = p)
 """
+PHRASE_MATCH = f"WITH {PHRASE_CTES} SELECT query_id, doc_id, count(*) AS n_hits FROM met GROUP BY 1, 2"
 
 
-def _holding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that holds the first 24 characters of a benchmark text, with its query_id."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.substring("text", 1, 24)).alias("needle"))
-    d = documents(spark, sf_dir).withColumn("low", F.lower("text_search"))
-    return d.join(F.broadcast(b) if b.count() <= 100_000 else b, F.contains("low", F.col("needle")))
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as unscoped questions."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("array<string>").alias("scope"))
 
 
 def like_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substring channel in storage order: documents that hold the first 24 characters of a benchmark text."""
-    order = Window.partitionBy("query_id").orderBy("document_id", "location", "chunk_id")
-    return _holding(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 32").select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+    """Substring channel in storage order: documents that hold any term of a benchmark text."""
+    found = retrieval.like_channel(documents(spark, sf_dir), _questions(spark, sf_dir), 32)
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
 
 
-LIKE_CHANNEL = """
-SELECT query_id, doc_id, rank FROM (
-  SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY source, lang, doc_id) AS rank
-  FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 24)))
-) WHERE rank <= 32
-"""
+LIKE_CHANNEL = f"WITH {CHANNEL_CTES} SELECT query_id, doc_id, rank FROM sub3"
 
 
 def exact_id_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact identifiers: parts of a brand, spelt with other spacing and case, ranked in storage order."""
+    """Parts by a standard number that the question spells with other spacing and case, ranked in storage order."""
     part = read(spark, sf_dir, "part")
-    asked = part.select(F.lower(F.regexp_replace("p_brand", r"\s+|#", "")).alias("value")).distinct()
-    rows = part.withColumn("value", F.lower(F.regexp_replace("p_brand", r"\s+|#", "")))
-    order = Window.partitionBy("value").orderBy("p_type", "p_partkey")
-    met = rows.join(asked, "value").withColumn("rank", F.row_number().over(order)).where("rank <= 20")
-    return met.select("value", "p_partkey", F.col("rank").cast("long").alias("rank"), F.round(reciprocal_rank(F.col("rank"), 8.0), 9).alias("gain"))
+    number = F.lpad(F.pmod(F.col("p_partkey"), F.lit(60)).cast("string"), 4, "0")
+    chunks = part.select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("document_id"), F.col("p_type").alias("location"), F.concat(F.lit("GB "), number, F.lit("—2010")).alias("standard_number"), F.lit("").alias("clause_number"), F.lit("retrieval").alias("retrieval_role"))
+    asked = spark.range(60).select(F.col("id").alias("query_id"), F.concat(F.lit("what does gb"), F.lpad(F.col("id").cast("string"), 4, "0"), F.lit("-2010 say of it")).alias("text"), F.lit(None).cast("array<string>").alias("scope"))
+    found = retrieval.exact_channel(chunks, asked, 20, "standard_exact")
+    return found.select(F.element_at("terms", 1).alias("value"), F.col("chunk_id").alias("p_partkey"), F.col("rank").cast("long").alias("rank"), F.round(reciprocal_rank(F.col("rank"), 8.0), 9).alias("gain"))
 
 
 EXACT_ID = r"""
 SELECT value, p_partkey, rank, round(8.0 / (60 + rank), 9) AS gain FROM (
-  SELECT lower(regexp_replace(p_brand, '\s+|#', '', 'g')) AS value, p_partkey, row_number() OVER (PARTITION BY lower(regexp_replace(p_brand, '\s+|#', '', 'g')) ORDER BY p_type, p_partkey) AS rank FROM part
+  SELECT concat('gb', lpad(CAST(p_partkey % 60 AS VARCHAR), 4, '0'), '-2010') AS value, p_partkey, row_number() OVER (PARTITION BY p_partkey % 60 ORDER BY p_brand, p_type, p_partkey) AS rank FROM part
 ) WHERE rank <= 20
 """
 
 
 def title_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose normalised title contains, or is contained in, a question; equal titles hide contained ones."""
-    pages = read(spark, sf_dir, "pages").select("page_id", normal_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
-    asked = read(spark, sf_dir, "pages").where("page_id % 20 = 0").select(F.col("page_id").alias("query_id"), normal_title(F.substring(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), 1, 40)).alias("q")).where(F.length("q") >= 4)
-    exact = F.col("q") == F.col("title")
-    near = F.contains("title", F.col("q")) | ((F.length("title") >= 4) & F.contains("q", F.col("title")))
-    met = pages.where("title <> ''").join(asked, exact | near).withColumn("exact", exact)
-    return met.withColumn("any_exact", F.max("exact").over(Window.partitionBy("query_id"))).where("exact = any_exact").select("query_id", "page_id", "exact")
+    """Pages whose normalised title contains, or is contained in, a question (the heading of every 20th page); equal titles hide contained ones; 64 a question."""
+    pages = read(spark, sf_dir, "pages")
+    names = pages.select(F.col("page_id").alias("document_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("source_name"))
+    chunks = pages.select(F.col("page_id").alias("chunk_id"), F.col("page_id").alias("document_id"), F.col("url").alias("location"), F.lit(0).alias("part"), F.lit(1).alias("primary_page"), F.lit("retrieval").alias("retrieval_role"))
+    asked = pages.where("page_id % 20 = 0").select(F.col("page_id").alias("query_id"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("text"), F.lit(None).cast("array<string>").alias("scope"))
+    found = retrieval.title_channel(chunks, names, asked, 64)
+    return found.select("query_id", F.col("chunk_id").alias("page_id"), F.col("rank").cast("long").alias("rank"))
 
 
 TITLE_CHANNEL = r"""
 WITH n AS (
-  SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, substr(regexp_extract(html, '<h1>([^<]*)</h1>', 1), 1, 40) AS h FROM pages
+  SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages
 ), m AS (
   SELECT page_id, regexp_replace(trim(regexp_replace(lower(regexp_replace(t, '(?i)\.(?:pdf|docx?|txt|md)$', '')), '(?:\(\d+\)|（\d+）)$', '')), '[^0-9a-z一-鿿]+', '', 'g') AS title,
          regexp_replace(trim(regexp_replace(lower(regexp_replace(h, '(?i)\.(?:pdf|docx?|txt|md)$', '')), '(?:\(\d+\)|（\d+）)$', '')), '[^0-9a-z一-鿿]+', '', 'g') AS q
@@ -169,7 +192,7 @@ WITH n AS (
   SELECT a.page_id AS query_id, b.page_id, a.q = b.title AS exact FROM m a JOIN m b ON b.title <> '' AND (a.q = b.title OR contains(b.title, a.q) OR (length(b.title) >= 4 AND contains(a.q, b.title)))
   WHERE a.page_id % 20 = 0 AND length(a.q) >= 4
 )
-SELECT query_id, page_id, exact FROM (SELECT *, max(exact) OVER (PARTITION BY query_id) AS any_exact FROM met) WHERE exact = any_exact
+SELECT * FROM (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS rank FROM (SELECT *, max(exact) OVER (PARTITION BY query_id) AS any_exact FROM met) WHERE exact = any_exact) WHERE rank <= 64
 """
 
 
@@ -200,46 +223,44 @@ SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 """
 
 
-RRF_CTES = f"""{QUERY_TERMS_SQL}, {BM25_CTES},
-lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc),
-sub AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY source, lang, doc_id) AS rank FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 24)))),
-ch AS (SELECT query_id, doc_id, 'bm25' AS channel, rank, 1.0 / (60 + rank) AS gain FROM lex WHERE rank <= 32 UNION ALL SELECT query_id, doc_id, 'like', rank, 0.35 / (60 + rank) FROM sub WHERE rank <= 32),
-fused AS (SELECT query_id, doc_id, round(sum(gain), 9) AS fusion, min(CASE WHEN channel = 'bm25' THEN rank END) AS lex_rank, min(CASE WHEN channel = 'like' THEN rank END) AS sub_rank FROM ch GROUP BY 1, 2)
-"""
-
-
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = _bm25(spark, sf_dir, 32).select("query_id", F.col("chunk_id").alias("doc_id"), F.lit("bm25").alias("channel"), "rank", F.lit(1.0).alias("w"))
-    sub = like_channel(spark, sf_dir).select("query_id", "doc_id", F.lit("like").alias("channel"), "rank", F.lit(0.35).alias("w"))
-    return lex.unionByName(sub)
-
-
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _channels(spark, sf_dir).withColumn("gain", reciprocal_rank(F.col("rank"), F.col("w")))
-    pick = lambda c: F.min(F.when(F.col("channel") == c, F.col("rank"))).cast("long")
-    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 9).alias("fusion"), pick("bm25").alias("lex_rank"), pick("like").alias("sub_rank"))
+    chunks, asked = documents(spark, sf_dir), _questions(spark, sf_dir)
+    return retrieval.bm25_channel(chunks, asked, 32).unionByName(retrieval.like_channel(chunks, asked, 32))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("fusion").desc(), "doc_id")
-    return _fused(spark, sf_dir).withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10")
+    """Weighted reciprocal ranks of the BM25 and substring channels, ten documents a question."""
+    weight = F.when(F.col("channel") == "like", retrieval.CHANNEL_WEIGHTS["like"]).otherwise(1.0)
+    found = retrieval.plain_order(retrieval.fuse(_channels(spark, sf_dir), weight), 10)
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("fusion", 9).alias("fusion"), F.array_join("channels", ",").alias("channels"), F.col("rank").cast("long").alias("rank"))
 
 
-RRF_FUSION = f"WITH {RRF_CTES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, doc_id) AS rank FROM fused) WHERE rank <= 10"
+RRF_CTES = f"""{CHANNEL_CTES},
+fused AS (
+  SELECT query_id, doc_id, coalesce(1.0 / (60 + l.rank), 0) AS lex_gain, l.rank AS lex_rank, s.rank AS sub_rank, coalesce(-l.score, 0.0) AS score
+  FROM lex3 l FULL JOIN sub3 s USING (query_id, doc_id)
+)"""
+RRF_FUSION = f"""
+WITH {RRF_CTES}, f AS (SELECT *, lex_gain + coalesce(0.35 / (60 + sub_rank), 0) AS fusion FROM fused)
+SELECT query_id, doc_id, round(fusion, 9) AS fusion, concat_ws(',', CASE WHEN lex_rank IS NOT NULL THEN 'bm25' END, CASE WHEN sub_rank IS NOT NULL THEN 'like' END) AS channels, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, score, doc_id) AS rank FROM f) WHERE rank <= 10
+"""
 
 
 def adaptive_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order by tiers: three reserved by the substring channel, three by BM25, then the rest by fusion."""
-    tier = F.when(F.col("sub_rank") <= 3, 0).when(F.col("lex_rank") <= 3, 1).otherwise(2)
-    inside = F.when(tier == 0, F.col("sub_rank").cast("double")).when(tier == 1, F.col("lex_rank").cast("double")).otherwise(-F.col("fusion"))
-    rows = _fused(spark, sf_dir).withColumn("tier", tier)
-    order = Window.partitionBy("query_id").orderBy("tier", inside, "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10").select("query_id", "doc_id", F.col("tier").cast("int").alias("tier"), "rank")
+    """Final order with reserves of three lexical and three semantic rows; the substring channel stands in for the semantic one."""
+    rows = _channels(spark, sf_dir)
+    rows = rows.withColumn("score", F.when(F.col("channel") == "like", -F.col("rank").cast("double")).otherwise(F.col("score"))).withColumn("channel", F.when(F.col("channel") == "like", "semantic").otherwise(F.col("channel")))
+    fused = retrieval.fuse(rows, F.when(F.col("channel") == "semantic", 2.0).otherwise(1.0))
+    found = retrieval.reserve(fused, F.lit(3), F.lit(3), 10)
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("tier").cast("int").alias("tier"), F.col("rank").cast("long").alias("rank"))
 
 
 ADAPTIVE_RESERVE = f"""
-WITH {RRF_CTES}, t AS (SELECT *, CAST(CASE WHEN sub_rank <= 3 THEN 0 WHEN lex_rank <= 3 THEN 1 ELSE 2 END AS INTEGER) AS tier FROM fused)
-SELECT query_id, doc_id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE tier WHEN 0 THEN CAST(sub_rank AS DOUBLE) WHEN 1 THEN CAST(lex_rank AS DOUBLE) ELSE -fusion END, doc_id) AS rank FROM t) WHERE rank <= 10
+WITH {RRF_CTES}, f AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lex_gain + coalesce(2.0 / (60 + sub_rank), 0) DESC, coalesce(nullif(score, 0.0), -sub_rank), doc_id) AS any_rank FROM fused
+), t AS (SELECT *, CAST(CASE WHEN lex_rank <= 3 THEN 1 WHEN sub_rank <= 3 THEN 2 ELSE 3 END AS INTEGER) AS tier FROM f)
+SELECT query_id, doc_id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE tier WHEN 1 THEN lex_rank WHEN 2 THEN sub_rank ELSE any_rank END, doc_id) AS rank FROM t) WHERE rank <= 10
 """
 
 
@@ -261,78 +282,170 @@ SELECT source, doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS text_h
 def scoped_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that no document holds word for word get the first rows of their scope in storage order."""
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("scope"))
-    hit = like_channel(spark, sf_dir).select("query_id")
-    found = retrieval.scoped_fallback(documents(spark, sf_dir), q, hit, 3)
+    found = retrieval.scoped_fallback(documents(spark, sf_dir), q, phrase_match(spark, sf_dir), 3)
     return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
 
 
-SCOPED_FALLBACK = """
-WITH hit AS (SELECT DISTINCT item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 24))))
+SCOPED_FALLBACK = f"""
+WITH {PHRASE_CTES}
 SELECT query_id, doc_id, rank FROM (
   SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY source, lang, doc_id) AS rank
-  FROM benchmark b JOIN documents d ON d.source = concat('src', item_id % 20) WHERE item_id NOT IN (SELECT item_id FROM hit)
+  FROM benchmark b JOIN documents d ON d.source = concat('src', item_id % 20) WHERE item_id NOT IN (SELECT query_id FROM met)
 ) WHERE rank <= 3
 """
 
 
-def parent_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each ranked document followed by its parent (the first document of its source), once per question."""
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as children of one context row for each source; the heading is the language."""
     d = documents(spark, sf_dir)
-    first = d.groupBy("document_id").agg(F.min("chunk_id").alias("parent_id"))
-    ranked = _bm25(spark, sf_dir, 10).join(d.select("chunk_id", "document_id"), "chunk_id").join(first, "document_id").where("chunk_id <> parent_id")
-    window = Window.partitionBy("query_id", "parent_id").orderBy("rank")
-    kept = ranked.withColumn("n", F.row_number().over(window)).where("n = 1")
-    return kept.select("query_id", F.col("chunk_id").alias("doc_id"), "parent_id", (F.col("rank") + 0.5).alias("position"))
+    child = d.select(F.format_string("d%09d", "chunk_id").alias("chunk_id"), "document_id", "location", "part", "primary_page", "text", "retrieval_role", F.concat(F.lit("p:"), "document_id").alias("parent_id"), F.array("location").alias("heading_path"))
+    parent = d.select("document_id").distinct().select(
+        F.concat(F.lit("p:"), "document_id").alias("chunk_id"), "document_id", F.lit("").alias("location"), F.lit(0).alias("part"), F.lit(1).alias("primary_page"), F.concat(F.lit("about "), "document_id").alias("text"),
+        F.lit("context_only").alias("retrieval_role"), F.lit("").alias("parent_id"), F.array().cast("array<string>").alias("heading_path"),
+    )
+    return child.unionByName(parent)
+
+
+def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The first ``k`` documents of each question as rows of the tree."""
+    best = _bm25(spark, sf_dir, k).select("query_id", F.format_string("d%09d", "chunk_id").alias("chunk_id"), "rank")
+    return best.join(_tree(spark, sf_dir), "chunk_id")
 
 
+def parent_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ranked document followed by its parent, once per question, at the first child that names it."""
+    found = retrieval.hydrate_parents(_ranked(spark, sf_dir, 10), _tree(spark, sf_dir))
+    return found.select("query_id", "chunk_id", "position", "role", "context_for")
+
+
+TOP_CTES = f"{QUERY_TERMS_SQL}, {BM25_CTES}, r AS (SELECT query_id, doc_id, printf('d%09d', doc_id) AS chunk_id, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc))"
 PARENT_HYDRATION = f"""
-WITH {QUERY_TERMS_SQL}, {BM25_CTES}, r AS (SELECT query_id, doc_id, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10),
-p AS (SELECT source, min(doc_id) AS parent_id FROM documents GROUP BY source)
-SELECT query_id, doc_id, parent_id, CAST(rank + 0.5 AS DOUBLE) AS position FROM (SELECT r.*, parent_id, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM r JOIN p USING (source) WHERE doc_id <> parent_id) WHERE n = 1
+WITH {TOP_CTES}, top AS (SELECT * FROM r WHERE rank <= 10)
+SELECT query_id, chunk_id, CAST(rank AS DOUBLE) AS position, 'anchor' AS role, NULL AS context_for FROM top
+UNION ALL SELECT query_id, concat('p:', source), min(rank) + 0.5, 'parent', arg_min(chunk_id, rank) FROM top GROUP BY query_id, source
 """
 
 
 def same_group_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Siblings (same language and source) of each question's best document, at most five."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    top = _bm25(spark, sf_dir, 1).select("query_id", F.col("chunk_id").alias("doc_id")).join(d, "doc_id").withColumnRenamed("doc_id", "anchor")
-    met = d.join(top, ["lang", "source"]).where("doc_id <> anchor")
-    window = Window.partitionBy("query_id").orderBy("doc_id")
-    return met.withColumn("place", F.row_number().over(window).cast("long")).where("place <= 5").select("query_id", "anchor", "doc_id", "place")
+    """Three best documents of each question with their parents and siblings (same source and language), six rows and 12,000 characters."""
+    found = retrieval.expand(_ranked(spark, sf_dir, 3), _tree(spark, sf_dir), 12_000, 6)
+    return found.select("query_id", "chunk_id", "role", F.col("position").cast("long").alias("position"), F.length("text").cast("long").alias("n_chars"))
 
 
 SAME_GROUP = f"""
-WITH {QUERY_TERMS_SQL}, {BM25_CTES}, top AS (SELECT query_id, doc_id AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank = 1)
-SELECT query_id, anchor, doc_id, place FROM (
-  SELECT query_id, anchor, d.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY d.doc_id) AS place
-  FROM top JOIN documents a ON a.doc_id = anchor JOIN documents d ON d.lang = a.lang AND d.source = a.source AND d.doc_id <> anchor
-) WHERE place <= 5
+WITH {TOP_CTES}, a AS (SELECT query_id, chunk_id, d.source, d.lang, d.text FROM r JOIN documents d USING (doc_id) WHERE rank <= 3),
+g AS (SELECT query_id, source, lang, count(*) AS n FROM a GROUP BY ALL),
+sib AS (
+  SELECT query_id, chunk_id, source, lang, text FROM (
+    SELECT g.query_id, printf('d%09d', doc_id) AS chunk_id, d.source, d.lang, d.text, n, row_number() OVER (PARTITION BY g.query_id, d.source, d.lang ORDER BY doc_id) AS place
+    FROM documents d JOIN g USING (source, lang) WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = g.query_id AND a.chunk_id = printf('d%09d', doc_id)))
+  WHERE place + n <= 6
+), every AS (
+  SELECT query_id, chunk_id, source, lang AS location, text, 'anchor' AS role FROM a
+  UNION ALL SELECT DISTINCT query_id, concat('p:', source), source, '', concat('about ', source), 'parent' FROM a
+  UNION ALL SELECT query_id, chunk_id, source, lang, text, 'sibling' FROM sib
+), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY role <> 'anchor', source, location, chunk_id) AS position FROM every),
+used AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM placed)
+SELECT query_id, chunk_id, role, position, CAST(CASE WHEN role = 'anchor' THEN length(text) ELSE least(length(text), 12000 - used) END AS BIGINT) AS n_chars
+FROM used WHERE role = 'anchor' OR (position <= 6 AND used < 12000 AND length(text) > 0)
 """
 
 
 def baseline_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 candidates reordered by word hits and fused rank."""
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = _bm25(spark, sf_dir, 20).select("query_id", F.col("chunk_id").alias("doc_id"), "rank").join(d, "doc_id").join(q, "query_id")
-    hits = F.size(F.filter(question_words(F.col("query")), lambda w: F.contains("low", w)))
-    score = F.round(hits * 10.0 + reciprocal_rank(F.col("rank"), 1.0) * 100.0 + 3.0 - (F.col("rank") - 1) * 0.001, 6)
-    window = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "doc_id")
-    return rows.withColumn("rerank_score", score).withColumn("rank", F.row_number().over(window).cast("long")).where("rank <= 6").select("query_id", "doc_id", "rerank_score", "rank")
+    rows = rows.select(
+        "query_id", "query", F.col("doc_id").alias("chunk_id"), "text", (F.col("rank") - 1).alias("position"), F.lit(None).cast("double").alias("semantic_score"), reciprocal_rank(F.col("rank"), 1.0).alias("fusion"),
+        F.lit(None).cast("array<string>").alias("heading_path"), F.lit(True).alias("anchor"), F.lit(False).alias("expanded"),
+    )
+    return rerank_baseline(rows, 6).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
 
 
 BASELINE_RERANK = rf"""
 WITH {QUERY_TERMS_SQL}, {BM25_CTES}, r AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20),
 w AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\p{{M}}\p{{Pc}}]+', ' ', 'g')), ' +'), lambda x: length(x) >= 2)) AS words FROM benchmark),
-s AS (SELECT r.query_id, r.doc_id, round(len(list_filter(words, lambda x: contains(lower(d.text), x))) * 10.0 + 100.0 / (60 + rank) + 3.0 - (rank - 1) * 0.001, 6) AS rerank_score FROM r JOIN w USING (query_id) JOIN documents d USING (doc_id))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS rank FROM s) WHERE rank <= 6
+s AS (SELECT r.query_id, r.doc_id, len(list_filter(words, lambda x: contains(lower(d.text), x))) * 10.0 + 100.0 / (60 + rank) + 3.0 - (rank - 1) * 0.001 AS score FROM r JOIN w USING (query_id) JOIN documents d USING (doc_id))
+SELECT query_id, doc_id, round(score, 6) AS rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 6
+"""
+
+
+def evidence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents of each question as evidence: the first three are anchors, others are made for the anchor of their source, if any."""
+    rows = _ranked(spark, sf_dir, 10).select("query_id", "chunk_id", "document_id", "parent_id", "text", "heading_path", F.col("rank").alias("position"))
+    heads = rows.where("position <= 3").groupBy("query_id", "document_id").agg(F.min_by("chunk_id", "position").alias("head"))
+    items = rows.join(heads, ["query_id", "document_id"], "left").withColumns({"role": F.when(F.col("position") <= 3, "anchor").otherwise("expanded_context"), "context_for": F.when(F.col("position") > 3, F.coalesce("head", F.lit(""))).otherwise("")})
+    found = evidence.group_evidence(items)
+    return found.select("query_id", F.col("group_no").cast("long").alias("group_no"), F.col("item_no").cast("long").alias("item_no"), "chunk_id", "role", "reason", "included", "duplicate_of")
+
+
+EVIDENCE_GROUPS = rf"""
+WITH {TOP_CTES},
+i AS (SELECT query_id, chunk_id, r.source, rank, trim(regexp_replace(replace(replace(d.text, chr(160), ' '), chr(13), ''), '\s+', ' ', 'g')) AS t FROM r JOIN documents d USING (doc_id) WHERE rank <= 10),
+h AS (SELECT query_id, source, min(rank) AS at FROM i WHERE rank <= 3 GROUP BY 1, 2),
+g AS (
+  SELECT i.*, CASE WHEN rank <= 3 THEN 'anchor' ELSE 'expanded_context' END AS role, CASE WHEN rank <= 3 OR h.at IS NOT NULL THEN 1 ELSE 2 END AS kind, CASE WHEN rank <= 3 THEN rank ELSE coalesce(h.at, rank) END AS number
+  FROM i LEFT JOIN h USING (query_id, source)
+), n AS (
+  SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY kind, number) AS group_no, row_number() OVER (PARTITION BY query_id, kind, number ORDER BY role <> 'anchor', rank) AS item_no,
+         first_value(CASE WHEN role = 'anchor' THEN chunk_id END) OVER w AS head, first_value(CASE WHEN role = 'anchor' THEN t END) OVER w AS head_text
+  FROM g WINDOW w AS (PARTITION BY query_id, kind, number ORDER BY role <> 'anchor', rank)
+), c AS (SELECT *, CASE WHEN role <> 'anchor' AND t <> '' AND head_text <> '' AND contains(t, head_text) AND length(t) <= greatest(length(head_text) + 80, floor(length(head_text) * 1.25)) THEN head END AS repeats FROM n),
+s AS (SELECT *, first_value(CASE WHEN repeats IS NULL THEN chunk_id END IGNORE NULLS) OVER (PARTITION BY query_id, lower(t) ORDER BY group_no, item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stands FROM c),
+o AS (SELECT *, CASE WHEN t <> '' AND stands IS NOT NULL AND stands <> chunk_id THEN stands ELSE coalesce(repeats, '') END AS same FROM s)
+SELECT query_id, group_no, item_no, chunk_id, role, CASE kind WHEN 1 THEN 'parent_or_expanded_context' ELSE 'standalone' END AS reason, same = '' AS included, same AS duplicate_of FROM o
+"""
+
+
+def _library(spark: SparkSession, sf_dir: str):
+    """The tree with the columns that whole searches want, and its documents."""
+    tree = _tree(spark, sf_dir).withColumns({"text_search": F.col("text"), "standard_number": F.lit(""), "clause_number": F.lit("")})
+    names = read(spark, sf_dir, "documents").select(F.col("source").alias("document_id")).distinct().select("document_id", F.concat("document_id", F.lit(".txt")).alias("source_name"), F.lit("ready").alias("status"))
+    return tree, names
+
+
+def retrieve_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All channels fused with adaptive weights and reserves, six rows a question (rows only: the channels have their own SQL)."""
+    chunks, names = _library(spark, sf_dir)
+    found = retrieval.retrieve(chunks, names, _questions(spark, sf_dir), 6, adaptive=True)
+    return found.select("query_id", "chunk_id", "rank", "tier", F.round("fusion", 9).alias("fusion"), F.array_join("channels", ",").alias("channels"))
+
+
+def production_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production search over the benchmark texts (rows only)."""
+    chunks, names = _library(spark, sf_dir)
+    found = search.production_search(chunks, names, _questions(spark, sf_dir))
+    return found.select("query_id", "position", "chunk_id", "role", "context_for", F.length("text").alias("n_chars"))
+
+
+def plain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain full-text search over the benchmark texts, four rows and 8,000 characters a question."""
+    d = documents(spark, sf_dir)
+    names = d.select("document_id").distinct().select("document_id", F.concat("document_id", F.lit(".txt")).alias("source_name"), F.lit("ready").alias("status"))
+    found = search.plain_search(d, names, _questions(spark, sf_dir), 4, 8_000)
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "mode", F.length("text").cast("long").alias("n_chars"))
+
+
+PLAIN_SEARCH = r"""
+WITH tok AS (SELECT doc_id, text, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS toks FROM documents),
+stats AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_tokens FROM tok),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS f FROM (SELECT doc_id, unnest(toks) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS doc_freq FROM tf GROUP BY 1),
+sc AS (
+  SELECT query_id, tf.doc_id, any_value(text) AS text,
+         round(sum(CASE WHEN ln((n_docs - doc_freq + 0.5) / (doc_freq + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - doc_freq + 0.5) / (doc_freq + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(toks) / avg_tokens))), 9) AS score
+  FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN tok USING (doc_id), stats GROUP BY 1, 2
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc),
+u AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r WHERE rank <= 4)
+SELECT query_id, doc_id, rank, 'lexical' AS mode, CAST(least(length(text), 8000 - used) AS BIGINT) AS n_chars FROM u WHERE used < 8000
 """
 
 
 def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose normalised text an earlier document of the corpus already has."""
-    rows = documents(spark, sf_dir).withColumn("_all", F.lit(0))
-    found = evidence.first_of_text(rows, "text", ["chunk_id"], [])
+    found = evidence.first_of_text(documents(spark, sf_dir), "text", ["chunk_id"], [])
     return found.where("duplicate_of is not null").select(F.col("chunk_id").alias("doc_id"), "duplicate_of")
 
 
@@ -342,8 +455,8 @@ SELECT doc_id, duplicate_of FROM (SELECT doc_id, first_value(doc_id) OVER (PARTI
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant documents of a benchmark text: all that hold its first 24 characters, however many."""
-    return _holding(spark, sf_dir).select("query_id", "chunk_id")
+    """Relevant documents of a benchmark text: all that hold it word for word, however many."""
+    return phrase_match(spark, sf_dir).select("query_id", F.col("doc_id").alias("chunk_id"))
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,10 +472,9 @@ def ir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("config", "kind", "level", "n_questions", *[F.round(c, 6).alias(c) for c in ("hit_10", "recall_10", "mrr_10", "ndcg_10")])
 
 
-METRICS_CTES = f"""{QUERY_TERMS_SQL}, {BM25_CTES},
+METRICS_CTES = f"""{QUERY_TERMS_SQL}, {BM25_CTES}, {PHRASE_CTES},
 r AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 30),
-g0 AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY source, lang, doc_id) AS p FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 24)))),
-g AS (SELECT query_id, doc_id FROM g0 WHERE p <= 32),
+g AS (SELECT DISTINCT query_id, doc_id FROM met),
 n AS (SELECT query_id, count(*) AS n_relevant FROM g GROUP BY 1),
 h AS (SELECT r.query_id, r.rank FROM r JOIN g USING (query_id, doc_id)),
 a AS (SELECT query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 3) AS h3, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 30) AS h30,
@@ -429,12 +541,13 @@ SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract
 QUERIES = {
     "bm25_topk": bm25_topk, "bm25_fields": bm25_fields, "postings_stats": postings_stats, "phrase_match": phrase_match, "like_channel": like_channel, "exact_id_channel": exact_id_channel, "title_channel": title_channel,
     "cosine_topk": cosine_topk, "cosine_scoped": cosine_scoped, "rrf_fusion": rrf_fusion, "adaptive_reserve": adaptive_reserve, "budgeted_context": budgeted_context, "scoped_fallback": scoped_fallback,
-    "parent_hydration": parent_hydration, "same_group_expansion": same_group_expansion, "baseline_rerank": baseline_rerank, "evidence_dedup": evidence_dedup, "ir_metrics": ir_metrics, "ir_summary": ir_summary,
+    "parent_hydration": parent_hydration, "same_group_expansion": same_group_expansion, "baseline_rerank": baseline_rerank, "evidence_dedup": evidence_dedup, "evidence_groups": evidence_groups,
+    "retrieve_adaptive": retrieve_adaptive, "production_search": production_search, "plain_search": plain_search, "ir_metrics": ir_metrics, "ir_summary": ir_summary,
     "scope_leakage": scope_leakage, "route_queries": route_queries, "url_parts": url_parts,
 }
 SQL = {
     "bm25_topk": BM25_TOPK, "bm25_fields": BM25_FIELDS, "postings_stats": POSTINGS_STATS, "phrase_match": PHRASE_MATCH, "like_channel": LIKE_CHANNEL, "exact_id_channel": EXACT_ID, "title_channel": TITLE_CHANNEL,
     "cosine_topk": _cosine_sql(""), "cosine_scoped": _cosine_sql("AND a.label = b.label"), "rrf_fusion": RRF_FUSION, "adaptive_reserve": ADAPTIVE_RESERVE, "budgeted_context": BUDGETED, "scoped_fallback": SCOPED_FALLBACK,
-    "parent_hydration": PARENT_HYDRATION, "same_group_expansion": SAME_GROUP, "baseline_rerank": BASELINE_RERANK, "evidence_dedup": EVIDENCE_DEDUP, "ir_metrics": IR_METRICS, "ir_summary": IR_SUMMARY,
+    "parent_hydration": PARENT_HYDRATION, "same_group_expansion": SAME_GROUP, "baseline_rerank": BASELINE_RERANK, "evidence_dedup": EVIDENCE_DEDUP, "evidence_groups": EVIDENCE_GROUPS, "plain_search": PLAIN_SEARCH, "ir_metrics": IR_METRICS, "ir_summary": IR_SUMMARY,
     "scope_leakage": SCOPE_LEAKAGE, "route_queries": ROUTE_QUERIES, "url_parts": URL_PARTS,
 }
