@@ -93,3 +93,9 @@ def replaced(published: DataFrame, fresh: DataFrame, key: str = "document_id") -
 
 def profile(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+def representatives(rows: DataFrame, by: list[str], size: str, key: str) -> DataFrame:
+    """The largest row of each group; of equal sizes the first by key."""
+    best = rows.groupBy(*by).agg(F.max(F.struct(F.col(size).alias("size"), (-F.col(key)).alias("first"))).alias("best"))
+    return best.select(*by, (-F.col("best.first")).alias(key), F.col("best.size").alias(size))

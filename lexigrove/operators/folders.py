@@ -61,3 +61,10 @@ def resolve_scope(documents: DataFrame, ids: DataFrame | None, roots: DataFrame
     if roots is not None:
         out = documents_below(out, roots)
     return out
+
+
+def compare_scopes(active: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(document_id, part): what both scopes hold, what only the active one, what only the resolved one."""
+    a, b = (rows.select("document_id").distinct().withColumn(name, F.lit(True)) for rows, name in ((active, "_a"), (resolved, "_b")))
+    part = F.when(F.col("_a").isNull(), "resolved_only").when(F.col("_b").isNull(), "active_only").otherwise("both")
+    return a.join(b, "document_id", "fullouter").select("document_id", part.alias("part"))

@@ -68,7 +68,7 @@ def pools(rows: DataFrame, filters: list[tuple[str, Column, int]], seed: int, ke
 
 def hash_split(key: Column, seed: int = 0, shares: dict[str, float] = SPLITS) -> Column:
     """Split by hash of a group key: rows of one group never part, and nothing is collected."""
-    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     out, edge = None, 0.0
     for name, share in shares.items():
         edge += share

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.identity import content_hash, document_id
-from ..operators import chunking, corpus
+from ..operators import chunking, corpus, gates
 from ..operators.folders import ancestors
 from .common import read, texts
 
@@ -125,7 +125,7 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IDENTIFIERS = r"""
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS place, c[i] AS clause FROM (
-  SELECT doc_id, c, unnest(range(1, least(len(c), 8) + 1)) AS i FROM (SELECT doc_id, list_filter(m, lambda t, i: list_position(m, t) = i) AS c FROM (SELECT doc_id, regexp_extract_all(text, '(?:第\s*)?([0-9]+(?:\.[0-9]+){1,5})(?:\s*条)?', 1) AS m FROM documents)))
+  SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, list_filter(m, lambda t, i: list_position(m, t) = i) AS c FROM (SELECT doc_id, regexp_extract_all(text, '(?:第\s*)?([0-9]+(?:\.[0-9]+){1,5})(?:\s*条)?', 1) AS m FROM documents)))
 """
 
 
@@ -159,27 +159,43 @@ SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, sha1
 """
 
 
-def page_coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: documents, distinct texts, share with a language and a median length."""
-    d = read(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_distinct("text").alias("n_texts"), F.round(F.avg((F.coalesce("lang", F.lit("")) != "").cast("double")), 6).alias("lang_coverage"), F.percentile("n_chars", F.lit(0.5)).alias("median_chars"))
+def metadata_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: share of documents with a language and with a text."""
+    return gates.metadata_coverage(read(spark, sf_dir, "documents"), ["lang", "text"], "source")
 
 
-COVERAGE_STATS = "SELECT source, count(*) AS n_docs, count(DISTINCT text) AS n_texts, round(avg(CAST(coalesce(lang, '') <> '' AS DOUBLE)), 6) AS lang_coverage, quantile_cont(CAST(n_chars AS DOUBLE), 0.5) AS median_chars FROM documents GROUP BY 1"
+COVERAGE_STATS = "SELECT source, round(avg(CAST(trim(coalesce(lang, '')) <> '' AS DOUBLE)), 6) AS lang_coverage, round(avg(CAST(trim(coalesce(text, '')) <> '' AS DOUBLE)), 6) AS text_coverage FROM documents GROUP BY 1"
 
 
-def latest_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+def longest_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest document of each source and language; of equal lengths the first."""
-    window = Window.partitionBy("source", "lang").orderBy(F.col("n_chars").desc(), "doc_id")
-    return read(spark, sf_dir, "documents").withColumn("n", F.row_number().over(window)).where("n = 1").select("source", "lang", "doc_id", "n_chars")
+    return corpus.representatives(read(spark, sf_dir, "documents"), ["source", "lang"], "n_chars", "doc_id")
 
 
 LONGEST = "SELECT source, lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1"
 
+
+def structure_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as converted documents, a block a turn: structure units of each (rows only)."""
+    c = read(spark, sf_dir, "conversations")
+    blocks = c.select(
+        F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("string").alias("block_id"), F.format_string("t%06d", "turn").alias("location"), "text", F.lit("text").alias("block_type"), F.lit("native").alias("extraction_method"),
+        (F.floor(F.col("turn") / 4) + 1).cast("int").alias("page_number"), F.array(F.lit(0.0), F.col("turn").cast("double"), F.lit(1.0), F.col("turn") + 1.0).alias("bbox"), F.lit("").alias("label"), F.lit(False).alias("encoding_anomaly"),
+    )
+    found = chunking.structure_units(blocks)
+    return found.select("document_id", "unit_no", F.size("block_ids").alias("n_blocks"), F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("pages"), "is_cross_page", F.sha1("text").alias("digest"))
+
+
+def packed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns packed, in order, into units of about 400 characters (rows only)."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("pos"), F.col("turn").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return chunking.pack_units(rows, 400).select("document_id", "unit_no", F.array_join("chunk_ids", ",").alias("chunk_ids"), "n_chars")
+
+
 QUERIES = {
     "token_count": token_count, "clean_text_hash": clean_text_hash, "duplicate_groups": duplicate_groups, "canonical_doc": canonical_doc, "boilerplate_lines": boilerplate_lines, "fixed_chunks": fixed_chunks,
     "profile_by_type": profile_by_type, "incremental_skip": incremental_skip, "redact": redact, "identifiers": identifiers, "folder_closure": folder_closure, "sentence_children": sentence_children, "html_text": html_text,
-    "metadata_coverage": page_coverage_stats, "longest_representative": latest_in_group,
+    "metadata_coverage": metadata_coverage, "longest_representative": longest_representative, "structure_units": structure_units, "packed_units": packed_units,
 }
 SQL = {
     "token_count": TOKEN_COUNT, "clean_text_hash": CLEAN_TEXT_HASH, "duplicate_groups": DUPLICATE_GROUPS, "canonical_doc": CANONICAL_DOC, "boilerplate_lines": BOILERPLATE, "fixed_chunks": FIXED_CHUNKS,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box_iou, polygon_area
 from ..functions.scores import severity
-from ..operators import evaluation, gates, history, instances, reconcile, sampling, vectors
+from ..operators import evaluation, folders, gates, history, instances, reconcile, sampling, vectors
 from .common import read
 
 
@@ -54,7 +54,7 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 COVERAGE_GATE = """
 SELECT 'not_unique' AS rule, CAST(doc_id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM documents GROUP BY doc_id HAVING count(*) > 1
 UNION ALL SELECT DISTINCT 'orphan', CAST(doc_id AS VARCHAR), '' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-UNION ALL SELECT DISTINCT 'parity', CAST(doc_id AS VARCHAR), 'left_only' FROM documents WHERE doc_id % 50 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT DISTINCT 'parity', CAST(doc_id AS VARCHAR), 'left_only' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'not_finite', CAST(o_orderkey AS VARCHAR), 'o_totalprice' FROM orders WHERE isnan(o_totalprice) OR isinf(o_totalprice)
 """
 
@@ -112,12 +112,66 @@ ORDER BY covers DESC, k, doc_id LIMIT 40
 
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that a split by row hash would put into more than one part."""
-    part = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)).cast("int") + 1)
-    rows = read(spark, sf_dir, "documents").select(F.sha1("text").alias("digest"), part.alias("split"))
+    rows = read(spark, sf_dir, "documents").select(F.sha1("text").alias("digest"), sampling.hash_split(F.col("doc_id"), 3).alias("split"))
     found = sampling.leakage(rows, "digest")
     return found.select("digest", F.array_join("splits", ",").alias("splits"), "n_rows")
 
 
+SPLIT_LEAKAGE = """
+WITH s AS (SELECT sha1(text) AS digest, CAST(concat('0x', substr(md5(concat_ws(':', '3', doc_id)), 1, 8)) AS UBIGINT) / 4294967296.0 AS place FROM documents),
+p AS (SELECT digest, CASE WHEN place < 0.7 THEN 'train' WHEN place < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM s)
+SELECT digest, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits, count(*) AS n_rows FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1
+"""
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents split 70/15/15 over groups of equal text, stratified by language, source and toxicity."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    labels = F.array_compact(F.array("lang", "source", F.when(F.col("toxic") == 1, "toxic")))
+    samples = d.select(F.col("doc_id").alias("sample_id"), F.sha1("text").alias("digest"), labels.alias("labels"))
+    return sampling.stratified_split(samples, 11).withColumnRenamed("sample_id", "doc_id")
+
+
+STRATIFIED = """
+WITH s AS (SELECT doc_id, sha1(text) AS digest, list_filter([lang, source, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS labels FROM documents LEFT JOIN labels USING (doc_id)),
+g AS (SELECT digest, count(*) AS n FROM s GROUP BY 1), l AS (SELECT digest, unnest(labels) AS label FROM s), c AS (SELECT label, count(*) AS held FROM l GROUP BY 1),
+k AS (SELECT digest, label FROM (SELECT digest, label, row_number() OVER (PARTITION BY digest ORDER BY held, label) AS i FROM (SELECT DISTINCT digest, label, held FROM l JOIN c USING (label))) WHERE i = 1),
+o AS (SELECT digest, n, coalesce(label, '') AS stratum, sha256(concat_ws(':', '11', 'split', digest)) AS place FROM g LEFT JOIN k USING (digest)),
+p AS (SELECT *, 63 - floor(log2(n)) AS size, floor(CAST(concat('0x', substr(place, 1, 4)) AS UBIGINT) * 64 / 65536) AS part FROM o),
+m AS (SELECT digest, (coalesce(sum(n) OVER (PARTITION BY stratum ORDER BY size, part, place, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) / sum(n) OVER (PARTITION BY stratum) AS middle FROM p)
+SELECT doc_id, CASE WHEN middle < 0.7 THEN 'train' WHEN middle < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM s JOIN m USING (digest)
+"""
+
+POOLS = [("long", "n_chars >= 3000", 25), ("english", "lang = 'en'", 35), ("source", "source = 'src1'", 25), ("short", "n_chars < 400", 20)]
+
+
+def quota_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four quota pools drawn one after the other from the documents."""
+    found = sampling.pools(read(spark, sf_dir, "documents"), [(name, F.expr(rule), quota) for name, rule, quota in POOLS], 5, "doc_id")
+    return found.select("pool", "doc_id", "reused")
+
+
+def _pools_sql() -> str:
+    parts, used = [], "SELECT NULL::BIGINT AS doc_id WHERE false"
+    for i, (name, rule, quota) in enumerate(POOLS):
+        parts.append(f"u{i} AS ({used}), p{i} AS (SELECT '{name}' AS pool, doc_id, doc_id IN (SELECT doc_id FROM u{i}) AS reused FROM documents WHERE {rule} ORDER BY 3, sha256(concat_ws(':', '5', '{name}', doc_id)), doc_id LIMIT {quota})")
+        used = f"SELECT doc_id FROM u{i} UNION SELECT doc_id FROM p{i}"
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(POOLS)))
+
+
+def quota_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages with other than ten drawn documents."""
+    drawn = sampling.quota_sample(read(spark, sf_dir, "documents").where("n_chars < 120"), "lang", 10, 7, "lang", "doc_id")
+    quotas = read(spark, sf_dir, "documents").select("lang").distinct().withColumn("quota", F.lit(10).cast("long"))
+    return sampling.quota_report(drawn, quotas, "lang")
+
+
+QUOTA_REPORT = """
+WITH d AS (SELECT lang, least(count(*), 10) AS n FROM documents WHERE n_chars < 120 GROUP BY 1)
+SELECT lang, coalesce(n, 0) AS n, CAST(10 AS BIGINT) AS quota FROM (SELECT DISTINCT lang FROM documents) LEFT JOIN d USING (lang) WHERE coalesce(n, 0) <> 10
+"""
+
+
 def reconcile_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders against line items: orders without a line, lines without an order, orders with more lines than one."""
     return reconcile.reconcile(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey")), read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey")), "orderkey")
@@ -234,11 +288,9 @@ RARE_LABELS = "WITH c AS (SELECT concat_ws('/', lang, source) AS label, count(*)
 
 def scope_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active and resolved scopes: what both hold, and what only one does."""
-    d = read(spark, sf_dir, "documents")
-    active, resolved = d.where("lang = 'en'").select("source", "doc_id"), d.where("n_chars >= 1000").select("source", "doc_id")
-    mark = lambda rows, name: rows.withColumn("part", F.lit(name))
-    rows = mark(active.intersect(resolved), "both").unionByName(mark(active.exceptAll(resolved), "active_only")).unionByName(mark(resolved.exceptAll(active), "resolved_only"))
-    return rows.groupBy("source", "part").agg(F.count("*").alias("n"))
+    d = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")
+    parts = folders.compare_scopes(d.where("lang = 'en'"), d.where("n_chars >= 1000"))
+    return parts.join(d.select("document_id", "source"), "document_id").groupBy("source", "part").agg(F.count("*").alias("n"))
 
 
 SCOPE_SETS = "SELECT source, CASE WHEN lang = 'en' AND n_chars >= 1000 THEN 'both' WHEN lang = 'en' THEN 'active_only' ELSE 'resolved_only' END AS part, count(*) AS n FROM documents WHERE lang = 'en' OR n_chars >= 1000 GROUP BY 1, 2"
@@ -253,13 +305,13 @@ JSON_METADATA = "SELECT event_id, json_valid(props) AS parsed FROM events"
 
 QUERIES = {
     "refusal_metrics": refusal_metrics, "latency_percentiles": latency_percentiles, "nan_aware_mean": nan_aware_mean, "coverage_gate": coverage_gate, "contiguity_gate": contiguity_gate, "vector_health": vector_health,
-    "stable_sample": stable_sample, "quota_sample": quota_sample, "coverage_sample": coverage_sample, "split_leakage": split_leakage, "reconcile_identities": reconcile_identities, "pairing_full_outer": pairing_full_outer,
+    "stable_sample": stable_sample, "quota_sample": quota_sample, "coverage_sample": coverage_sample, "split_leakage": split_leakage, "stratified_split": stratified_split, "quota_pools": quota_pools, "quota_report": quota_report, "reconcile_identities": reconcile_identities, "pairing_full_outer": pairing_full_outer,
     "nth_run_per_source": nth_run, "latest_run": latest_run, "previous_run": previous_run, "last_n_history": last_n_history, "severity_rollup": severity_rollup, "severity_screen": severity_screen, "bbox_iou_pairs": bbox_iou_pairs,
     "polygon_areas": polygon_areas, "events_window": events_window, "rare_labels": rare_labels, "scope_sets": scope_sets, "json_metadata": json_metadata,
 }
 SQL = {
     "refusal_metrics": REFUSAL, "latency_percentiles": PERCENTILES, "nan_aware_mean": NAN_MEAN, "coverage_gate": COVERAGE_GATE, "contiguity_gate": CONTIGUITY, "vector_health": VECTOR_HEALTH,
-    "stable_sample": STABLE_SAMPLE, "quota_sample": QUOTA_SAMPLE, "coverage_sample": COVERAGE_SAMPLE, "reconcile_identities": RECONCILE, "pairing_full_outer": PAIRING,
+    "stable_sample": STABLE_SAMPLE, "quota_sample": QUOTA_SAMPLE, "coverage_sample": COVERAGE_SAMPLE, "split_leakage": SPLIT_LEAKAGE, "stratified_split": STRATIFIED, "quota_pools": _pools_sql(), "quota_report": QUOTA_REPORT, "reconcile_identities": RECONCILE, "pairing_full_outer": PAIRING,
     "nth_run_per_source": NTH_RUN, "latest_run": LATEST_RUN, "previous_run": PREVIOUS_RUN, "last_n_history": LAST_N, "severity_rollup": SEVERITY_ROLLUP, "severity_screen": SEVERITY_SCREEN, "bbox_iou_pairs": BBOX_IOU,
     "polygon_areas": POLYGON, "events_window": EVENTS_WINDOW, "rare_labels": RARE_LABELS, "scope_sets": SCOPE_SETS, "json_metadata": JSON_METADATA,
 }
