@@ -59,17 +59,20 @@ def box_pairs(boxes: DataFrame, least: float, by: list[str], key: str, box: str
     With ``cell`` boxes meet on a grid of that width, so that a large group is not compared
     pair by pair; each pair is found in the cell of its overlap's corner only.
     """
-    a = boxes.select(*by, F.col(key).alias("a"), F.col(box).alias("box_a"))
-    b = boxes.select(*by, F.col(key).alias("b"), F.col(box).alias("box_b"))
-    near = F.col("a") < F.col("b")
+    side = lambda name: boxes.select(*by, F.col(key).alias(name), *[F.get(F.col(box), i).cast("double").alias(f"{name}{i}") for i in range(4)])
+    a, b = side("a"), side("b")
+    low = [F.greatest(f"a{i}", f"b{i}") for i in (0, 1)]
+    width, height = (F.least(f"a{i + 2}", f"b{i + 2}") - low[i] for i in (0, 1))
+    near = (F.col("a") < F.col("b")) & (width > 0) & (height > 0)
     if cell:
-        grid = lambda c, i: F.floor(F.col(c)[i] / cell)
-        spread = lambda f, c: f.withColumn("cx", F.explode(F.sequence(grid(c, 0), grid(c, 2)))).withColumn("cy", F.explode(F.sequence(grid(c, 1), grid(c, 3))))
-        corner = lambda i: F.floor(F.greatest(F.col("box_a")[i], F.col("box_b")[i]) / cell)
-        met = spread(a, "box_a").join(spread(b, "box_b"), [*by, "cx", "cy"]).where(near & (corner(0) == F.col("cx")) & (corner(1) == F.col("cy")))
+        grid = lambda c: F.floor(F.col(c) / cell)
+        spread = lambda f, c: f.withColumn("cx", F.explode(F.sequence(grid(f"{c}0"), grid(f"{c}2")))).withColumn("cy", F.explode(F.sequence(grid(f"{c}1"), grid(f"{c}3"))))
+        met = spread(a, "a").join(spread(b, "b"), [*by, "cx", "cy"]).where(near & (F.floor(low[0] / cell) == F.col("cx")) & (F.floor(low[1] / cell) == F.col("cy")))
     else:
         met = a.join(b, by).where(near)
-    return met.withColumn("iou", box_iou(F.col("box_a"), F.col("box_b"))).where(F.col("iou") >= least).select(*by, "a", "b", "iou")
+    area = lambda c: (F.col(f"{c}2") - F.col(f"{c}0")) * (F.col(f"{c}3") - F.col(f"{c}1"))
+    shared = width * height
+    return met.select(*by, "a", "b", (shared / (area("a") + area("b") - shared)).alias("iou")).where(F.col("iou") >= least)
 
 
 def class_names(rows: DataFrame, names: DataFrame) -> DataFrame:

@@ -48,6 +48,11 @@ def review_ready(report: DataFrame) -> DataFrame:
     return report.select(F.explode(rules).alias("rule"), "report_id")
 
 
+def _report(rows: DataFrame) -> list[Column]:
+    """What numbers one report apart from another: its run or report id, where the rows have one."""
+    return [F.col(c) for c in ("run_id", "report_id") if c in rows.columns] or [F.lit(0)]
+
+
 def repair_lines(findings: DataFrame, images: DataFrame, rules: DataFrame) -> DataFrame:
     """Numbered repair lines: each finding with its picture's evidence (last row wins) and the method of its category.
 
@@ -55,7 +60,7 @@ def repair_lines(findings: DataFrame, images: DataFrame, rules: DataFrame) -> Da
     """
     evidence = last_wins(images, ["image_name"], "pos").select("image_name", "path")
     met = findings.join(evidence, "image_name", "left").join(rules, "category", "left")
-    number = F.row_number().over(Window.orderBy("position", "image_name", "finding_index"))
+    number = F.row_number().over(Window.partitionBy(*_report(findings)).orderBy("position", "image_name", "finding_index"))
     return met.select(F.format_string("W-%03d", number).alias("line_id"), "position", "image_name", "finding_index", "category", damage_level(F.col("level")).alias("level"), F.coalesce("method", F.lit("review")).alias("method"), "path", F.col("path").isNotNull().alias("has_image"))
 
 
@@ -84,7 +89,7 @@ def correspondence(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def render_selection(lines: DataFrame, most: int) -> DataFrame:
     """Pictures to render: most severe first, at most ``most``; with counts of what was left."""
-    ranked = lines.where("has_image").withColumn("_r", level_rank(F.col("level"))).withColumn("place", F.row_number().over(Window.orderBy(F.col("_r").desc(), "line_id")))
+    ranked = lines.where("has_image").withColumn("_r", level_rank(F.col("level"))).withColumn("place", F.row_number().over(Window.partitionBy(*_report(lines)).orderBy(F.col("_r").desc(), "line_id")))
     return ranked.withColumn("selected", F.col("place") <= most).drop("_r")
 
 

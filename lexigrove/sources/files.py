@@ -140,8 +140,10 @@ def export_csv(rows: DataFrame, path: str, most: int = 100_000) -> int:
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A small table as Markdown."""
-    data = rows.limit(most).collect()
+    """A small table as Markdown; one of more than ``most`` rows is an error."""
+    data = rows.limit(most + 1).collect()
+    if len(data) > most:
+        raise ValueError(f"more than {most} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
     return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *map(line, data)])
 

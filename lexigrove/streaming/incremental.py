@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,12 +19,21 @@ def source(spark: SparkSession, path: str, schema: T.StructType, files_a_batch:
     return reader.parquet(path)
 
 
+#: Parts of an index by hash of the key; a batch rewrites only the parts that its documents fall into.
+BUCKETS = 64
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+
+
 def index_stream(rows: DataFrame, build: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "document_id") -> StreamingQuery:
     """Keep an index table up to date: each batch's new or changed documents replace their rows.
 
-    ``rows`` has ``key`` and ``fingerprint``.  A batch writes version ``target/v=<batch id>``
-    whole, so a batch that is run again after a failure gives the same version; the newest
-    complete version is the table.
+    ``rows`` has ``key`` and ``fingerprint``.  A batch writes the parts that it changes under
+    ``target/v=<batch id>``, so a batch that is run again after a failure gives the same; the
+    index is the newest complete version of every part.  Parts that two newer complete
+    versions replace are deleted, so a reader of the version before still finds its files.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -32,22 +41,46 @@ def index_stream(rows: DataFrame, build: Callable[[DataFrame], DataFrame], targe
         latest = batch.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), "fingerprint").alias("r")).select("r.*")
         before = read_index(spark, target, number)
         fresh = latest if before is None else changed(latest, before.select(key, "fingerprint").distinct(), key)
+        touched = sorted(r[0] for r in fresh.select(_bucket(key)).distinct().collect())  # BUCKETS numbers at most
         built = build(fresh)
-        (built if before is None else replaced(before, built, key)).write.mode("overwrite").parquet(f"{target}/v={number:08d}")
+        rows = built if before is None else replaced(before.where(_bucket(key).isin(touched)), built, key)
+        if touched:
+            rows.withColumn("part", _bucket(key)).write.mode("overwrite").partitionBy("part").parquet(f"{target}/v={number:08d}")
+            _drop_replaced(spark, target, number)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _files(spark: SparkSession, target: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[int]]:
+    """Batch numbers of complete versions that hold each part, oldest first."""
+    path, files = _files(spark, target)
+    found: dict[int, list[int]] = {}
+    if files.exists(path(target)):
+        for version in sorted(s.getPath().getName() for s in files.listStatus(path(target))):
+            if version.startswith("v=") and (before is None or int(version[2:]) < before) and files.exists(path(f"{target}/{version}/_SUCCESS")):
+                for part in files.listStatus(path(f"{target}/{version}")):
+                    name = part.getPath().getName()
+                    if name.startswith("part="):
+                        found.setdefault(int(name[5:]), []).append(int(version[2:]))
+    return found
+
+
+def _drop_replaced(spark: SparkSession, target: str, number: int) -> None:
+    path, files = _files(spark, target)
+    for part, versions in _versions(spark, target, number + 1).items():
+        for old in versions[:-2]:
+            files.delete(path(f"{target}/v={old:08d}/part={part}"), True)
+
+
 def read_index(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """Newest complete version of the index, or of those before a batch number."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(target)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return None
-    names = [s.getPath().getName() for s in files.listStatus(path)]
-    ready = sorted(n for n in names if n.startswith("v=") and files.exists(hadoop.Path(f"{target}/{n}/_SUCCESS")) and (before is None or int(n[2:]) < before))
-    return spark.read.parquet(f"{target}/{ready[-1]}") if ready else None
+    """The index: the newest complete version of every part, or of those before a batch number."""
+    parts = [f"{target}/v={versions[-1]:08d}/part={part}" for part, versions in sorted(_versions(spark, target, before).items())]
+    return spark.read.parquet(*parts) if parts else None
 
 
 def dedupe_events(events: DataFrame, key: str = "event_id", time: str = "ts", late: str = "1 hour") -> DataFrame:
