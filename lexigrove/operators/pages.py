@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.geometry import components
+from ..functions.text import char_count
 
 #: Fixed value: below it a recogniser's line counts as unsure.
 LOW_CONFIDENCE = 0.65
+#: What a near-white scanned page may hold at most: dark pixels, area of text boxes (shares), characters; below which grey a pixel is dark.
+NOISE_PIXELS, NOISE_BOXES, NOISE_CHARS, WHITE = 0.001, 0.0005, 2, 245.0
+#: A spot counts from so many pixels, share of the page's pixels, width or height in pixels, share of either.
+SPOT_PIXELS, SPOT_SHARE, SPOT_SIDE, SPOT_SIDE_SHARE = 24, 0.00008, 8, 0.02
 #: The figures of a plan line (type, column, caption).
 FIGURES = [("original", "original_image_path", "損傷原圖"), ("recognition_overlay", "annotated_image_path", "識別覆蓋圖"), ("repair_preview", "construction_image_path", "修復後示意圖")]
 
@@ -118,3 +128,44 @@ def figures(lines: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(n).alias("figure_no"), F.lit(kind).alias("figure_type"), F.nullif(F.col(path), F.lit("")).alias("path"), F.lit(caption).alias("caption")) for n, (kind, path, caption) in enumerate(FIGURES, 1)])
     found = lines.select("line_id", F.inline(rows))
     return found.withColumn("availability", F.when(F.col("path").isNull(), "placeholder").otherwise("available"))
+
+
+NOISE = T.StructType([T.StructField("foreground_ratio", T.DoubleType()), T.StructField("n_significant", T.IntegerType()), T.StructField("n_noise", T.IntegerType())])
+
+
+def spots(grey: np.ndarray) -> tuple[float, int, int]:
+    """Share of dark pixels, and the numbers of eight-connected spots that count and that do not (none are looked for on a darker page)."""
+    dark = grey < WHITE
+    ratio = float(dark.mean()) if dark.size else 1.0
+    if not dark.any() or ratio > NOISE_PIXELS:
+        return ratio, 0, 0
+    labels, count = components(dark)
+    ys, xs = np.nonzero(dark)
+    own = labels[ys, xs] - 1
+    area = np.bincount(own, minlength=count)
+    span = lambda v: np.array([v[own == i].max() - v[own == i].min() + 1 for i in range(count)])
+    height, width = grey.shape
+    counts = (area >= max(SPOT_PIXELS, round(dark.size * SPOT_SHARE))) | (span(xs) >= max(SPOT_SIDE, int(width * SPOT_SIDE_SHARE))) | (span(ys) >= max(SPOT_SIDE, int(height * SPOT_SIDE_SHARE)))
+    return ratio, int(counts.sum()), int(count - counts.sum())
+
+
+@F.pandas_udf(NOISE)
+def page_spots(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+    """``spots`` of grey pages, one byte a pixel."""
+    rows = [spots(np.frombuffer(p, np.uint8).reshape(int(h), int(w)).astype(np.float32)) for p, w, h in zip(pixels, width, height)]
+    return pd.DataFrame(rows, columns=NOISE.names)
+
+
+def scan_noise(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(document_id, page_number, foreground_ratio, n_significant, n_noise, scan_noise_only): near-white scans with nothing but specks.
+
+    ``pages``: document_id, page_number, pixels, width, height (of the picture), page_width, page_height, has_table;
+    ``blocks``: document_id, page_number, text, bbox.  Text boxes may be absent or tiny; a text without a box counts as text.
+    """
+    shown = blocks.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    area = F.when(F.size("bbox") == 4, F.greatest(F.lit(0.0), F.get("bbox", 2) - F.get("bbox", 0)) * F.greatest(F.lit(0.0), F.get("bbox", 3) - F.get("bbox", 1)))
+    sums = shown.groupBy("document_id", "page_number").agg(F.sum(char_count(F.col("text"))).alias("chars"), F.sum(area).alias("boxes"), F.count_if(area.isNull()).alias("bare"))
+    met = pages.withColumn("s", page_spots("pixels", "width", "height")).join(sums, ["document_id", "page_number"], "left")
+    tiny = (F.coalesce("chars", F.lit(0)) <= NOISE_CHARS) & (F.coalesce("bare", F.lit(0)) == 0) & (F.coalesce("boxes", F.lit(0.0)) / F.greatest(F.lit(1.0), F.col("page_width") * F.col("page_height")) <= NOISE_BOXES)
+    only = ~F.coalesce("has_table", F.lit(False)) & (F.col("s.foreground_ratio") <= NOISE_PIXELS) & (F.col("s.n_significant") == 0) & tiny
+    return met.select("document_id", "page_number", "s.*", only.alias("scan_noise_only"))

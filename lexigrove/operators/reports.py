@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,96 @@ def template_values(findings: DataFrame, categories: list[str]) -> DataFrame:
     return rows.groupBy("run_id").agg(*values, F.count("*").alias("total_count"))
 
 
+# Categories of damage (field prefix, key, name, accepted spellings), level names and phrases of the report.
+CATEGORIES = [
+    ("f1", "non_structural", "非结构裂缝", ["microcrack", "non structural crack", "非结构裂缝", "微裂缝"]),
+    ("f2", "structural", "结构裂缝", ["structural crack", "结构裂缝"]),
+    ("f3", "minor_spalling", "轻微剥落", ["minor spalling", "轻微剥落"]),
+    ("f4", "moderate_spalling", "中度剥落", ["moderate spalling", "中度剥落"]),
+    ("f5", "major_spalling", "严重剥落/脱层", ["major spalling", "severe spalling", "delamination", "严重剥落", "脱层"]),
+    ("f6", "rebar_damage", "钢筋腐蚀/钢筋暴露", ["rebar corrosion", "rebar exposure", "steel corrosion", "钢筋腐蚀", "露筋"]),
+    ("f7", "concrete_crushing", "混凝土压碎", ["concrete crushing", "混凝土压碎"]),
+    ("f8", "deformation", "结构变形", ["deformation", "structural deformation", "结构变形"]),
+]
+LEVEL_NAMES = {"undetermined": "待判定", "low": "低", "medium": "中", "high": "高", "critical": "危急"}
+CONFIRMED, UNCONFIRMED = "AI辅助判断，已人工确认", "AI辅助判断，待人工复核"
+NOT_PROVIDED, NOT_APPLICABLE, NOT_DETECTED, YES, NO = "未提供", "不适用（无尺度换算）", "未检出", "是", "否"
+CRACKS, DEFECTS, SHAPE = CATEGORIES[:2], CATEGORIES[2:7], CATEGORIES[7:]
+NO_ACTION = "由专业工程师结合现场尺度、构件资料和检测规范复核后确定处置。"
+
+
+def damage_category(label: Column) -> Column:
+    """Key of the category that a damage type is a spelling of, or NULL."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"(?U)[\s_-]+", " "))
+    names = F.create_map(*[F.lit(x) for _, key, _, spellings in CATEGORIES for s in spellings for x in (s, key)])
+    return F.element_at(names, plain)
+
+
+def report_values(findings: DataFrame, reports: DataFrame) -> DataFrame:
+    """(report_id, values): the template's values of each report as a map.  Pixels are never turned into quantities.
+
+    ``findings``: report_id, position, damage_type, level, recommended_action; ``reports``: report_id, confirmed,
+    overall_level (may be NULL), asset_id, component, project_name, inspection_time, n_images.
+    One aggregate per report gives each category's count and highest level; everything else is a projection of it.
+    """
+    rank = F.greatest(F.coalesce(level_rank(F.lower("level")), F.lit(0)), F.lit(0))
+    rows = findings.select("report_id", "position", damage_category(F.col("damage_type")).alias("key"), rank.alias("rank"), F.trim(F.coalesce("recommended_action", F.lit(""))).alias("action"))
+    per = [v for _, key, _, _ in CATEGORIES for v in (F.count_if(F.col("key") == key).alias(f"n_{key}"), F.max(F.when(F.col("key") == key, F.col("rank"))).alias(f"r_{key}"))]
+    actions = F.array_distinct(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("position", "action"))), lambda x: x["action"] != ""), lambda x: x["action"]))
+    grouped = rows.groupBy("report_id").agg(*per, F.count("*").alias("n_all"), F.max("rank").alias("r_all"), actions.alias("actions"))
+    met = reports.join(grouped, "report_id", "left")
+    text = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit(NOT_PROVIDED))
+    names = F.array(*[F.lit(LEVEL_NAMES[x]) for x in LEVELS])
+    suffix = F.when(F.coalesce("confirmed", F.lit(False)), CONFIRMED).otherwise(UNCONFIRMED)
+    label = lambda r: F.concat(F.element_at(names, (F.coalesce(r, F.lit(0)) + 1).cast("int")), F.lit("（"), suffix, F.lit("）"))
+    high = len(LEVELS) - 2
+    warn = lambda r: F.when(F.coalesce(r, F.lit(0)) >= high, YES).otherwise(NO)
+    n, r = (lambda key: F.coalesce(f"n_{key}", F.lit(0))), (lambda key: F.col(f"r_{key}"))
+    level = lambda key: F.when(n(key) > 0, label(r(key))).otherwise(NOT_DETECTED)
+    worst = lambda kinds: F.greatest(*[r(k) for _, k, _, _ in kinds], F.lit(None).cast("int"))
+    listed = lambda kinds: F.coalesce(F.nullif(F.concat_ws("、", *[F.when(n(k) > 0, name) for _, k, name, _ in kinds]), F.lit("")), F.lit(NOT_DETECTED))
+    of = lambda kinds: F.when(worst(kinds).isNotNull(), label(worst(kinds))).otherwise(NOT_DETECTED)
+    overall = F.coalesce(level_rank(F.lower("overall_level")), F.col("r_all"), F.lit(0))
+    values: dict[str, Column] = {
+        "project_name": text("project_name"), "component_name": text("component"), "component_id": text("asset_id"), "c11": text("asset_id"), "inspection_date": text("inspection_time"),
+        "c14": F.coalesce("n_images", F.lit(0)).cast("string"), "c15": label(overall), "assessment_level": label(overall), "overall": label(overall), "finding_summary": listed(CATEGORIES), "crack_types": listed(CRACKS),
+        "surface_damage_types": listed(DEFECTS), "crack": of(CRACKS), "defect": of(DEFECTS), "deform": of(SHAPE), "deformation_warning": warn(worst(SHAPE)), "warn": F.when(overall >= high, "存在").otherwise("不存在"),
+        "recommendation_text": F.coalesce(F.nullif(F.array_join("actions", "；"), F.lit("")), F.lit(NO_ACTION)), "n_findings": F.coalesce("n_all", F.lit(0)).cast("string"),
+    }
+    for prefix, key, name, _ in CATEGORIES:
+        crack = key in ("non_structural", "structural")
+        values |= {f"{prefix}n": n(key).cast("string"), f"{prefix}g": level(key), f"{prefix}x": F.when(n(key) > 0, warn(r(key))).otherwise(NO), f"{key}_assessment_level" if crack else f"{key}_level": level(key)}
+        values |= dict.fromkeys([f"{prefix}a", *((f"{prefix}w", f"{prefix}l", f"{key}_max_width") if crack else (f"{prefix}r", f"{key}_ratio"))], F.lit(NOT_APPLICABLE))
+        if crack:
+            values[f"{key}_warning"] = warn(r(key))
+    values |= dict.fromkeys(["c21", "c22", "c23", "c24", "c25", "maximum_width", "area_ratio"], F.lit(NOT_APPLICABLE))
+    values |= dict.fromkeys(["component_location", "component_type", "dimensions", "concrete_grade", "cover_thickness", "environment_class", "component_importance", "inspection_unit", "c12", "c13"], F.lit(NOT_PROVIDED))
+    return met.select("report_id", F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]).alias("values"))
+
+
+#: Words of a project's description, and what each asks of the report, of checks and of safety.
+PROJECT_RULES = [
+    (["地下室", "地下空间", "地下工程"], "underground"), (["停车库", "地下车库", "车库"], "parking"), (["设备机房", "机房"], "plant_room"), (["防火", "消防"], "fire"),
+    (["荷载传递", "空间支撑", "主体结构", "抗震"], "structure"), (["居民楼", "住宅", "小区"], "residential"),
+]
+
+
+def project_topics(overview: Column) -> Column:
+    """Topics of PROJECT_RULES whose words a project's description holds, in rule order."""
+    t = F.coalesce(overview, F.lit(""))
+    return F.array_compact(F.array(*[F.when(reduce(lambda x, y: x | y, [F.contains(t, F.lit(w)) for w in words]), topic) for words, topic in PROJECT_RULES]))
+
+
+def project_notes(projects: DataFrame, notes: DataFrame) -> DataFrame:
+    """(project_id, kind, notes): the notes of each project's topics, in rule order.
+
+    ``projects``: project_id, overview; ``notes``: topic, kind (report, check or safety), note.
+    """
+    topics = projects.select("project_id", F.posexplode(project_topics(F.col("overview"))).alias("at", "topic"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "note")))
+    return topics.join(notes, "topic").groupBy("project_id", "kind").agg(listed.alias("n")).select("project_id", "kind", F.transform("n", lambda x: x["note"]).alias("notes"))
+
+
 def review_ready(report: DataFrame) -> DataFrame:
     """(rule, report_id) of what keeps reports from being confirmed: no reviewer, an open level, or findings that do not correspond.
 

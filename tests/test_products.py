@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.operators import benchmarks, catalog, pages, publish, retrieval, search
+from lexigrove.operators import benchmarks, catalog, pages, publish, reports, retrieval, search
 
 CHUNKS = "chunk_id string, document_id string, location string, part int, primary_page int, text string, text_search string, retrieval_role string, parent_id string, heading_path array<string>, standard_number string, clause_number string"
 
@@ -196,3 +196,29 @@ def test_question_sets(spark, tmp_path):
     chunk = spark.createDataFrame([("c", "d", None, 3, "m", "text", None, None, "body", "body")], "chunk_id string, document_id string, page_numbers array<int>, primary_page int, source_marker string, chunk_type string, clause_number string, standard_number string, text string, text_search string")
     e = benchmarks.evidence(chunk, docs, files).first()
     assert (e["source_name"], e["source_path"], e["page_numbers"], e["evidence_text"], e["clause_number"]) == ("file name", "doc path", [3], "body", "")
+
+
+def test_scan_noise(spark):
+    white = np.full((300, 200), 255, np.uint8)
+    speck, line = white.copy(), white.copy()
+    speck[10:12, 10:12] = 0
+    line[50, 20:40] = 0
+    rows = [("d", n, bytearray(p.tobytes()), 200, 300, 200.0, 300.0, False) for n, p in enumerate((white, speck, line, speck), 1)]
+    found = pages.scan_noise(
+        spark.createDataFrame(rows, "document_id string, page_number int, pixels binary, width int, height int, page_width double, page_height double, has_table boolean"),
+        spark.createDataFrame([("d", 2, " ", None), ("d", 4, "long text", [0.0, 0.0, 1.0, 1.0])], "document_id string, page_number int, text string, bbox array<double>"),
+    )
+    assert {r["page_number"]: (r["n_significant"], r["n_noise"], r["scan_noise_only"]) for r in found.collect()} == {1: (0, 0, True), 2: (0, 1, True), 3: (1, 0, False), 4: (0, 1, False)}
+
+
+def test_report_values(spark):
+    findings = spark.createDataFrame([("r", 1, "Structural_Crack", "high", "seal"), ("r", 2, "露筋", "LOW", "seal"), ("r", 3, "unknown", "critical", "")], "report_id string, position int, damage_type string, level string, recommended_action string")
+    about = spark.createDataFrame([("r", True, None, "A-1", "beam", "", None, 2), ("s", False, None, None, None, None, None, 0)], "report_id string, confirmed boolean, overall_level string, asset_id string, component string, project_name string, inspection_time string, n_images int")
+    got = {r["report_id"]: r["values"] for r in reports.report_values(findings, about).collect()}
+    r, s = got["r"], got["s"]
+    assert (r["f2n"], r["f2g"], r["f2x"], r["f6n"], r["f1g"], r["finding_summary"], r["warn"], r["c14"]) == ("1", f"高（{reports.CONFIRMED}）", "是", "1", reports.NOT_DETECTED, "结构裂缝、钢筋腐蚀/钢筋暴露", "存在", "2")
+    assert r["overall"].startswith("危急") and r["defect"].startswith("低") and r["recommendation_text"] == "seal" and r["project_name"] == reports.NOT_PROVIDED and len(r) > 60
+    assert s["overall"] == f"待判定（{reports.UNCONFIRMED}）" and s["crack"] == s["f8g"] == reports.NOT_DETECTED and s["recommendation_text"] == reports.NO_ACTION
+    projects = spark.createDataFrame([("p", "地下车库与消防设施"), ("q", None)], "project_id string, overview string")
+    notes = spark.createDataFrame([("parking", "report", "n1"), ("fire", "report", "n2"), ("structure", "report", "n3")], "topic string, kind string, note string")
+    assert [(x["project_id"], x["notes"]) for x in reports.project_notes(projects, notes).collect()] == [("p", ["n1", "n2"])]
