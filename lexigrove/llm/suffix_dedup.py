@@ -462,16 +462,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", digest: bool = False, le
     if not 8 <= gram < length:
         raise ValueError("an anchor must be shorter than the strings looked for")
     spark = docs.sparkSession
-    # at least as many blocks as fill all tasks evenly
-    plan = _Plan(docs, max(-(-total_bytes(docs, f"`{text}`") // block_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), length, gram, hot)
+    # at least a block a task; a block has a row for each bucket at most, so there are no more buckets than blocks
+    plan = _Plan(docs, max(-(-total_bytes(docs, f"`{text}`") // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))), length, gram, hot)
     names = ["n_bytes", "n_removed", "n_spans"] if report else []
     replaced = {*names, *(["kept_sha256"] if digest else [])}
     plain = [c for c in docs.columns if c != text and c.lower() not in replaced]
     value = F.col(f"`{text}`").cast("string")
     base = docs.select(
         *[F.col(f"`{c}`") for c in plain], F.col("doc_id").cast("long").alias(plan.id), F.xxhash64(value).alias(plan.tie), value.isNotNull().alias(plan.had), F.coalesce(value.cast("binary"), F.lit(b"")).alias(plan.raw),
-        F.pmod(F.xxhash64(F.col("doc_id"), value, F.monotonically_increasing_id()), F.lit(plan.blocks)).cast("int").alias(plan.block),
+        F.pmod(F.xxhash64(F.col("doc_id"), value, F.spark_partition_id()), F.lit(plan.blocks)).cast("int").alias(plan.block),
     )
+    # the input's partition deals out rows that repeat an id and a text; it is the same when a lost task runs again
     blocks = base.groupBy(plan.block)
     recurring = blocks.applyInArrow(_list_anchors(plan), ANCHORS).groupBy("bucket").applyInArrow(_find_recurring(plan, False), RECUR)
     windows = blocks.cogroup(recurring.groupBy("_blk")).applyInArrow(_list_windows(plan), ANCHORS).groupBy("bucket").applyInArrow(_find_recurring(plan, True), RECUR)
