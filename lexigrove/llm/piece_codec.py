@@ -15,7 +15,8 @@ give the ids that the library gives for the same model file.
 
 Within a chunk no piece reaches over the start of a word (a blank after something else),
 so all states meet there and words between are encoded once and remembered; a chunk
-without such a place is worked through for every incoming state.
+without such a place is worked through for every incoming state.  Where no piece of the
+model joins a letter to another kind of character, words are taken apart there as well.
 
 Defined results for odd input: null text is empty and has no ids; characters without a
 piece become byte pieces, or the unknown id if the model has none; repeated rows each get
@@ -29,8 +30,10 @@ from __future__ import annotations
 import functools
 import re
 import struct
-from itertools import chain
+from array import array
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +43,14 @@ from .common import arrow_schema, field_name, slices, table
 
 BLANK = "▁"
 CHUNK = 1 << 16
-MEMORY = 160_000
+#: Words that a worker remembers, in each of two generations.
+MEMORY = 400_000
 NONE = float("-inf")
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _START = re.compile(f"[^{BLANK}]{BLANK}")
+#: Words taken apart where letters meet other characters.
+_LETTER = re.compile(r"[^\W\d_]")
+_PARTS = re.compile(rf"{BLANK}*(?:[^\W\d_]+|(?:[\W\d_](?<!{BLANK}))+)|{BLANK}+")
 
 
 def _fields(data: bytes):
@@ -117,8 +124,14 @@ class PieceModel:
             if re.search(f"[^{BLANK}]{BLANK}", piece):
                 raise ValueError("pieces that reach over the start of a word are not supported")
         self.least = min(self.scores) - 10.0
-        self.memory: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        kind = lambda c: bool(_LETTER.match(c))
+        apart = all(BLANK in (a, b) or kind(a) == kind(b) for piece in self.ids for a, b in zip(piece, piece[1:]))
+        self.parts = _PARTS if apart else _WORD
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.spelt = ["" if i in self.hidden else p for i, p in enumerate(self.pieces)]
+        self.is_byte = np.zeros(len(self.pieces), bool)
+        self.is_byte[list(self.byte_of)] = True
         self._pairs: dict[tuple[str, str], bool] = {}
 
     # -- text to pieces -------------------------------------------------------------
@@ -230,28 +243,55 @@ class PieceModel:
         pieces = max((w for (reach, _), w in ways.items() if reach == 0), key=lambda w: w[0])[1]
         return tuple(i for p in pieces for i in self.spell(p))
 
-    def words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word, remembered; new words go to the library in one call where it can take them."""
-        memory = self.memory
-        got = list(map(memory.get, words))
-        if None not in got:
+    def _by_library(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words by the library, in one call.
+
+        It puts a blank in front of a text.  A word without one stands behind a character of the other kind, to which
+        no piece joins it, and that character's ids are cut off.
+        """
+        before = {kind: (c, len(self.library.encode(c))) for kind, c in ((True, "."), (False, "a"))}
+        asked, cuts = [], []
+        for w in words:
+            if w[0] == BLANK:
+                asked.append(w[1:])
+                cuts.append(0)
+            else:
+                c, n = before[bool(_LETTER.match(w))]
+                asked.append(c + w)
+                cuts.append(n)
+        return {w: array("i", ids[n:] if n else ids).tobytes() for w, n, ids in zip(words, cuts, self.library.encode(asked, num_threads=1))}
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word (as bytes of int32), remembered; new words go to the library in one call where it can take them."""
+        got = list(map(self.memory.get, words))
+        gaps, at = [], -1
+        try:
+            while True:  # list.index walks over what is known without a step of Python
+                at = got.index(None, at + 1)
+                gaps.append(at)
+        except ValueError:
+            pass
+        if not gaps:
             return got
-        new = {w for w, g in zip(words, got) if g is None}
+        new = {words[i] for i in gaps}
         older = self.older
         known = {w: older[w] for w in new if w in older}
         new = [w for w in new if w not in known]
         if self.library is not None and self.dummy and not self.squeeze:
-            plain = [w for w in new if w[0] == BLANK and 1 < len(w) <= 64]
+            bare = self.parts is _PARTS
+            plain = [w for w in new if len(w) <= 64 and (1 < len(w) if w[0] == BLANK else bare) and BLANK not in w[1:]]
             if plain:
-                known |= zip(plain, map(tuple, self.library.encode([w[1:] for w in plain], num_threads=1)))
+                known |= self._by_library(plain)
         for w in new:
             if w not in known:
-                known[w] = self._word(w)
-        if len(memory) + len(known) > MEMORY:  # two generations: what was not asked for lately goes
-            self.older, self.memory = memory, known if len(known) <= MEMORY else {}
+                known[w] = np.array(self._word(w), np.int32).tobytes()
+        if len(self.memory) + len(known) > MEMORY:  # two generations: what was not asked for lately goes
+            self.older, self.memory = self.memory, known if len(known) <= MEMORY else {}
         else:
-            memory |= known
-        return [known[w] if g is None else g for w, g in zip(words, got)]
+            self.memory |= known
+        for i in gaps:
+            got[i] = known[words[i]]
+        return got
 
     def spell(self, piece: str) -> list[int]:
         """Ids of one piece; a character without a piece is spelt in bytes."""
@@ -264,7 +304,14 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text in one piece."""
-        return self._fuse(list(chain.from_iterable(self.words(_WORD.findall(self.prepare(text))))))
+        return self.encode_many([text])[0].tolist()
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts; their new words are looked up together."""
+        parts = [self.parts.findall(self.prepare(t)) for t in texts]
+        found = iter(self.words([w for own in parts for w in own]))
+        ids = [np.frombuffer(b"".join(islice(found, len(own))), np.int32) for own in parts]
+        return ids if self.bytes else [np.array(self._fuse(x.tolist()), np.int32) for x in ids]
 
     def _fuse(self, ids: list[int]) -> list[int]:
         """Neighbouring unknowns count as one, as in the library."""
@@ -274,6 +321,11 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text that ids spell; bytes that form no character become U+FFFD."""
+        ids = np.asarray(ids, np.int64)
+        if not self.is_byte[ids].any():
+            text = "".join(map(self.spelt.__getitem__, ids.tolist())).replace(BLANK, " ")
+            return text[1:] if self.dummy and text.startswith(" ") else text
+        ids = ids.tolist()
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -344,7 +396,7 @@ class PieceModel:
             return [i for p in ways[leave][1] for i in self.spell(p)]
         head = max((w for (r, _), w in self.paths(text, cut + reach, last, pinched[0]).items() if r == 0), key=lambda w: w[0])
         out = [i for p in head[1] for i in self.spell(p)]
-        out.extend(chain.from_iterable(self.words(_WORD.findall(text[pinched[0] : pinched[1]]))))
+        out.extend(np.frombuffer(b"".join(self.words(self.parts.findall(text[pinched[0] : pinched[1]]))), np.int32).tolist())
         tail = self.paths(text, pinched[1], "", end)
         return out + [i for p in tail[leave][1] for i in self.spell(p)]
 
@@ -397,6 +449,12 @@ def _split(prepared: str, chunk: int, longest: int):
         yield n, at - low, stop - low, prepared[low : min(len(prepared), stop + longest)]
 
 
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrow lists of int32 arrays."""
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])), type=kind)
+
+
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK, unigram: bool | None = None, decoded: str | None = None) -> DataFrame:
     """``docs`` with ``token_ids`` (array of int), and with the text that these spell if ``decoded`` names a column.
 
@@ -414,9 +472,9 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
     def whole(batches):
         codec = model(model_path, unigram)
         for batch in slices(batches, 128):
-            ids = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
+            ids = codec.encode_many([t or "" for t in batch.column(text).to_pylist()])
             texts = [pa.array([codec.decode(x) for x in ids], pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), pa.array(ids, arrow.field("token_ids").type), *texts], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), _lists(ids, arrow.field("token_ids").type), *texts], schema=arrow)
 
     short = base.where(~is_long).mapInArrow(whole, schema)
     # equal long texts have equal ids: they are encoded once and joined back by their digest
@@ -482,7 +540,7 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "token_ids"
     def run(batches):
         codec = model(model_path)
         for batch in slices(batches, 32):
-            texts = [codec.decode(x or ()) for x in batch.column(ids).to_pylist()]
+            texts = [codec.decode(() if x is None else x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), pa.array(texts, pa.string())], schema=arrow)
 
     return base.mapInArrow(run, schema)
