@@ -420,3 +420,22 @@ def retrieve(
         ranked = reserve(fused, F.lit(lexical_reserve) if lexical_reserve is not None else F.col("route.lexical_reserve"), F.lit(semantic_reserve) if semantic_reserve is not None else F.col("route.semantic_reserve"), top_k).drop("route")
     body = chunks.select("chunk_id", *[c for c in chunks.columns if c not in ("chunk_id", "document_id")])
     return ranked.join(body, "chunk_id")
+
+
+#: Columns that a row's own metadata (JSON) never overrides.
+TYPED = ["retrieval_role", "chunk_type", "clause_number", "standard_number", "page_numbers", "heading_path", "quality_flags", "needs_review", "content_hash", "table_id", "image_id", "table_source"]
+
+
+def row_metadata(rows: DataFrame, metadata: str = "metadata_json") -> DataFrame:
+    """``rows`` with ``metadata`` (map of text): the row's JSON object, with its typed columns laid over it.  What is no JSON object is empty."""
+    typed = [c for c in TYPED if c in rows.columns]
+    own = F.coalesce(F.from_json(F.when(F.trim(metadata).startswith("{"), F.col(metadata)), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    value = lambda c: F.to_json(c) if rows.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
+    over = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("key"), value(c).alias("value")) for c in typed]))
+    kept = F.map_filter(own, lambda k, _: ~k.isin(*typed)) if typed else own
+    return rows.withColumn("metadata", F.map_concat(kept, over) if typed else own)
+
+
+def anchor_payload(ranked: DataFrame) -> DataFrame:
+    """What an answer keeps of its anchors: identity, place and source, no text."""
+    return ranked.select("query_id", "rank", "chunk_id", "document_id", "location", *[c for c in ("source_marker", "metadata") if c in ranked.columns])

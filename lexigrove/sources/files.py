@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.identity import document_id
+from ..functions.identity import document_id, table_digest
 from ..functions.text import basename
 
 #: File kinds that are read, and pictures that are scanned.
@@ -111,6 +111,25 @@ def verify_inventory(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return met.select("path", issue.alias("issue")).where("issue is not null")
 
 
+def binding(spark: SparkSession, path: str, rows: DataFrame | None = None) -> DataFrame:
+    """(path, sha256, n_items, content_digest) of input files: their bytes, and, with ``rows``, what was read from them.
+
+    A run that names its inputs so can be told apart from one over other inputs.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    if rows is None:
+        return files.select("path", "sha256", F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("string").alias("content_digest"))
+    return files.join(F.broadcast(table_digest(rows, *sorted(rows.columns)))).select("path", "sha256", F.col("n_rows").alias("n_items"), F.col("digest").alias("content_digest"))
+
+
+def require_fresh(spark: SparkSession, *paths: str) -> None:
+    """Raises if any output path is there already, before anything is computed for it."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            raise FileExistsError(path)
+
+
 # -- records ------------------------------------------------------------------------
 
 

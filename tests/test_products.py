@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove import settings
 from lexigrove.operators import benchmarks, catalog, pages, publish, reports, retrieval, search
+from lexigrove.sources import files
 
 CHUNKS = "chunk_id string, document_id string, location string, part int, primary_page int, text string, text_search string, retrieval_role string, parent_id string, heading_path array<string>, standard_number string, clause_number string"
 
@@ -222,3 +224,30 @@ def test_report_values(spark):
     projects = spark.createDataFrame([("p", "地下车库与消防设施"), ("q", None)], "project_id string, overview string")
     notes = spark.createDataFrame([("parking", "report", "n1"), ("fire", "report", "n2"), ("structure", "report", "n3")], "topic string, kind string, note string")
     assert [(x["project_id"], x["notes"]) for x in reports.project_notes(projects, notes).collect()] == [("p", ["n1", "n2"])]
+
+
+def test_settings_and_command_line(spark, tmp_path):
+    path = str(tmp_path / "settings.json")
+    assert settings.load(path) == settings.Settings()
+    (tmp_path / "settings.json").write_text('{"top_k": 9, "old": 1}')
+    held = settings.load(path)
+    assert held.retrieval.top_k == 9 and held.version == settings.VERSION
+    settings.save(held, path)
+    assert settings.load(path) == held and settings.Settings(version=7).problems()
+    with pytest.raises(ValueError):
+        settings.save(settings.Settings(retrieval=settings.Retrieval(chunk_overlap=5000)), path)
+    out = str(tmp_path / "out")
+    settings.main(["run", "stable_sample", "--tables", "/root/testdata/sf0.001", "--out", out])
+    assert spark.read.parquet(out).count() == 50
+    with pytest.raises(FileExistsError):
+        files.require_fresh(spark, str(tmp_path / "new"), out)
+    (tmp_path / "in.json").write_text('{"a": 1}\n{"a": 2}\n')
+    bound = files.binding(spark, str(tmp_path / "in.json"), spark.read.schema("a int").json(str(tmp_path / "in.json"))).first()
+    assert bound["n_items"] == 2 and len(bound["sha256"]) == len(bound["content_digest"]) == 64
+
+
+def test_row_metadata(spark):
+    rows = spark.createDataFrame([("q", 1, "c", "d", "l", '{"a": 1, "table_id": "old"}', "t", [1, 2]), ("q", 2, "e", "d", "l", "no json", None, None)], "query_id string, rank int, chunk_id string, document_id string, location string, metadata_json string, table_id string, page_numbers array<int>")
+    found = retrieval.row_metadata(rows)
+    assert [r["metadata"] for r in found.orderBy("rank").collect()] == [{"a": "1", "table_id": "t", "page_numbers": "[1,2]"}, {"table_id": None, "page_numbers": None}]
+    assert retrieval.anchor_payload(found).columns == ["query_id", "rank", "chunk_id", "document_id", "location", "metadata"]
