@@ -221,3 +221,58 @@ def common_heading(paths: Column) -> Column:
     same = lambda i: F.forall(paths, lambda p: F.coalesce(F.get(p, i) == F.get(first, i), F.lit(False)))
     upto = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(first) - 1, F.lit(0))), F.lit(0), lambda a, i: F.when((a == i) & same(i), a + 1).otherwise(a))
     return F.when(F.size(paths) > 0, F.slice(first, F.lit(1), upto)).otherwise(F.array().cast("array<string>"))
+
+
+#: Fixed value: what marks items that no service wrote.
+LOCAL = "local_fallback"
+
+
+def fallback_items(findings: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Report items from the findings alone: description and action of the category's phrases, for review by a person.
+
+    ``findings``: report_id, position, image_name, finding_index, damage_type, level; ``phrases``: key, description, action.
+    """
+    rows = findings.withColumn("key", F.coalesce(damage_category(F.col("damage_type")), F.lit("other"))).join(phrases, "key", "left")
+    return rows.select(
+        "report_id", "position", "image_name", "finding_index", "damage_type", F.coalesce(F.lower("level"), F.lit(LEVELS[0])).alias("level"), F.coalesce("description", F.col("damage_type"), F.lit("")).alias("description"),
+        F.coalesce(F.nullif(F.col("action"), F.lit("")), F.lit(NO_ACTION)).alias("recommended_action"), F.lit(LOCAL).alias("source"), F.lit(True).alias("needs_review"),
+    )
+
+
+def render_report(reports: DataFrame, items: DataFrame) -> DataFrame:
+    """(report_id, markdown): title, level and one section for each item in order.
+
+    ``reports``: report_id, title, overall_level; ``items``: report_id, position, image_name, damage_type, level, description, recommended_action.
+    """
+    names = F.create_map(*[F.lit(x) for pair in LEVEL_NAMES.items() for x in pair])
+    level = lambda c: F.coalesce(F.element_at(names, F.lower(c)), F.lit(LEVEL_NAMES[LEVELS[0]]))
+    place = F.row_number().over(Window.partitionBy("report_id").orderBy("position", "image_name"))
+    section = F.concat_ws("\n", F.concat(F.lit("## "), place.cast("string"), F.lit(". "), F.coalesce("damage_type", F.lit("")), F.lit(" – "), level("level")), F.concat(F.lit("`"), "image_name", F.lit("`")), F.lit(""), F.nullif(F.col("description"), F.lit("")), F.concat(F.lit("> "), "recommended_action"))
+    parts = items.select("report_id", place.alias("n"), section.alias("s")).groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("p"))
+    head = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), level("overall_level"))
+    return reports.join(parts, "report_id", "left").select("report_id", F.concat_ws("\n\n", head, F.array_join(F.transform("p", lambda x: x["s"]), "\n\n")).alias("markdown"))
+
+
+def render_plan(plans: DataFrame, lines: DataFrame) -> DataFrame:
+    """(report_id, markdown): a plan's lines as one table, in order of their numbers.
+
+    ``plans``: report_id, title; ``lines``: report_id, line_id, image_name, category, level, method.
+    """
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    columns = ["line_id", "image_name", "category", "level", "method"]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
+    parts = lines.select("report_id", "line_id", row.alias("s")).groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("line_id", "s"))).alias("p"))
+    head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
+    body = F.when(F.size("p") > 0, F.concat_ws("\n", F.lit(head), F.array_join(F.transform("p", lambda x: x["s"]), "\n")))
+    return plans.join(parts, "report_id", "left").select("report_id", F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", F.lit(""))), body).alias("markdown"))
+
+
+def generation_manifest(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Audit rows of answers: which passages each saw, without their texts, and one digest of all of its evidence.
+
+    ``answers``: answer_id, model, template_version, source_mode; ``chunks``: answer_id, rank, chunk_id, document_id, role, text.
+    """
+    seen = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_id", "role")))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.sha2("text", 256).alias("h")))), lambda x: F.concat_ws(":", x["chunk_id"], x["h"])), "\n"), 256)
+    own = chunks.groupBy("answer_id").agg(seen.alias("retrieved"), digest.alias("evidence_digest"))
+    return answers.join(own, "answer_id", "left")

@@ -202,6 +202,19 @@ def read_pointer(path: str, most: int = 1 << 20) -> dict | None:
         return json.load(file)
 
 
+def merge_manifest(path: str, profile: str, entry: dict, outputs: dict[str, str], fallback_reason: str | None = None) -> dict:
+    """The driver's run manifest with this profile's entry in place of an earlier one; a file that does not parse is begun anew."""
+    try:
+        held = read_pointer(path) or {}
+    except ValueError:
+        held = {}
+    held = held if isinstance(held, dict) else {}
+    profiles = held.get("profiles")
+    held["profiles"] = {**(profiles if isinstance(profiles, dict) else {}), profile: {**entry, "outputs": dict(outputs), "fallback": fallback_reason is not None, "fallback_reason": (fallback_reason or "")[:1000]}}
+    write_pointer(path, held)
+    return held
+
+
 def import_vectors(path: str, most_rows: int = 1_000_000, most_dim: int = 8192, most_ratio: int = 250) -> tuple[list[str], object]:
     """Ids and matrix of an old NPZ archive after checks of size, kind, shape and finite values."""
     import numpy as np

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigrove import settings
 from lexigrove.operators import benchmarks, catalog, pages, publish, reports, retrieval, search
-from lexigrove.sources import files
+from lexigrove.sources import files, remote
 
 CHUNKS = "chunk_id string, document_id string, location string, part int, primary_page int, text string, text_search string, retrieval_role string, parent_id string, heading_path array<string>, standard_number string, clause_number string"
 
@@ -251,3 +251,42 @@ def test_row_metadata(spark):
     found = retrieval.row_metadata(rows)
     assert [r["metadata"] for r in found.orderBy("rank").collect()] == [{"a": "1", "table_id": "t", "page_numbers": "[1,2]"}, {"table_id": None, "page_numbers": None}]
     assert retrieval.anchor_payload(found).columns == ["query_id", "rank", "chunk_id", "document_id", "location", "metadata"]
+
+
+def test_generation_with_fallback(spark, tmp_path):
+    class Service:
+        def __init__(self):
+            self.calls = 0
+
+        def generate(self, items):
+            self.calls += 1
+            if self.calls == 1:
+                raise ConnectionError("once")
+            if any(i["id"] == 5 for i in items):
+                return [{"id": 0}]
+            return [{"id": i["id"], "text": i["t"] + "!"} for i in reversed(items)]
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "id int, t string").coalesce(1)
+    got = {r["id"]: (r["result"], r["error"]) for r in remote.generate(rows, Service, "id", 2, wait=0.0).collect()}
+    assert got[0] == ('{"id": 0, "text": "t0!"}', "") and got[3][0] and got[4] == got[5] == (None, "ValueError: identity mismatch")
+    chained = RuntimeError("outer")
+    chained.__cause__ = TimeoutError()
+    assert remote.transient(chained) and not remote.transient(ValueError("no"))
+    path = str(tmp_path / "manifest.json")
+    (tmp_path / "manifest.json").write_text("[broken")
+    files.merge_manifest(path, "a", {"x": 1}, {"out": "p"})
+    assert set(files.merge_manifest(path, "b", {}, {}, "why")["profiles"]) == {"a", "b"} and files.read_pointer(path)["profiles"]["b"]["fallback"]
+
+
+def test_rendered_reports(spark):
+    findings = spark.createDataFrame([("r", 2, "b.jpg", 1, "deformation", "high"), ("r", 1, "a.jpg", 1, "unknown", None)], "report_id string, position int, image_name string, finding_index int, damage_type string, level string")
+    items = reports.fallback_items(findings, spark.createDataFrame([("deformation", "bent", "straighten")], "key string, description string, action string"))
+    text = reports.render_report(spark.createDataFrame([("r", "Title", "high"), ("s", None, None)], "report_id string, title string, overall_level string"), items).orderBy("report_id").collect()
+    assert text[0]["markdown"] == f"# Title\n\n高\n\n## 1. unknown – 待判定\n`a.jpg`\n\nunknown\n> {reports.NO_ACTION}\n\n## 2. deformation – 高\n`b.jpg`\n\nbent\n> straighten" and text[1]["markdown"] == "# \n\n待判定"
+    lines = spark.createDataFrame([("r", "W-002", "b|c", "x", "high", None), ("r", "W-001", "a", "x", "low", "m")], "report_id string, line_id string, image_name string, category string, level string, method string")
+    plan = reports.render_plan(spark.createDataFrame([("r", "P"), ("s", "Q")], "report_id string, title string"), lines).orderBy("report_id").collect()
+    assert plan[0]["markdown"].endswith("| W-001 | a | x | low | m |\n| W-002 | b\\|c | x | high |  |") and plan[1]["markdown"] == "# Q"
+    answers = spark.createDataFrame([("x", "m", "v", "kb")], "answer_id string, model string, template_version string, source_mode string")
+    seen = spark.createDataFrame([("x", 1, "c", "d", "anchor", "t")], "answer_id string, rank int, chunk_id string, document_id string, role string, text string")
+    row = reports.generation_manifest(answers, seen).first()
+    assert row["retrieved"][0]["chunk_id"] == "c" and len(row["evidence_digest"]) == 64
