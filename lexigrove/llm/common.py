@@ -30,9 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later jobs start from files that outlive executors."""
-    return write_table(df, table_path(df.sparkSession, name))
+def materialise(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so later jobs start from files that outlive executors.
+
+    With ``small`` (ids and links, not texts) rows are dealt to as many tasks as there are cores first, so that many
+    tasks with few rows each do not leave a file each.
+    """
+    small_batches(df.sparkSession)
+    return write_table(few_files(df) if small else df, table_path(df.sparkSession, name))
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+#: Bytes of rows in one Arrow batch: an executor and its Python workers hold several batches at a time.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES unless something else than Spark's default is set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m"):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -45,13 +65,15 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def empty_table(like: DataFrame, path: str) -> None:
-    """Frees what a table holds once nothing reads it any more: its rows are overwritten by none."""
-    like.sparkSession.createDataFrame([], like.schema).write.mode("overwrite").parquet(path)
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ours that nothing reads any more, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; files that give fewer splits than there are cores are dealt out once."""
+    small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
@@ -87,6 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 def map_rows(df: DataFrame, function, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` with a function from one Arrow batch to one dict of columns."""
+    small_batches(df.sparkSession)
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -111,9 +134,10 @@ def sorted_by_id(texts: DataFrame, range_bytes: int) -> DataFrame:
     """(doc_id, text) sorted within and across tasks by doc_id (null first) and a hash of the text.
 
     A range exchange of about ``range_bytes`` of text a task; its bounds come from Spark's own sample of keys.  The
-    input position ends the key, so that rows that repeat an id and a text any number of times are dealt out too.
+    input's partition ends the key, so that rows that repeat an id and a text any number of times are dealt out too;
+    unlike a row's number it is the same when a lost task runs again.
     """
     tasks = max(1, -(-total_bytes(texts, "text") // range_bytes))
-    keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("at"))
+    keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.spark_partition_id().alias("at"))
     key = [F.col("doc_id").asc_nulls_first(), "tie", "at"]
     return keyed.repartitionByRange(tasks, *key).sortWithinPartitions(*key).select("doc_id", "text")

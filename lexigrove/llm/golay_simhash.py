@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom, shingle_overlap
-from .common import arrow_schema, empty_table, field_name, map_rows, materialise, slices, table, table_path, write_table
+from .common import arrow_schema, drop_table, few_files, field_name, map_rows, materialise, slices, table, table_path, write_table
 
 SHINGLE = 3
 SEED = 42
@@ -230,7 +230,7 @@ def link_fingerprints(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if out_a:
             yield linked(out_a, out_b)
 
-    found = materialise(meets.repartition("key").sortWithinPartitions("key").mapInArrow(verify, _FOUND), "buckets")
+    found = materialise(meets.repartition("key").sortWithinPartitions("key").mapInArrow(verify, _FOUND), "buckets", small=True)
     left = found.where("fps is not null").select("key", "no", "fps")
     right = left.select("key", F.col("no").alias("no2"), F.col("fps").alias("fps2"))
 
@@ -248,11 +248,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; root is the smallest node reachable.
 
     Alternating star contraction: each round hangs neighbours on the smallest one seen
-    from either side; every round is a written table, emptied once the next one stands.
+    from either side; every round is a written table, dropped once the next one stands.
     Rounds grow with the logarithm of the longest chain.  Only one number a round reaches the driver.
     """
     spark, path = links.sparkSession, table_path(links.sparkSession, "star")
-    edges = write_table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
+    edges = write_table(few_files(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), path)
     before = None
     while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -265,8 +265,8 @@ def components(links: DataFrame) -> DataFrame:
         least = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new_path = table_path(spark, "star")
-        new = write_table(small, new_path)
-        empty_table(edges, path)
+        new = write_table(few_files(small), new_path)
+        drop_table(spark, path)
         now = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -296,7 +296,7 @@ def _rooted(marked: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _by_bits(docs: DataFrame, text: str) -> DataFrame:
-    marked = materialise(fingerprints(docs, text), "simhash")
+    marked = materialise(fingerprints(docs, text), "simhash", small=True)
     return _rooted(marked, link_fingerprints(marked.select("fp").distinct()))
 
 
@@ -330,15 +330,15 @@ def keep_one(docs: DataFrame, text: str = "text", similarity: Fraction | None =
 
     A Bloom filter of the rows that may go lets all others through in the scan; only what it stops is shuffled.
     """
-    found = materialise(_by_bits(docs, text) if similarity is None else overlapping(docs, similarity, shingle, text), "components").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    found = materialise(_by_bits(docs, text) if similarity is None else overlapping(docs, similarity, shingle, text), "components", small=True).groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies"))
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")).select("root", "best.doc_id", "best.digest")
-    best = materialise(best, "first-rows")
+    best = materialise(best, "first-rows", small=True)
     stays = F.col("g.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("g.digest") == F.col("b.digest"))
     doubtful = found.alias("g").join(best.alias("b"), "root").where(~stays | (F.col("g.copies") > 1)).select(F.xxhash64("g.doc_id", "g.digest").alias("key"))
     own_id, own_digest, own_key, flag, place = (field_name(docs, stem) for stem in ("row_id", "row_digest", "row_key", "row_flag", "row_place"))
     plain = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_digest, F.xxhash64(F.col(f"`{text}`").cast("string")))
-    rows = bloom.marked(rows.withColumn(own_key, F.xxhash64(own_id, own_digest)), own_key, materialise(doubtful, "doubtful"), "key", flag)
+    rows = bloom.marked(rows.withColumn(own_key, F.xxhash64(own_id, own_digest)), own_key, materialise(doubtful, "doubtful", small=True), "key", flag)
     order = [F.xxhash64(F.col(f"`{f.name}`")) for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     first = rows.where(F.col(flag)).withColumn(place, F.row_number().over(Window.partitionBy(own_id, own_digest).orderBy(*order))).where(F.col(place) == 1)
     best_id, best_digest = field_name(first, "best_id"), field_name(first, "best_digest")

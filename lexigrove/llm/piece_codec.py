@@ -44,7 +44,7 @@ from .common import arrow_schema, field_name, slices, table
 BLANK = "▁"
 CHUNK = 1 << 16
 #: Words that a worker remembers, in each of two generations.
-MEMORY = 400_000
+MEMORY = 160_000
 NONE = float("-inf")
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _START = re.compile(f"[^{BLANK}]{BLANK}")

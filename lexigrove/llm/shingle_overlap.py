@@ -11,8 +11,12 @@ every text, so common lines fall outside the prefixes.  Any order gives the same
 
 Pivots.  Sets meet on prefix shingles.  Each bucket's smallest set (by its name, a hash)
 is compared with all others of the bucket, and so are the pairs that the Golay code
-proposes.  What is alike joins into components, which settles nearly everything: a group
-of near copies shares its pivots.
+proposes.  What is alike joins into components.
+
+Neighbours.  In buckets that still hold several components, each member is compared with
+the one that follows it in an order of the bucket's own.  A member of a large group of
+near copies has a bucket for each shingle of its prefix, so it meets several others of
+its group, while the pairs stay no more than the members.
 
 Rest.  In buckets that still hold several components, the members outside the bucket's
 largest component are compared with the members of all other components.  So every pair
@@ -29,7 +33,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +46,9 @@ PART = 1 << 15
 #: Members that share a bucket in one task; shingles counted more often are dealt out by salt.
 BUCKET = 1 << 15
 
+#: Rounds in which neighbours are compared before all pairs that are left.
+TURNS = 2
+
 _BYTES = 6  # of a shingle's hash
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -138,7 +145,7 @@ def shingle_nodes(docs: DataFrame, size: int, text: str = "text") -> tuple[DataF
             for at in range(0, COUNTERS, PART):
                 yield pa.RecordBatch.from_pydict({f.name: [None] for f in list(arrow)[:5]} | {"part": [at // PART], "counts": [counts[at : at + PART].tobytes()]}, arrow)
 
-    found = materialise(keyed(docs, text).mapInArrow(run, NODES), "nodes")
+    found = materialise(keyed(docs, text).mapInArrow(run, NODES), "nodes", small=True)
     return found.where("counts is null").drop("part", "counts"), found.where("counts is not null").select("part", "counts")
 
 
@@ -261,12 +268,28 @@ def _ordered(x: str, y: str):
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _rest(met: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs of one bucket whose components differ, except those inside the bucket's largest component (none) or equal ones."""
-    rows = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("h", "fp", "np", F.coalesce("root", "fp").alias("root"))
-    sizes = rows.groupBy("h", "root").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("h", "most")
-    unsettled = materialise(rows.join(mixed, "h"), "unsettled")
+def _unsettled(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """Written rows (h, fp, np, root, most, slot) of buckets that hold several components.
+
+    most is the bucket's largest component; slots of a bucket have about BUCKET members each.
+    """
+    rooted = rows.select("h", "fp", "np").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("h", "fp", "np", F.coalesce("root", "fp").alias("root"))
+    sizes = rooted.groupBy("h", "root").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.count("*").alias("kinds"), F.sum("c").alias("all")).where("kinds > 1")
+    slot = F.pmod(F.col("fp"), F.lit(1) + F.floor(F.col("all") / BUCKET))
+    return materialise(rooted.join(mixed, "h").select("h", "fp", "np", "root", "most", slot.alias("slot")), name, small=True)
+
+
+def _neighbours(unsettled: DataFrame, least: Fraction, turn: int) -> DataFrame:
+    """Pairs of members of different components that stand side by side in an order of the bucket's own: no more than members."""
+    beside = Window.partitionBy("h", "slot").orderBy(F.xxhash64("h", "fp", F.lit(turn)), "fp")
+    rows = unsettled.select("*", *(F.lead(c).over(beside).alias(f"{c}2") for c in ("fp", "np", "root")))
+    sizes = [F.shiftright(F.col(c), 32) for c in ("np", "np2")]  # they may share shingles before this one, so places say nothing here
+    return rows.where((F.col("root") != F.col("root2")) & (least.denominator * F.least(*sizes) >= least.numerator * F.greatest(*sizes))).select(*_ordered("fp", "fp2")).distinct()
+
+
+def _rest(unsettled: DataFrame, least: Fraction) -> DataFrame:
+    """All pairs of one bucket whose components differ (inside the bucket's largest component none do)."""
     other = unsettled.where("root <> most").select("h", F.col("fp").alias("fp2"), F.col("np").alias("np2"), F.col("root").alias("root2"))
     met_again = unsettled.join(other, "h").where((F.col("root") != F.col("root2")) & _may_reach(least, "np", "np2"))
     return met_again.select(*_ordered("fp", "fp2")).distinct()
@@ -278,9 +301,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, tex
     The Bloom filter of those documents is asked in the scan, so no text is shuffled; what
     it lets through by mistake is not asked for later.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
     first = nodes.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("d")).join(wanted, "fp", "left_semi")
-    keys = materialise(first.select(F.xxhash64("d.doc_id", "d.digest").alias("key")), "wanted")
+    keys = materialise(first.select(F.xxhash64("d.doc_id", "d.digest").alias("key")), "wanted", small=True)
     arrow = arrow_schema(SETS)
 
     def run(batches):
@@ -315,7 +338,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, name: str) ->
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], schema=arrow)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
-    return materialise(joined.mapInArrow(run, PAIRS).distinct(), name)
+    return materialise(joined.mapInArrow(run, PAIRS).distinct(), name, small=True)
 
 
 def links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, proposed: DataFrame, size: int, least: Fraction, components, text: str = "text") -> DataFrame:
@@ -323,12 +346,18 @@ def links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, proposed: DataF
 
     ``proposed`` are pairs (a, b) that another method found; they are verified first, with the pivots'.
     """
-    met = materialise(_meet(_prefixes(keyed(docs, text), size, least, counts)), "met")
+    met = materialise(_meet(_prefixes(keyed(docs, text), size, least, counts)), "met", small=True)
     by_pivot = met.where((F.col("fp") != F.col("pivot")) & _may_reach(least, "np", "pivot_np")).select(*_ordered("fp", "pivot"))
-    first = materialise(by_pivot.unionAll(proposed.select("a", "b")).distinct(), "pairs")
-    found = _verified(first, _sets_of(docs, nodes, first, size, text), least, "links")
-    roots = materialise(components(found), "roots")
-    rest = materialise(_rest(met, roots, least).join(first, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return found
-    return found.unionAll(_verified(rest, _sets_of(docs, nodes, rest, size, text), least, "more-links"))
+    tried = materialise(by_pivot.unionAll(proposed.select("a", "b")).distinct(), "pairs", small=True)
+    found = _verified(tried, _sets_of(docs, nodes, tried, size, text), least, "links")
+    open_rows = met
+    for turn in range(TURNS + 1):
+        name = f"turn{turn}"
+        open_rows = _unsettled(open_rows, materialise(components(found), "roots", small=True), f"open-{name}")
+        chosen = _neighbours(open_rows, least, turn) if turn < TURNS else _rest(open_rows, least)
+        pairs = materialise(chosen.join(tried, ["a", "b"], "left_anti"), name, small=True)
+        if pairs.isEmpty():
+            continue
+        found = found.unionAll(_verified(pairs, _sets_of(docs, nodes, pairs, size, text), least, f"{name}-links"))
+        tried = tried.unionAll(pairs)
+    return found
