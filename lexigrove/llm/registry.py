@@ -11,7 +11,10 @@ from .piece_codec import op3_sentencepiece
 from .piecewise_hash import op4_document_fingerprints
 from .suffix_dedup import OP5_SQL, op5_suffix_dedup
 from .token_store import op10_token_output
+from .turn_repair import op11_turn_repair
 from .url_filter import OP2_SQL, op2_url_filter
+from .vector_codes import OP12_SQL, op12_vector_codes
+from .web_archive import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_output": op10_token_output,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_warc": op13_warc,
 }
-SQL = {"op2_url_filter": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL}
+SQL = {"op2_url_filter": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL, "op12_vector_codes": OP12_SQL, "op13_warc": OP13_SQL}
