@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import inverted
 from ..session import spread
+from ..sources.shared_files import shared_dir
 
 TOKENS_SQL = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"
 
@@ -35,3 +37,14 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
     terms = F.slice(F.array_distinct(F.filter(index_tokens(F.col("text")), lambda t: F.length(t) >= 2)), 1, 24)
     return b.select(F.col("item_id").alias("query_id"), "text", terms.alias("terms"), F.lit(None).cast("array<string>").alias("scope"))
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the documents table's persisted index in the shared folder; built if these files have none yet."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").where("path LIKE '%.parquet'")
+    # one row: what files there are, from their names, lengths and times
+    known = files.agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.concat_ws(",", "path", "length", F.unix_micros("modificationTime"))))), 256)).first()[0]
+    path = f"{shared_dir(spark)}/lexical-{known[:32]}"
+    if inverted.snapshot(spark, path) is None:
+        inverted.commit(spark, path, documents(spark, sf_dir), fields={"text_search": 1.0}, key="chunk_id", carry=("document_id", "location"))
+    return path

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import reciprocal_rank
 from ..functions.text import basename, index_tokens, route
-from ..operators import evidence, retrieval, search
+from ..operators import evidence, inverted, retrieval, search
 from ..operators.evaluation import query_metrics, scope_leaks, summary
 from ..operators.postings import bm25, phrase_hits, postings, tokenised
 from ..operators.rerank import rerank_baseline
-from .common import benchmark_queries, documents, read
+from .common import benchmark_queries, documents, lexical_index, read
 
 QUERY_TERMS_SQL = r"""
 q AS (
@@ -124,6 +124,17 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{
 """
 
 
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``bm25_topk``, from the persisted index, which the first query over a table builds."""
+    found = inverted.search(spark, lexical_index(spark, sf_dir), benchmark_queries(spark, sf_dir).drop("scope"), 10, round_to=6)
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``postings_stats``, from the persisted index."""
+    return inverted.term_stats(spark, lexical_index(spark, sf_dir)).select("term", "doc_freq", F.col("term_freq").cast("long").alias("term_freq"))
+
+
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places where all tokens of a benchmark text stand together."""
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
@@ -539,6 +550,7 @@ SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract
 """
 
 QUERIES = {
+    "index_topk": index_topk, "index_terms": index_terms,
     "bm25_topk": bm25_topk, "bm25_fields": bm25_fields, "postings_stats": postings_stats, "phrase_match": phrase_match, "like_channel": like_channel, "exact_id_channel": exact_id_channel, "title_channel": title_channel,
     "cosine_topk": cosine_topk, "cosine_scoped": cosine_scoped, "rrf_fusion": rrf_fusion, "adaptive_reserve": adaptive_reserve, "budgeted_context": budgeted_context, "scoped_fallback": scoped_fallback,
     "parent_hydration": parent_hydration, "same_group_expansion": same_group_expansion, "baseline_rerank": baseline_rerank, "evidence_dedup": evidence_dedup, "evidence_groups": evidence_groups,
@@ -546,6 +558,7 @@ QUERIES = {
     "scope_leakage": scope_leakage, "route_queries": route_queries, "url_parts": url_parts,
 }
 SQL = {
+    "index_topk": BM25_TOPK, "index_terms": POSTINGS_STATS,
     "bm25_topk": BM25_TOPK, "bm25_fields": BM25_FIELDS, "postings_stats": POSTINGS_STATS, "phrase_match": PHRASE_MATCH, "like_channel": LIKE_CHANNEL, "exact_id_channel": EXACT_ID, "title_channel": TITLE_CHANNEL,
     "cosine_topk": _cosine_sql(""), "cosine_scoped": _cosine_sql("AND a.label = b.label"), "rrf_fusion": RRF_FUSION, "adaptive_reserve": ADAPTIVE_RESERVE, "budgeted_context": BUDGETED, "scoped_fallback": SCOPED_FALLBACK,
     "parent_hydration": PARENT_HYDRATION, "same_group_expansion": SAME_GROUP, "baseline_rerank": BASELINE_RERANK, "evidence_dedup": EVIDENCE_DEDUP, "evidence_groups": EVIDENCE_GROUPS, "plain_search": PLAIN_SEARCH, "ir_metrics": IR_METRICS, "ir_summary": IR_SUMMARY,

@@ -27,10 +27,11 @@ def _bucket(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
 
 
-def index_stream(rows: DataFrame, build: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "document_id") -> StreamingQuery:
+def index_stream(rows: DataFrame, build: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "document_id", version: str = "version") -> StreamingQuery:
     """Keep an index table up to date: each batch's new or changed documents replace their rows.
 
-    ``rows`` has ``key`` and ``fingerprint``.  A batch writes the parts that it changes under
+    ``rows`` has ``key``, ``fingerprint`` and ``version``, all of which ``build`` keeps.  Of a document's versions the
+    greatest counts (of equal ones the greater fingerprint), in a batch and across batches.  A batch writes the parts that it changes under
     ``target/v=<batch id>``, so a batch that is run again after a failure gives the same; the
     index is the newest complete version of every part.  Parts that two newer complete
     versions replace are deleted, so a reader of the version before still finds its files.
@@ -38,9 +39,13 @@ def index_stream(rows: DataFrame, build: Callable[[DataFrame], DataFrame], targe
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), "fingerprint").alias("r")).select("r.*")
+        latest = batch.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), F.struct(version, "fingerprint")).alias("r")).select("r.*")
         before = read_index(spark, target, number)
-        fresh = latest if before is None else changed(latest, before.select(key, "fingerprint").distinct(), key)
+        fresh = latest
+        if before is not None:
+            known = before.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(F.col(version).alias("v"), F.col("fingerprint").alias("f"))).alias("_known"))
+            newer = F.col("_known").isNull() | (F.struct(F.col(version).alias("v"), F.col("fingerprint").alias("f")) > F.col("_known"))
+            fresh = changed(latest, before.select(key, "fingerprint").distinct(), key).join(known, F.col(key) == F.col("_key"), "left").where(newer).drop("_key", "_known")
         touched = sorted(r[0] for r in fresh.select(_bucket(key)).distinct().collect())  # BUCKETS numbers at most
         built = build(fresh)
         rows = built if before is None else replaced(before.where(_bucket(key).isin(touched)), built, key)

@@ -281,15 +281,18 @@ def test_runs_of_questions(spark):
 
 
 def test_incremental(spark, tmp_path):
-    first = spark.createDataFrame([("a", "1"), ("b", "1")], "document_id string, fingerprint string")
+    first = spark.createDataFrame([("a", "1", 1), ("b", "9", 1), ("b", "1", 2)], "document_id string, fingerprint string, version long")
     first.write.parquet(f"{tmp_path}/in/x")
     build = lambda rows: rows.withColumn("n", F.lit(1))
     run = lambda: incremental.index_stream(incremental.source(spark, f"{tmp_path}/in/*", first.schema), build, f"{tmp_path}/index", f"{tmp_path}/state").awaitTermination()
     run()
-    spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], first.schema).write.parquet(f"{tmp_path}/in/y")
+    assert sorted((r["document_id"], r["fingerprint"]) for r in incremental.read_index(spark, f"{tmp_path}/index").collect()) == [("a", "1"), ("b", "1")]
+    spark.createDataFrame([("a", "1", 1), ("a", "7", 0), ("b", "2", 3), ("c", "1", 1)], first.schema).write.parquet(f"{tmp_path}/in/y")
+    run()
+    spark.createDataFrame([("b", "8", 2)], first.schema).write.parquet(f"{tmp_path}/in/z")  # late: an older version
     run()
     assert sorted((r["document_id"], r["fingerprint"]) for r in incremental.read_index(spark, f"{tmp_path}/index").collect()) == [("a", "1"), ("b", "2"), ("c", "1")]
-    assert sorted(r["document_id"] for r in corpus.changed(spark.createDataFrame([("a", "1"), ("z", "1")], first.schema), first).collect()) == ["z"]
+    assert sorted(r["document_id"] for r in corpus.changed(spark.createDataFrame([("a", "1", 1), ("z", "1", 1)], first.schema), first).collect()) == ["z"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
