@@ -6,8 +6,6 @@ after the other, most significant bit first) and go through Arrow-batched functi
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -95,40 +93,52 @@ def largest_component(mask: np.ndarray, keep_if_empty: bool = True) -> np.ndarra
     return labels == int(np.argmax(sizes[1:])) + 1
 
 
-def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Labels of eight-connected components in reading order."""
-    labels = np.zeros(mask.shape, np.int32)
+def runs(mask: np.ndarray, connected: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Horizontal runs of a mask in reading order: (row, first column, column after the last, label) and the number of labels.
+
+    Runs of neighbouring rows that touch have one label, found by union of runs; labels count from 1 in reading order.
+    """
     height, width = mask.shape
-    count = 0
-    for y, x in zip(*np.nonzero(mask)):
-        if labels[y, x]:
-            continue
-        count += 1
-        labels[y, x] = count
-        queue = deque([(int(y), int(x))])
-        while queue:
-            cy, cx = queue.popleft()
-            for ny in range(max(0, cy - 1), min(height, cy + 2)):
-                for nx in range(max(0, cx - 1), min(width, cx + 2)):
-                    if mask[ny, nx] and not labels[ny, nx]:
-                        labels[ny, nx] = count
-                        queue.append((ny, nx))
-    return labels, count
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (rows, starts), ends = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+    reach, step = (1 if connected == 8 else 0), width + 3
+    # runs of the row above that end after this one begins and begin before it ends: consecutive in reading order
+    low = np.searchsorted(rows * step + ends, (rows - 1) * step + starts - reach, side="right")
+    high = np.searchsorted(rows * step + starts, (rows - 1) * step + ends + reach, side="left")
+    count = np.maximum(high - low, 0)
+    below = np.repeat(np.arange(len(rows)), count)
+    above = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    boss = list(range(len(rows)))
+    for a, b in zip(above.tolist(), below.tolist()):
+        while boss[a] != a:
+            boss[a] = boss[boss[a]]
+            a = boss[a]
+        while boss[b] != b:
+            boss[b] = boss[boss[b]]
+            b = boss[b]
+        if a != b:
+            boss[max(a, b)] = min(a, b)
+    top = np.array(boss, np.int64)
+    while len(top) and (top[top] != top).any():
+        top = top[top]
+    firsts, labels = np.unique(top, return_inverse=True)
+    return rows, starts, ends, labels + 1, len(firsts)
+
+
+def components(mask: np.ndarray, connected: int = 8) -> tuple[np.ndarray, int]:
+    """Labels of the eight- (or four-) connected components in reading order."""
+    labels = np.zeros(mask.shape, np.int32)
+    if mask.size:
+        rows, starts, ends, own, count = runs(mask.astype(bool), connected)
+        labels[mask.astype(bool)] = np.repeat(own, ends - starts)
+        return labels, count
+    return labels, 0
 
 
 def fill_holes(mask: np.ndarray) -> np.ndarray:
     """Background that the border cannot reach (four-connected) becomes part of the mask."""
-    outside = np.pad(~mask, 1, constant_values=True)
-    reached = np.zeros_like(outside)
-    reached[0, 0] = True
-    queue = deque([(0, 0)])
-    while queue:
-        y, x = queue.popleft()
-        for ny, nx in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-            if 0 <= ny < outside.shape[0] and 0 <= nx < outside.shape[1] and outside[ny, nx] and not reached[ny, nx]:
-                reached[ny, nx] = True
-                queue.append((ny, nx))
-    return ~reached[1:-1, 1:-1]
+    labels, _ = components(np.pad(~mask, 1, constant_values=True), 4)
+    return ~(labels == labels[0, 0])[1:-1, 1:-1]
 
 
 def smooth(scores: np.ndarray, kernel: int) -> np.ndarray:

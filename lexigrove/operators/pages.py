@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import components
+from ..functions.geometry import runs
 from ..functions.text import char_count
 
 #: Fixed value: below it a recogniser's line counts as unsure.
@@ -139,13 +139,16 @@ def spots(grey: np.ndarray) -> tuple[float, int, int]:
     ratio = float(dark.mean()) if dark.size else 1.0
     if not dark.any() or ratio > NOISE_PIXELS:
         return ratio, 0, 0
-    labels, count = components(dark)
-    ys, xs = np.nonzero(dark)
-    own = labels[ys, xs] - 1
-    area = np.bincount(own, minlength=count)
-    span = lambda v: np.array([v[own == i].max() - v[own == i].min() + 1 for i in range(count)])
+    rows, starts, ends, labels, count = runs(dark)
+    own = labels - 1
+    area = np.bincount(own, weights=ends - starts, minlength=count)
+    least, most = np.full((2, count), np.iinfo(np.int64).max), np.full((2, count), -1)
+    for n, (low, high) in enumerate(((starts, ends - 1), (rows, rows))):
+        np.minimum.at(least[n], own, low)
+        np.maximum.at(most[n], own, high)
+    wide, tall = most - least + 1
     height, width = grey.shape
-    counts = (area >= max(SPOT_PIXELS, round(dark.size * SPOT_SHARE))) | (span(xs) >= max(SPOT_SIDE, int(width * SPOT_SIDE_SHARE))) | (span(ys) >= max(SPOT_SIDE, int(height * SPOT_SIDE_SHARE)))
+    counts = (area >= max(SPOT_PIXELS, round(dark.size * SPOT_SHARE))) | (wide >= max(SPOT_SIDE, int(width * SPOT_SIDE_SHARE))) | (tall >= max(SPOT_SIDE, int(height * SPOT_SIDE_SHARE)))
     return ratio, int(counts.sum()), int(count - counts.sum())
 
 

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import heapq
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,7 +228,9 @@ def semantic_channel(vectors: DataFrame, query_vectors: DataFrame, k: int) -> Da
     session = vectors.sparkSession
     numbered = T.StructType([T.StructField("q", T.IntegerType()), *query_vectors.select("query_id").schema])
     parts = []
-    for block in _blocks(query_vectors.select("query_id", "scope", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")):
+    asked = query_vectors.select("query_id", "scope", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    # a block's questions have one dimension; there are as many kinds of blocks as there are dimensions
+    for block in (list(same) for mixed in _blocks(asked) for _, same in groupby(sorted(mixed, key=lambda r: len(r["v"])), key=lambda r: len(r["v"]))):
         matrix = np.array([row["v"] for row in block], np.float64)
         scopes = [None if row["scope"] is None else frozenset(map(str, row["scope"])) for row in block]
         shared = session.sparkContext.broadcast((matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300), scopes))
@@ -248,9 +252,13 @@ def _nearest(shared, k: int, names: list[str]):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 ids, docs, labels = (part.column(i).to_pylist() for i in range(3))
+                fits = pc.equal(pc.list_value_length(part.column(3)), questions.shape[1])
+                if not pc.all(fits).as_py():  # vectors of another dimension meet nothing; ``vectors.findings`` reports them
+                    part = part.filter(fits)
+                    ids, docs, labels = (part.column(i).to_pylist() for i in range(3))
+                    if not part.num_rows:
+                        continue
                 flat = part.column(3).flatten().to_numpy(zero_copy_only=False)
-                if len(flat) != part.num_rows * questions.shape[1]:
-                    raise ValueError("vectors and questions differ in dimension")
                 matrix = flat.reshape(part.num_rows, -1)
                 size = np.linalg.norm(matrix, axis=1, keepdims=True)
                 scores = questions @ (matrix / np.where(size > 0, size, np.nan)).T

@@ -38,14 +38,14 @@ def pools(rows: DataFrame, filters: list[tuple[str, Column, int]], seed: int, ke
 
     Before pool i at most the quotas of the pools before it are taken, so the first q1 + ... + qi rows of its own order
     hold all it can draw.  One scan gives each pool those rows (a top-n for each); the draw itself works on this
-    candidate list, whose size the quotas fix.  A key that several rows have counts once.
+    candidate list, whose size the quotas fix.  A key that several rows have counts once, and so does null.
     """
     reach, total = {}, 0
     for name, _, quota in filters:
         total += quota
         reach[name] = total
     offers = F.array_compact(F.array(*[F.when(condition, F.struct(F.lit(n).alias("no"), F.lit(name).alias("pool"), F.lit(reach[name]).alias("reach"), F.lit(quota).alias("quota"), stable_key(seed, name, F.col(key)).alias("stable_key"))) for n, (name, condition, quota) in enumerate(filters)]))
-    offered = rows.select("*", F.explode(offers).alias("_offer")).select(*rows.columns, "_offer.*")
+    offered = rows.select("*", F.explode(offers).alias("_offer")).select(*rows.columns, "_offer.*").dropDuplicates(["no", key])
     place = F.row_number().over(Window.partitionBy("no").orderBy("stable_key", key))
     candidates = offered.withColumn("place", place).where(F.col("place") <= F.col("reach"))
 
@@ -53,17 +53,16 @@ def pools(rows: DataFrame, filters: list[tuple[str, Column, int]], seed: int, ke
         taken: set = set()
         drawn = []
         for (_, quota), pool in own.sort_values(["no", "place"]).groupby(["no", "quota"], sort=True):
-            pool = pool.drop_duplicates(key)
-            reused = pool[key].isin(taken)
+            reused = pool["name"].isin(taken)
             chosen = pd.concat([pool[~reused].assign(reused=False), pool[reused].assign(reused=True)]).head(quota)
-            taken.update(chosen[key])
-            drawn.append(chosen[[key, "no", "reused"]])
-        return pd.concat(drawn) if drawn else pd.DataFrame({key: [], "no": [], "reused": []})
+            taken.update(chosen["name"])
+            drawn.append(chosen[["no", "place", "reused"]])
+        return pd.concat(drawn) if drawn else pd.DataFrame({"no": [], "place": [], "reused": []})
 
-    kind = rows.schema[key].dataType.simpleString()
-    choice = candidates.select(key, "no", "quota", "place", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda own: draw(own), f"`{key}` {kind}, no int, reused boolean")
-    once = candidates.withColumn("copy", F.row_number().over(Window.partitionBy("no", key).orderBy("place"))).where("copy = 1")
-    return once.join(choice, [key, "no"]).select(*rows.columns, "stable_key", "reused", "pool")
+    # rows are told apart by their place, keys by their spelling, so that a null key is one like any other
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")).alias("name")
+    choice = candidates.select(name, "no", "quota", "place", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda own: draw(own), "no int, place int, reused boolean")
+    return candidates.join(choice, ["no", "place"]).select(*rows.columns, "stable_key", "reused", "pool")
 
 
 def hash_split(key: Column, seed: int = 0, shares: dict[str, float] = SPLITS) -> Column:
@@ -88,17 +87,20 @@ PARTS = 64
 def stratified_split(samples: DataFrame, seed: int, shares: dict[str, float] = SPLITS) -> DataFrame:
     """(sample_id, split): multilabel stratification over groups of equal digest, without one task that sees all.
 
-    ``samples``: sample_id, digest, labels.  A group belongs to the stratum of its rarest label, so rare labels are
-    shared out on their own terms before common ones.  Inside a stratum groups stand in stable random order, larger
-    ones first; each goes to the split on whose share of the stratum's rows its middle falls.  Every split thus gets
-    its share of every stratum to within one group, and of every label about as well.  Running totals have two levels
-    (totals of parts, then inside a part), so a label of most rows is no single task.
+    ``samples``: sample_id, digest, labels.  A sample without a digest is a group of its own.  A group belongs to the
+    stratum of its rarest label, so rare labels are shared out on their own terms before common ones.  Inside a stratum
+    groups stand in stable random order, larger ones first; each goes to the split on whose share of the stratum's rows
+    its middle falls.  Every split thus gets its share of every stratum to within one group, and of every label about as
+    well (``balance`` tells how well).  Running totals have two levels (totals of parts, then inside a part), so a label
+    of most rows is no single task.
     """
-    groups = samples.groupBy("digest").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("labels", F.array().cast("array<string>"))))).alias("kinds"))
+    own = F.coalesce(F.concat(F.lit("="), F.col("digest").cast("string")), F.concat(F.lit("null:"), F.col("sample_id").cast("string")))
+    samples = samples.withColumn("_group", own)
+    groups = samples.groupBy("_group").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("labels", F.array().cast("array<string>"))))).alias("kinds"))
     counts = samples.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("held"))
-    rarest = groups.select("digest", F.explode("kinds").alias("label")).join(counts, "label").groupBy("digest").agg(F.min(F.struct("held", "label"))["label"].alias("stratum"))
-    order = stable_key(seed, "split", F.col("digest"))
-    placed = groups.join(rarest, "digest", "left").select("digest", "n", F.coalesce("stratum", F.lit("")).alias("stratum"), order.alias("place"))
+    rarest = groups.select("_group", F.explode("kinds").alias("label")).join(counts, "label").groupBy("_group").agg(F.min(F.struct("held", "label"))["label"].alias("stratum"))
+    order = stable_key(seed, "split", F.expr("CASE WHEN _group LIKE '=%' THEN substr(_group, 2) ELSE _group END"))
+    placed = groups.join(rarest, "_group", "left").select("_group", "n", F.coalesce("stratum", F.lit("")).alias("stratum"), order.alias("place"))
     # larger groups first: parts ascend with the falling logarithm of the size, then with the order
     size = F.lit(63) - F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     placed = placed.withColumn("part", size * PARTS + F.pmod(F.conv(F.substring("place", 1, 4), 16, 10).cast("int"), F.lit(1 << 16)) * PARTS / (1 << 16)).withColumn("part", F.floor("part"))
@@ -106,14 +108,24 @@ def stratified_split(samples: DataFrame, seed: int, shares: dict[str, float] = S
     totals = placed.groupBy("stratum", "part").agg(F.sum("n").alias("rows"))
     of_stratum = Window.partitionBy("stratum")
     totals = totals.select("stratum", "part", F.sum("rows").over(of_stratum).alias("all"), F.coalesce(F.sum("rows").over(before(of_stratum.orderBy("part"))), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("stratum", "part").orderBy("place", "digest"))), F.lit(0))
+    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy("stratum", "part").orderBy("place", "_group"))), F.lit(0))
     middle = (F.col("base") + inside + F.col("n") / 2) / F.col("all")
     split, edge = None, 0.0
     for name, share in shares.items():
         edge += share
         split = F.when(middle < edge, name) if split is None else split.when(middle < edge, name)
     found = placed.join(totals, ["stratum", "part"]).withColumn("split", split.otherwise(list(shares)[-1]))
-    return samples.join(found.select("digest", "split"), "digest").select("sample_id", "split")
+    return samples.join(found.select("_group", "split"), "_group").select("sample_id", "split")
+
+
+def balance(samples: DataFrame, splits: DataFrame, shares: dict[str, float] = SPLITS) -> DataFrame:
+    """(label, split, held, rows, off): rows of each label in each split, and how many more or fewer than its share."""
+    share = F.create_map(*[x for name, part in shares.items() for x in (F.lit(name), F.lit(part))])
+    rows = samples.join(splits, "sample_id").select(F.explode(F.array_distinct("labels")).alias("label"), "split")
+    found = rows.groupBy("label").pivot("split", list(shares)).count()
+    held = F.array(*[F.struct(F.lit(name).alias("split"), F.coalesce(F.col(name), F.lit(0)).alias("rows")) for name in shares])
+    flat = found.select("label", sum((F.coalesce(F.col(n), F.lit(0)) for n in shares), F.lit(0)).alias("held"), F.explode(held).alias("s")).select("label", "s.split", "held", "s.rows")
+    return flat.withColumn("off", F.round(F.col("rows") - F.col("held") * share[F.col("split")], 6))
 
 
 def rare_labels(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -133,7 +133,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STRATIFIED = """
-WITH s AS (SELECT doc_id, sha1(text) AS digest, list_filter([lang, source, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS labels FROM documents LEFT JOIN labels USING (doc_id)),
+WITH s AS (SELECT doc_id, coalesce(sha1(text), concat('null:', doc_id)) AS digest, list_filter([lang, source, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS labels FROM documents LEFT JOIN labels USING (doc_id)),
 g AS (SELECT digest, count(*) AS n FROM s GROUP BY 1), l AS (SELECT digest, unnest(labels) AS label FROM s), c AS (SELECT label, count(*) AS held FROM l GROUP BY 1),
 k AS (SELECT digest, label FROM (SELECT digest, label, row_number() OVER (PARTITION BY digest ORDER BY held, label) AS i FROM (SELECT DISTINCT digest, label, held FROM l JOIN c USING (label))) WHERE i = 1),
 o AS (SELECT digest, n, coalesce(label, '') AS stratum, sha256(concat_ws(':', '11', 'split', digest)) AS place FROM g LEFT JOIN k USING (digest)),
