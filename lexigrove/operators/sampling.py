@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,80 @@ def stratified_split(samples: DataFrame, seed: int, shares: dict[str, float] = S
     return samples.join(found.select("_group", "split"), "_group").select("sample_id", "split")
 
 
+#: Kinds of groups (label set and size) that one task weighs against one another.
+KINDS = 100_000
+
+
+def balanced_split(samples: DataFrame, seed: int, shares: dict[str, float] = SPLITS) -> DataFrame:
+    """(sample_id, split): every label has its share of every split to within its largest group, as far as that can be had.
+
+    Groups of equal digest (a sample without one is a group of its own) are counted by kind, that is label set and size.
+    Of a kind's m groups each split gets the whole part of m times its share; the one or two that are left over are
+    given out kind by kind, the rarest first, where their labels lack most, and moved while that brings labels nearer
+    to their shares.  What is weighed are kinds, not rows: one row a kind, KINDS of them a task, so a label of most rows
+    costs no more than a rare one.  Groups of a kind stand in stable random order, ranked in two levels.
+    """
+    names, part = list(shares), np.array(list(shares.values()))
+    own = F.coalesce(F.concat(F.lit("="), F.col("digest").cast("string")), F.concat(F.lit("null:"), F.col("sample_id").cast("string")))
+    samples = samples.withColumn("_group", own)
+    groups = samples.groupBy("_group").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("labels", F.array().cast("array<string>")))))).alias("kinds"))
+    kinds = groups.groupBy("kinds", "n").agg(F.count("*").alias("m"))
+    tasks = max(1, -(-kinds.count() // KINDS))
+
+    def weigh(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.reset_index(drop=True)
+        labels = {label: i for i, label in enumerate(sorted({x for k in own["kinds"] for x in k}))}
+        rows = [np.array([labels[x] for x in k], int) for k in own["kinds"]]
+        size, m = own["n"].to_numpy(np.int64), own["m"].to_numpy(np.int64)
+        given = np.floor(m[:, None] * part[None, :] + 1e-9).astype(np.int64)
+        held, lack = np.zeros(len(labels)), np.zeros((len(labels) + 1, len(part)))  # the last row: all rows
+        for k in range(len(own)):
+            short = (m[k] * part - given[k]) * size[k]
+            held[rows[k]] += m[k] * size[k]
+            lack[rows[k]] += short
+            lack[-1] += short
+        scale = np.append(1 / np.maximum(held, 1), 1 / max(1.0, float((m * size).sum())))
+        rest = [(k, np.append(rows[k], len(labels))) for k in range(len(own)) for _ in range(m[k] - given[k].sum())]
+        rest.sort(key=lambda r: (held[rows[r[0]]].min(initial=np.inf), -size[r[0]], r[0]))
+        place = []
+        for k, at in rest:
+            to = int(np.argmax((lack[at] * scale[at, None]).sum(axis=0)))
+            lack[at, to] -= size[k]
+            place.append(to)
+        for _ in range(20):  # moves that lower the squared lacks; each pass ends at the last leftover
+            moved = False
+            for i, (k, at) in enumerate(rest):
+                now, w, n = place[i], scale[at, None] * lack[at], size[k]
+                # leaving `now` adds n to its lack, coming to `to` takes n from it
+                gain = (2 * n * (w - w[:, [now]]) - 2 * n * n * scale[at, None]).sum(axis=0)
+                gain[now] = 0
+                to = int(np.argmax(gain))
+                if gain[to] > 1e-9:
+                    lack[at, now] += n
+                    lack[at, to] -= n
+                    place[i], moved = to, True
+            if not moved:
+                break
+        for (k, _), to in zip(rest, place):
+            given[k, to] += 1
+        return pd.DataFrame({"kinds": own["kinds"], "n": size, "given": [g.tolist() for g in given]})
+
+    dealt = kinds.withColumn("task", F.pmod(F.xxhash64("kinds", "n"), F.lit(tasks)))
+    plan = dealt.groupBy("task").applyInPandas(lambda own: weigh(own), "kinds array<string>, n long, given array<long>")
+    order = stable_key(seed, "split", F.expr("CASE WHEN _group LIKE '=%' THEN substr(_group, 2) ELSE _group END"))
+    placed = groups.withColumn("place", order).withColumn("part", F.floor(F.conv(F.substring("place", 1, 4), 16, 10).cast("int") * PARTS / (1 << 16)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("kinds", "n", "part").agg(F.count("*").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(before(Window.partitionBy("kinds", "n").orderBy("part"))), F.lit(0))).drop("m")
+    nth = F.row_number().over(Window.partitionBy("kinds", "n", "part").orderBy("place", "_group"))
+    ranked = placed.withColumn("nth", nth).join(base, ["kinds", "n", "part"]).join(plan, ["kinds", "n"])
+    rank, split, edge = F.col("base") + F.col("nth"), None, F.lit(0)
+    for i, name in enumerate(names):
+        edge = edge + F.get("given", F.lit(i))
+        split = F.when(rank <= edge, name) if split is None else split.when(rank <= edge, name)
+    found = ranked.select("_group", split.alias("split"))
+    return samples.join(found, "_group").select("sample_id", "split")
+
+
 def balance(samples: DataFrame, splits: DataFrame, shares: dict[str, float] = SPLITS) -> DataFrame:
     """(label, split, held, rows, off): rows of each label in each split, and how many more or fewer than its share."""
     share = F.create_map(*[x for name, part in shares.items() for x in (F.lit(name), F.lit(part))])

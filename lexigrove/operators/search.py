@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens, normal_title
+from ..sources.shared_files import written
 from . import rerank, retrieval
 from .postings import bm25
 from .retrieval import STORAGE, budget, in_scope
@@ -55,17 +56,17 @@ def production_search(
 
     A pool of max(30, 5 k) candidates over all channels, adaptively weighted, is always expanded; only direct rows are
     reranked (by the model that ``load`` makes, or the baseline); then come the rows of groups that kept an anchor.
-    The character budget cuts the list.  Questions with a selected but empty scope get nothing; see ``scope_problems``.
+    The character budget cuts the list.  The pool and the selection are written, as each is used several times.  Questions with a selected but empty scope get nothing; see ``scope_problems``.
     """
     pool = max(LEAST_POOL, POOL_FACTOR * max(1, top_k))
     wide_chars = max(max_chars, min(MOST_CHARS, pool * CHARS_EACH))
     found = retrieval.retrieve(chunks, documents, queries, pool, query_vectors, vectors, adaptive=True)
-    direct = budget(found, wide_chars)
+    direct = written(budget(found, wide_chars), "direct")
     rows = direct.join(queries.select("query_id", F.col("text").alias("query")), "query_id").withColumns(
         {"position": F.col("rank") - 1, "anchor": F.lit(True), "expanded": F.lit(False), "semantic_score": F.col("semantic_score")}
     )
     best = rerank.rerank_baseline(rows, top_k) if load is None else rerank.rerank_model(rows, load, top_k)
-    selected = best.select("query_id", "chunk_id", "document_id", "text", "rank", "rerank_score", "reranker")
+    selected = written(best.select("query_id", "chunk_id", "document_id", "text", "rank", "rerank_score", "reranker"), "selected")
     heading = chunks.select("chunk_id", "heading_path")
     wide = retrieval.expand(direct, chunks, wide_chars, max_chunks).join(heading, "chunk_id")
     context = surviving_context(direct, selected, wide)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_iou, polygon_area
+from ..functions.ocr_results import ocr_rows
 from ..functions.scores import severity
 from ..operators import evaluation, folders, gates, history, instances, reconcile, sampling, vectors
 from .common import read
@@ -142,6 +143,41 @@ m AS (SELECT digest, (coalesce(sum(n) OVER (PARTITION BY stratum ORDER BY size,
 SELECT doc_id, CASE WHEN middle < 0.7 THEN 'train' WHEN middle < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM s JOIN m USING (digest)
 """
 
+def balanced_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the balanced split gives every label of 20 rows or more its shares to within one group."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    labels = F.array_compact(F.array("lang", "source", F.when(F.col("toxic") == 1, "toxic")))
+    samples = d.select(F.col("doc_id").alias("sample_id"), F.sha1("text").alias("digest"), labels.alias("labels"))
+    found = sampling.balance(samples, sampling.balanced_split(samples, 11))
+    own = F.coalesce("digest", F.concat(F.lit("null:"), F.col("sample_id").cast("string")))
+    largest = samples.select(F.explode("labels").alias("label"), own.alias("own")).groupBy("label", "own").agg(F.count("*").alias("n")).groupBy("label").agg(F.max("n").alias("most"))
+    met = found.where("held >= 20").join(largest, "label")
+    return met.groupBy("label", "held").agg(F.sum("rows").alias("n_rows"), F.min(F.abs("off") <= F.col("most")).alias("within")).select("label", "held", "n_rows", "within")
+
+
+BALANCED_LABELS = """
+WITH s AS (SELECT unnest(list_filter([lang, source, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)) AS label FROM documents LEFT JOIN labels USING (doc_id))
+SELECT label, count(*) AS held, count(*) AS n_rows, true AS within FROM s GROUP BY label HAVING count(*) >= 20
+"""
+
+
+def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier names as recognised texts, in the four shapes that recognisers return."""
+    box = "array(array(s_suppkey, 1.5), array(s_suppkey + 10, 1), array(s_suppkey + 9, 7))"
+    shapes = [f"to_json(named_struct('boxes', array({box}), 'txts', array(s_name), 'scores', array(0.5)))", f"to_json(named_struct('polys', array({box}), 'texts', array('', s_name)))"]
+    row = f"concat('[', to_json({box}), ',', to_json(struct(s_name)):c1, ',0.25]')".replace("to_json(struct(s_name)):c1", "concat('\"', s_name, '\"')")
+    shapes += [f"concat('[', {row}, ',[1]]')", f"concat('[[', {row}, '], 0.7]')"]
+    chosen = F.expr("CASE s_suppkey % 4 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(shapes)) + " END")
+    found = ocr_rows(read(spark, sf_dir, "supplier").select("s_suppkey", chosen.alias("result")))
+    return found.select("s_suppkey", F.col("order").cast("long").alias("place"), "text", F.get("bbox", F.lit(0)).alias("x0"), F.get("bbox", F.lit(3)).alias("y1"), "confidence")
+
+
+OCR_RESULTS = """
+SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN 1 ELSE 0 END AS place, s_name AS text, CASE WHEN s_suppkey % 4 <> 1 THEN CAST(s_suppkey AS DOUBLE) END AS x0, CASE WHEN s_suppkey % 4 <> 1 THEN CAST(7 AS DOUBLE) END AS y1,
+       CAST(CASE s_suppkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN NULL ELSE 0.25 END AS DOUBLE) AS confidence FROM supplier
+"""
+
+
 POOLS = [("long", "n_chars >= 3000", 25), ("english", "lang = 'en'", 35), ("source", "source = 'src1'", 25), ("short", "n_chars < 400", 20)]
 
 
@@ -304,12 +340,14 @@ def json_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_METADATA = "SELECT event_id, json_valid(props) AS parsed FROM events"
 
 QUERIES = {
+    "balanced_labels": balanced_labels, "ocr_results": ocr_results,
     "refusal_metrics": refusal_metrics, "latency_percentiles": latency_percentiles, "nan_aware_mean": nan_aware_mean, "coverage_gate": coverage_gate, "contiguity_gate": contiguity_gate, "vector_health": vector_health,
     "stable_sample": stable_sample, "quota_sample": quota_sample, "coverage_sample": coverage_sample, "split_leakage": split_leakage, "stratified_split": stratified_split, "quota_pools": quota_pools, "quota_report": quota_report, "reconcile_identities": reconcile_identities, "pairing_full_outer": pairing_full_outer,
     "nth_run_per_source": nth_run, "latest_run": latest_run, "previous_run": previous_run, "last_n_history": last_n_history, "severity_rollup": severity_rollup, "severity_screen": severity_screen, "bbox_iou_pairs": bbox_iou_pairs,
     "polygon_areas": polygon_areas, "events_window": events_window, "rare_labels": rare_labels, "scope_sets": scope_sets, "json_metadata": json_metadata,
 }
 SQL = {
+    "balanced_labels": BALANCED_LABELS, "ocr_results": OCR_RESULTS,
     "refusal_metrics": REFUSAL, "latency_percentiles": PERCENTILES, "nan_aware_mean": NAN_MEAN, "coverage_gate": COVERAGE_GATE, "contiguity_gate": CONTIGUITY, "vector_health": VECTOR_HEALTH,
     "stable_sample": STABLE_SAMPLE, "quota_sample": QUOTA_SAMPLE, "coverage_sample": COVERAGE_SAMPLE, "split_leakage": SPLIT_LEAKAGE, "stratified_split": STRATIFIED, "quota_pools": _pools_sql(), "quota_report": QUOTA_REPORT, "reconcile_identities": RECONCILE, "pairing_full_outer": PAIRING,
     "nth_run_per_source": NTH_RUN, "latest_run": LATEST_RUN, "previous_run": PREVIOUS_RUN, "last_n_history": LAST_N, "severity_rollup": SEVERITY_ROLLUP, "severity_screen": SEVERITY_SCREEN, "bbox_iou_pairs": BBOX_IOU,
