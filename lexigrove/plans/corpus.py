@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.identity import content_hash, document_id
-from ..operators import chunking, corpus, gates
+from ..operators import benchmarks, chunking, corpus, gates
 from ..operators.folders import ancestors
 from .common import read, texts
 
@@ -31,6 +31,19 @@ def clean_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(X.clean(F.col("text")), 256).alias("clean_hash"), F.length(X.clean_lines(F.col("text"))).cast("long").alias("n_line_chars"), content_hash(F.col("text")).alias("content_hash"), document_id(F.col("source"), F.sha2("text", 256)).alias("document_id"))
 
 
+def own_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document itself says, on one line and cut for display; where it says nothing, its source."""
+    d = texts(spark, sf_dir, "documents").withColumn("words", benchmarks.own_words(F.col("text"), F.col("source")))
+    return d.select("doc_id", F.sha2("words", 256).alias("words_hash"), F.length("words").cast("long").alias("n_chars_shown"))
+
+
+OWN_WORDS = r"""
+WITH s AS (SELECT doc_id, source, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)\A.*?内容：', ''), '(?s)\n?来源：\[KB:.*\z', ''), '\A\s*(?:表头：)?', ''), '｜', ' | '), '\s+', ' ', 'g')) AS w FROM documents),
+c AS (SELECT doc_id, rtrim(left(CASE WHEN w = '' THEN trim(regexp_replace(coalesce(source, ''), '\s+', ' ', 'g')) ELSE w END, 900)) AS words FROM s)
+SELECT doc_id, sha256(words) AS words_hash, length(words) AS n_chars_shown FROM c
+"""
+
+
 CLEAN_TEXT_HASH = r"""
 SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS clean_hash,
   CAST(length(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS BIGINT) AS n_line_chars,
@@ -193,11 +206,13 @@ def packed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "own_words": own_words,
     "token_count": token_count, "clean_text_hash": clean_text_hash, "duplicate_groups": duplicate_groups, "canonical_doc": canonical_doc, "boilerplate_lines": boilerplate_lines, "fixed_chunks": fixed_chunks,
     "profile_by_type": profile_by_type, "incremental_skip": incremental_skip, "redact": redact, "identifiers": identifiers, "folder_closure": folder_closure, "sentence_children": sentence_children, "html_text": html_text,
     "metadata_coverage": metadata_coverage, "longest_representative": longest_representative, "structure_units": structure_units, "packed_units": packed_units,
 }
 SQL = {
+    "own_words": OWN_WORDS,
     "token_count": TOKEN_COUNT, "clean_text_hash": CLEAN_TEXT_HASH, "duplicate_groups": DUPLICATE_GROUPS, "canonical_doc": CANONICAL_DOC, "boilerplate_lines": BOILERPLATE, "fixed_chunks": FIXED_CHUNKS,
     "profile_by_type": PROFILE, "incremental_skip": INCREMENTAL, "redact": REDACT, "identifiers": IDENTIFIERS, "folder_closure": FOLDER_CLOSURE, "html_text": HTML_TEXT, "metadata_coverage": COVERAGE_STATS, "longest_representative": LONGEST,
 }

@@ -162,11 +162,11 @@ def test_pages(spark):
 def test_question_sets(spark, tmp_path):
     one = lambda value, *args: spark.createDataFrame([(list(args),)], "a array<string>").select(value).first()[0]
     text = "文档：X\n内容：表头：宽度｜限值\n0.3｜5 mm\n来源：[KB:d:page:1]"
-    assert one(benchmarks.display_content(F.lit(text), F.lit("f"))) == "宽度 | 限值 0.3 | 5 mm" and one(benchmarks.display_content(F.lit(""), F.lit(" f  g "))) == "f g"
-    assert one(benchmarks.topic(F.array(F.lit("1.2 裂缝宽度限值"), F.lit("表")), F.lit("x"))) == "裂缝宽度限值" and one(benchmarks.topic(F.lit(None).cast("array<string>"), F.lit("abc。混凝土结构裂缝；尾"))) == "混凝土结构裂缝" and one(benchmarks.topic(F.array().cast("array<string>"), F.lit("abc"))) == benchmarks.NO_TOPIC
-    assert one(benchmarks.table_topic(F.array().cast("array<string>"), F.lit("a | b | c"), F.lit(3))) == "a、b、c" and one(benchmarks.table_topic(F.array().cast("array<string>"), F.lit(""), F.lit(3))) == "第3页表格"
-    assert one(benchmarks.required_facts(F.lit("宽度 0.3 mm，龄期28天，又 0.3 mm"))) == ["0.3 mm", "28天"] and one(benchmarks.required_facts(F.lit("这是一个没有数值的句子。 另外一个同样的句子。"))) == ["这是一个没有数值的句子。", "另外一个同样的句子。"]
-    assert one(benchmarks.answer_excerpt(F.array(F.lit("a；"), F.lit("b"), F.lit("b")))) == "a；；b"
+    assert one(benchmarks.own_words(F.lit(text), F.lit("f"))) == "宽度 | 限值 0.3 | 5 mm" and one(benchmarks.own_words(F.lit(""), F.lit(" f  g "))) == "f g"
+    assert one(benchmarks.subject(F.array(F.lit("1.2 裂缝宽度限值"), F.lit("表")), F.lit("x"))) == "裂缝宽度限值" and one(benchmarks.subject(F.lit(None).cast("array<string>"), F.lit("abc。混凝土结构裂缝；尾"))) == "混凝土结构裂缝" and one(benchmarks.subject(F.array().cast("array<string>"), F.lit("abc"))) == benchmarks.NO_TOPIC
+    assert one(benchmarks.table_subject(F.array().cast("array<string>"), F.lit("a | b | c"), F.lit(3))) == "a、b、c" and one(benchmarks.table_subject(F.array().cast("array<string>"), F.lit(""), F.lit(3))) == "第3页表格"
+    assert one(benchmarks.facts(F.lit("宽度 0.3 mm，龄期28天，又 0.3 mm"))) == ["0.3 mm", "28天"] and one(benchmarks.facts(F.lit("这是一个没有数值的句子。 另外一个同样的句子。"))) == ["这是一个没有数值的句子。", "另外一个同样的句子。"]
+    assert one(benchmarks.joined_answer(F.array(F.lit("a；"), F.lit("b"), F.lit("b")))) == "a；；b"
     assert one(benchmarks.generation_context(F.lit("文档：X\n正文\n\n[KB:d:page:1]\n尾"))) == "正文\n尾" and one(benchmarks.generation_context(F.lit("文档：X"))) == "文档：X"
     assert one(benchmarks.extract_terms(F.lit("GB 50010-2010 宽度 5 mm 混凝土结构"), F.array(F.lit("总则"))))[:1] == ["总则"] and one(benchmarks.extract_terms(F.lit("x"), F.array().cast("array<string>"))) == benchmarks.DEFAULT_TERMS
     pairs = benchmarks.sibling_pairs(spark.createDataFrame([("c1", "p", 2, False), ("c2", "p", 1, False), ("c3", "q", 1, False), ("c4", "q", 1, False), ("c5", "", 1, True)], "chunk_id string, parent_id string, primary_page int, is_cross_page boolean"), 1).collect()
