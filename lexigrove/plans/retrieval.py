@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import evidence, inverted, retrieval, search
 from ..operators.evaluation import query_metrics, scope_leaks, summary
 from ..operators.postings import bm25, phrase_hits, postings, tokenised
 from ..operators.rerank import rerank_baseline
+from ..sources.shared_files import shared_dir, written
 from .common import benchmark_queries, documents, lexical_index, read
 
 QUERY_TERMS_SQL = r"""
@@ -67,11 +70,27 @@ sc AS (
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return bm25(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), k, {"text_search": 1.0}, round_to=6)
+    """Ranks by the table's persisted index, which the first query over these files builds; no text is scanned after that."""
+    found = inverted.search(spark, lexical_index(spark, sf_dir), benchmark_queries(spark, sf_dir).drop("scope"), k, round_to=6)
+    return found.select("query_id", "chunk_id", "score", "rank")
+
+
+def _top(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, 10).select("query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return _top(_bm25(spark, sf_dir, 10))
+
+
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``bm25_topk``, over the texts themselves."""
+    return _top(bm25(documents(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, {"text_search": 1.0}, round_to=6))
+
+
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``bm25_topk``, reading only blocks that can matter."""
+    return _top(inverted.search(spark, lexical_index(spark, sf_dir), benchmark_queries(spark, sf_dir).drop("scope"), 10, round_to=6, prune=True))
 
 
 BM25_TOPK = f"WITH {QUERY_TERMS_SQL}, {BM25_CTES} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10"
@@ -124,10 +143,11 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{
 """
 
 
-def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``bm25_topk``, from the persisted index, which the first query over a table builds."""
-    found = inverted.search(spark, lexical_index(spark, sf_dir), benchmark_queries(spark, sf_dir).drop("scope"), 10, round_to=6)
-    return found.select("query_id", F.col("chunk_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``postings_stats``, from an index that is built anew each time."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    inverted.commit(spark, path, documents(spark, sf_dir), fields={"text_search": 1.0})
+    return inverted.term_stats(spark, path).select("term", "doc_freq", F.col("term_freq").cast("long").alias("term_freq"))
 
 
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,10 +430,10 @@ SELECT query_id, group_no, item_no, chunk_id, role, CASE kind WHEN 1 THEN 'paren
 
 
 def _library(spark: SparkSession, sf_dir: str):
-    """The tree with the columns that whole searches want, and its documents."""
+    """The tree with the columns that whole searches want, written as a chunk table of its own, and its documents."""
     tree = _tree(spark, sf_dir).withColumns({"text_search": F.col("text"), "standard_number": F.lit(""), "clause_number": F.lit("")})
     names = read(spark, sf_dir, "documents").select(F.col("source").alias("document_id")).distinct().select("document_id", F.concat("document_id", F.lit(".txt")).alias("source_name"), F.lit("ready").alias("status"))
-    return tree, names
+    return written(tree, "chunks"), names
 
 
 def retrieve_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,7 +570,7 @@ SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract
 """
 
 QUERIES = {
-    "index_topk": index_topk, "index_terms": index_terms,
+    "bm25_scan": bm25_scan, "bm25_pruned": bm25_pruned, "index_build": index_build, "index_terms": index_terms,
     "bm25_topk": bm25_topk, "bm25_fields": bm25_fields, "postings_stats": postings_stats, "phrase_match": phrase_match, "like_channel": like_channel, "exact_id_channel": exact_id_channel, "title_channel": title_channel,
     "cosine_topk": cosine_topk, "cosine_scoped": cosine_scoped, "rrf_fusion": rrf_fusion, "adaptive_reserve": adaptive_reserve, "budgeted_context": budgeted_context, "scoped_fallback": scoped_fallback,
     "parent_hydration": parent_hydration, "same_group_expansion": same_group_expansion, "baseline_rerank": baseline_rerank, "evidence_dedup": evidence_dedup, "evidence_groups": evidence_groups,
@@ -558,7 +578,7 @@ QUERIES = {
     "scope_leakage": scope_leakage, "route_queries": route_queries, "url_parts": url_parts,
 }
 SQL = {
-    "index_topk": BM25_TOPK, "index_terms": POSTINGS_STATS,
+    "bm25_scan": BM25_TOPK, "bm25_pruned": BM25_TOPK, "index_build": POSTINGS_STATS, "index_terms": POSTINGS_STATS,
     "bm25_topk": BM25_TOPK, "bm25_fields": BM25_FIELDS, "postings_stats": POSTINGS_STATS, "phrase_match": PHRASE_MATCH, "like_channel": LIKE_CHANNEL, "exact_id_channel": EXACT_ID, "title_channel": TITLE_CHANNEL,
     "cosine_topk": _cosine_sql(""), "cosine_scoped": _cosine_sql("AND a.label = b.label"), "rrf_fusion": RRF_FUSION, "adaptive_reserve": ADAPTIVE_RESERVE, "budgeted_context": BUDGETED, "scoped_fallback": SCOPED_FALLBACK,
     "parent_hydration": PARENT_HYDRATION, "same_group_expansion": SAME_GROUP, "baseline_rerank": BASELINE_RERANK, "evidence_dedup": EVIDENCE_DEDUP, "evidence_groups": EVIDENCE_GROUPS, "plain_search": PLAIN_SEARCH, "ir_metrics": IR_METRICS, "ir_summary": IR_SUMMARY,
