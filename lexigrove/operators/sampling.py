@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -119,14 +121,14 @@ def stratified_split(samples: DataFrame, seed: int, shares: dict[str, float] = S
     return samples.join(found.select("_group", "split"), "_group").select("sample_id", "split")
 
 
-#: Kinds of groups (label set and size) that one task weighs against one another.
+#: Kinds of groups (rows of each label, and size) that one task weighs against one another.
 KINDS = 100_000
 
 
 def balanced_split(samples: DataFrame, seed: int, shares: dict[str, float] = SPLITS) -> DataFrame:
     """(sample_id, split): every label has its share of every split to within its largest group, as far as that can be had.
 
-    Groups of equal digest (a sample without one is a group of its own) are counted by kind, that is label set and size.
+    Groups of equal digest (a sample without one is a group of its own) are counted by kind, that is rows of each label and size.
     Of a kind's m groups each split gets the whole part of m times its share; the one or two that are left over are
     given out kind by kind, the rarest first, where their labels lack most, and moved while that brings labels nearer
     to their shares.  What is weighed are kinds, not rows: one row a kind, KINDS of them a task, so a label of most rows
@@ -135,56 +137,63 @@ def balanced_split(samples: DataFrame, seed: int, shares: dict[str, float] = SPL
     names, part = list(shares), np.array(list(shares.values()))
     own = F.coalesce(F.concat(F.lit("="), F.col("digest").cast("string")), F.concat(F.lit("null:"), F.col("sample_id").cast("string")))
     samples = samples.withColumn("_group", own)
-    groups = samples.groupBy("_group").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("labels", F.array().cast("array<string>")))))).alias("kinds"))
-    kinds = groups.groupBy("kinds", "n").agg(F.count("*").alias("m"))
+    # copies may have other labels than their original, so a kind says how many rows of each label a group has
+    held = samples.select("_group", F.explode(F.array_distinct("labels")).alias("label")).groupBy("_group", "label").agg(F.count("*").alias("rows"))
+    held = held.groupBy("_group").agg(F.to_json(F.array_sort(F.collect_list(F.struct("label", "rows")))).alias("kind"))
+    groups = samples.groupBy("_group").agg(F.count("*").alias("n")).join(held, "_group", "left").select("_group", "n", F.coalesce("kind", F.lit("[]")).alias("kind"))
+    kinds = groups.groupBy("kind", "n").agg(F.count("*").alias("m"))
     tasks = max(1, -(-kinds.count() // KINDS))
 
     def weigh(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.reset_index(drop=True)
-        labels = {label: i for i, label in enumerate(sorted({x for k in own["kinds"] for x in k}))}
-        rows = [np.array([labels[x] for x in k], int) for k in own["kinds"]]
-        size, m = own["n"].to_numpy(np.int64), own["m"].to_numpy(np.int64)
+        own = own.sort_values(["kind", "n"]).reset_index(drop=True)
+        said = [[(x["label"], x["rows"]) for x in json.loads(k)] for k in own["kind"]]
+        labels = {label: i for i, label in enumerate(sorted({label for rows in said for label, _ in rows}))}
+        n, m = own["n"].to_numpy(np.int64), own["m"].to_numpy(np.int64)
+        # of each kind the labels and their rows; all rows come last, as a label of their own
+        at = [np.array([*(labels[label] for label, _ in rows), len(labels)]) for rows in said]
+        weight = [np.array([*(r for _, r in rows), n[k]], float) for k, rows in enumerate(said)]
         given = np.floor(m[:, None] * part[None, :] + 1e-9).astype(np.int64)
-        held, lack = np.zeros(len(labels)), np.zeros((len(labels) + 1, len(part)))  # the last row: all rows
+        total, lack = np.zeros(len(labels) + 1), np.zeros((len(labels) + 1, len(part)))
         for k in range(len(own)):
-            short = (m[k] * part - given[k]) * size[k]
-            held[rows[k]] += m[k] * size[k]
-            lack[rows[k]] += short
-            lack[-1] += short
-        scale = np.append(1 / np.maximum(held, 1), 1 / max(1.0, float((m * size).sum())))
-        rest = [(k, np.append(rows[k], len(labels))) for k in range(len(own)) for _ in range(m[k] - given[k].sum())]
-        rest.sort(key=lambda r: (held[rows[r[0]]].min(initial=np.inf), -size[r[0]], r[0]))
+            total[at[k]] += m[k] * weight[k]
+            lack[at[k]] += (m[k] * part - given[k])[None, :] * weight[k][:, None]
+        scale = 1 / np.maximum(total, 1)
+        rest = [(k, at[k], weight[k][:, None]) for k in range(len(own)) for _ in range(m[k] - given[k].sum())]
+        rest.sort(key=lambda r: (total[r[1]].min(), -n[r[0]], r[0]))
         place = []
-        for k, at in rest:
-            to = int(np.argmax((lack[at] * scale[at, None]).sum(axis=0)))
-            lack[at, to] -= size[k]
+        for _, own_at, w in rest:
+            to = int(np.argmax((w * lack[own_at] * scale[own_at, None]).sum(axis=0)))
+            lack[own_at, to] -= w[:, 0]
             place.append(to)
         for _ in range(20):  # moves that lower the squared lacks; each pass ends at the last leftover
             moved = False
-            for i, (k, at) in enumerate(rest):
-                now, w, n = place[i], scale[at, None] * lack[at], size[k]
-                # leaving `now` adds n to its lack, coming to `to` takes n from it
-                gain = (2 * n * (w - w[:, [now]]) - 2 * n * n * scale[at, None]).sum(axis=0)
+            for i, (_, own_at, w) in enumerate(rest):
+                now, by = place[i], scale[own_at, None]
+                gain = (by * (2 * w * (lack[own_at] - lack[own_at][:, [now]]) - 2 * w * w)).sum(axis=0)
                 gain[now] = 0
                 to = int(np.argmax(gain))
                 if gain[to] > 1e-9:
-                    lack[at, now] += n
-                    lack[at, to] -= n
+                    lack[own_at, now] += w[:, 0]
+                    lack[own_at, to] -= w[:, 0]
                     place[i], moved = to, True
             if not moved:
                 break
-        for (k, _), to in zip(rest, place):
+        most = np.full(len(labels) + 1, np.inf)  # the bound of a label is its largest group; all rows have none
+        for k in range(len(own)):
+            most[at[k][:-1]] = np.where(np.isinf(most[at[k][:-1]]), weight[k][:-1], np.maximum(most[at[k][:-1]], weight[k][:-1]))
+        _repair(rest, place, lack, scale, most)
+        for (k, _, _), to in zip(rest, place):
             given[k, to] += 1
-        return pd.DataFrame({"kinds": own["kinds"], "n": size, "given": [g.tolist() for g in given]})
+        return pd.DataFrame({"kind": own["kind"], "n": n, "given": [g.tolist() for g in given]})
 
-    dealt = kinds.withColumn("task", F.pmod(F.xxhash64("kinds", "n"), F.lit(tasks)))
-    plan = dealt.groupBy("task").applyInPandas(lambda own: weigh(own), "kinds array<string>, n long, given array<long>")
+    dealt = kinds.withColumn("task", F.pmod(F.xxhash64("kind", "n"), F.lit(tasks)))
+    plan = dealt.groupBy("task").applyInPandas(lambda own: weigh(own), "kind string, n long, given array<long>")
     order = stable_key(seed, "split", F.expr("CASE WHEN _group LIKE '=%' THEN substr(_group, 2) ELSE _group END"))
     placed = groups.withColumn("place", order).withColumn("part", F.floor(F.conv(F.substring("place", 1, 4), 16, 10).cast("int") * PARTS / (1 << 16)))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy("kinds", "n", "part").agg(F.count("*").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(before(Window.partitionBy("kinds", "n").orderBy("part"))), F.lit(0))).drop("m")
-    nth = F.row_number().over(Window.partitionBy("kinds", "n", "part").orderBy("place", "_group"))
-    ranked = placed.withColumn("nth", nth).join(base, ["kinds", "n", "part"]).join(plan, ["kinds", "n"])
+    base = placed.groupBy("kind", "n", "part").agg(F.count("*").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(before(Window.partitionBy("kind", "n").orderBy("part"))), F.lit(0))).drop("m")
+    nth = F.row_number().over(Window.partitionBy("kind", "n", "part").orderBy("place", "_group"))
+    ranked = placed.withColumn("nth", nth).join(base, ["kind", "n", "part"]).join(plan, ["kind", "n"])
     rank, split, edge = F.col("base") + F.col("nth"), None, F.lit(0)
     for i, name in enumerate(names):
         edge = edge + F.get("given", F.lit(i))
@@ -193,6 +202,55 @@ def balanced_split(samples: DataFrame, seed: int, shares: dict[str, float] = SPL
     return samples.join(found, "_group").select("sample_id", "split")
 
 
+def _repair(rest: list[tuple[int, np.ndarray, np.ndarray]], place: list[int], lack: np.ndarray, scale: np.ndarray, most: np.ndarray, near: int = 150) -> None:
+    """Moves, and exchanges in pairs, that bring labels back inside their bounds; the worst label first, until none helps.
+
+    A step looks at the leftovers that have the label where it has too many rows, and for exchanges at ``near`` others
+    in the split where it has too few, those with most labels in common first.
+    """
+
+    def cost(at: np.ndarray) -> float:
+        beyond = np.maximum(np.abs(lack[at]) - most[at, None], 0)
+        return float((beyond**2).sum()) + 1e-6 * float((lack[at] ** 2 * scale[at, None]).sum())
+
+    def shift(i: int, to: int) -> None:
+        _, at, w = rest[i]
+        lack[at, place[i]] += w[:, 0]
+        lack[at, to] -= w[:, 0]
+        place[i] = to
+
+    for _ in range(4 * len(most)):
+        beyond = np.abs(lack) - most[:, None]
+        label = int(np.argmax(beyond.max(axis=1)))
+        if beyond[label].max() <= 1e-9:
+            return
+        low, high = int(np.argmin(lack[label])), int(np.argmax(lack[label]))  # too many rows here, too few there
+        best, choice = -1e-12, None
+        own = [i for i in range(len(rest)) if place[i] == low and label in rest[i][1]][:near]
+        for to in {high, *range(lack.shape[1])} - {low}:
+            others = [j for j in range(len(rest)) if place[j] == to and label not in rest[j][1]]
+            for i in own:
+                partners = sorted(others, key=lambda j: -len(np.intersect1d(rest[i][1], rest[j][1])))[:near] if to == high else []
+                for j in [None, *partners]:
+                    at = rest[i][1] if j is None else np.union1d(rest[i][1], rest[j][1])
+                    now = cost(at)
+                    shift(i, to)
+                    if j is not None:
+                        shift(j, low)
+                    gain = cost(at) - now
+                    shift(i, low)
+                    if j is not None:
+                        shift(j, to)
+                    if gain < best:
+                        best, choice = gain, (i, j, to)
+        if choice is None:
+            return
+        i, j, to = choice
+        shift(i, to)
+        if j is not None:
+            shift(j, low)
+
+
 def balance(samples: DataFrame, splits: DataFrame, shares: dict[str, float] = SPLITS) -> DataFrame:
     """(label, split, held, rows, off): rows of each label in each split, and how many more or fewer than its share."""
     share = F.create_map(*[x for name, part in shares.items() for x in (F.lit(name), F.lit(part))])
