@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions import geometry
-from lexigrove.operators import pages, retrieval, sampling, tables
+from lexigrove.operators import activation, pages, retrieval, sampling, tables
 from lexigrove.sources import fencing, label_files, shared_files, vector_archive
 
 # -- archives ------------------------------------------------------------------------
@@ -147,6 +147,20 @@ def test_tokens_grow_and_old_holders_are_fenced(tmp_path):
     assert fencing.current(pointer) == {"v": 3}
 
 
+def test_activation_by_an_overtaken_holder_does_nothing(tmp_path):
+    pointer = f"{tmp_path}/active.json"
+    shared_files.create_once(None, pointer, b'{"snapshot": "old", "digest": "0", "active": true, "previous": null}')  # an older release's file
+    with activation.exclusive(f"{pointer}.lock") as slow, pytest.raises(TimeoutError):
+        activation.deactivate(pointer)
+    with activation.exclusive(f"{pointer}.lock") as fast:
+        activation._publish(pointer, {"snapshot": "new", "digest": "1", "active": True, "previous": None}, fast)
+    with pytest.raises(fencing.Fenced):
+        activation._publish(pointer, {"snapshot": "late", "digest": "2", "active": True, "previous": None}, slow)
+    assert activation._active(pointer)["snapshot"] == "new" and json.loads(open(pointer).read())["snapshot"] == "new"
+    activation.deactivate(pointer)
+    assert activation._active(pointer) == {"snapshot": "new", "digest": "1", "active": False, "previous": None}
+
+
 def test_a_dead_owner_and_an_empty_file_do_not_lock_for_ever(tmp_path):
     lock = f"{tmp_path}/lock"
     gone = subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, {os.getcwd()!r}); from lexigrove.sources import fencing; print(fencing.acquire({lock!r}).token)"], capture_output=True, text=True, check=True)
