@@ -13,7 +13,7 @@ from ..operators import evidence, inverted, retrieval, search
 from ..operators.evaluation import query_metrics, scope_leaks, summary
 from ..operators.postings import bm25, phrase_hits, postings, tokenised
 from ..operators.rerank import rerank_baseline
-from ..sources.shared_files import shared_dir, written
+from ..sources.shared_files import shared_dir
 from .common import benchmark_queries, documents, lexical_index, read
 
 QUERY_TERMS_SQL = r"""
@@ -430,10 +430,10 @@ SELECT query_id, group_no, item_no, chunk_id, role, CASE kind WHEN 1 THEN 'paren
 
 
 def _library(spark: SparkSession, sf_dir: str):
-    """The tree with the columns that whole searches want, written as a chunk table of its own, and its documents."""
+    """The tree with the columns that whole searches want, and its documents."""
     tree = _tree(spark, sf_dir).withColumns({"text_search": F.col("text"), "standard_number": F.lit(""), "clause_number": F.lit("")})
     names = read(spark, sf_dir, "documents").select(F.col("source").alias("document_id")).distinct().select("document_id", F.concat("document_id", F.lit(".txt")).alias("source_name"), F.lit("ready").alias("status"))
-    return written(tree, "chunks"), names
+    return tree, names
 
 
 def retrieve_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
