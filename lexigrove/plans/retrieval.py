@@ -31,6 +31,11 @@ q3 AS (
   FROM (SELECT item_id AS query_id, text, list_concat(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*|\d+(?:\.\d+)+|[一-鿿]+'), lambda x: lower(x)), lambda x: length(x) >= 2),
           regexp_extract_all(text, '(?:第\s*)?([0-9]+(?:\.[0-9]+){1,5})(?:\s*条)?', 1)) AS a FROM benchmark)
 )"""
+#: Type of a trimmed question ``t`` without Han characters.
+ROUTE_KIND_SQL = r"""CASE
+  WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])(?i:GB|JGJ|CECS|DBJ|CJJ|DL|TB|JG)\s*[-—]?\s*\d{2,6}(?:\s*[-—]\s*\d{4})?($|[^\p{L}\p{N}_])') OR regexp_matches(t, '[0-9]+(?:\.[0-9]+){1,5}') THEN 'exact_identifier'
+  WHEN regexp_matches(t, '%|℃|(?i:mm|cm|m|mpa|kpa|pa|kn|n|°c|kg|t)($|[^\p{L}\p{N}_])') AND regexp_matches(t, '(?i:mm|cm|m|mpa|kpa|pa|kn|n|°c|kg|t)($|[^\p{L}\p{N}_])|[%℃][\p{L}\p{N}_]') THEN 'numeric_unit'
+  WHEN length(t) >= 16 THEN 'natural_semantic' ELSE 'general' END"""
 #: Ranks of the BM25 channel (field weight 2) and of the substring channel, 32 at most each.
 CHANNEL_CTES = (
     OPERATOR_TERMS_SQL
@@ -436,18 +441,103 @@ def _library(spark: SparkSession, sf_dir: str):
     return tree, names
 
 
+def _bare_title_sql(value: str) -> str:
+    return rf"regexp_replace(trim(regexp_replace(lower(regexp_replace({value}, '(?i)\.(?:pdf|docx?|txt|md)$', '')), '(?:\(\d+\)|（\d+）)$', '')), '[^0-9a-z一-鿿]+', '', 'g')"
+
+
+def _adaptive_ctes(top_k: int) -> str:
+    """``ranked5``: the adaptive order of all candidates over the tree's channels; identifiers and vectors are absent there.
+
+    Without semantic rows, lexical order and fused order are one, so that reserved rows are the first ones.
+    """
+    half = max(1, top_k // 2)
+    return (
+        CHANNEL_CTES.replace("rank <= 32", f"rank <= {max(top_k * 8, 32)}")
+        + f""",
+kind5 AS (SELECT query_id, {ROUTE_KIND_SQL} AS kind, t FROM (SELECT query_id, trim(text) AS t FROM q3)),
+route5 AS (
+  SELECT query_id, CAST(CASE kind WHEN 'exact_identifier' THEN 1.8 WHEN 'numeric_unit' THEN 1.6 WHEN 'natural_semantic' THEN 0.9 ELSE 1.1 END AS DOUBLE) AS weight,
+         CASE kind WHEN 'exact_identifier' THEN {min(top_k, 24)} WHEN 'numeric_unit' THEN {min(top_k, 22)} WHEN 'natural_semantic' THEN {min(top_k, 12)} ELSE {half} END AS reserved
+  FROM kind5
+), names5 AS (SELECT source, {_bare_title_sql("concat(source, '.txt')")} AS title FROM (SELECT DISTINCT source FROM documents)),
+asked5 AS (SELECT query_id, {_bare_title_sql("text")} AS q FROM q3),
+named5 AS (SELECT query_id, source, q = title AS exact FROM asked5 JOIN names5 ON title <> '' AND length(q) >= 4 AND (q = title OR (length(title) >= 4 AND (contains(title, q) OR contains(q, title))))),
+title5 AS (
+  SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY source) AS rank
+    FROM (SELECT *, max(exact) OVER (PARTITION BY query_id) AS any_exact FROM named5)
+    JOIN (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS place FROM documents) USING (source) WHERE exact = any_exact AND place = 1)
+  WHERE rank <= {max(top_k * 8, 32)}
+), fused5 AS (
+  SELECT query_id, doc_id, l.rank AS lex_rank, s.rank AS sub_rank, t.rank AS title_rank, coalesce(-l.score, 0.0) AS score
+  FROM lex3 l FULL JOIN sub3 s USING (query_id, doc_id) FULL JOIN title5 t USING (query_id, doc_id)
+), gained5 AS (
+  SELECT *, coalesce(weight / (60 + lex_rank), 0) + coalesce(0.35 / (60 + sub_rank), 0) + coalesce(0.10 / (60 + title_rank), 0) AS fusion FROM fused5 JOIN route5 USING (query_id)
+), ranked5 AS (
+  SELECT *, CAST(CASE WHEN rank <= reserved THEN 1 ELSE 3 END AS INTEGER) AS tier
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, score, doc_id) AS rank FROM gained5) WHERE rank <= {top_k}
+)"""
+    )
+
+
 def retrieve_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All channels fused with adaptive weights and reserves, six rows a question (rows only: the channels have their own SQL)."""
+    """All channels fused with adaptive weights and reserves, six rows a question."""
     chunks, names = _library(spark, sf_dir)
     found = retrieval.retrieve(chunks, names, _questions(spark, sf_dir), 6, adaptive=True)
-    return found.select("query_id", "chunk_id", "rank", "tier", F.round("fusion", 9).alias("fusion"), F.array_join("channels", ",").alias("channels"))
+    return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.col("tier").cast("int").alias("tier"), F.round("fusion", 9).alias("fusion"), F.array_join("channels", ",").alias("channels"))
+
+
+RETRIEVE_ADAPTIVE = f"""
+WITH {_adaptive_ctes(6)}
+SELECT query_id, printf('d%09d', doc_id) AS chunk_id, rank, tier, round(fusion, 9) AS fusion,
+       concat_ws(',', CASE WHEN lex_rank IS NOT NULL THEN 'bm25' END, CASE WHEN sub_rank IS NOT NULL THEN 'like' END, CASE WHEN title_rank IS NOT NULL THEN 'source_title_exact' END) AS channels
+FROM ranked5
+"""
 
 
 def production_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The production search over the benchmark texts (rows only)."""
+    """The production search over the benchmark texts: six anchors of a pool of thirty, then the context of their groups, 10,000 characters."""
     chunks, names = _library(spark, sf_dir)
     found = search.production_search(chunks, names, _questions(spark, sf_dir))
-    return found.select("query_id", "position", "chunk_id", "role", "context_for", F.length("text").alias("n_chars"))
+    return found.select("query_id", F.col("position").cast("long").alias("position"), "chunk_id", "role", "context_for", F.length("text").cast("long").alias("n_chars"))
+
+
+#: Characters before a row of its question, in the order of a column.
+_BEFORE = "coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+_STOPPED = "coalesce(max(CAST(length(text) = 0 AS INTEGER)) OVER (PARTITION BY query_id ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+PRODUCTION_SEARCH = rf"""
+WITH {_adaptive_ctes(30)},
+pool AS (SELECT query_id, doc_id, rank, fusion, source, lang, text AS full_text, text FROM ranked5 JOIN (SELECT doc_id, source, lang, text FROM documents) USING (doc_id)),
+direct AS (
+  SELECT query_id, doc_id, rank, fusion, source, lang, full_text, substr(text, 1, CAST(100000 - used AS BIGINT)) AS text
+  FROM (SELECT *, {_BEFORE.format("rank")} AS used, {_STOPPED.format("rank")} AS stopped FROM pool) WHERE used < 100000 AND stopped = 0 AND length(text) > 0
+), words AS (SELECT item_id AS query_id, lower(text) AS low, list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\p{{M}}\p{{Pc}}]+', ' ', 'g')), ' +'), lambda x: length(x) >= 2)) AS words FROM benchmark),
+scored AS (
+  SELECT query_id, doc_id, text, len(list_filter(words, lambda x: contains(lower(text), x))) * 10.0 + fusion * 100.0 + CASE WHEN contains(low, lower(lang)) THEN 2.0 ELSE 0.0 END + 3.0 - (rank - 1) * 0.001 AS score FROM direct JOIN words USING (query_id)
+), selected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scored) WHERE place <= 6),
+groups AS (SELECT query_id, source, lang, count(*) AS n, min(rank) AS group_at FROM direct GROUP BY ALL),
+every AS (
+  SELECT query_id, printf('d%09d', doc_id) AS chunk_id, source, lang, lang AS location, full_text AS text, 'anchor' AS role FROM direct
+  UNION ALL SELECT DISTINCT query_id, concat('p:', source), source, NULL, '', concat('about ', source), 'parent' FROM direct
+  UNION ALL SELECT query_id, chunk_id, source, lang, lang, text, 'sibling' FROM (
+    SELECT g.query_id, printf('d%09d', d.doc_id) AS chunk_id, d.source, d.lang, d.text, n, row_number() OVER (PARTITION BY g.query_id, d.source, d.lang ORDER BY d.doc_id) AS place
+    FROM documents d JOIN groups g USING (source, lang) WHERE NOT EXISTS (SELECT 1 FROM direct a WHERE a.query_id = g.query_id AND a.doc_id = d.doc_id)) WHERE place + n <= 24
+), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY role <> 'anchor', source, location, chunk_id) AS position FROM every),
+wide AS (
+  SELECT query_id, chunk_id, source, lang, location, role, CASE role WHEN 'anchor' THEN text ELSE substr(text, 1, CAST(100000 - used AS BIGINT)) END AS text
+  FROM (SELECT *, {_BEFORE.format("position")} AS used FROM placed) WHERE role = 'anchor' OR (position <= 24 AND used < 100000 AND length(text) > 0)
+), heads AS (SELECT query_id, source, lang, arg_min(doc_id, rank) AS head FROM direct SEMI JOIN selected USING (query_id, doc_id) GROUP BY ALL),
+around AS (
+  SELECT w.query_id, w.chunk_id, w.location, w.text, printf('d%09d', head) AS context_for, group_at
+  FROM wide w JOIN heads h ON w.query_id = h.query_id AND w.source = h.source AND (w.role = 'parent' OR w.lang = h.lang) JOIN groups g ON g.query_id = h.query_id AND g.source = h.source AND g.lang = h.lang
+  WHERE NOT EXISTS (SELECT 1 FROM selected s WHERE s.query_id = w.query_id AND printf('d%09d', s.doc_id) = w.chunk_id)
+), context AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY group_at, context_for) AS n FROM around) WHERE n = 1),
+listed AS (
+  SELECT query_id, 0 AS later, place AS a, '' AS b, printf('d%09d', doc_id) AS chunk_id, 'anchor' AS role, NULL AS context_for, text FROM selected
+  UNION ALL SELECT query_id, 1, group_at, location, chunk_id, 'context', context_for, text FROM context
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, a, b, chunk_id) AS position FROM listed)
+SELECT query_id, position, chunk_id, role, context_for, CAST(least(length(text), 10000 - used) AS BIGINT) AS n_chars
+FROM (SELECT *, {_BEFORE.format("position")} AS used, {_STOPPED.format("position")} AS stopped FROM numbered) WHERE used < 10000 AND stopped = 0 AND length(text) > 0
+"""
 
 
 def plain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,10 +632,7 @@ def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROUTE_QUERIES = r"""
 WITH u AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user'),
-k AS (SELECT *, CASE
-  WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])(?i:GB|JGJ|CECS|DBJ|CJJ|DL|TB|JG)\s*[-—]?\s*\d{2,6}(?:\s*[-—]\s*\d{4})?($|[^\p{L}\p{N}_])') OR regexp_matches(t, '[0-9]+(?:\.[0-9]+){1,5}') THEN 'exact_identifier'
-  WHEN regexp_matches(t, '%|℃|(?i:mm|cm|m|mpa|kpa|pa|kn|n|°c|kg|t)($|[^\p{L}\p{N}_])') AND regexp_matches(t, '(?i:mm|cm|m|mpa|kpa|pa|kn|n|°c|kg|t)($|[^\p{L}\p{N}_])|[%℃][\p{L}\p{N}_]') THEN 'numeric_unit'
-  WHEN length(t) >= 16 THEN 'natural_semantic' ELSE 'general' END AS query_type FROM u)
+k AS (SELECT *, """ + ROUTE_KIND_SQL + r""" AS query_type FROM u)
 SELECT conv_id, turn, query_type,
   CAST(CASE query_type WHEN 'exact_identifier' THEN 1.8 WHEN 'numeric_unit' THEN 1.6 WHEN 'natural_semantic' THEN 0.9 ELSE 1.1 END AS DOUBLE) AS bm25_weight,
   CAST(CASE query_type WHEN 'exact_identifier' THEN 0.55 WHEN 'numeric_unit' THEN 0.85 WHEN 'natural_semantic' THEN 2.35 ELSE 1.75 END AS DOUBLE) AS vector_weight,
@@ -581,6 +668,6 @@ SQL = {
     "bm25_scan": BM25_TOPK, "bm25_pruned": BM25_TOPK, "index_build": POSTINGS_STATS, "index_terms": POSTINGS_STATS,
     "bm25_topk": BM25_TOPK, "bm25_fields": BM25_FIELDS, "postings_stats": POSTINGS_STATS, "phrase_match": PHRASE_MATCH, "like_channel": LIKE_CHANNEL, "exact_id_channel": EXACT_ID, "title_channel": TITLE_CHANNEL,
     "cosine_topk": _cosine_sql(""), "cosine_scoped": _cosine_sql("AND a.label = b.label"), "rrf_fusion": RRF_FUSION, "adaptive_reserve": ADAPTIVE_RESERVE, "budgeted_context": BUDGETED, "scoped_fallback": SCOPED_FALLBACK,
-    "parent_hydration": PARENT_HYDRATION, "same_group_expansion": SAME_GROUP, "baseline_rerank": BASELINE_RERANK, "evidence_dedup": EVIDENCE_DEDUP, "evidence_groups": EVIDENCE_GROUPS, "plain_search": PLAIN_SEARCH, "ir_metrics": IR_METRICS, "ir_summary": IR_SUMMARY,
+    "parent_hydration": PARENT_HYDRATION, "same_group_expansion": SAME_GROUP, "baseline_rerank": BASELINE_RERANK, "evidence_dedup": EVIDENCE_DEDUP, "evidence_groups": EVIDENCE_GROUPS, "plain_search": PLAIN_SEARCH, "retrieve_adaptive": RETRIEVE_ADAPTIVE, "production_search": PRODUCTION_SEARCH, "ir_metrics": IR_METRICS, "ir_summary": IR_SUMMARY,
     "scope_leakage": SCOPE_LEAKAGE, "route_queries": ROUTE_QUERIES, "url_parts": URL_PARTS,
 }
