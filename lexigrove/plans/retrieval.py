@@ -497,14 +497,19 @@ FROM ranked5
 def production_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The production search over the benchmark texts: six anchors of a pool of thirty, then the context of their groups, 10,000 characters."""
     chunks, names = _library(spark, sf_dir)
-    found = search.production_search(chunks, names, _questions(spark, sf_dir))
+    return _passages(search.production_search(chunks, names, _questions(spark, sf_dir)))
+
+
+def _passages(found: DataFrame) -> DataFrame:
     return found.select("query_id", F.col("position").cast("long").alias("position"), "chunk_id", "role", "context_for", F.length("text").cast("long").alias("n_chars"))
 
 
 #: Characters before a row of its question, in the order of a column.
 _BEFORE = "coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 _STOPPED = "coalesce(max(CAST(length(text) = 0 AS INTEGER)) OVER (PARTITION BY query_id ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-PRODUCTION_SEARCH = rf"""
+def _production_sql(top_k: int, max_chars: int) -> str:
+    """SQL of the production search with a pool of thirty."""
+    return rf"""
 WITH {_adaptive_ctes(30)},
 pool AS (SELECT query_id, doc_id, rank, fusion, source, lang, text AS full_text, text FROM ranked5 JOIN (SELECT doc_id, source, lang, text FROM documents) USING (doc_id)),
 direct AS (
@@ -513,7 +518,7 @@ direct AS (
 ), words AS (SELECT item_id AS query_id, lower(text) AS low, list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\p{{M}}\p{{Pc}}]+', ' ', 'g')), ' +'), lambda x: length(x) >= 2)) AS words FROM benchmark),
 scored AS (
   SELECT query_id, doc_id, text, len(list_filter(words, lambda x: contains(lower(text), x))) * 10.0 + fusion * 100.0 + CASE WHEN contains(low, lower(lang)) THEN 2.0 ELSE 0.0 END + 3.0 - (rank - 1) * 0.001 AS score FROM direct JOIN words USING (query_id)
-), selected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scored) WHERE place <= 6),
+), selected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM scored) WHERE place <= {top_k}),
 groups AS (SELECT query_id, source, lang, count(*) AS n, min(rank) AS group_at FROM direct GROUP BY ALL),
 every AS (
   SELECT query_id, printf('d%09d', doc_id) AS chunk_id, source, lang, lang AS location, full_text AS text, 'anchor' AS role FROM direct
@@ -535,11 +540,23 @@ listed AS (
   SELECT query_id, 0 AS later, place AS a, '' AS b, printf('d%09d', doc_id) AS chunk_id, 'anchor' AS role, NULL AS context_for, text FROM selected
   UNION ALL SELECT query_id, 1, group_at, location, chunk_id, 'context', context_for, text FROM context
 ), numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, a, b, chunk_id) AS position FROM listed)
-SELECT query_id, position, chunk_id, role, context_for, CAST(least(length(text), 10000 - used) AS BIGINT) AS n_chars
-FROM (SELECT *, {_BEFORE.format("position")} AS used, {_STOPPED.format("position")} AS stopped FROM numbered) WHERE used < 10000 AND stopped = 0 AND length(text) > 0
+SELECT query_id, position, chunk_id, role, context_for, CAST(least(length(text), {max_chars} - used) AS BIGINT) AS n_chars
+FROM (SELECT *, {_BEFORE.format("position")} AS used, {_STOPPED.format("position")} AS stopped FROM numbered) WHERE used < {max_chars} AND stopped = 0 AND length(text) > 0
 """
 
 
+PRODUCTION_SEARCH = _production_sql(6, 10_000)
+
+
+def production_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production search with two anchors and 60,000 characters, so that most rows are context of the anchors' groups."""
+    chunks, names = _library(spark, sf_dir)
+    return _passages(search.production_search(chunks, names, _questions(spark, sf_dir), 2, 60_000))
+
+
+PRODUCTION_CONTEXT = _production_sql(2, 60_000)
+
+
 def plain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain full-text search over the benchmark texts, four rows and 8,000 characters a question."""
     d = documents(spark, sf_dir)
@@ -661,13 +678,13 @@ QUERIES = {
     "bm25_topk": bm25_topk, "bm25_fields": bm25_fields, "postings_stats": postings_stats, "phrase_match": phrase_match, "like_channel": like_channel, "exact_id_channel": exact_id_channel, "title_channel": title_channel,
     "cosine_topk": cosine_topk, "cosine_scoped": cosine_scoped, "rrf_fusion": rrf_fusion, "adaptive_reserve": adaptive_reserve, "budgeted_context": budgeted_context, "scoped_fallback": scoped_fallback,
     "parent_hydration": parent_hydration, "same_group_expansion": same_group_expansion, "baseline_rerank": baseline_rerank, "evidence_dedup": evidence_dedup, "evidence_groups": evidence_groups,
-    "retrieve_adaptive": retrieve_adaptive, "production_search": production_search, "plain_search": plain_search, "ir_metrics": ir_metrics, "ir_summary": ir_summary,
+    "retrieve_adaptive": retrieve_adaptive, "production_search": production_search, "production_context": production_context, "plain_search": plain_search, "ir_metrics": ir_metrics, "ir_summary": ir_summary,
     "scope_leakage": scope_leakage, "route_queries": route_queries, "url_parts": url_parts,
 }
 SQL = {
     "bm25_scan": BM25_TOPK, "bm25_pruned": BM25_TOPK, "index_build": POSTINGS_STATS, "index_terms": POSTINGS_STATS,
     "bm25_topk": BM25_TOPK, "bm25_fields": BM25_FIELDS, "postings_stats": POSTINGS_STATS, "phrase_match": PHRASE_MATCH, "like_channel": LIKE_CHANNEL, "exact_id_channel": EXACT_ID, "title_channel": TITLE_CHANNEL,
     "cosine_topk": _cosine_sql(""), "cosine_scoped": _cosine_sql("AND a.label = b.label"), "rrf_fusion": RRF_FUSION, "adaptive_reserve": ADAPTIVE_RESERVE, "budgeted_context": BUDGETED, "scoped_fallback": SCOPED_FALLBACK,
-    "parent_hydration": PARENT_HYDRATION, "same_group_expansion": SAME_GROUP, "baseline_rerank": BASELINE_RERANK, "evidence_dedup": EVIDENCE_DEDUP, "evidence_groups": EVIDENCE_GROUPS, "plain_search": PLAIN_SEARCH, "retrieve_adaptive": RETRIEVE_ADAPTIVE, "production_search": PRODUCTION_SEARCH, "ir_metrics": IR_METRICS, "ir_summary": IR_SUMMARY,
+    "parent_hydration": PARENT_HYDRATION, "same_group_expansion": SAME_GROUP, "baseline_rerank": BASELINE_RERANK, "evidence_dedup": EVIDENCE_DEDUP, "evidence_groups": EVIDENCE_GROUPS, "plain_search": PLAIN_SEARCH, "retrieve_adaptive": RETRIEVE_ADAPTIVE, "production_search": PRODUCTION_SEARCH, "production_context": PRODUCTION_CONTEXT, "ir_metrics": IR_METRICS, "ir_summary": IR_SUMMARY,
     "scope_leakage": SCOPE_LEAKAGE, "route_queries": ROUTE_QUERIES, "url_parts": URL_PARTS,
 }
