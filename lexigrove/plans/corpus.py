@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.identity import content_hash, document_id
 from ..operators import benchmarks, chunking, corpus, gates
-from ..operators.folders import ancestors
+from ..operators.folders import ancestors, apply_edits
 from .common import read, texts
 
 
@@ -155,6 +155,39 @@ SELECT folder, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT DIST
 """
 
 
+def folder_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL folders after a batch of edits of those right below a host: by the path's length renamed, moved to the top (the first of equal names), or deleted; and the pages left in each."""
+    path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1), "/+$", "")
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("folder_id")).where("folder_id <> ''")
+    every = pages.select(F.explode(ancestors(F.col("folder_id"))).alias("relative_path")).distinct()
+    folders = every.select(F.col("relative_path").alias("folder_id"), F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1).alias("parent_id"), F.regexp_extract("relative_path", "([^/]*)$", 1).alias("name"), "relative_path")
+    kind = F.length("relative_path") % 3
+    edits = folders.where(F.size(F.split("relative_path", "/")) == 2).select(
+        F.col("relative_path").alias("edit_id"), F.when(kind == 0, "rename").when(kind == 1, "move").otherwise("delete").alias("action"), "folder_id", F.lit("").alias("parent_id"), F.concat(F.lit("old-"), "name").alias("name")
+    )
+    after, left = apply_edits(folders, pages, edits)
+    counts = left.groupBy("folder_id").agg(F.count("*").alias("n_pages"))
+    return after.join(counts, "folder_id", "left").select("folder_id", "parent_id", "relative_path", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+
+
+FOLDER_EDITS = r"""
+WITH p AS (SELECT page_id, regexp_extract(regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', ''), '^(.*)/[^/]*$', 1) AS folder_id FROM pages),
+w AS (SELECT page_id, folder_id, string_split(folder_id, '/') AS w FROM p WHERE folder_id <> ''),
+f AS (SELECT DISTINCT array_to_string(w[1:n], '/') AS path FROM (SELECT w, unnest(range(1, len(w) + 1)) AS n FROM w)),
+e AS (
+  SELECT path AS old, string_split(path, '/')[1] AS host, string_split(path, '/')[2] AS name, length(path) % 3 AS kind FROM f WHERE len(string_split(path, '/')) = 2
+), moved AS (SELECT name, min(old) AS old FROM e WHERE kind = 1 AND name NOT IN (SELECT path FROM f) GROUP BY name),
+c AS (
+  SELECT old, host || '/old-' || name AS new, host AS parent_id, 'rename' AS action FROM e WHERE kind = 0 AND host || '/old-' || name NOT IN (SELECT path FROM f)
+  UNION ALL SELECT old, name, '', 'move' FROM moved UNION ALL SELECT old, NULL, NULL, 'delete' FROM e WHERE kind = 2
+), a AS (
+  SELECT f.path AS folder_id, CASE WHEN f.path = c.old THEN c.parent_id ELSE regexp_extract(f.path, '^(.*)/[^/]*$', 1) END AS parent_id, coalesce(c.new || substr(f.path, length(c.old) + 1), f.path) AS relative_path
+  FROM f LEFT JOIN c ON array_to_string(string_split(f.path, '/')[1:2], '/') = c.old WHERE c.action IS DISTINCT FROM 'delete'
+)
+SELECT folder_id, parent_id, relative_path, (SELECT count(*) FROM p WHERE p.folder_id = a.folder_id) AS n_pages FROM a
+"""
+
+
 def sentence_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Child chunks packed from sentences: counts and sizes for each document (rows only, no SQL)."""
     rows = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_children("text")).alias("part", "body"))
@@ -206,13 +239,13 @@ def packed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "own_words": own_words,
+    "own_words": own_words, "folder_edits": folder_edits,
     "token_count": token_count, "clean_text_hash": clean_text_hash, "duplicate_groups": duplicate_groups, "canonical_doc": canonical_doc, "boilerplate_lines": boilerplate_lines, "fixed_chunks": fixed_chunks,
     "profile_by_type": profile_by_type, "incremental_skip": incremental_skip, "redact": redact, "identifiers": identifiers, "folder_closure": folder_closure, "sentence_children": sentence_children, "html_text": html_text,
     "metadata_coverage": metadata_coverage, "longest_representative": longest_representative, "structure_units": structure_units, "packed_units": packed_units,
 }
 SQL = {
-    "own_words": OWN_WORDS,
+    "own_words": OWN_WORDS, "folder_edits": FOLDER_EDITS,
     "token_count": TOKEN_COUNT, "clean_text_hash": CLEAN_TEXT_HASH, "duplicate_groups": DUPLICATE_GROUPS, "canonical_doc": CANONICAL_DOC, "boilerplate_lines": BOILERPLATE, "fixed_chunks": FIXED_CHUNKS,
     "profile_by_type": PROFILE, "incremental_skip": INCREMENTAL, "redact": REDACT, "identifiers": IDENTIFIERS, "folder_closure": FOLDER_CLOSURE, "html_text": HTML_TEXT, "metadata_coverage": COVERAGE_STATS, "longest_representative": LONGEST,
 }
