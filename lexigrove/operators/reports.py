@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LEVELS, damage_level, level_rank
+from ..functions.text import LEVELS, basename, damage_level, level_rank
 from .reconcile import last_wins, reconcile
 
 
@@ -196,13 +196,26 @@ def profile_query(values: DataFrame, most: int = 900) -> DataFrame:
 
 
 def citation_catalog(rows: DataFrame) -> DataFrame:
-    """Markers that stand for one document and name only; conflicting markers are dropped entirely.
+    """(marker, document_id, source_name, location) of markers that stand for one file only; conflicting markers are dropped entirely.
 
-    ``rows``: marker, document_id, source_name.
+    ``rows``: marker, document_id, source_name.  A marker names its document; of the source name only the last part
+    of a path stays, so two paths to one name are no conflict; rows whose marker is malformed or names another document do not count.
     """
-    form = r"^\[KB:([^:\]]+):[^\]]+\]$"
-    ok = rows.where(F.col("marker").rlike(form) & (F.regexp_extract("marker", form, 1) == F.col("document_id")) & (F.trim("source_name") != ""))
-    return ok.groupBy("marker").agg(F.count_distinct(F.struct("document_id", "source_name")).alias("n"), F.first("document_id").alias("document_id"), F.first("source_name").alias("source_name")).where("n = 1").drop("n")
+    form = r"^\[KB:([^:\]]+):([^\]]+)\]$"
+    named = rows.select(F.trim("marker").alias("marker"), F.trim(F.col("document_id").cast("string")).alias("document_id"), F.trim(basename(F.col("source_name"))).alias("source_name"))
+    ok = named.where(F.col("marker").rlike(form) & (F.regexp_extract("marker", form, 1) == F.col("document_id")) & (F.col("source_name") != ""))
+    # least and greatest name instead of a set of them: a partial aggregate of fixed size
+    found = ok.groupBy("marker", "document_id").agg(F.min("source_name").alias("source_name"), F.max("source_name").alias("_last")).where("source_name = _last")
+    return found.select("marker", "document_id", "source_name", F.regexp_extract("marker", form, 2).alias("location"))
+
+
+def unknown_references(references: DataFrame, retrieved: DataFrame, key: str = "draft_id") -> DataFrame:
+    """(key, marker) of references to what was not retrieved for the same draft, once each; a draft with any is to be refused.
+
+    ``references`` and ``retrieved``: the key and marker.  Null markers refer to nothing.
+    """
+    asked = references.select(key, F.trim("marker").alias("marker")).where("marker <> ''").distinct()
+    return asked.join(retrieved.select(key, F.trim("marker").alias("marker")), [key, "marker"], "left_anti")
 
 
 def render_citations(texts: DataFrame, catalog: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box_iou, polygon_area
 from ..functions.ocr_results import ocr_rows
 from ..functions.scores import severity
-from ..operators import evaluation, folders, gates, history, instances, reconcile, sampling, vectors
+from ..operators import activation_gates as eight
+from ..operators import evaluation, folders, gates, history, instances, reconcile, reports, sampling, vectors
 from .common import read
 
 
@@ -339,7 +340,77 @@ def json_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JSON_METADATA = "SELECT event_id, json_valid(props) AS parsed FROM events"
 
+def activation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands against activation of an index over the documents, with faults of every kind by id: old versions, failed pages, orphans, rows without postings."""
+    d, labels, bench = (read(spark, sf_dir, t) for t in ("documents", "labels", "benchmark"))
+    known = labels.groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality_score"), F.max("toxic").alias("toxic"))
+    none = F.array().cast("array<string>")
+    number, own = F.col("doc_id"), F.col("doc_id").cast("string").alias("document_id")
+    documents = d.join(known, "doc_id", "left").select(
+        own, F.col("source").alias("source_path"), F.col("lang").alias("source_name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"), "quality_score", F.concat(F.lit("index.v"), (number % 3 + 1).cast("string")).alias("index_version"),
+        F.when(number % 50 == 0, 2).otherwise(1).alias("page_count"), F.when(number % 97 == 0, F.array(F.lit(1))).alias("failed_pages"), F.when(F.col("toxic") == 1, F.array(F.lit("unreadable"))).otherwise(none).alias("severe_warnings"),
+    )
+    held = d.where(number % 10 != 0).select(own.alias("chunk_id"), own, F.lit("retrieval").alias("retrieval_role"), F.col("text").alias("text_search"))
+    item = F.concat(F.lit("b"), F.col("item_id").cast("string"))
+    tables = {
+        "documents": documents, "pages": d.select(own, F.lit(1).alias("page_number")), "postings": d.where(number % 31 != 0).select(own.alias("chunk_id")),
+        "chunks": held.unionByName(bench.select(item.alias("chunk_id"), item.alias("document_id"), F.lit("retrieval").alias("retrieval_role"), F.col("text").alias("text_search"))),
+    }
+    expected = bench.select(item.alias("name"), F.col("text").alias("query"), F.when(F.col("item_id") % 5 != 0, F.array(F.col("item_id").cast("string"))).otherwise(none).alias("expected_document_ids"), none.alias("expected_standards"), none.alias("expected_tokens"))
+    outcomes = bench.select(item.alias("name"), (F.col("item_id") % 4 != 0).alias("passed"))
+    manifest = labels.agg(F.lit(True).alias("required_passed"), F.count("*").alias("document_count"))
+    scopes = d.groupBy(F.col("source").alias("name")).agg(F.array(F.min("doc_id").cast("string"), F.max("doc_id").cast("string")).alias("document_ids"))
+    return eight.findings(tables, expected, outcomes, manifest, scopes, least_version=2)
+
+
+ACTIVATION_GATES = r"""
+WITH d AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, source, lang, text, sha256(coalesce(text, '')) AS sha, q, coalesce(toxic, 0) AS toxic, doc_id % 97 = 0 AS failed
+  FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS q, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)
+), live AS (SELECT id FROM d WHERE doc_id % 10 <> 0 AND text <> '' UNION ALL SELECT concat('b', item_id) FROM benchmark WHERE text <> ''),
+posted AS (SELECT id FROM d WHERE doc_id % 31 <> 0),
+copies AS (SELECT sha, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1),
+n AS (SELECT count(*) AS total, count(*) FILTER (trim(source) <> '') AS a, count(*) FILTER (trim(lang) <> '') AS b, count(q) AS c FROM d),
+f AS (
+  SELECT 'schema' AS gate, 'index_version' AS rule, id AS key, 'index.v1' AS detail FROM d WHERE doc_id % 3 = 0
+  UNION ALL SELECT 'integrity', 'orphan', concat('b', item_id), '' FROM benchmark
+  UNION ALL SELECT 'integrity', 'parity', id, 'left_only' FROM live WHERE id NOT IN (SELECT id FROM posted)
+  UNION ALL SELECT 'integrity', 'parity', id, 'right_only' FROM posted WHERE id NOT IN (SELECT id FROM live)
+  UNION ALL SELECT 'quality_metadata', 'coverage_incomplete', name, concat(have, '/', total)
+    FROM (SELECT total, unnest(['source_path', 'source_name', 'quality_score']) AS name, unnest([a, b, c]) AS have FROM n) WHERE have < total
+  UNION ALL SELECT 'quality_metadata', 'duplicate_source_sha256', sha, CAST(n AS VARCHAR) FROM copies
+  UNION ALL SELECT 'quality_metadata', 'failed_pages', id, '1' FROM d WHERE failed
+  UNION ALL SELECT 'quality_metadata', 'quality_below_threshold', id, '' FROM d WHERE q < 0.65
+  UNION ALL SELECT 'quality_metadata', 'severe_warning', id, '' FROM d WHERE toxic = 1 AND NOT failed
+  UNION ALL SELECT 'quality_metadata', 'page_coverage', id, '' FROM d WHERE doc_id % 50 = 0
+)
+SELECT * FROM f
+UNION ALL SELECT DISTINCT 'database_health', 'gate_failed', gate, '' FROM f
+UNION ALL SELECT 'no_duplicate_source_sha256', 'duplicate_source_sha256', sha, CAST(n AS VARCHAR) FROM copies
+UNION ALL SELECT 'representative_queries', 'no_assertion', concat('b', item_id), '' FROM benchmark WHERE item_id % 5 = 0
+UNION ALL SELECT 'representative_queries', 'not_met', concat('b', item_id), '' FROM benchmark WHERE item_id % 4 = 0
+UNION ALL SELECT 'build_manifest', 'document_count_differs', '', concat(m, '/', total) FROM n, (SELECT count(*) AS m FROM labels) WHERE m <> total
+UNION ALL SELECT 'selected_scope_available', 'unavailable_document', source, CAST(doc_id AS VARCHAR) FROM (
+  SELECT source, min(doc_id) AS doc_id FROM d GROUP BY 1 UNION ALL SELECT source, max(doc_id) FROM d GROUP BY 1) WHERE doc_id % 10 = 0
+"""
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of pages by host and number modulo 20 that stand for one file name: conflicting ones are gone, and so are those of other documents."""
+    host = F.regexp_extract("url", r"^[a-z]+://(?:[a-z]+\.)?([^/?#]*)", 1)
+    marker = F.concat(F.lit("[KB:"), host, F.lit(":page "), (F.col("page_id") % 20).cast("string"), F.lit("]"))
+    rows = read(spark, sf_dir, "pages").select(marker.alias("marker"), F.when(F.col("page_id") % 9 != 0, host).otherwise("other").alias("document_id"), F.regexp_extract("url", "^([^?#]*)", 1).alias("source_name"))
+    return reports.citation_catalog(rows)
+
+
+CITATIONS = r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://(?:[a-z]+\.)?([^/?#]*)', 1) AS host, regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '([^/]*)/*$', 1) AS name FROM pages WHERE page_id % 9 <> 0)
+SELECT concat('[KB:', host, ':page ', page_id % 20, ']') AS marker, host AS document_id, min(name) AS source_name, concat('page ', page_id % 20) AS location
+FROM p WHERE name <> '' AND host <> '' GROUP BY host, page_id % 20 HAVING count(DISTINCT name) = 1
+"""
+
 QUERIES = {
+    "activation_gates": activation_gates, "citations": citations,
     "balanced_labels": balanced_labels, "ocr_results": ocr_results,
     "refusal_metrics": refusal_metrics, "latency_percentiles": latency_percentiles, "nan_aware_mean": nan_aware_mean, "coverage_gate": coverage_gate, "contiguity_gate": contiguity_gate, "vector_health": vector_health,
     "stable_sample": stable_sample, "quota_sample": quota_sample, "coverage_sample": coverage_sample, "split_leakage": split_leakage, "stratified_split": stratified_split, "quota_pools": quota_pools, "quota_report": quota_report, "reconcile_identities": reconcile_identities, "pairing_full_outer": pairing_full_outer,
@@ -347,6 +418,7 @@ QUERIES = {
     "polygon_areas": polygon_areas, "events_window": events_window, "rare_labels": rare_labels, "scope_sets": scope_sets, "json_metadata": json_metadata,
 }
 SQL = {
+    "activation_gates": ACTIVATION_GATES, "citations": CITATIONS,
     "balanced_labels": BALANCED_LABELS, "ocr_results": OCR_RESULTS,
     "refusal_metrics": REFUSAL, "latency_percentiles": PERCENTILES, "nan_aware_mean": NAN_MEAN, "coverage_gate": COVERAGE_GATE, "contiguity_gate": CONTIGUITY, "vector_health": VECTOR_HEALTH,
     "stable_sample": STABLE_SAMPLE, "quota_sample": QUOTA_SAMPLE, "coverage_sample": COVERAGE_SAMPLE, "split_leakage": SPLIT_LEAKAGE, "stratified_split": STRATIFIED, "quota_pools": _pools_sql(), "quota_report": QUOTA_REPORT, "reconcile_identities": RECONCILE, "pairing_full_outer": PAIRING,

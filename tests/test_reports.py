@@ -91,3 +91,20 @@ def test_templates(spark):
     rows = spark.createDataFrame([("r", i, n) for i, n in enumerate((50, 500, 60, 70, 10))], "report_id string, position int, n_bytes int")
     assert [r["reason"] for r in templates.attachments(rows, 3, 100, 150).orderBy("position").collect()] == ["included", "too_large", "included", "total", "count"]
     assert templates.fit_inside(200, 100, 50, 50) == (50, 25) and templates.shrink(lambda s, q: b"x" * int(s * q), 45)[2] == 50
+
+
+def test_citation_catalog_keeps_one_name_a_marker(spark):
+    rows = [
+        (" [KB:d1:p 1] ", "d1", "/a/x.pdf"), ("[KB:d1:p 1]", "d1", "C:\\b\\x.pdf"), ("[KB:d1:p 2]", "d1", "x.pdf"), ("[KB:d1:p 2]", "d1", "y.pdf"),
+        ("[KB:d2:p 1]", "d1", "x.pdf"), ("[KB:d3:]", "d3", "x.pdf"), ("[KB:d4:p]", "d4", "/a/b/ "), ("[KB:d5:p]", "d5", None), (None, "d6", "x.pdf"), ("[KB:d7:p] and more", "d7", "x.pdf"),
+    ]
+    found = reports.citation_catalog(spark.createDataFrame(rows, "marker string, document_id string, source_name string"))
+    assert [tuple(r) for r in found.where("document_id <> 'd4'").collect()] == [("[KB:d1:p 1]", "d1", "x.pdf", "p 1")]
+
+
+def test_references_to_what_was_not_retrieved(spark):
+    kind = "draft_id int, marker string"
+    asked = spark.createDataFrame([(1, "[KB:d:p]"), (1, " [KB:e:p]"), (1, "[KB:e:p]"), (2, "[KB:d:p]"), (2, None), (2, " ")], kind)
+    known = spark.createDataFrame([(1, "[KB:d:p]"), (3, "[KB:d:p]"), (2, None)], kind)
+    assert sorted(map(tuple, reports.unknown_references(asked, known).collect())) == [(1, "[KB:e:p]"), (2, "[KB:d:p]")]
+    assert reports.unknown_references(asked.limit(0), known).count() == 0
