@@ -134,3 +134,45 @@ def publish_embeddings(index: DataFrame, load, root: str, name: str, model_name:
 
     rows = index.where("retrieval_role = 'retrieval' AND text_search <> ''")
     return publish_vectors(encode(rows, load).select(*IDENTITY, "embedding"), root, name, model_name, fingerprint(rows).first()["digest"])
+
+
+def migrate_archive(index: DataFrame, pointer: str, root: str, name: str, model_name: str) -> dict:
+    """Moves the active corpus from a vector archive to a published set: ``ready``, or ``already_migrated``.
+
+    The pointer's payload names the archive (vector_archive, and archive_sha256 of its bytes).  Its vectors are read in ranges, joined to
+    the retrieval rows of ``index`` by chunk_id, published and verified; only then does the pointer name the set (vector_set),
+    under the lock and with everything else as it was.  What fails before leaves the pointer alone, and a set that was
+    published by then is taken up by the next attempt.  Vectors without a retrieval row, rows without a vector, an archive
+    that is not the one named, and a pointer that changes meanwhile are refused.
+    """
+    from ..sources.vector_archive import read_vectors
+    from .activation import _active, _publish, exclusive
+    from .vectors import fingerprint
+
+    spark = index.sparkSession
+    with exclusive(f"{pointer}.lock", spark=spark) as lease:
+        before = _active(pointer)
+        if before is None or not before.get("active"):
+            raise ValueError("there is no active corpus")
+        if before.get("vector_set"):
+            if not healthy(spark, before["vector_set"]["root"], before["vector_set"]["name"]):
+                raise ValueError("the active set is not healthy")
+            return {"status": "already_migrated", **before["vector_set"]}
+        archive, expected = before.get("vector_archive"), before.get("archive_sha256")
+        if not archive or not expected:
+            raise ValueError("the active corpus names no vector archive")
+        found = spark.read.format("binaryFile").load(archive).select(F.sha2("content", 256).alias("sha256")).first()
+        if found is None or found["sha256"] != expected:
+            raise ValueError("the archive is not the one expected")
+        rows = index.where("retrieval_role = 'retrieval' AND text_search <> ''").select(*IDENTITY, "text_search")
+        vectors = read_vectors(spark, archive).select("chunk_id", F.col("vector").alias("embedding"))
+        sides = rows.select("chunk_id", F.lit(True).alias("a")).join(vectors.select("chunk_id", F.lit(True).alias("b")), "chunk_id", "fullouter")
+        _refuse(sides.where("a is null or b is null").select(F.when(F.col("a").isNull(), "vector without a row").otherwise("row without a vector").alias("rule")), "archive refused")
+        about = publish_vectors(rows.select(*IDENTITY).join(vectors, "chunk_id"), root, name, model_name, fingerprint(rows).first()["digest"])
+        if not healthy(spark, root, name):
+            raise ValueError("the published set is not healthy")
+        if _active(pointer) != before:
+            raise ValueError("the pointer changed during the migration")
+        moved = {"root": root, "name": name, "digest": about["digest"], "count": about["count"], "dimension": about["dimension"]}
+        _publish(pointer, {**before, "vector_set": moved}, lease)
+        return {"status": "ready", **moved}
