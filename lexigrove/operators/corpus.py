@@ -99,3 +99,34 @@ def representatives(rows: DataFrame, by: list[str], size: str, key: str) -> Data
     """The largest row of each group; of equal sizes the first by key."""
     best = rows.groupBy(*by).agg(F.max(F.struct(F.col(size).alias("size"), (-F.col(key)).alias("first"))).alias("best"))
     return best.select(*by, (-F.col("best.first")).alias(key), F.col("best.size").alias(size))
+
+
+#: Fixed value: pages that are recommended for review, at most.
+MOST_REVIEW = 30
+
+
+def document_records(documents: DataFrame, pages: DataFrame, chunks: DataFrame, most_review: int = MOST_REVIEW) -> DataFrame:
+    """``documents`` with what a benchmark wants to know of each: kinds of pages, children, and the first pages to review.
+
+    ``pages``: document_id, page_number, methods array, warnings array, needs_review; ``chunks``: document_id, retrieval_role,
+    is_cross_page.  Added: n_pages, n_ocr_pages, n_native_pages, n_warning_pages, n_review_pages, n_children,
+    n_cross_page_children, and review_pages, the least ``most_review`` numbers of pages with a warning or a wish for review, each once.
+    A page is read by recognition if any of its methods is.  Null arrays are empty; documents without pages have zeros.
+    """
+    none = F.array().cast("array<string>")
+    warned = F.size(F.coalesce("warnings", none)) > 0
+    review = F.coalesce(F.col("needs_review").cast("boolean"), F.lit(False))
+    ocr = F.exists(F.coalesce("methods", none), lambda m: F.coalesce(F.contains(F.lower(m), F.lit("ocr")), F.lit(False)))
+    read = pages.select("document_id", "page_number", warned.alias("warned"), review.alias("review"), ocr.alias("ocr"))
+    kinds = read.groupBy("document_id").agg(
+        F.count("*").alias("n_pages"), F.count_if("ocr").alias("n_ocr_pages"), F.count_if(~F.col("ocr")).alias("n_native_pages"), F.count_if("warned").alias("n_warning_pages"), F.count_if("review").alias("n_review_pages")
+    )
+    live = chunks.where("retrieval_role = 'retrieval'").groupBy("document_id").agg(F.count("*").alias("n_children"), F.count_if(F.col("is_cross_page").cast("boolean")).alias("n_cross_page_children"))
+    # ranked before it is collected, so that a document of a million pages sends a few numbers only
+    marked = read.where("(warned OR review) AND page_number IS NOT NULL").select("document_id", "page_number").distinct()
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number"))
+    first = marked.withColumn("_n", place).where(F.col("_n") <= most_review).groupBy("document_id").agg(F.array_sort(F.collect_list("page_number")).alias("review_pages"))
+    counts = ["n_pages", "n_ocr_pages", "n_native_pages", "n_warning_pages", "n_review_pages", "n_children", "n_cross_page_children"]
+    met = documents.join(kinds, "document_id", "left").join(live, "document_id", "left").join(first, "document_id", "left")
+    empty = F.array().cast(first.schema["review_pages"].dataType)
+    return met.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in counts}, "review_pages": F.coalesce("review_pages", empty)})

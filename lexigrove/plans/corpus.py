@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.identity import content_hash, document_id
 from ..operators import benchmarks, chunking, corpus, gates
 from ..operators.folders import ancestors, apply_edits
+from ..sources.secrets import credentials as found_credentials
 from .common import read, texts
 
 
@@ -188,6 +189,45 @@ SELECT folder_id, parent_id, relative_path, (SELECT count(*) FROM p WHERE p.fold
 """
 
 
+def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as documents and their texts as pages: pages by kind, warnings of short texts, toxic ones for review, and the first thirty to look at."""
+    d = read(spark, sf_dir, "documents")
+    toxic = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = d.join(toxic, "doc_id", "left").withColumn("document_id", F.col("source"))
+    none = F.array().cast("array<string>")
+    pages = rows.select(
+        "document_id", F.col("doc_id").alias("page_number"), F.when(F.col("lang") == "en", F.array(F.lit("native"))).otherwise(F.array(F.lit("page:OCR"))).alias("methods"),
+        F.when(F.col("n_chars") < 500, F.array(F.lit("short"))).otherwise(none).alias("warnings"), (F.col("toxic") == 1).alias("needs_review"),
+    )
+    chunks = rows.select("document_id", F.when(F.col("lang") != "fr", "retrieval").otherwise("context_only").alias("retrieval_role"), (F.col("n_chars") > 4000).alias("is_cross_page"))
+    found = corpus.document_records(rows.select("document_id").distinct(), pages, chunks)
+    return found.withColumn("review_pages", F.array_join(F.col("review_pages").cast("array<string>"), ","))
+
+
+DOCUMENT_PROFILE = """
+WITH d AS (SELECT source, doc_id, lang, n_chars, coalesce(toxic, 0) = 1 AS review FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id))
+SELECT source AS document_id, count(*) AS n_pages, count(*) FILTER (lang IS DISTINCT FROM 'en') AS n_ocr_pages, count(*) FILTER (lang = 'en') AS n_native_pages, count(*) FILTER (n_chars < 500) AS n_warning_pages,
+  count(*) FILTER (review) AS n_review_pages, count(*) FILTER (lang <> 'fr') AS n_children, count(*) FILTER (lang <> 'fr' AND n_chars > 4000) AS n_cross_page_children,
+  coalesce(array_to_string((list(doc_id ORDER BY doc_id) FILTER (n_chars < 500 OR review))[1:30], ','), '') AS review_pages
+FROM d GROUP BY source
+"""
+
+
+def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold values like credentials, by the rules of the file scan, and of which kinds."""
+    d = texts(spark, sf_dir, "documents").select("doc_id", found_credentials(F.col("text")).alias("kinds"))
+    return d.where(F.size("kinds") > 0).select("doc_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+CREDENTIALS = r"""
+WITH f AS (
+  SELECT doc_id, regexp_matches(text, 'sk-[A-Za-z0-9_-]{16,}') AS k,
+    regexp_matches(text, '(?i)(?:api[_-]?key|apikey|token|secret|password)\s*[''"]?\s*[:=]\s*(?:''[^''"\r\n]{8,}''|"[^''"\r\n]{8,}")') AS a FROM documents
+)
+SELECT doc_id, concat_ws(',', CASE WHEN k THEN 'key' END, CASE WHEN a THEN 'assignment' END) AS kinds FROM f WHERE k OR a
+"""
+
+
 def sentence_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Child chunks packed from sentences: counts and sizes for each document (rows only, no SQL)."""
     rows = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_children("text")).alias("part", "body"))
@@ -239,13 +279,13 @@ def packed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "own_words": own_words, "folder_edits": folder_edits,
+    "own_words": own_words, "folder_edits": folder_edits, "document_profile": document_profile, "credentials": credentials,
     "token_count": token_count, "clean_text_hash": clean_text_hash, "duplicate_groups": duplicate_groups, "canonical_doc": canonical_doc, "boilerplate_lines": boilerplate_lines, "fixed_chunks": fixed_chunks,
     "profile_by_type": profile_by_type, "incremental_skip": incremental_skip, "redact": redact, "identifiers": identifiers, "folder_closure": folder_closure, "sentence_children": sentence_children, "html_text": html_text,
     "metadata_coverage": metadata_coverage, "longest_representative": longest_representative, "structure_units": structure_units, "packed_units": packed_units,
 }
 SQL = {
-    "own_words": OWN_WORDS, "folder_edits": FOLDER_EDITS,
+    "own_words": OWN_WORDS, "folder_edits": FOLDER_EDITS, "document_profile": DOCUMENT_PROFILE, "credentials": CREDENTIALS,
     "token_count": TOKEN_COUNT, "clean_text_hash": CLEAN_TEXT_HASH, "duplicate_groups": DUPLICATE_GROUPS, "canonical_doc": CANONICAL_DOC, "boilerplate_lines": BOILERPLATE, "fixed_chunks": FIXED_CHUNKS,
     "profile_by_type": PROFILE, "incremental_skip": INCREMENTAL, "redact": REDACT, "identifiers": IDENTIFIERS, "folder_closure": FOLDER_CLOSURE, "html_text": HTML_TEXT, "metadata_coverage": COVERAGE_STATS, "longest_representative": LONGEST,
 }

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from lexigrove.operators import activation_gates as a
 from lexigrove.operators import gates
-from lexigrove.plans import registry
 
 
 @pytest.fixture
@@ -69,5 +68,16 @@ def test_missing_tables_and_empty_inputs(spark, index, inputs):
     assert empty == {("database_health", f"no_{t}", "") for t in ("documents", "retrieval_rows", "postings")} | {("representative_queries", "no_expectations", ""), ("build_manifest", "manifest_invalid", ""), ("selected_scope_available", "no_scopes", "")}
 
 
-def test_query_is_registered():
-    assert "activation_gates" in registry.SQL
+def test_document_records(spark):
+    from lexigrove.operators.corpus import document_records
+
+    documents = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "document_id string, title string")
+    pages = spark.createDataFrame(
+        [("a", n, ["ocr:page"] if n % 2 else [None, "native"], ["blur"] if n > 3 else None, n == 1) for n in range(1, 50)] + [("a", 50, None, [], None), ("a", 4, None, ["again"], None), ("b", None, [], ["w"], True)],
+        "document_id string, page_number int, methods array<string>, warnings array<string>, needs_review boolean",
+    )
+    chunks = spark.createDataFrame([("a", "retrieval", True), ("a", "retrieval", None), ("a", "context_only", True), ("z", "retrieval", True)], "document_id string, retrieval_role string, is_cross_page boolean")
+    got = {r["document_id"]: r.asDict() for r in document_records(documents, pages, chunks).collect()}
+    assert got["a"]["review_pages"] == [1, *range(4, 33)] and [got["a"][k] for k in ("n_pages", "n_ocr_pages", "n_native_pages", "n_warning_pages", "n_review_pages", "n_children", "n_cross_page_children", "title")] == [51, 25, 26, 47, 1, 2, 1, "x"]
+    assert got["b"]["review_pages"] == [] and got["b"]["n_warning_pages"] == 1 and got["c"]["n_pages"] == 0 and got["c"]["review_pages"] == [] and len(got) == 3
+    assert document_records(documents.limit(0), pages, chunks).count() == 0

@@ -3,7 +3,6 @@
 import pytest
 
 from lexigrove.operators import folders as f
-from lexigrove.plans import registry
 
 FOLDERS = "folder_id string, parent_id string, name string, relative_path string"
 EDITS = "edit_id int, action string, folder_id string, parent_id string, name string"
@@ -64,7 +63,3 @@ def test_empty_tables(spark, tree):
     assert paths(after) == paths(folders) and docs.count() == 5
     made, _ = f.apply_edits(folders.limit(0), documents.limit(0), spark.createDataFrame([(1, "create", None, "", "a")], EDITS))
     assert list(paths(made).values()) == ["a"]
-
-
-def test_query_is_registered():
-    assert "folder_edits" in registry.SQL
