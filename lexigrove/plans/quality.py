@@ -346,8 +346,10 @@ def activation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = labels.groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality_score"), F.max("toxic").alias("toxic"))
     none = F.array().cast("array<string>")
     number, own = F.col("doc_id"), F.col("doc_id").cast("string").alias("document_id")
-    documents = d.join(known, "doc_id", "left").select(
-        own, F.col("source").alias("source_path"), F.col("lang").alias("source_name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"), "quality_score", F.concat(F.lit("index.v"), (number % 3 + 1).cast("string")).alias("index_version"),
+    # digests before the join, so that no text is shuffled
+    short = d.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"))
+    documents = short.join(known, "doc_id", "left").select(
+        own, F.col("source").alias("source_path"), F.col("lang").alias("source_name"), "source_sha256", "quality_score", F.concat(F.lit("index.v"), (number % 3 + 1).cast("string")).alias("index_version"),
         F.when(number % 50 == 0, 2).otherwise(1).alias("page_count"), F.when(number % 97 == 0, F.array(F.lit(1))).alias("failed_pages"), F.when(F.col("toxic") == 1, F.array(F.lit("unreadable"))).otherwise(none).alias("severe_warnings"),
     )
     held = d.where(number % 10 != 0).select(own.alias("chunk_id"), own, F.lit("retrieval").alias("retrieval_role"), F.col("text").alias("text_search"))
