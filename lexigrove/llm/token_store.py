@@ -274,14 +274,16 @@ ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start
 def with_bases(segments: DataFrame) -> DataFrame:
     """Segments with ``base``, the number of ids in all segments before: a running sum inside each part, and one over the parts.
 
-    The sum over parts is one row for each task that wrote segments, about as much as Spark keeps of each task.
+    The sum over parts is one row for each task that wrote segments, about as much as Spark keeps of each task; the bases
+    are one small row for each segment of SEGMENT_IDS ids (a few thousand for 30 GB of text).
     """
     sizes = segments.select("part", "seq", "n_ids")
     zero = F.lit(0).cast("long")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), zero).alias("part_base"))
     inside = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("seq"))), zero).alias("inner"))
-    return segments.join(inside.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("inner")).alias("base")), ["part", "seq"])
+    # one row a segment goes to where the segments are: their ids are not shuffled
+    return segments.join(F.broadcast(inside.join(parts, "part").select("part", "seq", (F.col("part_base") + F.col("inner")).alias("base"))), ["part", "seq"])
 
 
 def read_back(segments: DataFrame) -> DataFrame:
