@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from ..functions.scores import reciprocal_rank
 from ..functions.text import clauses, normal_standard, normal_title, query_terms, route, standards
-from .postings import FIELD_WEIGHTS, bm25
+from ..sources.shared_files import written
+from .postings import FIELD_WEIGHTS, blocks, bm25
 
 STORAGE = ("document_id", "location", "chunk_id")
 #: Weights of the channels that have one.
@@ -56,22 +57,24 @@ def bm25_channel(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 BLOCK = 4096
 
 
-def _blocks(rows: DataFrame, size: int = BLOCK):
-    """Lists of at most ``size`` rows: what a broadcast holds is bounded, further blocks are passes of their own."""
-    held = []
-    for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def _passes(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
+#: Places of ids' hashes: what is broadcast of any number of ids has at most so many rows.
+PLACES = 1 << 20
+
+
+def among(chunks: DataFrame, ids: DataFrame, column: str = "chunk_id") -> DataFrame:
+    """The rows of ``chunks`` whose ``column`` may be in that of ``ids``, taken in the scan: all that are, and of the others about one in PLACES for each id.
+
+    What joins them with ``ids`` then shuffles the text of few rows.
+    """
+    place = lambda: F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(PLACES))
+    asked = ids.select(place().alias("_place")).distinct()
+    return chunks.withColumn("_place", place()).join(F.broadcast(asked), "_place", "left_semi").drop("_place")
+
+
 def like_channel(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Literal substring match of up to 24 terms, ASCII case ignored, in storage order.
 
@@ -85,7 +88,7 @@ def like_channel(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     session = chunks.sparkSession
     numbered = T.StructType([T.StructField("q", T.IntegerType()), *queries.select("query_id").schema])
     parts = []
-    for block in _blocks(asked):
+    for block in blocks(asked, BLOCK):
         terms: dict[str, list[int]] = {}
         for n, row in enumerate(block):
             for term in dict.fromkeys(row["terms"]):
@@ -230,7 +233,7 @@ def semantic_channel(vectors: DataFrame, query_vectors: DataFrame, k: int) -> Da
     parts = []
     asked = query_vectors.select("query_id", "scope", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
     # a block's questions have one dimension; there are as many kinds of blocks as there are dimensions
-    for block in (list(same) for mixed in _blocks(asked) for _, same in groupby(sorted(mixed, key=lambda r: len(r["v"])), key=lambda r: len(r["v"]))):
+    for block in (list(same) for mixed in blocks(asked, BLOCK) for _, same in groupby(sorted(mixed, key=lambda r: len(r["v"])), key=lambda r: len(r["v"]))):
         matrix = np.array([row["v"] for row in block], np.float64)
         scopes = [None if row["scope"] is None else frozenset(map(str, row["scope"])) for row in block]
         shared = session.sparkContext.broadcast((matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300), scopes))
@@ -369,17 +372,22 @@ def expand(anchors: DataFrame, chunks: DataFrame, max_chars: int, max_chunks: in
     Anchors are exempt from both limits.  A sibling list is cut at ``max_chunks`` rows of its group.
     """
     group = ["query_id", "document_id", "heading_path"]
-    base = anchors.select("query_id", "chunk_id", "document_id", "heading_path", "parent_id", "rank")
-    siblings = chunks.where("retrieval_role = 'retrieval'").select("chunk_id", "document_id", "heading_path", "location", "part", "primary_page", "text")
-    groups = base.where(F.size("heading_path") > 0).groupBy(*group).agg(F.count("*").alias("n_anchors"))
-    near = siblings.join(groups, ["document_id", "heading_path"]).join(base.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    base = written(anchors.select("query_id", "chunk_id", "document_id", "heading_path", "parent_id", "rank"), "anchors")
     order = [F.col("primary_page").asc_nulls_last(), F.col("location"), F.col("part"), F.col("chunk_id")]
+    columns = ["query_id", "chunk_id", "document_id", "location", "part", "primary_page", "text"]
+    groups = base.where(F.size("heading_path") > 0).groupBy(*group).agg(F.count("*").alias("n_anchors"))
+    # a question's siblings are among the first max_chunks rows of their group, its anchors counted, whoever asks: these are found without texts
+    inside = Window.partitionBy("document_id", "heading_path").orderBy(*order)
+    first = chunks.where("retrieval_role = 'retrieval' and size(heading_path) > 0").select("chunk_id", "document_id", "heading_path", "location", "part", "primary_page")
+    first = first.withColumn("_n", F.row_number().over(inside)).where(F.col("_n") <= max_chunks).drop("_n")
+    near = first.join(groups, ["document_id", "heading_path"]).join(base.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") + F.col("n_anchors") <= max_chunks)
-    near = near.select("query_id", "chunk_id", "document_id", "location", "part", "primary_page", "text", F.lit("sibling").alias("role"))
-    own = base.join(chunks.select("chunk_id", "location", "part", "primary_page", "text"), "chunk_id").select("query_id", "chunk_id", "document_id", "location", "part", "primary_page", "text", F.lit("anchor").alias("role"))
-    parents = chunks.where("retrieval_role = 'context_only'").select(F.col("chunk_id").alias("parent_id"), "document_id", "location", "part", "primary_page", "text")
-    up = base.where("parent_id <> ''").select("query_id", "parent_id", "document_id").distinct().join(parents, ["parent_id", "document_id"])
-    up = up.select("query_id", F.col("parent_id").alias("chunk_id"), "document_id", "location", "part", "primary_page", "text", F.lit("parent").alias("role"))
+    near = written(near.select(*columns[:-1]), "siblings")
+    near = near.join(among(chunks.where("retrieval_role = 'retrieval'"), near).select("chunk_id", "document_id", "text"), ["chunk_id", "document_id"]).select(*columns, F.lit("sibling").alias("role"))
+    own = base.join(among(chunks, base).select("chunk_id", "location", "part", "primary_page", "text"), "chunk_id").select(*columns, F.lit("anchor").alias("role"))
+    up = base.where("parent_id <> ''").select("query_id", "parent_id", "document_id").distinct()
+    parents = among(chunks.where("retrieval_role = 'context_only'").select(F.col("chunk_id").alias("parent_id"), "document_id", "location", "part", "primary_page", "text"), up, "parent_id")
+    up = up.join(parents, ["parent_id", "document_id"]).withColumnRenamed("parent_id", "chunk_id").select(*columns, F.lit("parent").alias("role"))
     rows = own.unionByName(up).unionByName(near)
     by = Window.partitionBy("query_id").orderBy(F.when(F.col("role") == "anchor", 0).otherwise(1), F.col("document_id"), *order)
     rows = rows.withColumn("position", F.row_number().over(by))
@@ -426,7 +434,8 @@ def retrieve(
     else:
         fused = fused.join(routes, "query_id")
         ranked = reserve(fused, F.lit(lexical_reserve) if lexical_reserve is not None else F.col("route.lexical_reserve"), F.lit(semantic_reserve) if semantic_reserve is not None else F.col("route.semantic_reserve"), top_k).drop("route")
-    body = chunks.select("chunk_id", *[c for c in chunks.columns if c not in ("chunk_id", "document_id")])
+    ranked = written(ranked, "ranked")
+    body = among(chunks, ranked).select("chunk_id", *[c for c in chunks.columns if c not in ("chunk_id", "document_id")])
     return ranked.join(body, "chunk_id")
 
 

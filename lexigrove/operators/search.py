@@ -56,7 +56,7 @@ def production_search(
 
     A pool of max(30, 5 k) candidates over all channels, adaptively weighted, is always expanded; only direct rows are
     reranked (by the model that ``load`` makes, or the baseline); then come the rows of groups that kept an anchor.
-    The character budget cuts the list.  The pool and the selection are written, as each is used several times.  Questions with a selected but empty scope get nothing; see ``scope_problems``.
+    The character budget cuts the list.  The pool, the selection and the expansion are written, as each is used several times.  Questions with a selected but empty scope get nothing; see ``scope_problems``.
     """
     pool = max(LEAST_POOL, POOL_FACTOR * max(1, top_k))
     wide_chars = max(max_chars, min(MOST_CHARS, pool * CHARS_EACH))
@@ -67,8 +67,8 @@ def production_search(
     )
     best = rerank.rerank_baseline(rows, top_k) if load is None else rerank.rerank_model(rows, load, top_k)
     selected = written(best.select("query_id", "chunk_id", "document_id", "text", "rank", "rerank_score", "reranker"), "selected")
-    heading = chunks.select("chunk_id", "heading_path")
-    wide = retrieval.expand(direct, chunks, wide_chars, max_chunks).join(heading, "chunk_id")
+    wide = written(retrieval.expand(direct, chunks, wide_chars, max_chunks), "wide")
+    wide = written(wide.join(retrieval.among(chunks, wide).select("chunk_id", "heading_path"), "chunk_id"), "around")
     context = surviving_context(direct, selected, wide)
     none = F.lit(None)
     anchors = selected.select("query_id", F.struct(F.lit(0).alias("a"), F.col("rank").cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.lit("").alias("d"), F.lit(0).alias("e"), F.col("chunk_id").alias("f")).alias("at"), "chunk_id", "document_id", F.lit("anchor").alias("role"), "text", "rerank_score", "reranker", none.cast("string").alias("context_for"))

@@ -3,7 +3,7 @@
 import math
 import random
 
-from lexigrove.operators import chunking
+from lexigrove.operators import chunking, retrieval
 from lexigrove.operators.postings import bm25
 
 
@@ -58,6 +58,29 @@ def test_bm25_cuts_a_task_s_rows_on_the_way(spark, monkeypatch):
     assert ask() == want and len(want) == 77
 
 
+def test_expansion_shuffles_no_texts_that_nobody_asked_for(spark, tmp_path, request):
+    for name, value in (("files.maxPartitionBytes", "512k"), ("files.openCostInBytes", "512k"), ("autoBroadcastJoinThreshold", "64k")):  # a scan of several tasks, too large to broadcast
+        request.addfinalizer(lambda n=f"spark.sql.{name}": spark.conf.unset(n))
+        spark.conf.set(f"spark.sql.{name}", value)
+    rng = random.Random(5)
+    columns = "chunk_id string, document_id string, location string, part int, primary_page int, text string, retrieval_role string, parent_id string, heading_path array<string>"
+    rows = [(f"c{i:05d}", f"d{i % 2}", "x", 0, 1, rng.randbytes(1000).hex(), "retrieval", "p", ["h"]) for i in range(2000)] + [("p", "d1", "", 0, 1, "about", "context_only", "", [])]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    asked = [(q, f"c{1 + 2 * (q + 20 * j):05d}", "d1", ["h"], "p", j + 1) for q in range(5) for j in range(3)]  # rows 0, 20 and 40 of their group, and so on
+    anchors = spark.createDataFrame(asked, "query_id long, chunk_id string, document_id string, heading_path array<string>, parent_id string, rank int")
+    found, records, size = shuffled(spark, lambda: retrieval.expand(anchors, chunks, 50_000, 8).collect())
+    assert records < 1_000 and size < 4_000_000 / 4
+    text = {r[0]: r[5] for r in rows}
+    for q in range(5):
+        own = [c for n, c, *_ in asked if n == q]
+        near = [c for i in range(2000) if (c := f"c{i:05d}") not in own and i % 2][: 8 - 3]
+        # anchors first, then by page and location: the parent's is empty; the eighth row is the last
+        want = [(c, "anchor") for c in sorted(own)] + [("p", "parent")] + [(c, "sibling") for c in near][:4]
+        assert [(r["chunk_id"], r["role"]) for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["position"])] == want
+    assert all(r["text"] == text[r["chunk_id"]] for r in found)
+
+
 def test_sentences_are_counted_once(spark):
     plan = spark.createDataFrame([("a. b.",)], "t string").select(chunking.split_children("t").alias("c"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_count") <= 12  # three each for a sentence, a tail, the empty start and a finished piece
