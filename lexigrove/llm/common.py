@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
@@ -107,6 +109,55 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, or None where the C library has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hands memory that Arrow's pool and the C library keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+#: Caches that tasks of one operator keep for one another (``functools`` caches), to be emptied by tasks of any other.
+RESIDENT: list = []
+
+
+def lean(function, tables: int = 0, keeps=None):
+    """``function`` for ``mapInArrow`` (or, of one or two tables, for ``applyInArrow``), which gives back memory when it is through.
+
+    Workers outlive their tasks: what the largest task made them keep would count beside every later stage.  Resident
+    caches other than ``keeps`` are emptied first.
+    """
+
+    def begin() -> None:
+        for cache in RESIDENT:
+            if cache is not keeps:
+                cache.cache_clear()
+
+    def stream(batches):
+        begin()
+        yield from function(batches)
+        give_back()
+
+    def one(group: pa.Table) -> pa.Table:
+        begin()
+        out = function(group)
+        give_back()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        begin()
+        out = function(left, right)
+        give_back()
+        return out
+
+    return (stream, one, two)[tables]
+
+
 def map_rows(df: DataFrame, function, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` with a function from one Arrow batch to one dict of columns."""
     small_batches(df.sparkSession)
@@ -117,7 +168,7 @@ def map_rows(df: DataFrame, function, schema: T.StructType) -> DataFrame:
             columns = function(batch)
             yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom, shingle_overlap
-from .common import arrow_schema, drop_table, few_files, field_name, map_rows, materialise, slices, table, table_path, write_table
+from .common import arrow_schema, drop_table, few_files, field_name, lean, map_rows, materialise, slices, table, table_path, write_table
 
 SHINGLE = 3
 SEED = 42
@@ -178,7 +178,7 @@ def link_fingerprints(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     # a fingerprint gives some 80 keys: few input tasks would make all of them
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meets = prints.select("fp").repartition(tasks).mapInArrow(keys, keyed)
+    meets = prints.select("fp").repartition(tasks).mapInArrow(lean(keys), keyed)
     schema = arrow_schema(_FOUND)
 
     def linked(a: list, b: list) -> pa.RecordBatch:
@@ -230,7 +230,7 @@ def link_fingerprints(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if out_a:
             yield linked(out_a, out_b)
 
-    found = materialise(meets.repartition("key").sortWithinPartitions("key").mapInArrow(verify, _FOUND), "buckets", small=True)
+    found = materialise(meets.repartition("key").sortWithinPartitions("key").mapInArrow(lean(verify), _FOUND), "buckets", small=True)
     left = found.where("fps is not null").select("key", "no", "fps")
     right = left.select("key", F.col("no").alias("no2"), F.col("fps").alias("fps2"))
 
@@ -240,7 +240,7 @@ def link_fingerprints(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
             a, b = _pairs_of(*(np.frombuffer(batch.column(c)[0].as_py(), np.int64) for c in ("fps", "fps2")))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
 
-    crossed = left.join(right, "key").where("no < no2").repartition(tasks).select("fps", "fps2").mapInArrow(across, LINKS)
+    crossed = left.join(right, "key").where("no < no2").repartition(tasks).select("fps", "fps2").mapInArrow(lean(across), LINKS)
     return found.where("fps is null").select("a", "b").unionAll(crossed).distinct()
 
 

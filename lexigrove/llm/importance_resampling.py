@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_name, map_rows, materialise, table
+from .common import field_name, lean, map_rows, materialise, table
 
 BUCKET_BITS = 14
 TRAIN_ROWS = 20_000
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "raw": pa.array(raw[at], pa.int64()), "target": pa.array(target[at], pa.int64())})
 
-    found = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    found = marked.mapInArrow(lean(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(size), np.zeros(size)
     raw[found["bucket"].to_numpy(int)] = found["raw"].to_numpy(float)
     target[found["bucket"].to_numpy(int)] = found["target"].to_numpy(float)

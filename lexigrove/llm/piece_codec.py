@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field_name, slices, table
+from .common import RESIDENT, arrow_schema, field_name, lean, slices, table
 
 BLANK = "▁"
 CHUNK = 1 << 16
@@ -437,6 +437,9 @@ def model(path: str, unigram: bool | None = None) -> PieceModel:
     return PieceModel(path, unigram)
 
 
+RESIDENT.append(model)
+
+
 CHUNKS = T.StructType(
     [T.StructField("row_key", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("cut", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]
 )
@@ -476,7 +479,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
             texts = [pa.array([codec.decode(x) for x in ids], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), _lists(ids, arrow.field("token_ids").type), *texts], schema=arrow)
 
-    short = base.where(~is_long).mapInArrow(whole, schema)
+    short = base.where(~is_long).mapInArrow(lean(whole, keeps=model), schema)
     # equal long texts have equal ids: they are encoded once and joined back by their digest
     own_key = field_name(base, "row_key")
     long_rows = base.where(is_long).withColumn(own_key, F.sha2(value, 256))
@@ -490,7 +493,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
                 rows = [(row_key, *c) for c in _split(codec.prepare(t), chunk, codec.longest)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    pieces = unique.mapInArrow(chunks, CHUNKS).repartition("row_key", "chunk")
+    pieces = unique.mapInArrow(lean(chunks, keeps=model), CHUNKS).repartition("row_key", "chunk")
     states = T.StructType([T.StructField("row_key", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("matrix", T.StringType())])
 
     def matrices(batches):
@@ -509,7 +512,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
         found = solve([ast.literal_eval(m) for m in group.column("matrix").to_pylist()])
         return pa.table({"row_key": group.column("row_key"), "chunk": group.column("chunk"), "state": [repr(s) for s in found]}, arrow_schema(path))
 
-    found = pieces.mapInArrow(matrices, states).groupBy("row_key").applyInArrow(scan, path)
+    found = pieces.mapInArrow(lean(matrices, keeps=model), states).groupBy("row_key").applyInArrow(scan, path)
     traced = T.StructType([T.StructField("row_key", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def trace(batches):
@@ -523,7 +526,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", chunk
                 ids.append(codec.trace(t, c, e, *ast.literal_eval(s)))
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], schema=out)
 
-    parts = pieces.join(found, ["row_key", "chunk"]).mapInArrow(trace, traced)
+    parts = pieces.join(found, ["row_key", "chunk"]).mapInArrow(lean(trace, keeps=model), traced)
     whole_ids = parts.groupBy("row_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("token_ids"))
     other_key = field_name(long_rows, "whole_key")
     giant = long_rows.join(whole_ids.withColumnRenamed("row_key", other_key), F.col(own_key) == F.col(other_key)).select(*[F.col(f"`{c}`") for c in plain], "token_ids")
@@ -543,7 +546,7 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "token_ids"
             texts = [codec.decode(() if x is None else x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names), pa.array(texts, pa.string())], schema=arrow)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run, keeps=model), schema)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import arrow_schema, materialise, slices
+from .common import arrow_schema, lean, materialise, slices
 
 #: Counters of the sketch, and counters in one of its rows.
 COUNTERS = 1 << 19
@@ -145,7 +145,7 @@ def shingle_nodes(docs: DataFrame, size: int, text: str = "text") -> tuple[DataF
             for at in range(0, COUNTERS, PART):
                 yield pa.RecordBatch.from_pydict({f.name: [None] for f in list(arrow)[:5]} | {"part": [at // PART], "counts": [counts[at : at + PART].tobytes()]}, arrow)
 
-    found = materialise(keyed(docs, text).mapInArrow(run, NODES), "nodes", small=True)
+    found = materialise(keyed(docs, text).mapInArrow(lean(run), NODES), "nodes", small=True)
     return found.where("counts is null").drop("part", "counts"), found.where("counts is not null").select("part", "counts")
 
 
@@ -164,7 +164,7 @@ def sketch(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": [part], "counts": [own.tobytes()]}, arrow)
 
     out = np.zeros(COUNTERS, np.uint64)
-    for row in rows.repartition("part").mapInArrow(run, kind).collect():
+    for row in rows.repartition("part").mapInArrow(lean(run), kind).collect():
         out[row["part"] * PART : (row["part"] + 1) * PART] += np.frombuffer(row["counts"], np.uint64)
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
@@ -204,7 +204,7 @@ def _prefixes(texts: DataFrame, size: int, least: Fraction, counts: np.ndarray)
                         [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(nps))], schema=arrow
                     )
 
-    return texts.select("text").mapInArrow(run, PREFIX)
+    return texts.select("text").mapInArrow(lean(run), PREFIX)
 
 
 def _meet(prefixes: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _meet(prefixes: DataFrame) -> DataFrame:
             elif head:
                 waiting = False
 
-    return prefixes.repartition("h", "salt").sortWithinPartitions("h", "salt", "fp", "np").mapInArrow(run, MET)
+    return prefixes.repartition("h", "salt").sortWithinPartitions("h", "salt", "fp", "np").mapInArrow(lean(run), MET)
 
 
 def _may_reach(least: Fraction, x: str, y: str):
@@ -321,7 +321,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(packs, pa.binary())], schema=arrow)
 
     texts = keyed(docs, text).withColumn("key", F.xxhash64("doc_id", "digest"))
-    return materialise(bloom.possible(texts, "key", keys, "key").select("text").mapInArrow(run, SETS), "sets")
+    return materialise(bloom.possible(texts, "key", keys, "key").select("text").mapInArrow(lean(run), SETS), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, name: str) -> DataFrame:
@@ -338,7 +338,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, name: str) ->
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], schema=arrow)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
-    return materialise(joined.mapInArrow(run, PAIRS).distinct(), name, small=True)
+    return materialise(joined.mapInArrow(lean(run), PAIRS).distinct(), name, small=True)
 
 
 def links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, proposed: DataFrame, size: int, least: Fraction, components, text: str = "text") -> DataFrame:

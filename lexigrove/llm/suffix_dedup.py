@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field_name, table, total_bytes
+from .common import arrow_schema, field_name, lean, table, total_bytes
 
 LENGTH = 100
 GRAM = 40
@@ -474,14 +474,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", digest: bool = False, le
     )
     # the input's partition deals out rows that repeat an id and a text; it is the same when a lost task runs again
     blocks = base.groupBy(plan.block)
-    recurring = blocks.applyInArrow(_list_anchors(plan), ANCHORS).groupBy("bucket").applyInArrow(_find_recurring(plan, False), RECUR)
-    windows = blocks.cogroup(recurring.groupBy("_blk")).applyInArrow(_list_windows(plan), ANCHORS).groupBy("bucket").applyInArrow(_find_recurring(plan, True), RECUR)
-    runs = blocks.cogroup(recurring.unionAll(windows).groupBy("_blk")).applyInArrow(_ship_runs(plan), RUNS)
-    ranges = runs.groupBy("bucket").applyInArrow(_judge_runs(plan), RANGES)
+    recurring = blocks.applyInArrow(lean(_list_anchors(plan), 1), ANCHORS).groupBy("bucket").applyInArrow(lean(_find_recurring(plan, False), 1), RECUR)
+    windows = blocks.cogroup(recurring.groupBy("_blk")).applyInArrow(lean(_list_windows(plan), 2), ANCHORS).groupBy("bucket").applyInArrow(lean(_find_recurring(plan, True), 1), RECUR)
+    runs = blocks.cogroup(recurring.unionAll(windows).groupBy("_blk")).applyInArrow(lean(_ship_runs(plan), 2), RUNS)
+    ranges = runs.groupBy("bucket").applyInArrow(lean(_judge_runs(plan), 1), RANGES)
     fields = [docs.schema[c] for c in docs.columns if c in plain or (c == text and not digest)]
     fields = [T.StructField(text, T.StringType()) if f.name == text else f for f in fields]
     schema = T.StructType([*fields, *([T.StructField("kept_sha256", T.StringType())] if digest else []), *(T.StructField(n, T.LongType()) for n in names)])
-    return blocks.cogroup(ranges.groupBy("_blk")).applyInArrow(_cut(plan, schema, None if digest else text, report), schema)
+    return blocks.cogroup(ranges.groupBy("_blk")).applyInArrow(lean(_cut(plan, schema, None if digest else text, report), 2), schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
